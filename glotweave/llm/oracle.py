@@ -52,4 +52,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM f
 """
 
-ORACLE: dict[str, str] = {"op3_line_dedup": OP3, "op8_quality_rules": OP8}
+OP4 = f"""
+WITH w AS (
+  SELECT doc_id, {_WORDS} AS ws FROM documents
+), x AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w
+), g AS (
+  SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS gram
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)
+), r AS (
+  SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY gram) AS low FROM g) WHERE low < doc_id
+), m AS (
+  SELECT x.doc_id, x.word, x.i, coalesce(x.i - r.i < 13, false) AS gone
+  FROM x ASOF LEFT JOIN r ON x.doc_id = r.doc_id AND x.i >= r.i
+), s AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM m GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN s ON s.doc_id = w.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op3_line_dedup": OP3, "op4_substring_dedup": OP4, "op8_quality_rules": OP8}
