@@ -73,4 +73,39 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed
 FROM w LEFT JOIN s ON s.doc_id = w.doc_id
 """
 
-ORACLE: dict[str, str] = {"op3_line_dedup": OP3, "op4_substring_dedup": OP4, "op8_quality_rules": OP8}
+_TOKENS = (
+    "list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}\\x20\\x09-\\x0D]+', '', 'g'), "
+    "'[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+)
+
+OP7 = f"""
+WITH d AS (SELECT doc_id AS id, {_TOKENS} AS ws FROM documents), b AS (SELECT item_id AS id, {_TOKENS} AS ws FROM benchmark),
+ds AS (
+  SELECT id, i, 'a ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3] || ' ' || ws[i+5] || ' ' || ws[i+7] || ' ' || ws[i+8] AS s
+  FROM (SELECT id, ws, unnest(range(0, len(ws) - 7)) AS i FROM d)
+  UNION ALL
+  SELECT id, i, 'b ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+4] || ' ' || ws[i+7] || ' ' || ws[i+8] || ' ' || ws[i+9] AS s
+  FROM (SELECT id, ws, unnest(range(0, len(ws) - 8)) AS i FROM d)
+), bs AS (
+  SELECT id, i, 'a ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3] || ' ' || ws[i+5] || ' ' || ws[i+7] || ' ' || ws[i+8] AS s
+  FROM (SELECT id, ws, unnest(range(0, len(ws) - 7)) AS i FROM b)
+  UNION ALL
+  SELECT id, i, 'b ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+4] || ' ' || ws[i+7] || ' ' || ws[i+8] || ' ' || ws[i+9] AS s
+  FROM (SELECT id, ws, unnest(range(0, len(ws) - 8)) AS i FROM b)
+), h AS (
+  SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (s)
+), a AS (
+  SELECT doc_id, item_id, shift, least(13, len(b.ws)) AS win, j, (b.ws[j + 1] = d.ws[j + shift + 1])::INT AS same
+  FROM (
+    SELECT h.*, unnest(range(greatest(0, -shift), least(len(b.ws), len(d.ws) - shift))) AS j
+    FROM h JOIN d ON d.id = h.doc_id JOIN b ON b.id = h.item_id
+  ) h JOIN d ON d.id = h.doc_id JOIN b ON b.id = h.item_id
+), w AS (
+  SELECT doc_id, item_id, win, sum(same) OVER p AS n_agree, count(*) OVER p AS n
+  FROM a WINDOW p AS (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)
+)
+SELECT doc_id, item_id, max(n_agree)::BIGINT AS n_agree, max(win)::BIGINT AS "window"
+FROM w WHERE n >= win AND n_agree >= win - floor(win * 2 / 13) GROUP BY doc_id, item_id
+"""
+
+ORACLE: dict[str, str] = {"op3_line_dedup": OP3, "op4_substring_dedup": OP4, "op7_decontamination": OP7, "op8_quality_rules": OP8}
