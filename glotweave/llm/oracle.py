@@ -108,4 +108,18 @@ SELECT doc_id, item_id, max(n_agree)::BIGINT AS n_agree, max(win)::BIGINT AS "wi
 FROM w WHERE n >= win AND n_agree >= win - floor(win * 2 / 13) GROUP BY doc_id, item_id
 """
 
-ORACLE: dict[str, str] = {"op3_line_dedup": OP3, "op4_substring_dedup": OP4, "op7_decontamination": OP7, "op8_quality_rules": OP8}
+#: Without tool calls, which the generated conversations have none of.
+OP9 = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+g AS (
+  SELECT conv_id, turn // 512 AS part, count(*) AS n,
+         string_agg('{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || to_json(coalesce(role, 'unknown'))::VARCHAR || '}', ','
+                    ORDER BY turn, role, text) AS messages
+  FROM t GROUP BY conv_id, turn // 512
+)
+SELECT conv_id, part, n AS n_messages, 0::BIGINT AS n_calls, 0::BIGINT AS n_bad_calls, 0::BIGINT AS n_orphans,
+       '{"conv_id":' || conv_id || ',"messages":[' || messages || '],"part":' || part || '}' AS chat
+FROM g
+"""
+
+ORACLE: dict[str, str] = {"op3_line_dedup": OP3, "op4_substring_dedup": OP4, "op7_decontamination": OP7, "op8_quality_rules": OP8, "op9_chat_format": OP9}
