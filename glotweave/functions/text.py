@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Python's str.split sees it.
 WS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
@@ -42,7 +43,7 @@ def romanisation(scheme: str = "default") -> dict[str, str]:
     return table | (ROMAN_FULL if scheme == "full" else {})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -137,9 +138,11 @@ def phonetic_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
 
 
-def token_contexts(c: Column, matches, width: int = 3) -> Column:
-    """array<struct<word, left_context, right_context>> of the tokens that ``matches`` accepts, clipped at line ends."""
-    ws = tokens(c)
+def token_contexts(ws: Column, matches, width: int = 3) -> Column:
+    """array<struct<word, left_context, right_context>> of the tokens in ``ws`` that ``matches`` accepts, clipped at the ends.
+
+    ``ws`` should be a column that exists already: it is read once per match.
+    """
     at = F.transform(ws, lambda t, i: F.struct(t.alias("word"), i.alias("i")))
     return F.transform(
         F.filter(at, lambda x: matches(x["word"])),

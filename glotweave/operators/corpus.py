@@ -34,8 +34,9 @@ def line_stats(cleaned: DataFrame, *keys: str) -> DataFrame:
 
 def foreign_tokens(lines: DataFrame, language: str, width: int = 3) -> DataFrame:
     """The columns of ``lines`` and word, left_context, right_context: tokens of another script in the raw lines."""
-    found = F.inline(X.token_contexts(F.col("line"), MATCHERS[language], width))
-    return lines.select(*[c for c in lines.columns if c != "line"], found)
+    keys = [c for c in lines.columns if c != "line"]
+    split = lines.select(*keys, X.tokens(F.col("line")).alias("__tokens"))
+    return split.select(*keys, F.inline(X.token_contexts(F.col("__tokens"), MATCHERS[language], width)))
 
 
 def token_counts(words: DataFrame, word: str = "word", *order: str) -> DataFrame:

@@ -1,3 +1,405 @@
-"""Named queries over the driver's tables."""
+"""Named queries: each operator over the driver's tables.
 
-QUERIES: dict = {}
+Spaces are made from ``embeddings``: even vec_ids are the source side, odd ones the target side, idx is the place within
+the side, and words are named after the row.  Strings for the word-level operators come from benchmark and documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glotweave.functions import text as X
+from glotweave.functions.vectors import as_double, norm, unit
+from glotweave.operators import algebra, corpus, intrinsic, knn, lexicon
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.lines_of(table(spark, sf_dir, "documents"), F.col("text"), "doc_id", "source")
+
+
+def side(spark: SparkSession, sf_dir: str, rest: int) -> DataFrame:
+    """(idx, word, vec, label) of the vectors whose id is even (0) or odd (1)."""
+    e = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 2 == rest)
+    return e.select(((F.col("vec_id") - rest) / 2).cast("int").alias("idx"), F.concat(F.lit("w"), F.col("vec_id")).alias("word"), as_double(F.col("embedding")).alias("vec"), "label")
+
+
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").cast("int").alias("idx"), F.concat(F.lit("w"), F.col("vec_id")).alias("word"), as_double(F.col("embedding")).alias("vec"), "label")
+
+
+def benchmark_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, pos, word): the letters a to z of each token."""
+    ws = F.posexplode(X.tokens(F.col("text"))).alias("pos", "raw")
+    words = table(spark, sf_dir, "benchmark").select("item_id", ws)
+    return words.select("item_id", "pos", F.regexp_replace(F.lower("raw"), "[^a-z]", "").alias("word")).filter("word <> ''")
+
+
+@query
+def clean_english(spark, sf_dir):
+    """Every line of every document, cleaned; lines that clean to nothing are dropped."""
+    return corpus.keep_clean(corpus.clean_lines(lines(spark, sf_dir), "english")).select("doc_id", "line_no", "clean")
+
+
+@query
+def clean_thaana(spark, sf_dir):
+    return corpus.line_stats(corpus.clean_lines(lines(spark, sf_dir), "thaana"))
+
+
+@query
+def clean_stats_by_source(spark, sf_dir):
+    return corpus.line_stats(corpus.clean_lines(lines(spark, sf_dir), "english"), "source")
+
+
+@query
+def detect_script(spark, sf_dir):
+    l = lines(spark, sf_dir).select(X.detect_script_english(F.col("line")).alias("english_view"), X.detect_script_thaana(F.col("line")).alias("thaana_view"))
+    return l.groupBy("english_view", "thaana_view").agg(F.count("*").alias("n"))
+
+
+@query
+def foreign_token_contexts(spark, sf_dir):
+    return corpus.foreign_tokens(lines(spark, sf_dir).drop("source"), "english").select(
+        "doc_id", "line_no", "word", F.array_join("left_context", " ").alias("left_context"), F.array_join("right_context", " ").alias("right_context")
+    )
+
+
+@query
+def conversation_token_contexts(spark, sf_dir):
+    """Latin tokens with context over the lines of conversations, counted by context."""
+    l = corpus.lines_of(table(spark, sf_dir, "conversations"), F.col("text"), "conv_id", "turn")
+    found = corpus.foreign_tokens(l, "thaana")
+    return found.groupBy(F.size("left_context").alias("n_left"), F.size("right_context").alias("n_right")).agg(F.count("*").alias("n"), F.count_distinct("word").alias("n_words"))
+
+
+@query
+def foreign_tokens_topk(spark, sf_dir):
+    found = corpus.foreign_tokens(lines(spark, sf_dir), "english")
+    return corpus.top_tokens(corpus.token_counts(found)).select("token", "n")
+
+
+@query
+def latin_token_counts(spark, sf_dir):
+    return corpus.token_counts(corpus.foreign_tokens(lines(spark, sf_dir), "thaana"))
+
+
+@query
+def unique_foreign_tokens(spark, sf_dir):
+    return corpus.token_counts(corpus.foreign_tokens(lines(spark, sf_dir), "english")).agg(F.count("*").alias("unique_tokens"), F.sum("n").alias("total_tokens"))
+
+
+@query
+def merge_sentences(spark, sf_dir):
+    """Blocks of five non-blank lines within each document."""
+    blocks = corpus.merge_blocks_within(lines(spark, sf_dir), 5, "doc_id", "line_no")
+    return blocks.select("doc_id", "block_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("line"))
+
+
+@query
+def merge_sentences_stream(spark, sf_dir):
+    """Blocks of five non-blank lines over all documents as one stream."""
+    blocks = corpus.merge_blocks(lines(spark, sf_dir), 5, "doc_id", "line_no")
+    return blocks.select("block_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("line"))
+
+
+@query
+def vocab_min_count(spark, sf_dir):
+    cleaned = corpus.keep_clean(corpus.clean_lines(lines(spark, sf_dir), "english"))
+    return corpus.vocabulary(cleaned.select(F.explode(X.tokens(F.col("clean"))).alias("word")), 3)
+
+
+def _vocabularies(spark, sf_dir):
+    docs = corpus.keep_clean(corpus.clean_lines(lines(spark, sf_dir), "english")).select(F.explode(X.tokens(F.col("clean"))).alias("word"))
+    names = table(spark, sf_dir, "part").select(F.explode(X.tokens(F.lower("p_name"))).alias("word")).distinct()
+    return benchmark_tokens(spark, sf_dir).select("word").distinct(), docs.distinct(), names
+
+
+@query
+def vocab_semi(spark, sf_dir):
+    """Pairs (benchmark word, word) whose both sides are known to documents."""
+    bench, docs, _ = _vocabularies(spark, sf_dir)
+    pairs = bench.select(F.col("word").alias("src"), F.reverse("word").alias("tgt"))
+    return corpus.pairs_in_vocabulary(pairs, docs, docs)
+
+
+@query
+def vocab_anti(spark, sf_dir):
+    bench, docs, names = _vocabularies(spark, sf_dir)
+    return corpus.not_in(docs, bench.withColumnRenamed("word", "value").union(names)).agg(F.count("*").alias("n"), F.min("word").alias("first"), F.max("word").alias("last"))
+
+
+@query
+def vocab_missing(spark, sf_dir):
+    bench, docs, _ = _vocabularies(spark, sf_dir)
+    pairs = bench.select(F.col("word").alias("src"), F.reverse("word").alias("tgt"))
+    return corpus.pairs_missing(pairs, docs, docs)
+
+
+@query
+def seed_split_sizes(spark, sf_dir):
+    pairs = benchmark_tokens(spark, sf_dir).select((F.col("item_id") * 1000 + F.col("pos")).alias("pair_no"), F.col("word").alias("src"), F.col("word").alias("tgt"))
+    train, test = corpus.split_pairs(pairs)
+    return train.agg(F.count("*").alias("n_train")).crossJoin(test.agg(F.count("*").alias("n_test")))
+
+
+@query
+def phonetic_pairs(spark, sf_dir):
+    """Similarity by sound of consecutive benchmark tokens."""
+    w = Window.partitionBy("item_id").orderBy("pos")
+    p = benchmark_tokens(spark, sf_dir).withColumn("next", F.lead("word").over(w)).filter("next is not null")
+    return p.select("item_id", "pos", "word", "next", F.round(X.phonetic_similarity(F.col("word"), F.col("next")), 6).alias("similarity"))
+
+
+def thaana_of(word):
+    """Stand-in Thaana spellings for Latin words: letter by letter into U+0780 onwards."""
+    return F.translate(word, "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x780 + i) for i in range(26)))
+
+
+@query
+def romanise(spark, sf_dir):
+    words = benchmark_tokens(spark, sf_dir).select("word").distinct().withColumn("thaana", thaana_of(F.col("word")))
+    return words.select("thaana", X.romanise(F.col("thaana")).alias("romanised"), X.romanise(F.col("thaana"), "full").alias("romanised_full"))
+
+
+@query
+def transliterate_lines(spark, sf_dir):
+    """Every second token in Thaana, the line transliterated."""
+    ws = X.tokens(F.col("text"))
+    mixed = F.array_join(F.transform(ws, lambda t, i: F.when(i % 2 == 0, thaana_of(F.lower(t))).otherwise(t)), " ")
+    return table(spark, sf_dir, "benchmark").select("item_id", X.transliterate_line(mixed).alias("line"))
+
+
+@query
+def norm_only(spark, sf_dir):
+    out = whole(spark, sf_dir).select("idx", unit(F.col("vec"), 1e-8).alias("u"), norm(F.col("vec")).alias("n"))
+    return out.select("idx", F.round("n", 6).alias("norm"), F.round(F.col("u")[0], 6).alias("first"), F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query
+def center(spark, sf_dir):
+    """Unit-length vectors less their mean: what is left in the first and last dimension."""
+    c = algebra.preprocess(whole(spark, sf_dir).select("idx", "vec"), "center")
+    return c.select("idx", F.round(F.col("vec")[0], 6).alias("first"), F.round(F.element_at("vec", -1), 6).alias("last"))
+
+
+@query
+def covariance(spark, sf_dir):
+    _, cov = algebra.covariance(whole(spark, sf_dir))
+    rows = [(i, j, round(float(cov[i, j]), 8)) for i in range(len(cov)) for j in range(len(cov))]
+    return spark.createDataFrame(rows, "i int, j int, cov double")
+
+
+@query
+def zca(spark, sf_dir):
+    """Largest distance of the whitened covariance from the identity, and the length of renormalised rows."""
+    _, cov = algebra.covariance(algebra.preprocess(whole(spark, sf_dir), "center_whiten"))
+    off = float(abs(cov - np.eye(len(cov))).max())
+    n = algebra.preprocess(whole(spark, sf_dir), "center_whiten_renorm").agg(F.round(F.min(norm(F.col("vec"))), 6).alias("shortest"), F.count("*").alias("n"))
+    return n.withColumn("near_identity", F.lit(off < 0.01))
+
+
+@query
+def gap_scan(spark, sf_dir):
+    """Target words whose nearest source word is far."""
+    gaps = lexicon.find_gaps(side(spark, sf_dir, 1), side(spark, sf_dir, 0))
+    return gaps
+
+
+@query
+def gap_by_domain(spark, sf_dir):
+    """Gaps by label, and in total."""
+    english = side(spark, sf_dir, 1)
+    gaps = lexicon.find_gaps(english, side(spark, sf_dir, 0)).drop("domain").join(english.select(F.col("word").alias("english_word"), F.col("label").cast("string").alias("domain")), "english_word")
+    return lexicon.gap_summary(gaps).select("domain", "n_words", "n_gaps", F.round("gap_rate", 6).alias("gap_rate"))
+
+
+@query
+def gap_scan_excluding(spark, sf_dir):
+    """The first 150 target words, then without those divisible by seven."""
+    english = side(spark, sf_dir, 1)
+    seeds = english.filter(F.col("idx") % 7 == 0).select(F.col("word").alias("value"))
+    return lexicon.find_gaps(english, side(spark, sf_dir, 0), seeds, threshold=0.4, top_n=150)
+
+
+@query
+def loan_scan(spark, sf_dir):
+    """The source side spelled in Thaana, the target side in Latin: categories over the joint space."""
+    e = whole(spark, sf_dir)
+    digits = F.translate(F.col("idx").cast("string"), "0123456789", "bdfklmnrst")
+    latin = F.concat(digits, F.when(F.col("label") % 2 == 0, F.lit("a")).otherwise(F.lit("u")))
+    dv = e.filter("idx % 2 = 0").select(F.lit("dv").alias("lang"), "idx", F.translate(F.concat(digits, F.lit("a")), "bdfklmnrstau", "ބދފކލމނރސތއު").alias("word"), "vec")
+    en = e.filter("idx % 2 = 1").select(F.lit("en").alias("lang"), "idx", latin.alias("word"), "vec")
+    entities = dv.filter("idx % 50 = 0").select(F.col("word").alias("value"))
+    return lexicon.classify_loans(dv.unionByName(en), entities, phonetic_threshold=0.3, embed_threshold=0.2).select("idx", "romanised", "category", "best_english_match", "phonetic_score", "embed_score")
+
+
+@query
+def knn_top10(spark, sf_dir):
+    s = whole(spark, sf_dir)
+    return knn.knn_join(s, s, 10, exclude_self=True).select("q", "c", "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def csls_rt(spark, sf_dir):
+    return knn.csls_penalty(side(spark, sf_dir, 1)).select("idx", F.round("r_t", 6).alias("r_t"))
+
+
+@query
+def csls_topk(spark, sf_dir):
+    found = knn.csls_join(side(spark, sf_dir, 0), side(spark, sf_dir, 1), 5)
+    return found.select("q", "c", "rank", F.round("score", 6).alias("score"))
+
+
+def _identity_pairs(spark, sf_dir):
+    """Pair k: source word k with target word k."""
+    return side(spark, sf_dir, 0).select(F.col("idx").alias("pair_no"), "word").withColumnRenamed("word", "src").withColumn("tgt", F.concat(F.lit("w"), F.col("pair_no") * 2 + 1))
+
+
+@query
+def heldout_p_at_k(spark, sf_dir):
+    out = algebra.held_out(_identity_pairs(spark, sf_dir), side(spark, sf_dir, 0), side(spark, sf_dir, 1), (1, 5, 10, 50))
+    return out.select("metric", F.round("value", 6).alias("value"))
+
+
+@query
+def rsa(spark, sf_dir):
+    pairs = _identity_pairs(spark, sf_dir).filter("pair_no < 200")
+    r = algebra.rsa(pairs, side(spark, sf_dir, 0), side(spark, sf_dir, 1))
+    return r.select("rsa_n_pairs", F.round("rsa_pearson", 6).alias("rsa_pearson"), F.round("rsa_spearman", 6).alias("rsa_spearman"))
+
+
+@query
+def hubness_skew(spark, sf_dir):
+    return knn.hubness_skew(whole(spark, sf_dir)).select(F.round("skew", 6).alias("skew"))
+
+
+@query
+def isomorphism(spark, sf_dir):
+    return algebra.isomorphism(_identity_pairs(spark, sf_dir).filter("pair_no < 200"), side(spark, sf_dir, 0), side(spark, sf_dir, 1))
+
+
+@query
+def eigval(spark, sf_dir):
+    distance, k = algebra.eigenvalue_distance(side(spark, sf_dir, 0), side(spark, sf_dir, 1))
+    return spark.createDataFrame([(round(distance, 6), k)], "eigval_distance double, eigval_k int")
+
+
+@query
+def procrustes(spark, sf_dir):
+    """Mean cosine of seed pairs after an orthogonal and a linear mapping."""
+    pairs, source, target = _identity_pairs(spark, sf_dir), side(spark, sf_dir, 0), side(spark, sf_dir, 1)
+    out = None
+    for mode in ("orthogonal", "linear"):
+        mapped = algebra.apply_mapping(source, algebra.procrustes(pairs, source, target, mode))
+        one = algebra.mean_pair_cosine(pairs, mapped, target).select(F.lit(mode).alias("mode"), F.round("mean_cosine", 6).alias("mean_cosine"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def vecmap(spark, sf_dir):
+    """Self-learning from 100 seed pairs: both mapped spaces' sizes and the seeds' mean cosine."""
+    from glotweave.operators.selflearn import self_learning
+
+    pairs, source, target = _identity_pairs(spark, sf_dir).filter("pair_no < 100"), side(spark, sf_dir, 0), side(spark, sf_dir, 1)
+    a, b = self_learning(source, target, pairs, "semi", max_rounds=40)
+    return algebra.mean_pair_cosine(pairs, a, b).select(F.round("mean_cosine", 4).alias("mean_cosine"))
+
+
+@query
+def coherence(spark, sf_dir):
+    s = whole(spark, sf_dir)
+    probes = s.filter("idx % 20 = 0").select(F.col("word").alias("value")).union(spark.createDataFrame([("unknown",)], "value string"))
+    return intrinsic.coherence(probes, s)
+
+
+@query
+def outlier(spark, sf_dir):
+    """Sets of five consecutive vectors; the last is named the outlier."""
+    s = whole(spark, sf_dir)
+    sets = s.groupBy(F.floor(F.col("idx") / 5).alias("set_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]).alias("words"))
+    sets = sets.filter(F.size("words") == 5).withColumn("gold", F.element_at("words", 5))
+    return intrinsic.outliers(sets, s)
+
+
+@query
+def outlier_accuracy(spark, sf_dir):
+    return intrinsic.outlier_accuracy(outlier(spark, sf_dir)).select("n_sets", F.round("accuracy", 6).alias("accuracy"))
+
+
+def _analogies(spark, sf_dir):
+    """Twenty rows (source word k, target word k) per category."""
+    pairs = _identity_pairs(spark, sf_dir).filter("pair_no < 40").withColumn("category", F.when(F.col("pair_no") < 20, "first").otherwise("second"))
+    out = [intrinsic.pair_analogies(pairs.filter(F.col("category") == c), c, "src", "tgt") for c in ("first", "second")]
+    return out[0].unionByName(out[1])
+
+
+@query
+def analogy_items(spark, sf_dir):
+    return _analogies(spark, sf_dir)
+
+
+@query
+def analogy_eval(spark, sf_dir):
+    return intrinsic.analogy_predictions(_analogies(spark, sf_dir), whole(spark, sf_dir))
+
+
+@query
+def analogy_accuracy(spark, sf_dir):
+    return intrinsic.analogy_accuracy(_analogies(spark, sf_dir), whole(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query
+def word_similarity(spark, sf_dir):
+    pairs = _identity_pairs(spark, sf_dir).select(F.col("src").alias("word1"), F.col("tgt").alias("word2"), ((F.col("pair_no") * 37) % 101).cast("double").alias("score"))
+    unknown = spark.createDataFrame([("w0", "unknown", 1.0)], "word1 string, word2 string, score double")
+    r = intrinsic.word_similarity(pairs.union(unknown), whole(spark, sf_dir))
+    return r.select("n", *[F.round(c, 6).alias(c) for c in ("pearson_r", "spearman_r", "oov_ratio")])
+
+
+@query
+def kmeans_purity(spark, sf_dir):
+    s = whole(spark, sf_dir)
+    found = intrinsic.categorise(s.select(F.col("label").cast("string").alias("label"), "word"), s, restarts=2)
+    return intrinsic.purity(found).select("n", F.round("random_baseline", 6).alias("random_baseline"), (F.col("purity") > 0).alias("some_purity"))
+
+
+@query
+def word2vec(spark, sf_dir):
+    """Two epochs of CBOW over the benchmark: the vocabulary and its size."""
+    from glotweave.operators.train import Settings, train
+
+    blocks = corpus.merge_blocks_within(corpus.lines_of(table(spark, sf_dir, "benchmark"), F.col("text"), "item_id"), 5, "item_id", "line_no")
+    model = train(blocks, Settings(dims=16, epochs=2, partitions=1, negative=3))
+    return model.table(spark).select("idx", "word", F.size("vec").alias("dims"))
+
+
+@query
+def aligned_space(spark, sf_dir):
+    from glotweave.sources.sinks import aligned_space as combine
+
+    return combine(side(spark, sf_dir, 0), side(spark, sf_dir, 1)).select("lang", "idx", "word", "key", F.round(F.col("vec")[0], 6).alias("first"))
+
+
+@query
+def vec_lines(spark, sf_dir):
+    """The word-vector text format, header included."""
+    from glotweave.sources.sinks import vec_lines as lines_of_vec
+
+    return lines_of_vec(whole(spark, sf_dir))
