@@ -145,7 +145,7 @@ def isomorphism(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataF
         rows += [("rsa_n_pairs", float(r["rsa_n_pairs"]), None), ("rsa_pearson", round(r["rsa_pearson"], 4), grade("rsa", round(r["rsa_pearson"], 4))), ("rsa_spearman", round(r["rsa_spearman"], 4), None)]
     distance, k = eigenvalue_distance(source, target)
     rows += [("eigval_distance", round(distance, 6), grade("eigval", round(distance, 6))), ("eigval_k", float(k), None)]
-    a, b = (round(hubness_skew(s).first()["skew"], 4) for s in (source, target))
+    a, b = (round(hubness_skew(s).first()["skew"] or 0.0, 4) for s in (source, target))  # null: all counts alike
     rows += [("src_hubness_skew", a, None), ("tgt_hubness_skew", b, None), ("hubness_difference", abs(a - b), grade("hubness", abs(a - b)))]
     return pairs.sparkSession.createDataFrame(rows, "metric string, value double, label string")
 

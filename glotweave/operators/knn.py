@@ -97,7 +97,7 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool =
     n_blocks = -(-size["n"] // BLOCK_ROWS)
     q_blocks = max(1, queries.sparkSession.sparkContext.defaultParallelism)
     blocks = index.groupBy(F.pmod(F.xxhash64("idx"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("idx", "vec", "penalty")).alias("rows"))
-    tiles = queries.withColumn("q_block", F.pmod(F.xxhash64("idx"), F.lit(q_blocks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long"))
+    tiles = queries.withColumn("q_block", F.pmod(F.xxhash64("idx"), F.lit(q_blocks))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
     biased = penalty is not None
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

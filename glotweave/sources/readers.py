@@ -25,13 +25,12 @@ def require(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(path)
 
 
-def numbered(lines: DataFrame, *order: str) -> DataFrame:
-    """``lines`` plus ``line_no`` from 0 in the order given, without gathering rows in one task.
-
-    Rows are range-partitioned and sorted; each partition's count places the next ones.  Only counts reach the driver.
-    """
-    schema = T.StructType([*lines.schema.fields, T.StructField("line_no", T.LongType(), False)])
-    return lines.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+def _text_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """(line, line_no) of a file or folder: by file name, then by place; Spark may read the pieces in any order."""
+    place = [F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")]
+    pieces = spark.read.text(path).select("value", *place).orderBy("p", "b", "m").select(F.col("value").alias("line"))
+    schema = T.StructType([T.StructField("line", T.StringType()), T.StructField("line_no", T.LongType())])
+    return pieces.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(schema)
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -43,9 +42,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     out = None
     for no, path in enumerate(paths):
         require(spark, path)
-        schema = T.StructType([T.StructField("line", T.StringType()), T.StructField("line_no", T.LongType())])
-        one = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(schema)
-        one = one.select(F.lit(path).alias("source"), F.lit(no).alias("file_no"), "line_no", "line")
+        one = _text_in_order(spark, path).select(F.lit(path).alias("source"), F.lit(no).alias("file_no"), "line_no", "line")
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no input files")
@@ -97,8 +94,7 @@ def read_seed_words(spark: SparkSession, space_path: str) -> DataFrame:
 def read_vec(spark: SparkSession, path: str) -> DataFrame:
     """(idx, word, vec) of a word2vec text file: a header ``n d``, then a word and d numbers per line."""
     require(spark, path)
-    schema = T.StructType([T.StructField("line", T.StringType()), T.StructField("no", T.LongType())])
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(schema).filter("no > 0 and line <> ''")
+    lines = _text_in_order(spark, path).withColumnRenamed("line_no", "no").filter("no > 0 and line <> ''")
     parts = F.split(F.regexp_replace("line", "\\s+\\z", ""), " ")
     return lines.select(
         (F.col("no") - 1).cast("int").alias("idx"), parts[0].alias("word"), F.slice(parts, 2, F.size(parts) - 1).cast("array<double>").alias("vec")
