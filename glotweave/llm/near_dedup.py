@@ -34,7 +34,7 @@ from glotweave.llm.batches import PIECE_BYTES, pieces, signed
 from glotweave.llm.columns import wide_hash
 from glotweave.llm.components import connected_components
 from glotweave.llm.probminhash import signatures
-from glotweave.llm.storage import materialise, release_shuffles
+from glotweave.llm.storage import materialise
 from glotweave.llm.wordhash import Words, gram_hashes, mix, window_starts
 
 SHINGLE = 5
@@ -155,7 +155,6 @@ def near_classes(docs: DataFrame, num: int = 4, den: int = 5, sketch_floor: floa
 
     The similarity threshold is num / den.
     """
-    spark = docs.sparkSession
     m = BANDS * ROWS
     floor = int(np.ceil(sketch_floor * m))
     rows = docs.select("doc_id", "text", wide_hash(F.col("text")).alias("key"))
@@ -164,7 +163,6 @@ def near_classes(docs: DataFrame, num: int = 4, den: int = 5, sketch_floor: floa
     only_reps = reps.select(F.col("rep_id").alias("id")).distinct()
     signed_docs = whole.select("doc_id", "text").mapInArrow(_sign(m), "id long, sig array<int>")
     sigs = materialise(signed_docs.join(only_reps, "id", "left_semi"), "near-signatures")
-    release_shuffles(spark)
 
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[F.get(F.col("sig"), b * ROWS + k) for k in range(ROWS)])
@@ -184,15 +182,12 @@ def near_classes(docs: DataFrame, num: int = 4, den: int = 5, sketch_floor: floa
     likely = materialise(
         pairs.join(left, "u").join(right, "v").filter(agree >= floor).select("u", "v"), "near-likely"
     )
-    release_shuffles(spark)
     texts = whole.select("doc_id", "text")
 
     def verified(candidates: DataFrame, label: str) -> DataFrame:
         u, v = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"{x}_text")) for x in "uv")
         both = candidates.join(u, "u").join(v, "v").select("u", "v", "u_text", "v_text")
-        out = materialise(both.mapInArrow(_verify(num, den), "u long, v long").distinct(), label)
-        release_shuffles(spark)
-        return out
+        return materialise(both.mapInArrow(_verify(num, den), "u long, v long").distinct(), label)
 
     links = verified(likely, "near-links")
     parts = connected_components(links)

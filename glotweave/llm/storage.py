@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -21,17 +20,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Spark deletes an execution's shuffle files at its end if this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the scratch folder and read it back: lost executors recompute from the files.
 
-    A failed or repeated call writes to a new folder, so it never sees half a table.
+    The write's shuffle files are deleted when it has ended, as nothing reads them any more.  A failed or repeated call
+    writes to a new folder, so it never sees half a table.
     """
-    path = f"{scratch_dir(df.sparkSession)}/glotweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's context cleaner delete shuffle files of finished jobs, which it does when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/glotweave/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
