@@ -175,8 +175,10 @@ def dedup_substrings(docs: DataFrame, window: int = 13, seed_words: int = 7, sha
     texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     keyed = texts.select("doc_id", wide_hash(F.col("text")).alias("key"))
     holders = keyed.groupBy("key").agg(F.min("doc_id").alias("unit"))
+    # per document: its texts that a smaller document holds too
     copies = materialise(
-        keyed.join(holders, "key").filter(F.col("unit") < F.col("doc_id")).groupBy("doc_id", "key").agg(F.first("unit").alias("unit")),
+        keyed.join(holders, "key").filter(F.col("unit") < F.col("doc_id"))
+        .groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("key", "unit"))).alias("__sd_copies")),
         "phrase-copies",
     )
     seeds = texts.mapInArrow(_seeds_of(window, seed_words), "doc_id long, seed long")
@@ -184,14 +186,13 @@ def dedup_substrings(docs: DataFrame, window: int = 13, seed_words: int = 7, sha
     by_doc = materialise(
         seeds.join(recurring, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")), "phrase-seeds"
     )
-
-    bare = copies.select(F.col("doc_id").alias("__sd_id"), F.col("key").alias("__sd_key"), F.col("unit").alias("__sd_unit"))
-
-    def with_units(df: DataFrame) -> DataFrame:
-        mine = (F.col("doc_id") == F.col("__sd_id")) & (wide_hash(F.col("text")) == F.col("__sd_key"))
-        return df.join(bare, mine, "left").drop("__sd_id", "__sd_key")
-
-    seeded = with_units(texts.join(by_doc, "doc_id")).filter(F.col("__sd_unit").isNull()).select("doc_id", "text", "seeds")
+    # narrow tables meet first, so that texts are shuffled by doc_id alone
+    unit = F.try_element_at(F.col("__sd_copies"), wide_hash(F.col("text")))
+    seeded = (
+        texts.join(by_doc.join(copies, "doc_id", "left"), "doc_id")
+        .filter(F.col("__sd_copies").isNull() | unit.isNull())
+        .select("doc_id", "text", "seeds")
+    )
     windows = materialise(
         seeded.mapInArrow(_windows_of(window, seed_words), "doc_id long, a long, b long"), "phrase-windows"
     )
@@ -204,11 +205,12 @@ def dedup_substrings(docs: DataFrame, window: int = 13, seed_words: int = 7, sha
     hits = materialise(
         windows.join(confirmed, ["a", "b"])
         .filter("low < doc_id")
-        .groupBy(F.col("doc_id").alias("__sd_doc"))
+        .groupBy("doc_id")
         .agg(F.collect_list(F.struct("a", "low")).alias("__sd_hits")),
         "phrase-hits",
     )
-    ready = with_units(docs.select(*names).join(hits, F.col("doc_id") == F.col("__sd_doc"), "left").drop("__sd_doc"))
+    known = hits.join(copies, "doc_id", "full").select(F.col("doc_id").alias("__sd_doc"), "__sd_hits", "__sd_copies")
+    ready = docs.select(*names).join(known, F.col("doc_id") == F.col("__sd_doc"), "left").select(*names, "__sd_hits", unit.alias("__sd_unit"))
     fields = [docs.schema[c] for c in names]
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return ready.mapInArrow(_locate(names, window, shard_bytes), schema)
