@@ -4,15 +4,16 @@ Method.  Texts become tokens: lower case, letters and digits only, split at spac
 some positions of a stretch of tokens; the hashes of the positions it keeps are made at every place of the test items and
 of the documents, and joined.  A hit fixes an item and an alignment (document position minus item position), which is
 then verified: along it, some ``window`` consecutive tokens must agree in all but ``substitutions`` places (both in
-proportion for items shorter than the window).  The two masks find every such stretch: each way of placing 2
-substitutions in 13 tokens leaves one of them whole somewhere.  DataFrame functions only.
+proportion for items of 10 to 12 tokens; items of 8 or 9 tokens must agree in all).  The two masks find every such
+stretch: each way of placing 2 substitutions in 13 tokens, or 1 in 10 to 12, leaves one of them whole somewhere.
+DataFrame functions only.
 
 Scale: test items are the small side.  Their seeds are counted first and broadcast up to ``broadcast_rows``; above that the
 same join runs as a shuffled equi-join that adaptive execution can split.  In the broadcast form documents are streamed
 once without a shuffle, and only hits leave a task.  Texts are read a second time for documents with hits, joined on
 doc_id.  A passage held by a third of all documents costs each of them its own rows only.
 
-Defined cases: null or empty texts have no tokens and no hits; items with fewer tokens than the longer mask (9) cannot be
+Defined cases: null or empty texts have no tokens and no hits; items with fewer tokens than the shorter mask (8) cannot be
 searched and are never reported; rows with a null doc_id or item_id are not searched; rows that share a doc_id are one
 document, reported if any of its texts holds the item; a document is reported once per item; extra columns are ignored
 by ``contaminated`` and passed through by ``remove_contaminated``, which keeps rows with a null doc_id.
@@ -99,7 +100,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BR
     judged = aligned.select("doc_id", "item_id", agree.alias("agree"), window.alias("window")).select(
         "doc_id", "item_id", "window", _best_window(F.col("agree"), F.col("window")).alias("n_agree")
     )
-    allowed = F.floor(F.col("window") * SUBSTITUTIONS / WINDOW)
+    allowed = F.when(F.col("window") >= 10, F.floor(F.col("window") * SUBSTITUTIONS / WINDOW)).otherwise(0)
     return (
         judged.filter(F.col("n_agree") >= F.col("window") - allowed)
         .groupBy("doc_id", "item_id")

@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
 Method.  A candidate block is a run of lines with license wording (cue words, gaps of one line allowed).  It is compressed
-by zstandard alone and once per template, with the template as raw-content dictionary; templates are ranked by how much
+by zstandard alone and once per template (both in lower case), with the template as raw-content dictionary; templates are ranked by how much
 smaller the block gets.  Winners are confirmed by exact wording differences: the words of block and template are aligned
 by their longest common subsequence, and the template is confirmed if nearly all of its words are there and no marker word
 (a word that tells templates apart: names, versions, clauses) is missing or added inside the matched stretch.  The
@@ -120,14 +120,14 @@ class Scanner:
         self.primed = [
             zstandard.ZstdCompressor(
                 level=9, write_content_size=False,
-                dict_data=zstandard.ZstdCompressionDict(t[1].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                dict_data=zstandard.ZstdCompressionDict(t[1].lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
             )
             for t in templates
         ]
 
     def rank(self, block: str) -> list[tuple[float, int]]:
         """(share of the compressed size saved, template) in falling order."""
-        raw = block.encode()
+        raw = block.lower().encode()
         alone = len(self.plain.compress(raw))
         gains = [(1 - len(c.compress(raw)) / alone, k) for k, c in enumerate(self.primed)]
         return sorted(gains, key=lambda g: (-g[0], g[1]))

@@ -105,7 +105,7 @@ ds AS (
   FROM a WINDOW p AS (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)
 )
 SELECT doc_id, item_id, max(n_agree)::BIGINT AS n_agree, max(win)::BIGINT AS "window"
-FROM w WHERE n >= win AND n_agree >= win - floor(win * 2 / 13) GROUP BY doc_id, item_id
+FROM w WHERE n >= win AND n_agree >= win - CASE WHEN win >= 10 THEN floor(win * 2 / 13) ELSE 0 END GROUP BY doc_id, item_id
 """
 
 #: Without tool calls, which the generated conversations have none of.

@@ -119,7 +119,7 @@ def _sparse_rows(max_features: int):
     return run
 
 
-def _fit_arrays(rows: list[np.ndarray], grade: np.ndarray, n_grades: int, steps: int = 150, l2: float = 1e-4, rate: float = 0.3) -> Model:
+def _fit_arrays(rows: list[np.ndarray], grade: np.ndarray, n_grades: int, steps: int = 150, l2: float = 3e-4, rate: float = 0.3) -> Model:
     """Adam over the whole sample; rarer grades weigh more, by the root of how rare they are."""
     dims, last = (1 << BITS) + _SHAPES, n_grades - 1
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
