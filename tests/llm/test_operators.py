@@ -348,7 +348,8 @@ def test_decontamination(spark):
         for k, x in items.items():
             b = toks(x)
             w = min(13, len(b))
-            if len(b) >= 9 and any(sum(p == q for p, q in zip(d[s : s + w], b[o : o + w])) >= w - w * 2 // 13 for s in range(len(d) - w + 1) for o in range(len(b) - w + 1)):
+            allowed = w * 2 // 13 if w >= 10 else 0
+            if len(b) >= 8 and any(sum(p == q for p, q in zip(d[s : s + w], b[o : o + w])) >= w - allowed for s in range(len(d) - w + 1) for o in range(len(b) - w + 1)):
                 want.add((i, k))
     for limit in (10**6, 0):
         got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench, broadcast_rows=limit).collect()}
