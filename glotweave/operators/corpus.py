@@ -6,7 +6,6 @@ import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from glotweave.functions import text as X
 
@@ -64,15 +63,19 @@ def cleaning_report(lines: DataFrame, language: str, k: int = 20) -> DataFrame:
     return stats.crossJoin(F.broadcast(unique)).crossJoin(F.broadcast(tops))
 
 
-def merge_blocks(lines: DataFrame, n: int, *order: str) -> DataFrame:
+def merge_blocks(lines: DataFrame, n: int, major: str, minor: str, chunk: Column | None = None) -> DataFrame:
     """(block_id, tokens): every n consecutive non-blank lines of the whole stream, the last block shorter.
 
-    Lines are ordered and numbered in two distributed passes (range sort, then offsets from the counts of partitions).
+    Lines are in order of (major, minor).  ``chunk`` must rise with that order and cut the stream into pieces a task can
+    sort (by default each major value with 100,000 minor ones): lines are ranked within chunks, chunks by the counts of
+    those before them, so the one global window holds a row per chunk.
     """
-    clean = lines.select(*order, X.strip(F.col("line")).alias("line")).filter(F.col("line") != "")
-    schema = T.StructType([T.StructField("rn", T.LongType()), T.StructField("line", T.StringType())])
-    numbered = clean.orderBy(*order).select("line").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF(schema)
-    return block_tokens(numbered, n)
+    piece = chunk if chunk is not None else F.struct(F.col(major).alias("a"), F.floor(F.col(minor) / 100_000).alias("b"))
+    clean = lines.select(major, minor, piece.alias("chunk"), X.strip(F.col("line")).alias("line")).filter(F.col("line") != "")
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = clean.groupBy("chunk").agg(F.count("*").alias("n")).select("chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ranked = clean.withColumn("at", F.row_number().over(Window.partitionBy("chunk").orderBy(major, minor)) - 1)
+    return block_tokens(ranked.join(bases, "chunk").select((F.col("base") + F.col("at")).alias("rn"), "line"), n)
 
 
 def merge_blocks_within(lines: DataFrame, n: int, key: str, position: str) -> DataFrame:

@@ -114,7 +114,7 @@ def merge_sentences(spark, sf_dir):
 @query
 def merge_sentences_stream(spark, sf_dir):
     """Blocks of five non-blank lines over all documents as one stream."""
-    blocks = corpus.merge_blocks(lines(spark, sf_dir), 5, "doc_id", "line_no")
+    blocks = corpus.merge_blocks(lines(spark, sf_dir), 5, "doc_id", "line_no", F.floor(F.col("doc_id") / 1000))
     return blocks.select("block_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("line"))
 
 

@@ -26,11 +26,16 @@ def require(spark: SparkSession, path: str) -> None:
 
 
 def _text_in_order(spark: SparkSession, path: str) -> DataFrame:
-    """(line, line_no) of a file or folder: by file name, then by place; Spark may read the pieces in any order."""
+    """(line, line_no) of a file or folder: by file name, then by place; Spark may read the pieces in any order.
+
+    A row's place within its split comes from its monotonic id, the split's from the row counts of the splits before it,
+    so the only window is over one row per split.
+    """
     place = [F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")]
-    pieces = spark.read.text(path).select("value", *place).orderBy("p", "b", "m").select(F.col("value").alias("line"))
-    schema = T.StructType([T.StructField("line", T.StringType()), T.StructField("line_no", T.LongType())])
-    return pieces.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(schema)
+    raw = spark.read.text(path).select("value", *place)
+    before = Window.orderBy("p", "b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("p", "b").agg(F.min("m").alias("low"), F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return raw.join(splits, ["p", "b"]).select(F.col("value").alias("line"), (F.col("base") + F.col("m") - F.col("low")).alias("line_no"))
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -53,11 +58,11 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(pair_no, english, transliteration, dhivehi): a CSV without header; a first record whose english cell is
     ``english`` is one after all.  English is stripped and lower-cased, dhivehi stripped; blank lines are skipped."""
     require(spark, path)
-    raw = spark.read.schema(DICTIONARY).option("header", False).option("mode", "PERMISSIVE").csv(path)
-    rows = raw.filter(F.coalesce(*[F.col(c) for c in raw.columns]).isNotNull())
-    schema = T.StructType([*DICTIONARY.fields, T.StructField("pair_no", T.LongType(), False)])
-    numbered_rows = rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
-    return numbered_rows.filter(~((F.col("pair_no") == 0) & (F.lower(strip(F.col("english"))) == "english"))).select(
+    fields = F.from_csv("line", ", ".join(f"{f.name} string" for f in DICTIONARY), {"mode": "PERMISSIVE"})
+    lines = _text_in_order(spark, path).filter(strip(F.col("line")) != "")
+    # a dictionary is small: its rows are numbered by one window
+    rows = lines.select((F.row_number().over(Window.orderBy("line_no")) - 1).cast("long").alias("pair_no"), fields.alias("f")).select("pair_no", "f.*")
+    return rows.filter(~((F.col("pair_no") == 0) & (F.lower(strip(F.col("english"))) == "english"))).select(
         "pair_no", F.lower(strip(F.col("english"))).alias("english"), "transliteration", strip(F.col("dhivehi")).alias("dhivehi")
     )
 
