@@ -10,8 +10,10 @@ Classes are the connected components of the verified links.
 Big buckets never emit all their pairs.  Every bucket is first linked to one hub, the member that shares the most bucket
 places over all bands (for copies of one text that is the text they stem from); that is one pair per member.  Only where
 the links found so far leave a bucket in several components are the members of different components compared, exactly,
-in tiles of bounded size that are dealt over tasks; a tile compares signatures as matrices and emits only pairs that pass
-the sketch.  So no link between bucket members is lost, and a group of copies costs time in proportion to its size.
+in tiles of bounded size that are dealt over tasks.  A tile compares signatures as matrices and emits only pairs that pass
+the sketch and an exact bound: shingles that no other such member holds cannot be shared, so two members with s and t
+other shingles share at most min(s, t), which rules out most pairs of edited copies (their edits are their own).  So no
+link between bucket members is lost, and a group of copies emits pairs in proportion to its size.
 
 Scale: rows between stages are band hashes, signatures of 384 bytes, or pairs of ids.  Texts are shuffled for the exact
 check of pairs that passed the sketch.  Joins on hubs and on hot texts are equi-joins that adaptive execution can split.
@@ -106,13 +108,22 @@ def _verify(similarity_num: int, similarity_den: int):
     return run
 
 
-def _tiles(floor: int):
+def _list_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch, max_bytes=4 * PIECE_BYTES):
+            text, value, _ = shingles(Words(part.column("text")))
+            size = np.bincount(text, minlength=part.num_rows)[text]
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(text)), signed(value), pa.array(size)], ["id", "shingle", "size"])
+
+
+def _tiles(floor: int, num: int, den: int):
     """Over rows sorted by tile: pairs of members of different components whose signatures agree enough."""
 
     def compare(group: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, part = np.asarray(group.column("id")), np.asarray(group.column("part"))
         block = np.asarray(group.column("block"))
         sig = np.asarray(group.column("sig").flatten()).reshape(len(ids), -1)
+        size, most = np.asarray(group.column("size")), np.asarray(group.column("most"))
         across = int(block.max()) != int(block.min())
         us, vs = [], []
         for start in range(0, len(ids), 64):
@@ -121,6 +132,7 @@ def _tiles(floor: int):
             for k in range(sig.shape[1]):
                 same += sig[rows, k][:, None] == sig[:, k][None, :]
             good = (same >= floor) & (part[rows][:, None] != part[None, :]) & (ids[rows][:, None] < ids[None, :])
+            good &= np.minimum(most[rows][:, None], most[None, :]) * (num + den) >= num * (size[rows][:, None] + size[None, :])
             if across:
                 good &= block[rows][:, None] != block[None, :]
             i, j = np.nonzero(good)
@@ -199,20 +211,29 @@ def near_classes(docs: DataFrame, num: int = 4, den: int = 5, sketch_floor: floa
         .select("band", "id", "n", F.coalesce("component", "id").alias("part"))
     )
     mixed = split.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("band")
+    apart = materialise(split.join(mixed, "band"), "near-apart")
+    apart_ids = apart.select("id").distinct()
+    held = texts.withColumnRenamed("doc_id", "id").join(apart_ids, "id", "left_semi").mapInArrow(_list_shingles, "id long, shingle long, size long")
+    owned = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("size").alias("size"))
+    # (id, size, most): shingles, and how many of them another of these members holds too; all shared if none is owned
+    bounds = (
+        held.groupBy("id").agg(F.min("size").alias("size"))
+        .join(owned.filter("n = 1").groupBy("id").agg(F.count("*").alias("own")), "id", "left")
+        .select("id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("most"))
+        .filter(F.col("most") * den >= F.col("size") * num)
+    )
     n_blocks = F.ceil(F.col("n") / TILE)
     tiled = (
-        split.join(mixed, "band")
+        apart.join(materialise(bounds, "near-bounds"), "id")
         .withColumn("block", F.pmod(F.xxhash64("id", F.lit("tile")), n_blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-        .select("band", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "id", "part")
+        .select("band", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "id", "part", "size", "most")
         .join(sigs, "id")
         .repartition("band", "ti", "tj")
         .sortWithinPartitions("band", "ti", "tj")
     )
-    rest = materialise(
-        tiled.select("band", "ti", "tj", "block", "id", "part", "sig").mapInArrow(_tiles(floor), "u long, v long").distinct().join(likely, ["u", "v"], "left_anti"),
-        "near-rest",
-    )
+    found = tiled.select("band", "ti", "tj", "block", "id", "part", "size", "most", "sig").mapInArrow(_tiles(floor, num, den), "u long, v long")
+    rest = materialise(found.distinct().join(likely, ["u", "v"], "left_anti"), "near-rest")
     if rest.take(1):
         parts = connected_components(links.union(verified(rest, "near-links-rest")))
     out = (
