@@ -9,11 +9,12 @@ Classes are the connected components of the verified links.
 
 Big buckets never emit all their pairs.  Every bucket is first linked to one hub, the member that shares the most bucket
 places over all bands (for copies of one text that is the text they stem from); that is one pair per member.  Only where
-the links found so far leave a bucket in several components are the members of different components compared, exactly,
-in tiles of bounded size that are dealt over tasks.  A tile compares signatures as matrices and emits only pairs that pass
-the sketch and an exact bound: shingles that no other such member holds cannot be shared, so two members with s and t
-other shingles share at most min(s, t), which rules out most pairs of edited copies (their edits are their own).  So no
-link between bucket members is lost, and a group of copies emits pairs in proportion to its size.
+the links found so far leave a bucket in several components are the members of different components compared, in tiles
+of bounded size that are dealt over tasks.  A tile compares signatures as matrices, takes each pair in the first band that
+it shares, and drops pairs by the sketch and by an exact bound: shingles that no other such member holds cannot be shared,
+so two members with s and t other shingles share at most min(s, t).  What is left is verified there and then, and only
+links that join two components are emitted.  So no link that matters for the classes is lost, nothing is emitted in
+proportion to pairs, and a group of copies gives rows in proportion to its size.
 
 Scale: rows between stages are band hashes, signatures of 384 bytes, or pairs of ids.  Texts are shuffled for the exact
 check of pairs that passed the sketch.  Joins on hubs and on hot texts are equi-joins that adaptive execution can split.
@@ -42,7 +43,7 @@ from glotweave.llm.wordhash import Words, gram_hashes, mix, window_starts
 SHINGLE = 5
 BANDS = 24
 ROWS = 4
-TILE = 256
+TILE = 512
 
 
 def shingles(found: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,33 +113,61 @@ def _list_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for part in pieces(batch, max_bytes=4 * PIECE_BYTES):
             text, value, _ = shingles(Words(part.column("text")))
-            size = np.bincount(text, minlength=part.num_rows)[text]
-            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(text)), signed(value), pa.array(size)], ["id", "shingle", "size"])
+            cuts = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), signed(value))
+            yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "held"])
 
 
 def _tiles(floor: int, num: int, den: int):
-    """Over rows sorted by tile: pairs of members of different components whose signatures agree enough."""
+    """Over rows sorted by tile: verified links that connect members of different components."""
 
-    def compare(group: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids, part = np.asarray(group.column("id")), np.asarray(group.column("part"))
-        block = np.asarray(group.column("block"))
-        sig = np.asarray(group.column("sig").flatten()).reshape(len(ids), -1)
+    def compare(group: pa.RecordBatch) -> pa.RecordBatch:
+        ids, block = np.asarray(group.column("id")), np.asarray(group.column("block"))
         size, most = np.asarray(group.column("size")), np.asarray(group.column("most"))
+        sig = np.asarray(group.column("sig").flatten()).reshape(len(ids), -1)
+        lists = group.column("held")
+        held, cuts = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(lists)))])
+        parts, part = np.unique(np.asarray(group.column("part")), return_inverse=True)
+        place = int(group.column("place")[0].as_py())
         across = int(block.max()) != int(block.min())
+        root = list(range(len(parts)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
         us, vs = [], []
         for start in range(0, len(ids), 64):
             rows = slice(start, start + 64)
             same = np.zeros((len(ids[rows]), len(ids)), dtype=np.int16)
+            seen = np.zeros(same.shape, dtype=bool)  # agree in an earlier band, whose tile has this pair
+            whole = seen
             for k in range(sig.shape[1]):
-                same += sig[rows, k][:, None] == sig[:, k][None, :]
-            good = (same >= floor) & (part[rows][:, None] != part[None, :]) & (ids[rows][:, None] < ids[None, :])
+                equal = sig[rows, k][:, None] == sig[:, k][None, :]
+                same += equal
+                if k < place * ROWS:
+                    whole = equal if k % ROWS == 0 else whole & equal
+                    if k % ROWS == ROWS - 1:
+                        seen |= whole
+            good = (same >= floor) & ~seen & (part[rows][:, None] != part[None, :]) & (ids[rows][:, None] < ids[None, :])
             good &= np.minimum(most[rows][:, None], most[None, :]) * (num + den) >= num * (size[rows][:, None] + size[None, :])
             if across:
                 good &= block[rows][:, None] != block[None, :]
             i, j = np.nonzero(good)
-            us.append(ids[rows][i])
-            vs.append(ids[j])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            order = np.argsort(-same[i, j], kind="stable")
+            for x, y in zip((i[order] + start).tolist(), j[order].tolist()):
+                p, q = find(part[x]), find(part[y])
+                if p == q:
+                    continue
+                m, n = cuts[x + 1] - cuts[x], cuts[y + 1] - cuts[y]
+                both = len(np.intersect1d(held[cuts[x] : cuts[x + 1]], held[cuts[y] : cuts[y + 1]], assume_unique=True))
+                if both * den >= num * (m + n - both):
+                    root[p] = q
+                    us.append(ids[x])
+                    vs.append(ids[y])
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -179,9 +208,9 @@ def near_classes(docs: DataFrame, num: int = 4, den: int = 5, sketch_floor: floa
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[F.get(F.col("sig"), b * ROWS + k) for k in range(ROWS)])
     )
-    placed = sigs.select("id", F.explode(bands).alias("band"))
+    placed = sigs.select("id", F.posexplode(bands).alias("place", "band"))
     shared = placed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    places = materialise(placed.join(shared, "band").select("band", "id", "n"), "near-places")
+    places = materialise(placed.join(shared, "band").select("band", "place", "id", "n"), "near-places")
     fame = places.groupBy("id").agg(F.sum("n").alias("fame"))
     hubs = (
         places.join(fame, "id").groupBy("band").agg(F.max(F.struct("fame", (-F.col("id")).alias("less"))).alias("top"))
@@ -206,36 +235,37 @@ def near_classes(docs: DataFrame, num: int = 4, den: int = 5, sketch_floor: floa
 
     # what the hubs left apart
     split = (
-        places.join(hubs, "band").filter("id <> hub and n > 2").select("band", "id", "n")
+        places.join(hubs, "band").filter("id <> hub and n > 2").select("band", "place", "id", "n")
         .join(parts.withColumnRenamed("node", "id"), "id", "left")
-        .select("band", "id", "n", F.coalesce("component", "id").alias("part"))
+        .select("band", "place", "id", "n", F.coalesce("component", "id").alias("part"))
     )
     mixed = split.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("band")
     apart = materialise(split.join(mixed, "band"), "near-apart")
     apart_ids = apart.select("id").distinct()
-    held = texts.withColumnRenamed("doc_id", "id").join(apart_ids, "id", "left_semi").mapInArrow(_list_shingles, "id long, shingle long, size long")
-    owned = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("size").alias("size"))
-    # (id, size, most): shingles, and how many of them another of these members holds too; all shared if none is owned
-    bounds = (
-        held.groupBy("id").agg(F.min("size").alias("size"))
-        .join(owned.filter("n = 1").groupBy("id").agg(F.count("*").alias("own")), "id", "left")
-        .select("id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("most"))
+    held = materialise(
+        texts.withColumnRenamed("doc_id", "id").join(apart_ids, "id", "left_semi").mapInArrow(_list_shingles, "id long, held array<long>"),
+        "near-shingles",
+    )
+    owned = held.select("id", F.explode("held").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    # members with their shingles, and how many of those another of these members holds too
+    members = (
+        held.join(owned.filter("n = 1").groupBy("id").agg(F.count("*").alias("own")), "id", "left")
+        .select("id", "held", F.size("held").alias("size"), (F.size("held") - F.coalesce("own", F.lit(0))).alias("most"))
         .filter(F.col("most") * den >= F.col("size") * num)
     )
     n_blocks = F.ceil(F.col("n") / TILE)
     tiled = (
-        apart.join(materialise(bounds, "near-bounds"), "id")
-        .withColumn("block", F.pmod(F.xxhash64("id", F.lit("tile")), n_blocks))
+        apart.withColumn("block", F.pmod(F.xxhash64("id", F.lit("tile")), n_blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-        .select("band", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "id", "part", "size", "most")
-        .join(sigs, "id")
+        .select("band", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "place", "id", "part")
+        .join(members.join(sigs, "id"), "id")
         .repartition("band", "ti", "tj")
         .sortWithinPartitions("band", "ti", "tj")
     )
-    found = tiled.select("band", "ti", "tj", "block", "id", "part", "size", "most", "sig").mapInArrow(_tiles(floor, num, den), "u long, v long")
-    rest = materialise(found.distinct().join(likely, ["u", "v"], "left_anti"), "near-rest")
+    columns = ["band", "ti", "tj", "block", "place", "id", "part", "size", "most", "held", "sig"]
+    rest = materialise(tiled.select(*columns).mapInArrow(_tiles(floor, num, den), "u long, v long"), "near-rest")
     if rest.take(1):
-        parts = connected_components(links.union(verified(rest, "near-links-rest")))
+        parts = connected_components(links.union(rest))
     out = (
         rows.select("doc_id", "key", F.col("text").isNull().alias("none"))
         .join(reps, "key", "left")
