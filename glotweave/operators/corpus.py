@@ -141,3 +141,8 @@ def not_in(words: DataFrame, excluded: DataFrame, column: str = "word") -> DataF
 def lines_of(df: DataFrame, column: Column, *keys: str) -> DataFrame:
     """(keys, line_no, line) of a text column split at line ends."""
     return df.select(*keys, F.posexplode(F.split(column, "\n")).alias("line_no", "line"))
+
+
+def first_words(space: DataFrame, n: int = 50) -> DataFrame:
+    """(idx, word) of the n most frequent words of a vector table, to look at."""
+    return space.filter(F.col("idx") < n).select("idx", "word").orderBy("idx")

@@ -137,6 +137,7 @@ ORACLE: dict[str, str] = {
     "romanise": f"WITH {_BENCH}, w AS (SELECT DISTINCT {_thaana('word')} AS thaana FROM b) SELECT thaana, {_roman('thaana', 'default')} AS romanised, {_roman('thaana', 'full')} AS romanised_full FROM w",
     "transliterate_lines": f"""WITH w AS (SELECT item_id, {_tokens('text')} AS ws FROM benchmark)
       SELECT item_id, array_to_string(list_transform(ws, lambda t, i: CASE WHEN i % 2 = 1 THEN {_roman(_thaana('lower(t)'), 'full')} ELSE lower(t) END), ' ') AS line FROM w""",
+    "diagnose_vocab": "SELECT vec_id::INT AS idx, 'w' || vec_id AS word FROM embeddings WHERE vec_id < 50",
     "norm_only": f"WITH {_SPACE}, u AS (SELECT idx, sqrt(list_inner_product(vec, vec)) AS n, {_UNIT} AS u FROM e) SELECT idx, {_round('n')} AS norm, {_round('u[1]')} AS first, {_round('list_sum(u)')} AS total FROM u",
     "center": f"""WITH {_SPACE}, u AS (SELECT idx, {_UNIT} AS u FROM e), m AS (SELECT avg(u[1]) AS a, avg(u[-1]) AS z FROM u)
       SELECT idx, {_round('u[1] - a')} AS first, {_round('u[-1] - z')} AS last FROM u, m""",

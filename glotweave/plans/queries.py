@@ -185,6 +185,11 @@ def transliterate_lines(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", X.transliterate_line(mixed).alias("line"))
 
 
+@query
+def diagnose_vocab(spark, sf_dir):
+    return corpus.first_words(whole(spark, sf_dir))
+
+
 @query
 def norm_only(spark, sf_dir):
     out = whole(spark, sf_dir).select("idx", unit(F.col("vec"), 1e-8).alias("u"), norm(F.col("vec")).alias("n"))
