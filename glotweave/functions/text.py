@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 #: White space as Python's str.split sees it.
 WS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 ZERO_WIDTH = "‌‍"
-_ASCII = "^[\\x00-\\x7F]*$"
+#: Texts of these characters are in NFKC already: none changes alone, and none combines with another.
+_NORMAL = "^[\\x00-\\x7F\\u00A1\\u00AB\\u00BB\\u00BF-\\u00FF\\u0780-\\u07B1\\u2013\\u2014\\u2018\\u2019\\u201C\\u201D]*\\z"
 
 # Classical Thaana letters and the modern letters that replace them, in pairs.
 THAANA_CLASSICAL = "ޤޢޙޛޜޡޣޠޞޝޘ"
@@ -49,10 +50,10 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def nfkc(c: Column, assume_normal: bool = False) -> Column:
-    """Zero-width joiners are removed, then NFKC.  ASCII text never reaches the Python function; ``assume_normal`` skips it
-    for text known to be normal already."""
+    """Zero-width joiners are removed, then NFKC.  Text of characters that are normal already (ASCII, Western European
+    letters, Thaana) never reaches the Python function; ``assume_normal`` leaves it out of the plan."""
     bare = F.translate(c, ZERO_WIDTH, "")
-    return bare if assume_normal else F.when(bare.rlike(_ASCII), bare).otherwise(_nfkc(F.when(~bare.rlike(_ASCII), bare)))
+    return bare if assume_normal else F.when(bare.rlike(_NORMAL), bare).otherwise(_nfkc(F.when(~bare.rlike(_NORMAL), bare)))
 
 
 def strip(c: Column) -> Column:
