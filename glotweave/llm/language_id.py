@@ -91,12 +91,12 @@ def features(texts: pa.Array, dims: int = DIMS) -> np.ndarray:
     return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-9)
 
 
-def _train_bits(x: np.ndarray, signs: np.ndarray, epochs: int = 60, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression of every bit at once by Adam on the full sample; weights, biases and training accuracies."""
+def _train_bits(x: np.ndarray, signs: np.ndarray, steps: int = 80, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic regression of every bit at once by Adam over the whole sample; weights, biases and training accuracies."""
     n, d = x.shape
     w, b = np.zeros((d, signs.shape[1]), dtype=np.float32), np.zeros(signs.shape[1], dtype=np.float32)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
-    for t in range(1, epochs * 4 + 1):
+    for t in range(1, steps + 1):
         z = x @ w + b
         g = -signs / (1 + np.exp(np.clip(signs * z, -30, 30))) / n
         gw, gb = x.T @ g + l2 * w, g.sum(axis=0)
@@ -124,13 +124,17 @@ def _featurise(dims: int):
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, dims: int = DIMS) -> Model:
     """Learn from text and lang of at most ``sample_rows`` rows; rows with a null text or lang are left out."""
     usable = labelled.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    seen = sorted(r["lang"] for r in usable.groupBy("lang").count().collect())
+    seen = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not seen:
         return Model((), codewords(0), np.zeros((dims, 0), np.float32), np.zeros(0), np.zeros(0))
     each = max(1, sample_rows // len(seen))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("language sample")), "doc_id")
+    # first a share of each language by hash, twice what is needed, so that the ranking sees a bounded number of rows
+    pick = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 40))
+    bounds = F.create_map(*[F.lit(x) for lang, n in seen.items() for x in (lang, int(min(1.0, 2 * each / n) * (1 << 40)))])
+    order = Window.partitionBy("lang").orderBy("pick", "doc_id")
     chosen = (
-        usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each)
+        usable.select("doc_id", "lang", pick.alias("pick")).filter(F.col("pick") < F.element_at(bounds, F.col("lang")))
+        .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each)
         .select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
     )
     sample = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("lang", "text")
