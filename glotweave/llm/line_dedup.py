@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glotweave.llm.columns import SPACES, wide_hash
+from glotweave.llm.storage import materialise
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -45,13 +46,15 @@ def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     lines = keyed.filter(F.char_length("__ld_line") >= min_chars).select(
         "doc_id", "__ld_row", "__ld_at", wide_hash(F.col("__ld_line")).alias("__ld_key")
     )
-    common = (
+    # written first: a join that shares the aggregate's exchange could not be split at a hot key
+    common = materialise(
         lines.groupBy("__ld_key", "doc_id")
         .agg(F.lit(1).alias("__ld_one"))
         .groupBy("__ld_key")
         .agg(F.count("*").alias("__ld_docs"), F.max("doc_id").alias("__ld_keeper"))
         .filter(F.col("__ld_docs") >= min_docs)
-        .select("__ld_key", "__ld_keeper")
+        .select("__ld_key", "__ld_keeper"),
+        "line-common",
     )
     return (
         lines.join(common, "__ld_key")
