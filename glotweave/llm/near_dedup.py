@@ -1,9 +1,9 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
-Method.  Identical texts are one vertex, named by the smallest doc_id.  A vertex's 5-word shingles, weighted by
-1 + ln(occurrences), give a ProbMinHash signature (probminhash.py); its registers are cut into bands, and vertices that
-agree in a band are candidates.  With 24 bands of 4 registers a pair at similarity 0.8 shares no band with probability
-3e-6.  Candidates whose signatures agree in fewer than ``sketch_floor`` of the registers (5 standard deviations below
+Method.  Identical texts are one vertex, named by the smallest doc_id.  A vertex's distinct 5-word shingles, all of weight
+1, give a ProbMinHash signature (probminhash.py), so that registers agree with the probability that is judged, the Jaccard
+similarity of the sets; its registers are cut into bands, and vertices that agree in a band are candidates.  With 24 bands
+of 4 registers a pair at similarity 0.8 shares no band with probability 3e-6.  Candidates whose signatures agree in fewer than ``sketch_floor`` of the registers (5 standard deviations below
 0.8) are dropped, the others are verified exactly: Jaccard similarity of the sets of distinct shingles, 0.8 or more.
 Classes are the connected components of the verified links.
 
@@ -71,11 +71,11 @@ def _sign(m: int):
         for batch in batches:
             for part in pieces(batch):
                 found = Words(part.column("text"))
-                text, value, n = shingles(found)
+                text, value, _ = shingles(found)
                 some = np.flatnonzero(found.counts() > 0)
                 if not len(some):
                     continue
-                rows = signatures(value, 1.0 + np.log(n), text, part.num_rows, m)[some]
+                rows = signatures(value, np.ones(len(value)), text, part.num_rows, m)[some]
                 low = (mix(rows) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 flat = pa.array(low.ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, m, dtype=np.int32)), flat)

@@ -488,3 +488,22 @@ def test_chains_and_edited_copies_lose_no_link(spark, monkeypatch):
     want = classes_by_brute_force(rows)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and len(set(want.values())) > 1
+
+
+def test_near_copies_that_repeat_passages_on_one_side(spark):
+    rng = random.Random(11)
+
+    def grams(ws):
+        return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+
+    rows = []
+    for k in range(40):
+        base = [f"p{k}q{i}" for i in range(400)]
+        copy = base[:-40] + [f"r{k}q{i}" for i in range(40)]
+        times = rng.randrange(10, 51)
+        copy = copy[:100] + copy[100:220] * times + copy[220:]
+        a, b = grams(base), grams(copy)
+        assert 0.8 <= len(a & b) / len(a | b) < 0.83
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
