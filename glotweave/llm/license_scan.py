@@ -7,18 +7,24 @@ by their longest common subsequence, and the template is confirmed if nearly all
 (a word that tells templates apart: names, versions, clauses) is missing or added inside the matched stretch.  The
 best-ranked template that is confirmed names the license.
 
+A notice inside longer lines saves too little of its block to be ranked.  So notices are also sought in the words of the
+whole text, without regard to lines: around every place of a template's rarest marker word (which a confirmed notice must
+hold) the best local alignment through that word is confirmed by the same differences, and its reduction is that of the
+stretch.  Where stretches overlap, the one with most words counts.  A block gives one row per license confirmed in it.
+
 Scale: one narrow pass without a shuffle; Spark keeps only documents with a cue, in the JVM, before texts go to Python.
 Templates are a fixed list, compressors are built once per task.
 
 Defined cases: null and empty texts have no blocks.  A block that no template explains is reported with license null and
-confirmed false.  Ties in rank go to the template listed first.  Rows are scanned one by one, so null or repeated doc_ids
+confirmed false.  Lines of a block are widened to those of its notice.  Ties in rank go to the template listed first.  Rows are scanned one by one, so null or repeated doc_ids
 are reported as they stand; extra columns are ignored.  Blocks longer than ``max_block_chars`` are cut into consecutive
-blocks, none of which is left out.
+blocks, none of which is left out; a notice across a cut is in the first of them.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -52,22 +58,32 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
 )
-CUES = r"(?i)licen[sc]|copyright|permission is hereby|public domain|warrant(y|ies)|creative commons|spdx|redistribution"
+CUES = r"(?i)licen[sc]|copyright|permission\s+is\s+hereby|public\s+domain|warrant(y|ies)|creative\s+commons|spdx|redistribution"
 _CUE = re.compile(CUES)
 _WORD = re.compile(r"\w+(?:\.\w+)*")
 MAX_BLOCK_CHARS = 8_000
 MIN_REDUCTION = 0.15
 MIN_PRESENT = 0.9
+MATCH = 8  # a matched word is worth this many added ones in a local alignment
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def line_starts(lines: list[str]) -> list[int]:
+    out, at = [], 0
+    for line in lines:
+        out.append(at)
+        at += len(line) + 1
+    return out
+
+
 def blocks(text: str, max_chars: int = MAX_BLOCK_CHARS) -> Iterator[tuple[int, int, str]]:
     """(first line, last line, text) of every run of cue lines."""
     lines = text.split("\n")
-    marked = [i for i, line in enumerate(lines) if _CUE.search(line)]
+    starts = line_starts(lines)
+    marked = sorted({i for m in _CUE.finditer(text) for i in range(bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1))})
     runs: list[list[int]] = []
     for i in marked:
         if runs and i - runs[-1][1] <= 2:
@@ -107,6 +123,49 @@ def alignment(block: list[str], template: list[str]) -> tuple[list[str], list[st
     return missing, [block[k] for k in range(matched_i[0], matched_i[-1]) if k not in taken]
 
 
+def _paths(block: list[str], template: list[str]) -> dict[int, tuple[int, tuple]]:
+    """By place in the template: score and matches (linked, last first) of the best local alignment that ends with the last
+    word of ``block`` there."""
+    m = len(template)
+    above: list[tuple] = [(0, None)] * (m + 1)  # best so far, less the words added since
+    ends = {}
+    for i, word in enumerate(block):
+        row: list[tuple] = [(0, None)] * (m + 1)
+        for j in range(m):
+            far = (above[j + 1][0] - 1, above[j + 1][1])
+            best = row[j] if row[j][0] >= far[0] else far
+            if word == template[j]:
+                before, path = above[j]
+                one = (MATCH + before, ((i, j), path)) if before > 0 else (MATCH, ((i, j), None))
+                if i == len(block) - 1:
+                    ends[j] = one
+                if one[0] > best[0]:
+                    best = one
+            row[j + 1] = best if best[0] > 0 else (0, None)
+        above = row
+    return ends
+
+
+def _unlink(path: tuple | None) -> list[tuple[int, int]]:
+    out = []
+    while path is not None:
+        out.append(path[0])
+        path = path[1]
+    return out
+
+
+def alignment_at(block: list[str], at: int, template: list[str]) -> list[tuple[int, int]]:
+    """(word of block, word of template) matched by the best local alignment through ``block[at]``."""
+    reach = len(template) + max(4, len(template) // 2)
+    first = max(0, at - reach)
+    left = _paths(block[first : at + 1], template)
+    right = _paths(block[at : at + reach + 1][::-1], template[::-1])
+    m, last = len(template), min(len(block), at + reach + 1) - 1
+    j = max(left, key=lambda j: (left[j][0] + right[m - 1 - j][0], -j))
+    before = [(first + i, k) for i, k in reversed(_unlink(left[j][1]))]
+    return before + [(last - i, m - 1 - k) for i, k in _unlink(right[m - 1 - j][1])[1:]]
+
+
 class Scanner:
     """Templates with their compressors and marker words."""
 
@@ -133,11 +192,74 @@ class Scanner:
         return sorted(gains, key=lambda g: (-g[0], g[1]))
 
     def confirm(self, block: list[str], k: int) -> tuple[bool, int, int]:
-        missing, extra = alignment(block, self.words[k])
+        return self._judge(*alignment(block, self.words[k]), k)
+
+    def _judge(self, missing: list[str], extra: list[str], k: int) -> tuple[bool, int, int]:
         present = 1 - len(missing) / max(1, len(self.words[k]))
         told = self.markers.intersection(missing) or self.markers.intersection(extra)
         return present >= MIN_PRESENT and not told, len(missing), len(extra)
 
+    def notices(self, text: str) -> list[tuple[int, int, str, float, int, int]]:
+        """(start, end, license, reduction, missing, extra) of confirmed stretches anywhere in the text, none overlapping."""
+        spans = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(text)]
+        own = [w for _, _, w in spans]
+        known = {w for ws in self.words for w in ws}
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(own):
+            if w in known:
+                places.setdefault(w, []).append(i)
+        found = []
+        for k, template in enumerate(self.words):
+            rarest = sorted(set(template), key=lambda w: (len(places.get(w, ())), w))
+            markers = [w for w in rarest if w in self.markers]
+            anchors = markers[:1] or rarest[: int(len(template) * (1 - MIN_PRESENT)) + 1]
+            if any(w not in places for w in markers):
+                continue
+            done = -1
+            for at in sorted(i for w in anchors for i in places.get(w, ())):
+                if at <= done:
+                    continue
+                pairs = alignment_at(own, at, template)
+                a, b = pairs[0][0], pairs[-1][0]
+                taken, held = {i for i, _ in pairs}, {j for _, j in pairs}
+                ok, missing, extra = self._judge(
+                    [w for j, w in enumerate(template) if j not in held], [own[i] for i in range(a, b) if i not in taken], k
+                )
+                if ok:
+                    done = b
+                    found.append((len(pairs), extra, k, a, b, missing))
+        out, used = [], set()
+        for _, extra, k, a, b, missing in sorted(found, key=lambda f: (-f[0], f[1], f[2], f[3])):
+            if used.isdisjoint(range(a, b + 1)):
+                used.update(range(a, b + 1))
+                raw = text[spans[a][0] : spans[b][1]].lower().encode()
+                gain = 1 - len(self.primed[k].compress(raw)) / len(self.plain.compress(raw))
+                out.append((spans[a][0], spans[b][1], self.names[k], gain, missing, extra))
+        return sorted(out)
+
+    def report(self, text: str) -> Iterator[tuple[int, int, str | None, float, int | None, int | None]]:
+        """First line, last line, license, reduction, missing and extra words: the rows of one text."""
+        starts = line_starts(text.split("\n"))
+        left = self.notices(text)
+        run, base = None, 0
+        for a, b, block in blocks(text):
+            if (a, b) != run:
+                run, base = (a, b), starts[a]
+            end = base + len(block)
+            here = [n for n in left if n[0] < end and n[1] > base]
+            left = [n for n in left if n not in here]
+            base = end
+            name, gain, missing, extra = self.scan(block)
+            told = {name}
+            if name is not None or not here:
+                yield a, b, name, gain, missing, extra
+            for start, stop, license, gain, missing, extra in here:
+                if license not in told:
+                    told.add(license)
+                    yield min(a, bisect_right(starts, start) - 1), max(b, bisect_right(starts, stop - 1) - 1), license, gain, missing, extra
+        for start, stop, license, gain, missing, extra in left:
+            yield bisect_right(starts, start) - 1, bisect_right(starts, stop - 1) - 1, license, gain, missing, extra
+
     def scan(self, block: str) -> tuple[str | None, float, int | None, int | None]:
         """License, reduction, missing and extra words of the best confirmed template; else license None and the best reduction."""
         ranked = self.rank(block)
@@ -158,8 +280,7 @@ def _scan(templates: tuple[tuple[str, str], ...]):
             for part in pieces(batch):
                 out: list[list] = [[] for _ in range(8)]
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    for first, last, block in blocks(text):
-                        name, gain, missing, extra = scanner.scan(block)
+                    for first, last, name, gain, missing, extra in scanner.report(text):
                         for column, value in zip(out, (doc_id, first, last, name, round(gain, 6), missing, extra, name is not None)):
                             column.append(value)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
@@ -172,7 +293,7 @@ _NAMES = ["doc_id", "first_line", "last_line", "license", "reduction", "n_missin
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """doc_id, first_line, last_line, license, reduction, n_missing, n_extra, confirmed: one row per candidate block."""
+    """doc_id, first_line, last_line, license, reduction, n_missing, n_extra, confirmed: one row per candidate block and license."""
     cued = docs.select("doc_id", "text").filter(F.col("text").rlike(CUES))
     return cued.mapInArrow(
         _scan(templates),

@@ -157,6 +157,28 @@ def test_every_template_finds_itself():
     assert "".join(b for _, _, b in license_scan.blocks(long, 1000)) == long
 
 
+def test_notices_inside_long_lines():
+    rng = random.Random(3)
+    scanner = license_scan.Scanner()
+
+    def rows(text):
+        return [(r[0], r[1], r[2]) for r in scanner.report(text)]
+
+    for name, notice in license_scan.TEMPLATES:
+        for n in (10, 40, 300, 1500):
+            assert {r for r in rows(f"{sentence(rng, n)} {notice} {sentence(rng, n)}") if r[2] or n < 1500} == {(0, 0, name)}
+        across = rows(sentence(rng, 4000)[: license_scan.MAX_BLOCK_CHARS - 10] + " " + notice + " " + sentence(rng, 1000))
+        assert across[0][2] == name and {r[2] for r in across[1:]} <= {name, None}
+        text = sentence(rng, 20) + "\n" + notice.replace(" ", "\n") + "\n" + sentence(rng, 20)
+        assert [r[2] for r in rows(text)].count(name) >= 1
+    mit, isc = "Released under the MIT License.", "Released under the ISC License."
+    assert rows(f"{mit} {isc}") == [(0, 0, "MIT"), (0, 0, "ISC")]
+    assert rows(f"{sentence(rng, 50)} {mit}\n{isc} {sentence(rng, 50)}") == [(0, 1, "MIT"), (0, 1, "ISC")]
+    assert rows(f"{sentence(rng, 50)} Licensed under CC BY-NC-SA 4.0. {sentence(rng, 50)}") == [(0, 0, None)]
+    assert rows("This Source Code Form is subject to the terms of\nthe Mozilla Public License, version 2.0.") == [(0, 1, "MPL-2.0")]
+    assert rows("Dedicated to the public\ndomain under CC0 1.0 Universal.") == [(0, 1, "CC0-1.0")]
+
+
 # 3 line dedup
 
 
