@@ -10,13 +10,16 @@ and ``arguments`` (an object, or its JSON text).  A result is a ``tool`` turn wh
 ``tool_call_id`` and ``content``.  Arguments refer to a result as ``{"$result": "<call id>"}``.  Any other text is a plain
 message.
 
-Scale: turns are grouped by (conversation, turn div ``part_turns``), so no task gathers more than that many turn numbers of
-one conversation; longer conversations come out as several parts, in order.  Results are joined to calls before grouping
-and travel to the part of their call.  The join is on (conversation, call id), narrow but for the result's content.
+Scale: turns are grouped by (conversation, turn div ``part_turns``); longer conversations come out as several parts, in
+order.  Parts bound only the rows that are assembled: results, repeated ids and references are joined on (conversation,
+call id) before, over whole conversations.  A result travels to the part of its call, a call that refers to later ones to
+the part of the latest it waits for.  Only calls and results are joined, messages go straight to their part.  The order of
+calls is found per conversation from the references alone (ids and turns).
 
 Defined cases: rows with a null conv_id or turn cannot be placed and are left out.  Rows alike in conversation, turn, role
 and text count once; other rows of one turn are ordered by role, then text.  A null role is written as "unknown", a null
-text as null.  Results without a call, and second results of one call (the earliest stays), are dropped and counted in
+text as null.  A part of which only dropped results are left has no messages.  A call that repeats an id has no result of its
+own.  Calls in a circle, and those that wait for them, come last in the part of their turn.  Results without a call, and second results of one call (the earliest stays), are dropped and counted in
 ``n_orphans``.  A call without a result, with invalid arguments, of an unknown tool, that repeats an id, or that refers in a
 circle or to nothing stays and carries ``errors``.  Extra columns are ignored; no rows give no rows.
 """
@@ -31,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glotweave.llm.storage import materialise
+
 PART_TURNS = 512
 _TYPES = {
     "string": lambda v: isinstance(v, str),
@@ -87,34 +92,100 @@ def _object(text: str | None) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
+def _arguments(args):
+    if isinstance(args, str):
+        args = _object(args) if _object(args) is not None else args
+    return {} if args is None else args
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind m (message), c (call: body is its name and arguments) or r (result: body is its content)."""
+    """kind m (message), c (call: body is its name and arguments, refs the ids it refers to) or r (result: body is its content)."""
     for batch in batches:
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(8)]
         for conv, turn, role, text in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")]):
             body = _object(text) if role in ("assistant", "tool") else None
             rows = []
             if role == "tool" and body and isinstance(body.get("tool_call_id"), str) and "content" in body:
-                rows.append(("r", 0, body["tool_call_id"], canonical(body["content"])))
+                rows.append(("r", 0, body["tool_call_id"], canonical(body["content"]), None))
             elif role == "assistant" and body and isinstance(body.get("tool_calls"), list) and body["tool_calls"] and all(
                 isinstance(c, dict) and isinstance(c.get("id"), str) and isinstance(c.get("name"), str) for c in body["tool_calls"]
             ):
                 if body.get("content") is not None:
-                    rows.append(("m", 0, None, canonical(body["content"])))
-                rows += [("c", k + 1, c["id"], canonical([c["name"], c.get("arguments")])) for k, c in enumerate(body["tool_calls"])]
+                    rows.append(("m", 0, None, canonical(body["content"]), None))
+                rows += [
+                    ("c", k + 1, c["id"], canonical([c["name"], c.get("arguments")]), sorted(references(_arguments(c.get("arguments")))))
+                    for k, c in enumerate(body["tool_calls"])
+                ]
             else:
-                rows.append(("m", 0, None, canonical(text)))
+                rows.append(("m", 0, None, canonical(text), None))
             for row in rows:
                 for column, value in zip(out, (conv, turn, "unknown" if role is None else role, *row)):
                     column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["conv_id", "turn", "role", "kind", "seq", "call_id", "body"])
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["conv_id", "turn", "role", "kind", "seq", "call_id", "body", "refs"])
+
+
+def _waits(edges: list[tuple[int, int, int | None, int | None]]) -> Iterator[tuple[int, int, bool, bool]]:
+    """(call, latest turn it waits for, in or behind a circle, refers to nothing) of one conversation's calls with references.
+
+    ``edges`` are (call, its turn, call referred to, its turn), the latter null if there is none.
+    """
+    turn, latest, needs, nothing = {}, {}, {}, set()
+    for call, at, other, other_at in edges:
+        turn[call] = at
+        needs.setdefault(call, set())
+        if other is None or other == call:
+            nothing.add(call)
+        else:
+            latest.setdefault(other, other_at)
+            needs[call].add(other)
+    latest.update(turn)
+    left = {call: len(others & needs.keys()) for call, others in needs.items()}
+    unblocks: dict[int, list[int]] = {}
+    for call, others in needs.items():
+        for other in others:
+            unblocks.setdefault(other, []).append(call)
+    ready = [call for call, n in left.items() if not n]
+    done = set()
+    while ready:
+        call = ready.pop()
+        done.add(call)
+        latest[call] = max([turn[call], *(latest[o] for o in needs[call])])
+        for other in unblocks.get(call, ()):
+            left[other] -= 1
+            if not left[other]:
+                ready.append(other)
+    for call in needs:
+        yield call, latest[call] if call in done else turn[call], call not in done, call in nothing
+
+
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_waits`` over rows sorted by conversation."""
+
+    def told(conv, edges):
+        columns = list(zip(*_waits(edges)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([conv] * len(columns[0]), pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(columns[3])],
+            ["conv_id", "node", "latest", "circular", "nothing"],
+        )
+
+    now, edges = None, []
+    for batch in batches:
+        for conv, *edge in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "node", "turn", "other", "other_turn")]):
+            if edges and conv != now:
+                yield told(now, edges)
+                edges = []
+            now = conv
+            edges.append(tuple(edge))
+    if edges:
+        yield told(now, edges)
 
 
 def assemble(events: list[dict], schemas: dict[str, dict]) -> tuple[list[dict], int, int]:
     """Ordered messages of one part, number of calls, number of calls with errors.
 
-    ``events`` are messages and calls in order of turn; a call has its result, if there is one.
+    ``events`` are messages and calls in order of turn; a call has its result, if there is one, and what is known of it from
+    the whole conversation: whether it is the first of its id, stands in or behind a circle, or refers to nothing.
     """
     nodes, first_of = [], {}
     for e in events:
@@ -123,32 +194,31 @@ def assemble(events: list[dict], schemas: dict[str, dict]) -> tuple[list[dict],
             continue
         name, args = json.loads(e["body"])
         errors = []
-        if isinstance(args, str):
-            args = _object(args) if _object(args) is not None else args
-        args = {} if args is None else args
+        args = _arguments(args)
         if name in schemas:
             errors += violations(args, schemas[name])
         else:
             errors.append(f"unknown tool {name}")
-        if e["call_id"] in first_of:
+        result = None
+        if not e["first"] or e["call_id"] in first_of:
             errors.append("repeated id")
         else:
             first_of[e["call_id"]] = len(nodes)
-        if e["result"] is None:
-            errors.append("no result")
+            result = e["result"]
+            if result is None:
+                errors.append("no result")
+        if e["nothing"]:
+            errors.append("reference to nothing")
         call = {"role": e["role"], "tool_call": {"id": e["call_id"], "name": name, "arguments": args}}
-        nodes.append({"call": call, "result": e["result"], "errors": errors, "needs": sorted(references(args))})
+        nodes.append({"call": call, "result": result, "errors": errors, "needs": sorted(references(args)), "circular": e["circular"]})
     waits: list[set[int]] = []
     for i, node in enumerate(nodes):
-        needs = {first_of[r] for r in node.get("needs", ()) if r in first_of} - {i}
-        if any(r not in first_of or first_of[r] == i for r in node.get("needs", ())):
-            node["errors"].append("reference to nothing")
-        waits.append(needs)
+        waits.append({first_of[r] for r in node.get("needs", ()) if r in first_of} - {i})
     unblocks: list[list[int]] = [[] for _ in nodes]
     for i, needs in enumerate(waits):
         for k in needs:
             unblocks[k].append(i)
-    ready = [i for i, needs in enumerate(waits) if not needs]
+    ready = [i for i, needs in enumerate(waits) if not needs and not nodes[i].get("circular")]
     heapq.heapify(ready)
     order = []
     while ready:
@@ -182,14 +252,17 @@ def _write(schemas: dict[str, dict]):
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                out: list[list] = [[] for _ in range(6)]
+                out: list[list] = [[] for _ in range(7)]
                 for conv, number, events in zip(*[part.column(c).to_pylist() for c in ("conv_id", "part", "events")]):
-                    messages, n_calls, n_bad = assemble(events, schemas)
+                    messages, n_calls, n_bad = assemble([e for e in events if e["kind"] != "o"], schemas)
+                    n_orphans = sum(int(e["body"]) for e in events if e["kind"] == "o")
                     line = canonical({"conv_id": conv, "part": number, "messages": messages})
-                    for column, value in zip(out, (conv, number, len(messages), n_calls, n_bad, line)):
+                    for column, value in zip(out, (conv, number, len(messages), n_calls, n_bad, n_orphans, line)):
                         column.append(value)
-                kinds = [pa.int64()] * 5 + [pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["conv_id", "part", "n_messages", "n_calls", "n_bad_calls", "chat"])
+                kinds = [pa.int64()] * 6 + [pa.string()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(out, kinds)], ["conv_id", "part", "n_messages", "n_calls", "n_bad_calls", "n_orphans", "chat"]
+                )
 
     return run
 
@@ -201,27 +274,63 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None, part_
         .filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
         .distinct()
     )
-    events = clean.mapInArrow(_parse, "conv_id long, turn long, role string, kind string, seq int, call_id string, body string")
+    events = clean.mapInArrow(_parse, "conv_id long, turn long, role string, kind string, seq int, call_id string, body string, refs array<string>")
+    tools = materialise(events.filter("kind <> 'm'").withColumn("node", F.xxhash64("turn", "seq", "call_id", "body")), "chat-tools")
     results = (
-        events.filter("kind = 'r'").groupBy("conv_id", "call_id")
-        .agg(F.min(F.struct("turn", "body")).alias("first"), F.count("*").alias("n"), F.min("turn").alias("result_turn"))
+        tools.filter("kind = 'r'").groupBy("conv_id", "call_id")
+        .agg(F.min(F.struct("turn", "body")).alias("found"), F.count("*").alias("n"))
+        .select("conv_id", "call_id", F.col("found.turn").alias("result_turn"), F.col("found.body").alias("result"), "n")
     )
-    calls = events.filter("kind <> 'r'")
-    part = F.floor(F.col("turn") / part_turns)
-    linked = calls.join(results.select("conv_id", "call_id", F.col("first.body").alias("result")), ["conv_id", "call_id"], "left")
-    grouped = linked.groupBy("conv_id", part.alias("part")).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("turn", "role", "seq", "body", "kind", "call_id", "result"))),
-            lambda e: F.struct(e["kind"].alias("kind"), e["role"].alias("role"), e["call_id"].alias("call_id"), e["body"].alias("body"), e["result"].alias("result")),
-        ).alias("events")
+    calls = tools.filter("kind = 'c'")
+    known = (
+        calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "seq", "body", "node")).alias("call"))
+        .select("conv_id", "call_id", F.col("call.node").alias("first_node"), F.col("call.turn").alias("first_turn"))
+    )
+    edges = (
+        calls.select("conv_id", "node", "turn", F.explode("refs").alias("call_id"))
+        .join(known, ["conv_id", "call_id"], "left")
+        .select("conv_id", "node", "turn", F.col("first_node").alias("other"), F.col("first_turn").alias("other_turn"))
+        .repartition("conv_id")
+        .sortWithinPartitions("conv_id")
+    )
+    waits = materialise(edges.mapInArrow(_resolve, "conv_id long, node long, latest long, circular boolean, nothing boolean"), "chat-waits")
+    linked = (
+        calls.join(results.select("conv_id", "call_id", "result"), ["conv_id", "call_id"], "left")
+        .join(known, ["conv_id", "call_id"])
+        .join(waits, ["conv_id", "node"], "left")
+        .withColumn("first", F.col("node") == F.col("first_node"))
+        .withColumn("at", F.coalesce("latest", "turn"))
     )
-    known = calls.filter("kind = 'c'").groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
     orphans = (
         results.join(known, ["conv_id", "call_id"], "left")
-        .groupBy("conv_id", F.floor(F.coalesce("call_turn", "result_turn") / part_turns).alias("part"))
-        .agg(F.sum(F.col("n") - F.when(F.col("call_turn").isNull(), 0).otherwise(1)).alias("n_orphans"))
+        .join(waits.select("conv_id", F.col("node").alias("first_node"), "latest"), ["conv_id", "first_node"], "left")
+        .select(
+            "conv_id", F.coalesce("latest", "first_turn", "result_turn").alias("at"),
+            (F.col("n") - F.when(F.col("first_node").isNull(), 0).otherwise(1)).alias("orphans"),
+        )
+        .filter("orphans > 0")
+    )
+    no, none = F.lit(False), F.lit(None).cast("string")
+    columns = ["conv_id", "at", "turn", "role", "seq", "body", "kind", "call_id", "result", "first", "circular", "nothing"]
+    rows = (
+        events.filter("kind = 'm'").select(
+            "conv_id", F.col("turn").alias("at"), "turn", "role", "seq", "body", "kind", "call_id", none.alias("result"),
+            no.alias("first"), no.alias("circular"), no.alias("nothing"),
+        )
+        .union(linked.withColumn("circular", F.coalesce("circular", no)).withColumn("nothing", F.coalesce("nothing", no)).select(*columns))
+        .union(
+            orphans.select(
+                "conv_id", "at", F.col("at").alias("turn"), none.alias("role"), F.lit(0).alias("seq"), F.col("orphans").cast("string").alias("body"),
+                F.lit("o").alias("kind"), none.alias("call_id"), none.alias("result"), no.alias("first"), no.alias("circular"), no.alias("nothing"),
+            )
+        )
+    )
+    grouped = rows.groupBy("conv_id", F.floor(F.col("at") / part_turns).alias("part")).agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct(*columns[2:]))),
+            lambda e: F.struct(*[e[c].alias(c) for c in ("kind", "role", "call_id", "body", "result", "first", "circular", "nothing")]),
+        ).alias("events")
     )
-    written = grouped.mapInArrow(_write(schemas or {}), "conv_id long, part long, n_messages long, n_calls long, n_bad_calls long, chat string")
-    return written.join(orphans, ["conv_id", "part"], "left").select(
-        "conv_id", "part", "n_messages", "n_calls", "n_bad_calls", F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"), "chat"
+    return grouped.mapInArrow(
+        _write(schemas or {}), "conv_id long, part long, n_messages long, n_calls long, n_bad_calls long, n_orphans long, chat string"
     )

@@ -452,6 +452,40 @@ def test_long_chats_come_in_parts(spark):
     assert [m["content"] for r in got for m in json.loads(r["chat"])["messages"]] == [f"m{i}" for i in range(25)] and len(got) == 3
 
 
+def test_links_across_parts(spark):
+    ref = lambda r: {"a": {"$result": r}}
+    call = lambda i, args: {"tool_calls": [{"id": i, "name": "add", "arguments": args}]}
+    rows = [turn(c, i, "user", f"m{i}") for c in (1, 2) for i in range(60)]
+    rows += [
+        turn(1, 1, "assistant", call("a", {"a": 1})), turn(1, 2, "tool", {"tool_call_id": "a", "content": 7}), turn(1, 25, "assistant", call("b", ref("a"))),
+        turn(1, 26, "tool", {"tool_call_id": "b", "content": 8}), turn(1, 3, "assistant", call("f", ref("b"))), turn(1, 4, "tool", {"tool_call_id": "f", "content": 9}),
+        turn(1, 35, "assistant", call("a", {"a": 2})), turn(1, 38, "assistant", call("g", ref("gone"))), turn(1, 39, "tool", {"tool_call_id": "g", "content": 0}),
+        turn(1, 45, "assistant", call("x", ref("y"))), turn(1, 46, "tool", {"tool_call_id": "x", "content": 1}),
+        turn(1, 55, "assistant", call("y", ref("x"))), turn(1, 56, "tool", {"tool_call_id": "y", "content": 1}),
+        turn(3, 5, "user", "hi"), turn(3, 25, "tool", {"tool_call_id": "lost", "content": 1}), turn(4, 0, "tool", {"tool_call_id": "lost", "content": 1}),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    def read(size):
+        got = chat_format.format_chats(df, SCHEMA, part_turns=size).orderBy("conv_id", "part").collect()
+        messages = [m for r in got if r["conv_id"] == 1 for m in json.loads(r["chat"])["messages"]]
+        return got, messages
+
+    got, cut = read(10)
+    _, whole = read(1000)
+    errors = [(m["tool_call"]["id"], m.get("errors", [])) for m in cut if "tool_call" in m]
+    assert sorted(errors) == sorted((m["tool_call"]["id"], m.get("errors", [])) for m in whole if "tool_call" in m)
+    assert errors == [
+        ("a", []), ("b", []), ("f", []), ("a", ["repeated id"]), ("g", ["reference to nothing"]), ("x", ["circular reference"]), ("y", ["circular reference"]),
+    ]
+    assert [m for m in cut if m.get("errors") != ["circular reference"] and m.get("tool_call_id") not in ("x", "y")] == [
+        m for m in whole if m.get("errors") != ["circular reference"] and m.get("tool_call_id") not in ("x", "y")
+    ]
+    assert [m["content"] for m in cut if m.get("tool_call_id") == "a"] == [7]
+    assert sum(r["n_bad_calls"] for r in got) == 4
+    assert [(r["conv_id"], r["part"], r["n_messages"], r["n_orphans"]) for r in got if r["conv_id"] > 2] == [(3, 0, 1, 0), (3, 2, 0, 1), (4, 0, 0, 1)]
+
+
 # 10 near-duplicates
 
 
