@@ -5,8 +5,9 @@ both sides on the dictionary, maps them orthogonally by an SVD, weights by singu
 self-learning the dictionary is induced anew from CSLS neighbours in both directions over the most frequent words, with
 entries dropped at random less and less, until the mean similarity stops rising.
 
-Neighbour search inside a round is over ``cutoff`` words per side (a bound of the method), on the driver's BLAS; the final
-mapping is applied to whole spaces by executors.
+Neighbour search inside a round is over ``cutoff`` words per side (a bound of the method), on the driver's BLAS.  Seed pairs
+are joined with the whole spaces, and only the sums of their products reach the driver; the final mapping is applied to
+whole spaces by executors.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glotweave.functions.vectors import as_double
-from glotweave.operators.algebra import covariance, map_vectors
+from glotweave.operators.algebra import _paired, covariance, map_vectors, outer_sums
 from glotweave.operators.knn import matrix, unit_rows
 
 MODES = ("supervised", "semi", "unsupervised")
@@ -35,9 +36,13 @@ def _power(m: np.ndarray, p: float) -> np.ndarray:
 
 def mapping_step(x: np.ndarray, z: np.ndarray, reweight: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """(Wx, Wz) from aligned rows."""
-    gx, gz = x.T @ x, z.T @ z
+    return _mapping_of(x.T @ x, x.T @ z, z.T @ z, reweight)
+
+
+def _mapping_of(gx: np.ndarray, cross: np.ndarray, gz: np.ndarray, reweight: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """``mapping_step`` from the products X'X, X'Z and Z'Z."""
     wx, wz = _power(gx, -0.5), _power(gz, -0.5)
-    u, s, vt = np.linalg.svd((x @ wx).T @ (z @ wz))
+    u, s, vt = np.linalg.svd(wx.T @ cross @ wz)
     a, b = wx @ u, wz @ vt.T
     a, b = a @ np.diag(s**reweight), b @ np.diag(s**reweight)
     return a @ u.T @ _power(gx, 0.5) @ u, b @ vt @ _power(gz, 0.5) @ vt.T
@@ -67,28 +72,37 @@ def _first_dictionary(x: np.ndarray, z: np.ndarray, cutoff: int) -> tuple[np.nda
     return np.arange(n), target
 
 
+def _frequent(space: DataFrame, cutoff: int) -> np.ndarray:
+    return matrix(space.filter(F.col("idx") < cutoff).orderBy("idx").select(as_double(F.col("vec")).alias("vec")).toArrow()["vec"])
+
+
+def _seed_products(pairs: DataFrame, xs: DataFrame, zs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """X'X, X'Z and Z'Z of all seed pairs whose words are in the spaces, however rare."""
+    both = _paired(pairs.select("src", "tgt", F.lit(0).alias("pair_no")), xs, zs).select("x", F.concat("x", "y").alias("xy"))
+    first = both.select(F.size("x").alias("d")).first()
+    if first is None:
+        raise ValueError("no seed pair is in both vocabularies")
+    d = first["d"]
+    gram = outer_sums(both, "xy", "xy")[3]
+    return gram[:d, :d], gram[:d, d:], gram[d:, d:]
+
+
 def self_learning(source: DataFrame, target: DataFrame, pairs: DataFrame | None, mode: str = "semi", cutoff: int = 20_000, seed: int = 0, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
     """Both spaces mapped into a common one."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; expected one of {MODES}")
     xs, zs = _normalised(source), _normalised(target)
-    tops = []
-    for space in (xs, zs):
-        t = space.filter(F.col("idx") < cutoff).orderBy("idx").select("word", as_double(F.col("vec")).alias("vec")).toArrow()
-        tops.append((t["word"].to_pylist(), matrix(t["vec"])))
-    (sw, x), (tw, z) = tops
     if mode == "unsupervised":
+        x, z = _frequent(xs, cutoff), _frequent(zs, cutoff)
         i, j = _first_dictionary(x, z, min(cutoff, 4000))
+        wx, wz = mapping_step(x[i], z[j])
     else:
         if pairs is None:
             raise ValueError("seed pairs are needed unless mode is 'unsupervised'")
-        si, ti = {w: k for k, w in enumerate(sw)}, {w: k for k, w in enumerate(tw)}
-        known = [(si[r["src"]], ti[r["tgt"]]) for r in pairs.select("src", "tgt").collect() if r["src"] in si and r["tgt"] in ti]
-        if not known:
-            raise ValueError("no seed pair is in both vocabularies")
-        i, j = map(np.array, zip(*known))
+        wx, wz = _mapping_of(*_seed_products(pairs, xs, zs))
+        if mode == "semi":
+            x, z = _frequent(xs, cutoff), _frequent(zs, cutoff)
     rng = np.random.default_rng(seed)
-    wx, wz = mapping_step(x[i], z[j])
     if mode != "supervised":
         keep, best, stale = 0.1, -np.inf, 0
         for _ in range(max_rounds):

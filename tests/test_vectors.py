@@ -89,6 +89,16 @@ def test_self_learning_recovers_a_rotation(spark, m, mode):
     assert got["cosine_P@1"] > 0.95
 
 
+@pytest.mark.parametrize("mode", ["supervised", "semi"])
+def test_rare_seed_pairs_are_used(spark, m, mode):
+    """Seeds that all lie beyond the words among which dictionaries are induced."""
+    q, _ = np.linalg.qr(np.random.default_rng(1).normal(size=(8, 8)))
+    a, b = space(spark, m, "a"), space(spark, m @ q, "b")
+    x, y = self_learning(a, b, _pairs(spark, 120).filter("pair_no >= 80"), mode, cutoff=60)
+    got = {r["metric"]: r["value"] for r in algebra.held_out(_pairs(spark, 80), x, y).collect()}
+    assert got["cosine_P@1"] > 0.95
+
+
 def test_purity_of_separated_blobs(spark):
     rng = np.random.default_rng(0)
     m = np.concatenate([rng.normal(size=(6, 3)) * 0.01 + 10 * np.eye(3)[k] for k in range(3)])
