@@ -242,6 +242,14 @@ def gap_scan_excluding(spark, sf_dir):
     return lexicon.find_gaps(english, side(spark, sf_dir, 0), seeds, threshold=0.4, top_n=150)
 
 
+@query
+def gap_scan_excluding_all(spark, sf_dir):
+    """All target words up to the operator's own limit, without those divisible by seven."""
+    english = side(spark, sf_dir, 1)
+    seeds = english.filter(F.col("idx") % 7 == 0).select(F.col("word").alias("value"))
+    return lexicon.find_gaps(english, side(spark, sf_dir, 0), seeds, threshold=0.4)
+
+
 @query
 def loan_scan(spark, sf_dir):
     """The source side spelled in Thaana, the target side in Latin: categories over the joint space."""
@@ -284,7 +292,16 @@ def heldout_p_at_k(spark, sf_dir):
 
 @query
 def rsa(spark, sf_dir):
-    pairs = _identity_pairs(spark, sf_dir).filter("pair_no < 200")
+    return _rsa(spark, sf_dir, _identity_pairs(spark, sf_dir).filter("pair_no < 200"))
+
+
+@query
+def rsa_all(spark, sf_dir):
+    """Over all pairs."""
+    return _rsa(spark, sf_dir, _identity_pairs(spark, sf_dir))
+
+
+def _rsa(spark, sf_dir, pairs):
     r = algebra.rsa(pairs, side(spark, sf_dir, 0), side(spark, sf_dir, 1))
     return r.select("rsa_n_pairs", F.round("rsa_pearson", 6).alias("rsa_pearson"), F.round("rsa_spearman", 6).alias("rsa_spearman"))
 
@@ -296,7 +313,7 @@ def hubness_skew(spark, sf_dir):
 
 @query
 def isomorphism(spark, sf_dir):
-    return algebra.isomorphism(_identity_pairs(spark, sf_dir).filter("pair_no < 200"), side(spark, sf_dir, 0), side(spark, sf_dir, 1))
+    return algebra.isomorphism(_identity_pairs(spark, sf_dir), side(spark, sf_dir, 0), side(spark, sf_dir, 1))
 
 
 @query
@@ -319,11 +336,11 @@ def procrustes(spark, sf_dir):
 
 @query
 def vecmap(spark, sf_dir):
-    """Self-learning from 100 seed pairs: both mapped spaces' sizes and the seeds' mean cosine."""
+    """Self-learning from all seed pairs: the seeds' mean cosine."""
     from glotweave.operators.selflearn import self_learning
 
-    pairs, source, target = _identity_pairs(spark, sf_dir).filter("pair_no < 100"), side(spark, sf_dir, 0), side(spark, sf_dir, 1)
-    a, b = self_learning(source, target, pairs, "semi", max_rounds=40)
+    pairs, source, target = _identity_pairs(spark, sf_dir), side(spark, sf_dir, 0), side(spark, sf_dir, 1)
+    a, b = self_learning(source, target, pairs, "semi")
     return algebra.mean_pair_cosine(pairs, a, b).select(F.round("mean_cosine", 4).alias("mean_cosine"))
 
 
@@ -334,6 +351,13 @@ def coherence(spark, sf_dir):
     return intrinsic.coherence(probes, s)
 
 
+@query
+def coherence_all(spark, sf_dir):
+    """All words as probes."""
+    s = whole(spark, sf_dir)
+    return intrinsic.coherence(s.select(F.col("word").alias("value")).union(spark.createDataFrame([("unknown",)], "value string")), s)
+
+
 @query
 def outlier(spark, sf_dir):
     """Sets of five consecutive vectors; the last is named the outlier."""
@@ -370,6 +394,28 @@ def analogy_accuracy(spark, sf_dir):
     return intrinsic.analogy_accuracy(_analogies(spark, sf_dir), whole(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
 
 
+def _all_analogies(spark, sf_dir):
+    """All pairs, in categories of twenty consecutive ones."""
+    a = _identity_pairs(spark, sf_dir).select(F.floor(F.col("pair_no") / 20).cast("string").alias("category"), F.col("src").alias("a"), F.col("tgt").alias("b"))
+    c = a.select("category", F.col("a").alias("c"), F.col("b").alias("d"))
+    return a.join(c, "category").filter("a <> c").select("category", "a", "b", "c", "d")
+
+
+@query
+def analogy_items_all(spark, sf_dir):
+    return _all_analogies(spark, sf_dir)
+
+
+@query
+def analogy_eval_all(spark, sf_dir):
+    return intrinsic.analogy_predictions(_all_analogies(spark, sf_dir), whole(spark, sf_dir))
+
+
+@query
+def analogy_accuracy_all(spark, sf_dir):
+    return intrinsic.analogy_accuracy(_all_analogies(spark, sf_dir), whole(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
+
+
 @query
 def word_similarity(spark, sf_dir):
     pairs = _identity_pairs(spark, sf_dir).select(F.col("src").alias("word1"), F.col("tgt").alias("word2"), ((F.col("pair_no") * 37) % 101).cast("double").alias("score"))
