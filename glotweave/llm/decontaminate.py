@@ -8,13 +8,18 @@ proportion for items of 10 to 12 tokens; items of 8 or 9 tokens must agree in al
 stretch: each way of placing 2 substitutions in 13 tokens, or 1 in 10 to 12, leaves one of them whole somewhere.
 DataFrame functions only.
 
+Short items.  Items of fewer tokens than the shorter mask (8), and items in scripts without spaces, are searched besides with
+``short_items``: both sides are split once more, letters of such scripts one by one.  Items that then have fewer than 8 tokens
+are hashed whole at their own length, joined with the documents' stretches of that length and confirmed token by token; the
+others go through the seeds and the verification above.  Documents are read for this only if there are such items.
+
 Scale: test items are the small side.  Their seeds are counted first and broadcast up to ``broadcast_rows``; above that the
 same join runs as a shuffled equi-join that adaptive execution can split.  In the broadcast form documents are streamed
 once without a shuffle, and only hits leave a task.  Texts are read a second time for documents with hits, joined on
 doc_id.  A passage held by a third of all documents costs each of them its own rows only.
 
-Defined cases: null or empty texts have no tokens and no hits; items with fewer tokens than the shorter mask (8) cannot be
-searched and are never reported; rows with a null doc_id or item_id are not searched; rows that share a doc_id are one
+Defined cases: null or empty texts have no tokens and no hits; items with fewer tokens than the shorter mask (8) are
+reported with ``short_items`` only, if a document holds all their tokens in a row; rows with a null doc_id or item_id are not searched; rows that share a doc_id are one
 document, reported if any of its texts holds the item; a document is reported once per item; extra columns are ignored
 by ``contaminated`` and passed through by ``remove_contaminated``, which keeps rows with a null doc_id.
 """
@@ -31,6 +36,8 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW = 13
 SUBSTITUTIONS = 2
 BROADCAST_ROWS = 2_000_000
+#: Letters of scripts that are written without spaces.
+UNSPACED = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}\\p{IsTibetan}"
 
 
 def tokens(text: Column) -> Column:
@@ -38,9 +45,14 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(bare, SPACE_RUN), lambda w: w != "")
 
 
-def _seeds(df: DataFrame, key: str) -> DataFrame:
+def split_tokens(text: Column) -> Column:
+    """``tokens``, with letters of scripts without spaces each a token."""
+    return tokens(F.regexp_replace(F.lower(text), f"([{UNSPACED}&&[\\p{{L}}]])", " $1 "))
+
+
+def _seeds(df: DataFrame, key: str, split=tokens) -> DataFrame:
     """(key, at, seed) for every mask and place."""
-    hashed = df.select(key, F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("__dc_h"))
+    hashed = df.select(key, F.transform(split(F.col("text")), lambda w: F.xxhash64(w)).alias("__dc_h"))
     h, n = F.col("__dc_h"), F.size("__dc_h")
     empty = F.array().cast("array<struct<at:int,seed:bigint>>")
     per_mask = [
@@ -67,23 +79,65 @@ def _best_window(agree: Column, window: Column) -> Column:
     return F.when(F.size(agree) >= window, F.array_max(sums)).otherwise(F.lit(-1))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS, short_items: bool = False) -> DataFrame:
     """doc_id, item_id, n_agree (tokens of the best window that agree) and window, for each verified pair."""
     docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     items = benchmark.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    item_seeds = _seeds(items, "item_id").select("item_id", F.col("at").alias("item_at"), "seed")
+    found = _search(docs, items, broadcast_rows, tokens)
+    if not short_items:
+        return found
+    odd = items.filter((F.size(tokens(F.col("text"))) <= MASKS[0][-1]) | F.col("text").rlike(f"[{UNSPACED}]"))
+    sized = odd.select("item_id", "text", F.size(split_tokens(F.col("text"))).alias("n"))
+    lengths = sorted(r["n"] for r in sized.select("n").distinct().collect())
+    whole = [n for n in lengths if 0 < n <= MASKS[0][-1]]
+    more = []
+    if whole:
+        more.append(_search_whole(docs, sized.filter(F.col("n") <= MASKS[0][-1]), whole, broadcast_rows))
+    if len(whole) < len([n for n in lengths if n]):
+        more.append(_search(docs, sized.filter(F.col("n") > MASKS[0][-1]).select("item_id", "text"), broadcast_rows, split_tokens))
+    for one in more:
+        found = found.unionByName(one)
+    best = F.max(F.struct("window", "n_agree")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_agree", "best.window") if more else found
+
+
+def _search_whole(docs: DataFrame, items: DataFrame, lengths: list[int], broadcast_rows: int) -> DataFrame:
+    """Documents that hold all ``n`` tokens of an item in a row."""
+    items = items.filter("n > 0").select("item_id", "n", split_tokens(F.col("text")).alias("item_tokens")).withColumn("seed", F.xxhash64("n", "item_tokens"))
+    t = F.col("t")
+    none = F.array().cast("array<struct<seed:bigint,stretch:array<string>>>")
+
+    def of_length(n: int) -> Column:
+        def stretch(i: Column) -> Column:
+            return F.struct(F.xxhash64(F.lit(n), F.slice(t, i, n)).alias("seed"), F.slice(t, i, n).alias("stretch"))
+
+        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), stretch)).otherwise(none)
+
+    stretches = docs.select("doc_id", split_tokens(F.col("text")).alias("t")).select("doc_id", F.inline(F.concat(*map(of_length, lengths))))
+    n_items = items.count()
+    return (
+        stretches.join(_small(items, n_items, broadcast_rows), "seed")
+        .filter(F.col("stretch") == F.col("item_tokens"))
+        .select("doc_id", "item_id", F.col("n").cast("long").alias("n_agree"), F.col("n").cast("long").alias("window"))
+        .distinct()
+    )
+
+
+def _search(docs: DataFrame, items: DataFrame, broadcast_rows: int, split) -> DataFrame:
+    """Verified pairs by spaced seeds, over the tokens that ``split`` gives."""
+    item_seeds = _seeds(items, "item_id", split).select("item_id", F.col("at").alias("item_at"), "seed")
     n_seeds = item_seeds.count()
     hits = (
-        _seeds(docs, "doc_id")
+        _seeds(docs, "doc_id", split)
         .join(_small(item_seeds, n_seeds, broadcast_rows), "seed")
         .select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
         .distinct()
     )
     by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("hits"))
-    item_tokens = items.select("item_id", tokens(F.col("text")).alias("item_tokens"))
+    item_tokens = items.select("item_id", split(F.col("text")).alias("item_tokens"))
     aligned = (
         docs.join(by_doc, "doc_id")
-        .select("doc_id", tokens(F.col("text")).alias("doc_tokens"), "hits")
+        .select("doc_id", split(F.col("text")).alias("doc_tokens"), "hits")
         .select("doc_id", "doc_tokens", F.inline("hits"))
         .join(_small(item_tokens, n_seeds, broadcast_rows), "item_id")
     )

@@ -383,6 +383,25 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_short_and_unspaced_items(spark):
+    rng = random.Random(9)
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40))
+    thai = "".join(chr(0x0E01 + k) for k in range(30))
+    items = {1: "Paris", 2: "the red, fox", 3: "a b c d e f g", 4: han, 5: han[:5], 6: thai, 7: "", 8: "!?", 9: sentence(rng, 20)}
+    texts = {
+        1: "in PARIS, now", 2: "parisian", 3: "x the red fox y", 4: "the fox red", 5: "a b c d e f g", 6: "a b c d e f x g", 7: "前" + han[:20] + "。後", 8: "序" + han[:5] + "末",
+        9: han[:4], 10: "ก" + thai + "ข", 11: "red fox", 12: None, 13: items[9], 14: han[20:28] + "口" + han[29:],
+    }
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], DOCS)
+    bench = spark.createDataFrame([*items.items(), (10, None)], "item_id long, text string")
+    want = {(1, 1), (3, 2), (5, 3), (7, 4), (7, 5), (8, 5), (10, 6), (13, 9), (14, 4)}
+    for limit in (10**6, 0):
+        got = decontaminate.contaminated(df, bench, broadcast_rows=limit, short_items=True).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    kept = decontaminate.remove_contaminated(df, bench, short_items=True)
+    assert {r["doc_id"] for r in kept.collect()} == {2, 4, 6, 9, 11, 12}
+
+
 # 8 quality rules
 
 
