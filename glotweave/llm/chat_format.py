@@ -3,7 +3,8 @@
 Method.  Turns are parsed into messages, tool calls and tool results.  Calls and results are hash-joined on conversation and
 call id.  Within a conversation the messages are ordered topologically (a result after its call, a call after the calls
 whose results its arguments refer to, otherwise by turn), arguments are validated against the tool's schema, and everything
-is written as canonical JSON: keys sorted by code point, no insignificant spaces, characters unescaped where JSON allows.
+is written as canonical JSON: keys sorted by code point, no insignificant spaces, characters unescaped where JSON and UTF-8
+allow (half a surrogate pair stays an escape).
 
 A call stands in an assistant turn whose text is a JSON object with ``tool_calls``: a list of objects with ``id``, ``name``
 and ``arguments`` (an object, or its JSON text).  A result is a ``tool`` turn whose text is a JSON object with
@@ -13,21 +14,27 @@ message.
 Scale: turns are grouped by (conversation, turn div ``part_turns``); longer conversations come out as several parts, in
 order.  Parts bound only the rows that are assembled: results, repeated ids and references are joined on (conversation,
 call id) before, over whole conversations.  A result travels to the part of its call, a call that refers to later ones to
-the part of the latest it waits for.  Only calls and results are joined, messages go straight to their part.  The order of
-calls is found per conversation from the references alone (ids and turns).
+the part of the latest it waits for.  Only calls and results are joined, messages go straight to their part.  Turns that can
+hold calls or results are told apart in the JVM; they alone are parsed, once, and kept in the shared scratch folder.  The
+order of calls is found per conversation from the references alone (ids and turns), and only where a call refers to a later
+one: references to earlier calls neither move a call nor close a circle.
 
 Defined cases: rows with a null conv_id or turn cannot be placed and are left out.  Rows alike in conversation, turn, role
 and text count once; other rows of one turn are ordered by role, then text.  A null role is written as "unknown", a null
 text as null.  A part of which only dropped results are left has no messages.  A call that repeats an id has no result of its
 own.  Calls in a circle, and those that wait for them, come last in the part of their turn.  Results without a call, and second results of one call (the earliest stays), are dropped and counted in
 ``n_orphans``.  A call without a result, with invalid arguments, of an unknown tool, that repeats an id, or that refers in a
-circle or to nothing stays and carries ``errors``.  Extra columns are ignored; no rows give no rows.
+circle or to nothing stays and carries ``errors``.  A text that is not JSON by the standard (``NaN``, numbers beyond double
+precision's range) or is nested deeper than ``MAX_DEPTH`` is a plain message; arguments that are such text stay text.  Of a key that
+an object repeats, the last value counts.  Extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +44,9 @@ from pyspark.sql import functions as F
 from glotweave.llm.storage import materialise
 
 PART_TURNS = 512
+#: Levels of JSON; deeper text is a plain message.
+MAX_DEPTH = 256
+_HALF_PAIR = re.compile("[\ud800-\udfff]")
 _TYPES = {
     "string": lambda v: isinstance(v, str),
     "boolean": lambda v: isinstance(v, bool),
@@ -49,7 +59,8 @@ _TYPES = {
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _HALF_PAIR.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
@@ -82,42 +93,63 @@ def references(value) -> set[str]:
     return set().union(*map(references, value)) if isinstance(value, list) and value else set()
 
 
+def _finite(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(f"{text} is beyond the range of numbers")
+    return value
+
+
+def _no_constant(text: str):
+    raise ValueError(f"{text} is not JSON")
+
+
+def _depth(value) -> int:
+    level, here = 0, [value]
+    while here:
+        level += 1
+        here = [x for v in here for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else ()) if isinstance(x, (dict, list))]
+    return level
+
+
 def _object(text: str | None) -> dict | None:
     if not text or text.lstrip()[:1] != "{":
         return None
     try:
-        found = json.loads(text)
-    except ValueError:
+        found = json.loads(text, parse_float=_finite, parse_constant=_no_constant)
+    except (ValueError, RecursionError):
         return None
-    return found if isinstance(found, dict) else None
+    return found if isinstance(found, dict) and _depth(found) <= MAX_DEPTH else None
 
 
 def _arguments(args):
     if isinstance(args, str):
-        args = _object(args) if _object(args) is not None else args
+        found = _object(args)
+        return args if found is None else found
     return {} if args is None else args
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind m (message), c (call: body is its name and arguments, refs the ids it refers to) or r (result: body is its content)."""
+    """kind p (plain message: body is its text), m (message: body is its content), c (call: body is its name and arguments,
+    refs the ids it refers to) or r (result: body is its content).  Bodies of m, c and r, and all ids, are canonical JSON."""
     for batch in batches:
         out: list[list] = [[] for _ in range(8)]
         for conv, turn, role, text in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")]):
             body = _object(text) if role in ("assistant", "tool") else None
             rows = []
             if role == "tool" and body and isinstance(body.get("tool_call_id"), str) and "content" in body:
-                rows.append(("r", 0, body["tool_call_id"], canonical(body["content"]), None))
+                rows.append(("r", 0, canonical(body["tool_call_id"]), canonical(body["content"]), None))
             elif role == "assistant" and body and isinstance(body.get("tool_calls"), list) and body["tool_calls"] and all(
                 isinstance(c, dict) and isinstance(c.get("id"), str) and isinstance(c.get("name"), str) for c in body["tool_calls"]
             ):
                 if body.get("content") is not None:
                     rows.append(("m", 0, None, canonical(body["content"]), None))
                 rows += [
-                    ("c", k + 1, c["id"], canonical([c["name"], c.get("arguments")]), sorted(references(_arguments(c.get("arguments")))))
+                    ("c", k + 1, canonical(c["id"]), canonical([c["name"], c.get("arguments")]), sorted(map(canonical, references(_arguments(c.get("arguments"))))))
                     for k, c in enumerate(body["tool_calls"])
                 ]
             else:
-                rows.append(("m", 0, None, canonical(text), None))
+                rows.append(("p", 0, None, text, None))
             for row in rows:
                 for column, value in zip(out, (conv, turn, "unknown" if role is None else role, *row)):
                     column.append(value)
@@ -189,8 +221,8 @@ def assemble(events: list[dict], schemas: dict[str, dict]) -> tuple[list[dict],
     """
     nodes, first_of = [], {}
     for e in events:
-        if e["kind"] == "m":
-            nodes.append({"role": e["role"], "content": json.loads(e["body"])})
+        if e["kind"] != "c":
+            nodes.append({"role": e["role"], "content": e["body"] if e["kind"] == "p" else json.loads(e["body"])})
             continue
         name, args = json.loads(e["body"])
         errors = []
@@ -209,8 +241,9 @@ def assemble(events: list[dict], schemas: dict[str, dict]) -> tuple[list[dict],
                 errors.append("no result")
         if e["nothing"]:
             errors.append("reference to nothing")
-        call = {"role": e["role"], "tool_call": {"id": e["call_id"], "name": name, "arguments": args}}
-        nodes.append({"call": call, "result": result, "errors": errors, "needs": sorted(references(args)), "circular": e["circular"]})
+        call = {"role": e["role"], "tool_call": {"id": json.loads(e["call_id"]), "name": name, "arguments": args}}
+        needs = sorted(map(canonical, references(args)))
+        nodes.append({"call": call, "result": result, "errors": errors, "needs": needs, "circular": e["circular"]})
     waits: list[set[int]] = []
     for i, node in enumerate(nodes):
         waits.append({first_of[r] for r in node.get("needs", ()) if r in first_of} - {i})
@@ -274,8 +307,19 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None, part_
         .filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
         .distinct()
     )
-    events = clean.mapInArrow(_parse, "conv_id long, turn long, role string, kind string, seq int, call_id string, body string, refs array<string>")
-    tools = materialise(events.filter("kind <> 'm'").withColumn("node", F.xxhash64("turn", "seq", "call_id", "body")), "chat-tools")
+    may_link = F.coalesce(F.col("role").isin("assistant", "tool") & F.col("text").rlike("^\\s*\\{"), F.lit(False))
+    parsed = materialise(
+        clean.filter(may_link).mapInArrow(
+            _parse, "conv_id long, turn long, role string, kind string, seq int, call_id string, body string, refs array<string>"
+        ),
+        "chat-events",
+    )
+    tools = parsed.filter("kind in ('c', 'r')").withColumn("node", F.xxhash64("turn", "seq", "call_id", "body"))
+    messages = (
+        clean.filter(~may_link)
+        .select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.lit("p").alias("kind"), F.lit(0).alias("seq"), F.col("text").alias("body"))
+        .union(parsed.filter("kind in ('p', 'm')").select("conv_id", "turn", "role", "kind", "seq", "body"))
+    )
     results = (
         tools.filter("kind = 'r'").groupBy("conv_id", "call_id")
         .agg(F.min(F.struct("turn", "body")).alias("found"), F.count("*").alias("n"))
@@ -284,16 +328,27 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None, part_
     calls = tools.filter("kind = 'c'")
     known = (
         calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "seq", "body", "node")).alias("call"))
-        .select("conv_id", "call_id", F.col("call.node").alias("first_node"), F.col("call.turn").alias("first_turn"))
+        .select("conv_id", "call_id", F.col("call.node").alias("first_node"), F.col("call.turn").alias("first_turn"), F.col("call.seq").alias("first_seq"))
     )
-    edges = (
-        calls.select("conv_id", "node", "turn", F.explode("refs").alias("call_id"))
+    edges = materialise(
+        calls.select("conv_id", "node", "turn", "seq", F.explode("refs").alias("call_id"))
         .join(known, ["conv_id", "call_id"], "left")
-        .select("conv_id", "node", "turn", F.col("first_node").alias("other"), F.col("first_turn").alias("other_turn"))
-        .repartition("conv_id")
-        .sortWithinPartitions("conv_id")
+        .select(
+            "conv_id", "node", "turn", F.col("first_node").alias("other"), F.col("first_turn").alias("other_turn"),
+            (F.struct("first_turn", "first_seq") >= F.struct("turn", "seq")).alias("forward"),
+        ),
+        "chat-edges",
+    )
+    tangled = edges.filter("forward and other <> node").select("conv_id").distinct()
+    narrow = "conv_id", "node", "turn", "other", "other_turn"
+    ordered = edges.join(tangled, "conv_id", "left_semi").select(*narrow).repartition("conv_id").sortWithinPartitions("conv_id")
+    simple = (
+        edges.join(tangled, "conv_id", "left_anti").groupBy("conv_id", "node")
+        .agg(F.max("turn").alias("latest"), F.lit(False).alias("circular"), F.bool_or(F.col("other").isNull() | (F.col("other") == F.col("node"))).alias("nothing"))
+    )
+    waits = materialise(
+        ordered.mapInArrow(_resolve, "conv_id long, node long, latest long, circular boolean, nothing boolean").union(simple), "chat-waits"
     )
-    waits = materialise(edges.mapInArrow(_resolve, "conv_id long, node long, latest long, circular boolean, nothing boolean"), "chat-waits")
     linked = (
         calls.join(results.select("conv_id", "call_id", "result"), ["conv_id", "call_id"], "left")
         .join(known, ["conv_id", "call_id"])
@@ -313,8 +368,8 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None, part_
     no, none = F.lit(False), F.lit(None).cast("string")
     columns = ["conv_id", "at", "turn", "role", "seq", "body", "kind", "call_id", "result", "first", "circular", "nothing"]
     rows = (
-        events.filter("kind = 'm'").select(
-            "conv_id", F.col("turn").alias("at"), "turn", "role", "seq", "body", "kind", "call_id", none.alias("result"),
+        messages.select(
+            "conv_id", F.col("turn").alias("at"), "turn", "role", "seq", "body", "kind", none.alias("call_id"), none.alias("result"),
             no.alias("first"), no.alias("circular"), no.alias("nothing"),
         )
         .union(linked.withColumn("circular", F.coalesce("circular", no)).withColumn("nothing", F.coalesce("nothing", no)).select(*columns))

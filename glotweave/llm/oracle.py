@@ -108,7 +108,7 @@ SELECT doc_id, item_id, max(n_agree)::BIGINT AS n_agree, max(win)::BIGINT AS "wi
 FROM w WHERE n >= win AND n_agree >= win - CASE WHEN win >= 10 THEN floor(win * 2 / 13) ELSE 0 END GROUP BY doc_id, item_id
 """
 
-#: Without tool calls, which the generated conversations have none of.
+#: Without tool calls, which the generated conversations have none of; ``chat_tool_calls`` has them.
 OP9 = """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 g AS (
@@ -122,4 +122,28 @@ SELECT conv_id, part, n AS n_messages, 0::BIGINT AS n_calls, 0::BIGINT AS n_bad_
 FROM g
 """
 
-ORACLE: dict[str, str] = {"op3_line_dedup": OP3, "op4_substring_dedup": OP4, "op7_decontamination": OP7, "op8_quality_rules": OP8, "op9_chat_format": OP9}
+#: Results follow their calls, a call that uses a result comes after it, and what nothing called is only counted.
+CHAT_TOOL_CALLS = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+m AS (
+  SELECT conv_id, turn, 0 AS k, role, text, '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || to_json(role)::VARCHAR || '}' AS message
+  FROM t WHERE role <> 'assistant'
+  UNION ALL
+  SELECT conv_id, turn, 1, role, text, '{"role":"assistant","tool_call":{"arguments":{"limit":' || turn || ',"query":' || to_json(text)::VARCHAR
+    || '},"id":"c' || turn || '","name":"search"}},{"content":' || length(text) || ',"role":"tool","tool_call_id":"c' || turn || '"}'
+  FROM t WHERE role = 'assistant'
+  UNION ALL
+  SELECT conv_id, turn, 2, role, text, '{"errors":["no result"],"role":"assistant","tool_call":{"arguments":{"expression":{"$result":"c' || turn
+    || '"}},"id":"d' || turn || '","name":"calculate"}}'
+  FROM t WHERE role = 'assistant' AND turn >= 3
+)
+SELECT conv_id, 0::BIGINT AS part, count(*) + count(*) FILTER (k = 1) AS n_messages, count(*) FILTER (k > 0) AS n_calls,
+       count(*) FILTER (k = 2) AS n_bad_calls, 0::BIGINT AS n_orphans,
+       '{"conv_id":' || conv_id || ',"messages":[' || string_agg(message, ',' ORDER BY turn, role, text, k) || '],"part":0}' AS chat
+FROM m GROUP BY conv_id
+UNION ALL
+SELECT conv_id, 1, 0, 0, 0, count(*), '{"conv_id":' || conv_id || ',"messages":[],"part":1}'
+FROM t WHERE turn = 0 AND role = 'user' GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {"op3_line_dedup": OP3, "op4_substring_dedup": OP4, "op7_decontamination": OP7, "op8_quality_rules": OP8, "op9_chat_format": OP9, "chat_tool_calls": CHAT_TOOL_CALLS}

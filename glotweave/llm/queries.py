@@ -83,6 +83,36 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(table(spark, sf_dir, "conversations"), TOOLS)
 
 
+def turns_with_tools(turns: DataFrame) -> DataFrame:
+    """``turns`` with every assistant turn made a search call, from turn 3 on with a second call that uses its result; the
+    searches' results come 1,000 turns later, and every conversation that a user opens has a result that nothing called."""
+    t, said = F.col("turn").cast("string"), F.col("role") == "assistant"
+    search = F.struct(
+        F.concat(F.lit("c"), t).alias("id"), F.lit("search").alias("name"),
+        F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").alias("limit"))).alias("arguments"),
+    )
+    use = F.struct(
+        F.concat(F.lit("d"), t).alias("id"), F.lit("calculate").alias("name"),
+        F.concat(F.lit('{"expression":{"$result":"c'), t, F.lit('"}}')).alias("arguments"),
+    )
+    calls = F.to_json(F.struct(F.when(F.col("turn") < 3, F.array(search)).otherwise(F.array(use, search)).alias("tool_calls")))
+    late, tool = (F.col("turn") + 1000).alias("turn"), F.lit("tool").alias("role")
+
+    def result(name, content):
+        return F.to_json(F.struct(name.alias("tool_call_id"), content.alias("content"))).alias("text")
+
+    return (
+        turns.select("conv_id", "turn", "role", F.when(said, calls).otherwise(F.col("text")).alias("text"))
+        .union(turns.filter(said).select("conv_id", late, tool, result(F.concat(F.lit("c"), t), F.char_length("text"))))
+        .union(turns.filter("turn = 0 and role = 'user'").select("conv_id", late, tool, result(F.lit("lost"), F.col("text"))))
+    )
+
+
+def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of ``op9_chat_format`` over conversations with tool calls, made from the whole table."""
+    return chat_format.format_chats(turns_with_tools(table(spark, sf_dir, "conversations")), TOOLS)
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "rep_id", "class_id")
 
@@ -97,5 +127,6 @@ QUERIES: dict[str, Query] = {
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
+    "chat_tool_calls": chat_tool_calls,
     "op10_near_dedup": op10_near_dedup,
 }

@@ -505,6 +505,28 @@ def test_links_across_parts(spark):
     assert [(r["conv_id"], r["part"], r["n_messages"], r["n_orphans"]) for r in got if r["conv_id"] > 2] == [(3, 0, 1, 0), (3, 2, 0, 1), (4, 0, 0, 1)]
 
 
+def test_chats_of_odd_json(spark):
+    """Half surrogate pairs, deep nesting, what is not JSON, very long text, and conversations of orphans only."""
+    deep = '{"tool_call_id": "a", "content": ' + '{"x":' * 5000 + "1" + "}" * 5000 + "}"
+    rows = [
+        turn(1, 0, "assistant", '{"tool_calls": [{"id": "\\ud800", "name": "add", "arguments": {"a": 1, "\\udc00": 2}}]}'),
+        turn(1, 1, "tool", '{"tool_call_id": "\\ud800", "content": "x\\udfffy"}'),
+        turn(2, 0, "tool", deep), turn(2, 1, "assistant", '{"tool_calls": [{"id": "n", "name": "add", "arguments": {"a": NaN}}]}'),
+        turn(2, 2, "assistant", '{"tool_calls": [{"id": "n", "name": "add", "arguments": {"a": 1e999}}]}'),
+        turn(2, 3, "assistant", {"tool_calls": [{"id": "k", "name": "add", "arguments": '{"a": Infinity}'}]}),
+        turn(2, 4, "user", "é" * 500_000), turn(3, 700, "tool", {"tool_call_id": "lost", "content": 1}), turn(3, 701, "tool", {"tool_call_id": "lost", "content": 2}),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["part"]): r for r in chat_format.format_chats(df, SCHEMA).collect()}
+    assert set(got) == {(1, 0), (2, 0), (3, 1)}
+    assert '"id":"\\ud800"' in got[1, 0]["chat"] and [m["role"] for m in json.loads(got[1, 0]["chat"])["messages"]] == ["assistant", "tool"]
+    assert json.loads(got[1, 0]["chat"])["messages"][1]["content"] == "x\udfffy"
+    two = json.loads(got[2, 0]["chat"])["messages"]
+    assert [m["content"] for m in two if "content" in m] == [rows[2][3], rows[3][3], rows[4][3], "é" * 500_000]
+    assert [m["tool_call"]["arguments"] for m in two if "tool_call" in m] == ['{"a": Infinity}'] and got[2, 0]["n_bad_calls"] == 1
+    assert (got[3, 1]["n_messages"], got[3, 1]["n_orphans"]) == (0, 2)
+
+
 # 10 near-duplicates
 
 

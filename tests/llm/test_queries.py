@@ -31,7 +31,7 @@ def test_others_run(spark, name):
 
 
 def test_ten_operators_one_query_each():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
 
 
 def test_pipeline_stages(spark):
