@@ -1,9 +1,10 @@
-"""Scratch tables that outlive executors."""
+"""Scratch tables that outlive executors, and their removal when nothing reads them any more."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,4 +39,49 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: Where each table that ``materialise`` returned lies, as long as it is in use.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def scratch_path(table: DataFrame) -> str:
+    """The folder of a table that ``materialise`` returned, for callers that want to delete it."""
+    return _PATHS[table]
+
+
+class Scratch:
+    """Scratch tables of one operator: those of ``table`` are deleted at the end of the ``with`` block, also after a failure.
+
+    What the block returns must not read them; it is written with ``materialise``, whose folder stays for the caller.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        out = materialise(df, label)
+        self._paths.append((out, scratch_path(out)))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete some of the tables now."""
+        for entry in [e for e in self._paths if any(e[0] is t for t in tables)]:
+            self._delete(entry[1])
+            self._paths.remove(entry)
+
+    def __exit__(self, *_) -> None:
+        for _, path in self._paths:
+            self._delete(path)
+        self._paths.clear()
+
+    def _delete(self, path: str) -> None:
+        jvm = self._spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -99,6 +99,10 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def words(self, a: int, b: int) -> bytes:
+        """Words ``a`` to ``b`` of the flat arrays, joined by one space."""
+        return b" ".join([self.data[x:y].tobytes() for x, y in zip(self.begin[a:b].tolist(), self.end[a:b].tolist())])
+
     def text_of(self, i: int, keep: np.ndarray | None = None) -> bytes:
         """Text i's words, or those that ``keep`` marks, joined by one space."""
         a, b = self.first[i], self.first[i + 1]
