@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glotweave.llm.storage import materialise
-
-
+from glotweave.llm.storage import Scratch, materialise
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -15,26 +13,31 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each step hangs neighbours on the smallest node in sight, until every component is a star on its smallest node.
     A round is two map-side combined minimums and two equi-joins on pairs of longs; it is written to the shared scratch
-    folder, and only its row count and a checksum come to the driver.
+    folder, and only its row count and a checksum come to the driver.  The minimums of the first step are written before
+    they are joined, so that the edges of a hub can be split.  The result is a table of its own there.
     """
-    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = materialise(e, "cc-0")
-    last = None
-    for k in range(max_rounds):
-        # large star: every larger neighbour of u hangs on the smallest of u and its neighbours
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        # small star: u and its smaller neighbours hang on the smallest of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        e = materialise(small.distinct(), f"cc-{k + 1}")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    with Scratch(edges.sparkSession) as scratch:
+        e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        e = scratch.table(e, "cc-0")
+        last = None
+        for k in range(max_rounds):
+            # large star: every larger neighbour of u hangs on the smallest of u and its neighbours
+            both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"cc-low-{k}")
+            large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+            # small star: u and its smaller neighbours hang on the smallest of them
+            down = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
+            after = scratch.table(small.distinct(), f"cc-{k + 1}")
+            scratch.drop(e, low)
+            e = after
+            now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == last:
+                break
+            last = now
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+            e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        )
+        return materialise(out, "components")

@@ -3,21 +3,25 @@
 Method.  Identical texts are one vertex, named by the smallest doc_id.  A vertex's distinct 5-word shingles, all of weight
 1, give a ProbMinHash signature (probminhash.py), so that registers agree with the probability that is judged, the Jaccard
 similarity of the sets; its registers are cut into bands, and vertices that agree in a band are candidates.  With 24 bands
-of 4 registers a pair at similarity 0.8 shares no band with probability 3e-6.  Candidates whose signatures agree in fewer than ``sketch_floor`` of the registers (5 standard deviations below
-0.8) are dropped, the others are verified exactly: Jaccard similarity of the sets of distinct shingles, 0.8 or more.
-Classes are the connected components of the verified links.
+of 4 registers a pair at similarity 0.8 shares no band with probability 3e-6.  Candidates whose signatures agree in fewer
+than ``sketch_floor`` of the registers (5 standard deviations below 0.8) are dropped, the others are verified exactly: Jaccard
+similarity of the sets of distinct shingles, 0.8 or more.  Classes are the connected components of the verified links.
 
 Big buckets never emit all their pairs.  Every bucket is first linked to one hub, the member that shares the most bucket
 places over all bands (for copies of one text that is the text they stem from); that is one pair per member.  Only where
-the links found so far leave a bucket in several components are the members of different components compared, in tiles
-of bounded size that are dealt over tasks.  A tile compares signatures as matrices, takes each pair in the first band that
-it shares, and drops pairs by the sketch and by an exact bound: shingles that no other such member holds cannot be shared,
-so two members with s and t other shingles share at most min(s, t).  What is left is verified there and then, and only
-links that join two components are emitted.  So no link that matters for the classes is lost, nothing is emitted in
-proportion to pairs, and a group of copies gives rows in proportion to its size.
+the links found so far leave a bucket in several components are members compared among themselves: the strays, which are
+those outside the bucket's largest component, with all others, in tiles of bounded size that are dealt over tasks.  A bucket
+of n members and s strays gives about n rows for every ``TILE`` strays and s for every ``TILE`` members.  A tile compares
+signatures as matrices, takes each pair in the first band that it shares, and drops pairs by the sketch and by an exact
+bound: shingles that no other such member holds cannot be shared, so two members with s and t other shingles share at most
+min(s, t).  What is left is verified there and then, and only links that join two components are emitted.  So no link that
+matters for the classes is lost, nothing is emitted in proportion to pairs, and a group of copies gives rows in proportion
+to its size.  (Links within a class are not all verified, so they are not counted.)
 
 Scale: rows between stages are band hashes, signatures of 384 bytes, or pairs of ids.  Texts are shuffled for the exact
-check of pairs that passed the sketch.  Joins on hubs and on hot texts are equi-joins that adaptive execution can split.
+check of pairs that passed the sketch.  What is counted per text or band is written before it is joined, so that the joins on
+hot texts and bands are plain equi-joins that adaptive execution can split.  Scratch tables are deleted at the end, but for
+the classes.
 
 Defined cases: a text of fewer than five words is one shingle.  A text without words is linked only to identical texts.
 Rows with a null doc_id or text are alone (class_id = doc_id).  Rows that repeat a doc_id and its text are one document
@@ -37,7 +41,7 @@ from glotweave.llm.batches import PIECE_BYTES, pieces, signed
 from glotweave.llm.columns import wide_hash
 from glotweave.llm.components import connected_components
 from glotweave.llm.probminhash import signatures
-from glotweave.llm.storage import materialise
+from glotweave.llm.storage import Scratch, materialise
 from glotweave.llm.wordhash import Words, gram_hashes, mix, window_starts
 
 SHINGLE = 5
@@ -119,17 +123,17 @@ def _list_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _tiles(floor: int, num: int, den: int):
-    """Over rows sorted by tile: verified links that connect members of different components."""
+    """Over rows sorted by tile: verified links that connect strays of a bucket to members of other components."""
 
     def compare(group: pa.RecordBatch) -> pa.RecordBatch:
-        ids, block = np.asarray(group.column("id")), np.asarray(group.column("block"))
+        ids, stray = np.asarray(group.column("id")), np.asarray(group.column("stray"))
         size, most = np.asarray(group.column("size")), np.asarray(group.column("most"))
         sig = np.asarray(group.column("sig").flatten()).reshape(len(ids), -1)
         lists = group.column("held")
         held, cuts = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(lists)))])
         parts, part = np.unique(np.asarray(group.column("part")), return_inverse=True)
         place = int(group.column("place")[0].as_py())
-        across = int(block.max()) != int(block.min())
+        left, right = (np.flatnonzero(np.asarray(group.column(c))) for c in ("left", "right"))
         root = list(range(len(parts)))
 
         def find(x: int) -> int:
@@ -139,25 +143,24 @@ def _tiles(floor: int, num: int, den: int):
             return x
 
         us, vs = [], []
-        for start in range(0, len(ids), 64):
-            rows = slice(start, start + 64)
-            same = np.zeros((len(ids[rows]), len(ids)), dtype=np.int16)
-            seen = np.zeros(same.shape, dtype=bool)  # agree in an earlier band, whose tile has this pair
+        for start in range(0, len(left), 64):
+            rows = left[start : start + 64]
+            same = np.zeros((len(rows), len(right)), dtype=np.int16)
+            seen = np.zeros(same.shape, dtype=bool)  # agree in an earlier band, whose tiles have this pair
             whole = seen
             for k in range(sig.shape[1]):
-                equal = sig[rows, k][:, None] == sig[:, k][None, :]
+                equal = sig[rows, k][:, None] == sig[right, k][None, :]
                 same += equal
                 if k < place * ROWS:
                     whole = equal if k % ROWS == 0 else whole & equal
                     if k % ROWS == ROWS - 1:
                         seen |= whole
-            good = (same >= floor) & ~seen & (part[rows][:, None] != part[None, :]) & (ids[rows][:, None] < ids[None, :])
-            good &= np.minimum(most[rows][:, None], most[None, :]) * (num + den) >= num * (size[rows][:, None] + size[None, :])
-            if across:
-                good &= block[rows][:, None] != block[None, :]
+            good = (same >= floor) & ~seen & (part[rows][:, None] != part[right][None, :])
+            good &= ~stray[right][None, :] | (ids[rows][:, None] < ids[right][None, :])  # two strays meet twice
+            good &= np.minimum(most[rows][:, None], most[right][None, :]) * (num + den) >= num * (size[rows][:, None] + size[right][None, :])
             i, j = np.nonzero(good)
             order = np.argsort(-same[i, j], kind="stable")
-            for x, y in zip((i[order] + start).tolist(), j[order].tolist()):
+            for x, y in zip(rows[i[order]].tolist(), right[j[order]].tolist()):
                 p, q = find(part[x]), find(part[y])
                 if p == q:
                     continue
@@ -191,88 +194,107 @@ def _tiles(floor: int, num: int, den: int):
     return run
 
 
+def _apart(split: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of ``split`` (band, place, id, part) the rows of bands with several parts, plus ``stray`` (not of the band's largest part)
+    and the band's numbers of members and of strays."""
+    counts = split.groupBy("band", "part").agg(F.count("*").alias("n"))
+    mixed = scratch.table(
+        counts.groupBy("band")
+        .agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("members"), F.count("*").alias("parts"))
+        .filter("parts > 1")
+        .select("band", F.col("main.part").alias("main"), "members", (F.col("members") - F.col("main.n")).alias("strays")),
+        "near-mixed",
+    )
+    return split.join(mixed, "band").select("band", "place", "id", "part", (F.col("part") != F.col("main")).alias("stray"), "members", "strays")
+
+
+def _dealt(apart: DataFrame) -> DataFrame:
+    """Tiles (band, ti, tj) of ``apart``: every stray of block ti (``left``) meets every member of block tj (``right``)."""
+
+    def block(n: str, salt: str):
+        return F.pmod(F.xxhash64("id", F.lit(salt)), F.ceil(F.col(n) / TILE))
+
+    def blocks(n: str):
+        return F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / TILE) - 1)
+
+    own = apart.withColumn("si", F.when(F.col("stray"), block("strays", "stray")).otherwise(-1)).withColumn("mj", block("members", "member"))
+    as_member = F.transform(blocks("strays"), lambda i: F.struct(i.alias("ti"), F.col("mj").alias("tj"), (i == F.col("si")).alias("left"), F.lit(True).alias("right")))
+    as_stray = F.transform(
+        F.filter(blocks("members"), lambda j: F.col("stray") & (j != F.col("mj"))),
+        lambda j: F.struct(F.col("si").alias("ti"), j.alias("tj"), F.lit(True).alias("left"), F.lit(False).alias("right")),
+    )
+    return own.select("band", "place", "id", "part", "stray", F.inline(F.concat(as_member, as_stray)))
+
+
 def near_classes(docs: DataFrame, num: int = 4, den: int = 5, sketch_floor: float = 0.58) -> DataFrame:
     """doc_id, key (128-bit hash of the text), rep_id (smallest id with this text), class_id: one row per row of ``docs``.
 
-    The similarity threshold is num / den.
+    The similarity threshold is num / den.  The result is a table in the shared scratch folder.
     """
     m = BANDS * ROWS
     floor = int(np.ceil(sketch_floor * m))
     rows = docs.select("doc_id", "text", wide_hash(F.col("text")).alias("key"))
     whole = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    reps = whole.groupBy("key").agg(F.min("doc_id").alias("rep_id"))
-    only_reps = reps.select(F.col("rep_id").alias("id")).distinct()
-    signed_docs = whole.select("doc_id", "text").mapInArrow(_sign(m), "id long, sig array<int>")
-    sigs = materialise(signed_docs.join(only_reps, "id", "left_semi"), "near-signatures")
-
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[F.get(F.col("sig"), b * ROWS + k) for k in range(ROWS)])
-    )
-    placed = sigs.select("id", F.posexplode(bands).alias("place", "band"))
-    shared = placed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    places = materialise(placed.join(shared, "band").select("band", "place", "id", "n"), "near-places")
-    fame = places.groupBy("id").agg(F.sum("n").alias("fame"))
-    hubs = (
-        places.join(fame, "id").groupBy("band").agg(F.max(F.struct("fame", (-F.col("id")).alias("less"))).alias("top"))
-        .select("band", (-F.col("top.less")).alias("hub"))
-    )
-    starred = places.join(hubs, "band").filter("id <> hub")
-    pairs = starred.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
-    left, right = (sigs.select(F.col("id").alias(x), F.col("sig").alias(f"{x}_sig")) for x in "uv")
-    agree = F.size(F.filter(F.zip_with("u_sig", "v_sig", lambda a, b: a == b), lambda x: x))
-    likely = materialise(
-        pairs.join(left, "u").join(right, "v").filter(agree >= floor).select("u", "v"), "near-likely"
-    )
     texts = whole.select("doc_id", "text")
-
-    def verified(candidates: DataFrame, label: str) -> DataFrame:
+    with Scratch(docs.sparkSession) as scratch:
+        reps = scratch.table(whole.groupBy("key").agg(F.min("doc_id").alias("rep_id")), "near-reps")
+        only_reps = reps.select(F.col("rep_id").alias("id")).distinct()
+        signed_docs = texts.mapInArrow(_sign(m), "id long, sig array<int>")
+        sigs = scratch.table(signed_docs.join(only_reps, "id", "left_semi"), "near-signatures")
+
+        bands = F.transform(
+            F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[F.get(F.col("sig"), b * ROWS + k) for k in range(ROWS)])
+        )
+        placed = sigs.select("id", F.posexplode(bands).alias("place", "band"))
+        shared = scratch.table(placed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "near-shared")
+        places = scratch.table(placed.join(shared, "band").select("band", "place", "id", "n"), "near-places")
+        fame = places.groupBy("id").agg(F.sum("n").alias("fame"))
+        hubs = scratch.table(
+            places.join(fame, "id").groupBy("band").agg(F.max(F.struct("fame", (-F.col("id")).alias("less"))).alias("top"))
+            .select("band", (-F.col("top.less")).alias("hub")),
+            "near-hubs",
+        )
+        others = places.join(hubs, "band").filter("id <> hub")
+        pairs = others.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
+        left, right = (sigs.select(F.col("id").alias(x), F.col("sig").alias(f"{x}_sig")) for x in "uv")
+        agree = F.size(F.filter(F.zip_with("u_sig", "v_sig", lambda a, b: a == b), lambda x: x))
+        likely = scratch.table(pairs.join(left, "u").join(right, "v").filter(agree >= floor).select("u", "v"), "near-likely")
         u, v = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"{x}_text")) for x in "uv")
-        both = candidates.join(u, "u").join(v, "v").select("u", "v", "u_text", "v_text")
-        return materialise(both.mapInArrow(_verify(num, den), "u long, v long").distinct(), label)
-
-    links = verified(likely, "near-links")
-    parts = connected_components(links)
-
-    # what the hubs left apart
-    split = (
-        places.join(hubs, "band").filter("id <> hub and n > 2").select("band", "place", "id", "n")
-        .join(parts.withColumnRenamed("node", "id"), "id", "left")
-        .select("band", "place", "id", "n", F.coalesce("component", "id").alias("part"))
-    )
-    mixed = split.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("band")
-    apart = materialise(split.join(mixed, "band"), "near-apart")
-    apart_ids = apart.select("id").distinct()
-    held = materialise(
-        texts.withColumnRenamed("doc_id", "id").join(apart_ids, "id", "left_semi").mapInArrow(_list_shingles, "id long, held array<long>"),
-        "near-shingles",
-    )
-    owned = held.select("id", F.explode("held").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    # members with their shingles, and how many of those another of these members holds too
-    members = (
-        held.join(owned.filter("n = 1").groupBy("id").agg(F.count("*").alias("own")), "id", "left")
-        .select("id", "held", F.size("held").alias("size"), (F.size("held") - F.coalesce("own", F.lit(0))).alias("most"))
-        .filter(F.col("most") * den >= F.col("size") * num)
-    )
-    n_blocks = F.ceil(F.col("n") / TILE)
-    tiled = (
-        apart.withColumn("block", F.pmod(F.xxhash64("id", F.lit("tile")), n_blocks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-        .select("band", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "place", "id", "part")
-        .join(members.join(sigs, "id"), "id")
-        .repartition("band", "ti", "tj")
-        .sortWithinPartitions("band", "ti", "tj")
-    )
-    columns = ["band", "ti", "tj", "block", "place", "id", "part", "size", "most", "held", "sig"]
-    rest = materialise(tiled.select(*columns).mapInArrow(_tiles(floor, num, den), "u long, v long"), "near-rest")
-    if rest.take(1):
-        parts = connected_components(links.union(rest))
-    out = (
-        rows.select("doc_id", "key", F.col("text").isNull().alias("none"))
-        .join(reps, "key", "left")
-        .withColumn("rep_id", F.when(F.col("none") | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("rep_id")))
-        .join(parts.select(F.col("node").alias("rep_id"), "component"), "rep_id", "left")
-    )
-    return out.select("doc_id", "key", "rep_id", F.coalesce("component", "rep_id").alias("class_id"))
+        both = likely.join(u, "u").join(v, "v").select("u", "v", "u_text", "v_text")
+        links = scratch.table(both.mapInArrow(_verify(num, den), "u long, v long").distinct(), "near-links")
+        parts = scratch.adopt(connected_components(links))
+
+        # what the hubs left apart
+        split = (
+            others.filter("n > 2").select("band", "place", "id")
+            .join(parts.withColumnRenamed("node", "id"), "id", "left")
+            .select("band", "place", "id", F.coalesce("component", "id").alias("part"))
+        )
+        apart = scratch.table(_apart(split, scratch), "near-apart")
+        held = scratch.table(
+            texts.withColumnRenamed("doc_id", "id").join(apart.select("id").distinct(), "id", "left_semi")
+            .mapInArrow(_list_shingles, "id long, held array<long>"),
+            "near-shingles",
+        )
+        owned = held.select("id", F.explode("held").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+        # members with their shingles, and how many of those another of these members holds too
+        members = (
+            held.join(owned.filter("n = 1").groupBy("id").agg(F.count("*").alias("own")), "id", "left")
+            .select("id", "held", F.size("held").alias("size"), (F.size("held") - F.coalesce("own", F.lit(0))).alias("most"))
+            .filter(F.col("most") * den >= F.col("size") * num)
+        )
+        tiled = _dealt(apart).join(members.join(sigs, "id"), "id").repartition("band", "ti", "tj").sortWithinPartitions("band", "ti", "tj")
+        columns = ["band", "ti", "tj", "left", "right", "stray", "place", "id", "part", "size", "most", "held", "sig"]
+        rest = scratch.table(tiled.select(*columns).mapInArrow(_tiles(floor, num, den), "u long, v long"), "near-rest")
+        if rest.take(1):
+            parts = scratch.adopt(connected_components(links.union(rest)))
+        named = (
+            rows.select("doc_id", "key", F.col("text").isNull().alias("none"))
+            .join(reps, "key", "left")
+            .withColumn("rep_id", F.when(F.col("none") | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("rep_id")))
+            .join(parts.select(F.col("node").alias("rep_id"), "component"), "rep_id", "left")
+        )
+        return materialise(named.select("doc_id", "key", "rep_id", F.coalesce("component", "rep_id").alias("class_id")), "near-classes")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -70,6 +70,11 @@ class Scratch:
         self._paths.append((out, scratch_path(out)))
         return out
 
+    def adopt(self, table: DataFrame) -> DataFrame:
+        """Take over a table that ``materialise`` returned."""
+        self._paths.append((table, scratch_path(table)))
+        return table
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete some of the tables now."""
         for entry in [e for e in self._paths if any(e[0] is t for t in tables)]:

@@ -604,3 +604,24 @@ def test_near_copies_that_repeat_passages_on_one_side(spark):
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i in range(80)}
+
+
+def test_a_stray_in_a_large_bucket_costs_rows_in_proportion(spark):
+    """Tiles bring every stray together with every member of another part, without copies in proportion to pairs."""
+    from glotweave.llm.storage import Scratch
+
+    def deal(n, strays):
+        rows = [(7, 0, i, 0) for i in range(n)] + [(7, 0, n + k, n + k) for k in range(strays)] + [(8, 1, i, 5) for i in range(50)]
+        with Scratch(spark) as scratch:
+            return near_dedup._dealt(near_dedup._apart(spark.createDataFrame(rows, "band long, place int, id long, part long"), scratch)).collect()
+
+    small, large = len(deal(5000, 1)), len(deal(20_000, 1))
+    assert small <= 5001 + 10 and large <= 20_001 + 40
+    tiles = collections.defaultdict(lambda: ([], []))
+    for r in deal(1200, 600):
+        for side, c in zip(tiles[r["ti"], r["tj"]], ("left", "right")):
+            if r[c]:
+                side.append(r)
+    met = {(x["id"], y["id"]) for left, right in tiles.values() for x in left for y in right if x["part"] != y["part"]}
+    assert met == {(x, y) for x in range(1200, 1800) for y in range(1800) if x != y}
+    assert max(len(a) + len(b) for a, b in tiles.values()) < 3 * near_dedup.TILE
