@@ -8,13 +8,14 @@ expected grade is the sum of the tail probabilities, and documents are selected
 Features are the distinct lower-case words of the text, hashed, each worth one over the root of their number, plus a few
 shape features (share of repeated words, of symbols, of upper-case and word length, each in buckets).
 
-Scale: fitting takes at most ``sample_rows`` rated rows, chosen by hash (a documented bound); executors turn them into
-sparse features of at most ``max_features`` distinct hashes each, and only those come to the driver.  Scoring is one
-narrow pass over whole texts without a shuffle, whatever the input size; memory follows pieces of 1 MB of text.
+Scale: fitting takes a bounded sample of rated rows, in an order given by hash: at most ``sample_rows`` of them, and as
+many as have ``sample_chars`` characters together (one at least).  Executors turn whole texts into sparse features, and
+only those of the sample come to the driver.  Scoring is one narrow pass over whole texts without a shuffle, whatever the
+input size; memory follows pieces of 1 MB of text.
 
 Defined cases: a null or empty text has no words, only the shape features of an empty text, and gets a score like any
-other.  Ratings of unknown documents, null ratings and null ids are left out; repeated ratings of a document count as often
-as they stand there.  With no usable rating the model scores everything 0 with thresholds 0 (all tail probabilities one
+other.  Ratings of unknown documents, null ratings and null ids are left out; equal ratings of a document count once, different
+ones each, and so do the texts of a doc_id that is repeated (alike ones once).  With no usable rating the model scores everything 0 with thresholds 0 (all tail probabilities one
 half).  Rows of the scored table are judged one by one, so null or repeated ids pass; extra columns are ignored.
 """
 
@@ -34,7 +35,7 @@ from glotweave.llm.wordhash import Words, gram_hashes, window_starts
 
 BITS = 17
 SAMPLE_ROWS = 10_000
-MAX_FEATURES = 4_096
+SAMPLE_CHARS = 64_000_000
 _SHAPES = 64
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>!"]] = True
@@ -100,23 +101,13 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner[order], number[order], value[order]
 
 
-def _sparse_rows(max_features: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch):
-                owner, number, value = features(part.column("text"))
-                cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                packed = []
-                for i in range(part.num_rows):
-                    mine = number[cuts[i] : cuts[i + 1]]
-                    if len(mine) > max_features:  # the shape features stand last and stay
-                        mine = np.concatenate([mine[: max_features - 5], mine[-5:]])
-                    packed.append(mine.astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("grade"), part.column("pick"), pa.array(packed, pa.binary())], ["grade", "pick", "x"]
-                )
-
-    return run
+def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch):
+            owner, number, _ = features(part.column("text"))
+            cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
+            packed = [number[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_arrays([part.column("grade"), part.column("pick"), pa.array(packed, pa.binary())], ["grade", "pick", "x"])
 
 
 def _fit_arrays(rows: list[np.ndarray], grade: np.ndarray, n_grades: int, steps: int = 150, l2: float = 3e-4, rate: float = 0.3) -> Model:
@@ -153,18 +144,32 @@ def _fit_arrays(rows: list[np.ndarray], grade: np.ndarray, n_grades: int, steps:
     return Model(state[:dims].astype(np.float32), state[dims] + np.concatenate([[0.0], np.cumsum(np.exp(state[dims + 1 :]))]))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES) -> Model:
+def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """``ratings`` has doc_id and grade (0 .. n_grades - 1)."""
-    rated = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).filter(
-        F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1)
+    rated = (
+        ratings.select("doc_id", F.col("grade").cast("int").alias("grade"))
+        .filter(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1))
+        .distinct()
+    )
+    spark = docs.sparkSession
+    pick = F.xxhash64("doc_id", F.lit("rating sample"))
+    # the ratings first in order, then what they rate
+    chosen = rated.withColumn("pick", pick).orderBy("pick", "doc_id", "grade").limit(sample_rows)
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("fp"))
+    found = (
+        texts.withColumn("chars", F.coalesce(F.char_length("text"), F.lit(0))).drop("text").join(F.broadcast(chosen), "doc_id").distinct()
+        .orderBy("pick", "doc_id", "grade", "fp").limit(sample_rows).collect()
     )
-    n = rated.count()
-    pick = F.pmod(F.xxhash64("doc_id", F.lit("rating sample")), F.lit(1 << 30))
-    share = min(1.0, 0.9 * sample_rows / max(n, 1))
-    chosen = rated.withColumn("pick", pick).filter(F.col("pick") < int(share * (1 << 30))).orderBy("pick", "doc_id", "grade").limit(sample_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "pick", "text")
-    got = sample.mapInArrow(_sparse_rows(max_features), "grade int, pick long, x binary").collect()
-    got = sorted((r["pick"], r["grade"], bytes(r["x"])) for r in got)[: 2 * sample_rows]
+    room, taken = sample_chars, []
+    for r in found:
+        room -= r["chars"]
+        if room < 0 and taken:
+            break
+        taken.append((r["doc_id"], r["fp"], r["grade"], r["pick"]))
+    keys = spark.createDataFrame(taken, "doc_id long, fp long, grade int, pick long")
+    sample = texts.join(F.broadcast(keys), ["doc_id", "fp"]).groupBy("doc_id", "fp", "grade", "pick").agg(F.min("text").alias("text"))
+    got = sample.select("grade", "pick", "text").mapInArrow(_sparse_rows, "grade int, pick long, x binary").collect()
+    got = sorted((r["pick"], r["grade"], bytes(r["x"])) for r in got)
     if not got:
         return Model(np.zeros((1 << BITS) + _SHAPES, np.float32), np.zeros(n_grades - 1))
     rows = [np.frombuffer(g[2], dtype=np.int32) for g in got]
