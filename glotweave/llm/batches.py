@@ -1,4 +1,4 @@
-"""Arrow batches cut into pieces of bounded text, so that a task's memory follows the piece and not the batch."""
+"""Arrow batches cut into pieces of bounded text and rows, so that a task's memory follows the piece and not the batch."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ import pyarrow.compute  # noqa: F401
 PIECE_BYTES = 1 << 20
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text", max_bytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Zero-copy slices of consecutive rows whose texts have at most ``max_bytes``; a longer text is alone in its piece."""
+def pieces(batch: pa.RecordBatch, text: str = "text", max_bytes: int = PIECE_BYTES, max_rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Zero-copy slices of consecutive rows, ``max_rows`` at most, whose texts have at most ``max_bytes``; a longer text is alone
+    in its piece."""
     n = batch.num_rows
     if not n:
         return
@@ -24,6 +25,7 @@ def pieces(batch: pa.RecordBatch, text: str = "text", max_bytes: int = PIECE_BYT
     while start < n:
         base = ahead[start] - sizes[start]
         stop = max(start + 1, int(np.searchsorted(ahead, base + max_bytes, "right")))
+        stop = stop if max_rows is None else min(stop, start + max_rows)
         yield batch.slice(start, stop - start)
         start = stop
 

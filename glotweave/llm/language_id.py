@@ -11,12 +11,14 @@ lengths 2 to 4, hashed into ``dims`` counters, square-rooted and scaled to unit
 
 Scale: fitting takes a bounded sample, at most ``sample_rows`` labelled rows spread evenly over the languages (chosen by
 hash, so reruns agree); their feature vectors (half precision, ``sample_rows`` x ``dims``) are what comes to the driver,
-whatever the size of the corpus.  Prediction is one narrow pass without a shuffle; memory follows pieces of 1 MB of text.
+whatever the size of the corpus.  As every language needs a row, the ``sample_rows`` most frequent values of lang are
+learned if there are more.  Fitting ends when the loss has settled.  Prediction is one narrow pass without a shuffle; memory
+follows pieces of 1 MB of text and ``ROWS`` rows.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; so is every text if nothing could be
 learned.  One learned language is predicted for all texts with letters.  Rows with a null doc_id are predicted but not
-learned from (their fold is unknown) and have held_out = false.  Repeated rows are judged one by one; extra columns pass
-through ``identify``.
+learned from (their fold is unknown) and have held_out = false.  Repeated rows are judged one by one and learned from once (rows
+alike in doc_id, lang and text); extra columns pass through ``identify``.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from glotweave.llm.batches import pieces
 DIMS = 4096
 SAMPLE_ROWS = 4000
 MARGIN = 0.2
+#: Texts whose feature rows are in memory at once.
+ROWS = 256
 UND = "und"
 
 _CLEAN = np.arange(256, dtype=np.uint8)
@@ -91,14 +95,25 @@ def features(texts: pa.Array, dims: int = DIMS) -> np.ndarray:
     return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-9)
 
 
-def _train_bits(x: np.ndarray, signs: np.ndarray, steps: int = 80, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression of every bit at once by Adam over the whole sample; weights, biases and training accuracies."""
+def _train_bits(
+    x: np.ndarray, signs: np.ndarray, max_steps: int = 2000, settled: float = 1e-3, l2: float = 1e-4
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic regression of every bit at once by Adam over the whole sample; weights, biases and training accuracies.
+
+    It ends when ten steps together lower the mean loss by less than the share ``settled``.
+    """
     n, d = x.shape
     w, b = np.zeros((d, signs.shape[1]), dtype=np.float32), np.zeros(signs.shape[1], dtype=np.float32)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
-    for t in range(1, steps + 1):
-        z = x @ w + b
-        g = -signs / (1 + np.exp(np.clip(signs * z, -30, 30))) / n
+    before = np.inf
+    for t in range(1, max_steps + 1):
+        z = signs * (x @ w + b)
+        if t % 10 == 1:
+            loss = float(np.logaddexp(0, -z).mean() + l2 / 2 * (w * w).sum() / signs.shape[1])
+            if before - loss < settled * loss:
+                break
+            before = loss
+        g = -signs / (1 + np.exp(np.clip(z, -30, 30))) / n
         gw, gb = x.T @ g + l2 * w, g.sum(axis=0)
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -112,7 +127,7 @@ def _train_bits(x: np.ndarray, signs: np.ndarray, steps: int = 80, l2: float = 1
 def _featurise(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, max_rows=ROWS):
                 rows = features(part.column("text"), dims).astype(np.float16)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("lang"), pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "x"]
@@ -123,21 +138,23 @@ def _featurise(dims: int):
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, dims: int = DIMS) -> Model:
     """Learn from text and lang of at most ``sample_rows`` rows; rows with a null text or lang are left out."""
-    usable = labelled.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    seen = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    usable = labelled.select("doc_id", "lang", F.xxhash64("text").alias("fp"), "text").filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    seen = {r["lang"]: r["count"] for r in usable.select("doc_id", "lang", "fp").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_rows).collect()}
     if not seen:
         return Model((), codewords(0), np.zeros((dims, 0), np.float32), np.zeros(0), np.zeros(0))
     each = max(1, sample_rows // len(seen))
-    # first a share of each language by hash, twice what is needed, so that the ranking sees a bounded number of rows
-    pick = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 40))
-    bounds = F.create_map(*[F.lit(x) for lang, n in seen.items() for x in (lang, int(min(1.0, 2 * each / n) * (1 << 40)))])
-    order = Window.partitionBy("lang").orderBy("pick", "doc_id")
+    # first a share of each language by hash, more than is needed, so that the ranking sees a bounded number of rows: none of a
+    # language is missed but with probability exp(-40)
+    pick = F.pmod(F.xxhash64("doc_id", "fp", F.lit("language sample")), F.lit(1 << 40))
+    bounds = F.create_map(*[F.lit(x) for lang, n in seen.items() for x in (lang, int(min(1.0, (2 * each + 40) / n) * (1 << 40)))])
+    order = Window.partitionBy("lang").orderBy("pick", "doc_id", "fp")
     chosen = (
-        usable.select("doc_id", "lang", pick.alias("pick")).filter(F.col("pick") < F.element_at(bounds, F.col("lang")))
+        usable.select("doc_id", "lang", "fp", pick.alias("pick")).filter(F.col("pick") < F.element_at(bounds, F.col("lang"))).distinct()
         .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each)
-        .select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
+        .select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), F.col("fp").alias("f"))
     )
-    sample = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("lang", "text")
+    same = (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l")) & (F.col("fp") == F.col("f"))
+    sample = usable.join(F.broadcast(chosen), same).groupBy("doc_id", "lang", "fp").agg(F.min("text").alias("text")).select("lang", "text")
     got = sorted((r["lang"], bytes(r["x"])) for r in sample.mapInArrow(_featurise(dims), "lang string, x binary").collect())
     langs = tuple(sorted({g[0] for g in got}))
     x = np.stack([np.frombuffer(g[1], dtype=np.float16) for g in got]).astype(np.float32)
@@ -166,7 +183,7 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def _predict(model: Model, names: list[str], margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, max_rows=ROWS):
                 lettered = np.asarray(part.column("__li_letter"))
                 if model.langs:
                     best, top, second = decode(model, features(part.column("text"), len(model.weights)) @ model.weights + model.bias)

@@ -2,6 +2,7 @@
 
 import collections
 import json
+import math
 import random
 import re
 
@@ -136,6 +137,44 @@ def test_classifier_edges(spark, docs):
     assert sorted(map(tuple, quality_classifier.grades_of_labels(labels).collect())) == [(1, 2), (2, 1), (3, 0)]
 
 
+def test_classifier_samples_whole_texts_once(spark):
+    """Repeated rows and ratings, a text of more than 4,096 different words, and the bounds of the sample."""
+    rng = random.Random(7)
+    texts = {i: ("good " if i % 2 else "bad ") * 5 + sentence(rng, 30) for i in range(60)} | {60: sentence(rng, 9000, 10**7) + " good", 61: None}
+    plain = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, 1 if i % 2 or i == 60 else 0) for i in texts], "doc_id long, grade int")
+    once = quality_classifier.fit(plain, ratings, 2)
+    again = quality_classifier.fit(plain.unionByName(plain).repartition(5), ratings.union(ratings), 2)
+    assert np.array_equal(once.weights, again.weights) and np.array_equal(once.thresholds, again.thresholds)
+    owner, number, _ = quality_classifier.features(pa.array([texts[60]]))
+    assert len(number) > 8000 and (once.weights[number[number < 1 << quality_classifier.BITS]] != 0).mean() > 0.95
+    few = quality_classifier.fit(plain, ratings, 2, sample_rows=10, sample_chars=500)
+    assert 0 < (few.weights != 0).sum() < 200
+
+
+def test_fit_is_where_the_likelihood_is_largest():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 50, 8)).astype(np.int32) for _ in range(40)]
+    grade = rng.integers(0, 3, 40)
+    model = quality_classifier._fit_arrays(rows, grade, 3, steps=4000, rate=0.02)
+    share = np.bincount(grade) / 40
+    weight = (1 / np.sqrt(share))[grade] / (1 / np.sqrt(share))[grade].sum()
+
+    def loss(w, cuts):
+        total = 1.5e-4 * (w**2).sum()
+        for r, g, k in zip(rows, grade, weight):
+            s = w[r].sum() / len(r) ** 0.5
+            tail = [1.0, *(1 / (1 + np.exp(-(s - c))) for c in cuts), 0.0]
+            total -= k * np.log(tail[g] - tail[g + 1])
+        return total
+
+    w, cuts = model.weights[:50].astype(float), model.thresholds
+    best = loss(w, cuts)
+    for _ in range(60):
+        assert loss(w + rng.normal(0, 0.05, 50), cuts + rng.normal(0, 0.05, 2)) > best - 1e-4
+    assert cuts[0] < cuts[1]
+
+
 # 2 license scans
 
 
@@ -321,6 +360,41 @@ def test_language_id_learns_nothing_or_one(spark):
     assert {(r["lang_pred"], r["score"]) for r in language_id.identify(df, one).collect()} == {("aa", 1.0)}
 
 
+def test_language_id_learns_repeated_rows_once_and_rare_languages(spark):
+    base = spark.createDataFrame(language_rows(40), DOCS)
+    hot = spark.createDataFrame([(1000, "bana mala", "aa", "s", 0)], DOCS)
+    many = base.unionByName(hot.crossJoin(spark.range(3000)).select(*base.columns))
+    one, again = language_id.fit(base.unionByName(hot), sample_rows=100), language_id.fit(many, sample_rows=100)
+    assert np.array_equal(one.weights, again.weights)
+    rare = spark.createDataFrame([(i, "word " * 5, f"l{i % 300:03}", "s", 0) for i in range(900)], DOCS)
+    assert len(language_id.fit(rare, sample_rows=300).langs) == 300
+    assert language_id.fit(rare, sample_rows=20).langs == tuple(f"l{i:03}" for i in range(20))
+
+
+def test_language_id_memory_follows_rows(spark):
+    import resource
+
+    model = language_id.fit(spark.createDataFrame(language_rows(40), DOCS))
+    batch = pa.record_batch({"text": ["bana mala"] * 20_000, "__li_letter": [True] * 20_000})
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    n = sum(b.num_rows for b in language_id._predict(model, ["text"], 0.2)(iter([batch])))
+    assert n == 20_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 150_000
+
+
+def test_language_decoding_by_brute_force():
+    """The winner is the language whose codeword costs least, by plain sums."""
+    rng = np.random.default_rng(2)
+    codes = language_id.codewords(6)
+    trust = rng.uniform(0.1, 1, codes.shape[1])
+    model = language_id.Model(tuple("abcdef"), codes, np.zeros((1, codes.shape[1])), np.zeros(codes.shape[1]), trust)
+    margins = rng.normal(0, 2, (50, codes.shape[1]))
+    best, top, second = language_id.decode(model, margins)
+    for k in range(50):
+        costs = [sum(t * math.log(1 + math.exp(-m * c)) for t, m, c in zip(trust, margins[k], code)) for code in codes]
+        shares = sorted((math.exp(-c) / sum(math.exp(-x) for x in costs) for c in costs), reverse=True)
+        assert best[k] == costs.index(min(costs)) and top[k] == pytest.approx(shares[0]) and second[k] == pytest.approx(shares[1])
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 7, 20])
 def test_codewords_are_far_apart(n):
     c = language_id.codewords(n).astype(int)
