@@ -15,7 +15,8 @@ others go through the seeds and the verification above.  Documents are read for
 
 Scale: test items are the small side.  Their seeds are counted first and broadcast up to ``broadcast_rows``; above that the
 same join runs as a shuffled equi-join that adaptive execution can split.  In the broadcast form documents are streamed
-once without a shuffle, and only hits leave a task.  Texts are read a second time for documents with hits, joined on
+once without a shuffle, and only hits leave a task.  Hits are written to the shared scratch folder and counted; texts are
+read a second time for documents with hits, which are broadcast up to the same number of hits, else joined by a shuffle on
 doc_id.  A passage held by a third of all documents costs each of them its own rows only.
 
 Defined cases: null or empty texts have no tokens and no hits; items with fewer tokens than the shorter mask (8) are
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glotweave.llm.columns import SPACE_RUN
+from glotweave.llm.storage import Scratch, materialise
 
 #: Positions kept; found by search over all masks of weight 6, complete for 2 substitutions in 13 tokens.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
@@ -127,16 +129,19 @@ def _search(docs: DataFrame, items: DataFrame, broadcast_rows: int, split) -> Da
     """Verified pairs by spaced seeds, over the tokens that ``split`` gives."""
     item_seeds = _seeds(items, "item_id", split).select("item_id", F.col("at").alias("item_at"), "seed")
     n_seeds = item_seeds.count()
-    hits = (
-        _seeds(docs, "doc_id", split)
-        .join(_small(item_seeds, n_seeds, broadcast_rows), "seed")
-        .select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
-        .distinct()
-    )
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("hits"))
+    with Scratch(docs.sparkSession) as scratch:
+        hits = scratch.table(
+            _seeds(docs, "doc_id", split)
+            .join(_small(item_seeds, n_seeds, broadcast_rows), "seed")
+            .select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+            .distinct(),
+            "leak-hits",
+        )
+        n_hits = hits.count()
+        by_doc = materialise(hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("hits")), "leak-documents")
     item_tokens = items.select("item_id", split(F.col("text")).alias("item_tokens"))
     aligned = (
-        docs.join(by_doc, "doc_id")
+        docs.join(_small(by_doc, n_hits, broadcast_rows), "doc_id")
         .select("doc_id", split(F.col("text")).alias("doc_tokens"), "hits")
         .select("doc_id", "doc_tokens", F.inline("hits"))
         .join(_small(item_tokens, n_seeds, broadcast_rows), "item_id")

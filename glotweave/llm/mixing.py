@@ -13,7 +13,7 @@ hash); a window ranks documents inside a bin, and two small prefix sums place th
 about 2,500 rows at most, however many documents there are).  The per-source plan has one row per source.  All of it
 works on (doc_id, source, size), written once to the shared scratch folder so that texts are read once.
 
-All counts are exact integers (decimals where products pass 64 bits); reruns agree because order and offsets are hashes.
+All counts are exact integers (decimals where products pass 64 bits); reruns agree because order and offsets are MD5 values.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order; null and
 repeated doc_ids are ranked row by row (rows alike in id, source and text are interchangeable); no rows give no rows.
@@ -30,10 +30,21 @@ from glotweave.llm.storage import materialise
 MAX_FACTOR = 3
 
 
+def fingerprint() -> Column:
+    return md5_number(15, F.col("doc_id").cast("string"), F.concat(F.lit("s"), "source"), F.concat(F.lit("t"), "text"))
+
+
 def size_class(size: Column) -> Column:
     """Monotone in size: the size itself below 1024, then 64 classes per doubling."""
-    power = F.floor(F.log2(size.cast("double"))).cast("int")
-    return F.when(size < 1024, size).otherwise(1024 + (power - 10) * 64 + F.floor((size / F.pow(F.lit(2.0), power) - 1) * 64)).cast("long")
+    bits = F.length(F.bin(size)) - 1
+    within = (size - F.call_function("shiftleft", F.lit(1).cast("long"), bits)) * 64
+    return F.when(size < 1024, size).otherwise(1024 + (bits - 10) * 64 + F.call_function("shiftright", within, bits)).cast("long")
+
+
+def md5_number(digits: int, *parts: Column) -> Column:
+    """The first hexadecimal digits of the MD5 of the parts, as a number; null parts count as empty."""
+    text = F.concat_ws("\x01", *[F.coalesce(p, F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_factor: int = MAX_FACTOR) -> DataFrame:
@@ -62,7 +73,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_f
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_factor: int = MAX_FACTOR, seed: int = 17, sub_bins: int = 256) -> DataFrame:
     """doc_id, source, __mx_fp, size, source_size, target, copies: one row for each row of ``docs``."""
     sized = materialise(
-        docs.select("doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("__mx_fp"), n_words(F.col("text")).alias("size")),
+        docs.select("doc_id", "source", fingerprint().alias("__mx_fp"), n_words(F.col("text")).alias("size")),
         "mixing-sizes",
     ).withColumn("__mx_class", size_class(F.col("size"))).withColumn("__mx_sub", F.pmod(F.col("__mx_fp"), F.lit(sub_bins)))
     bins = sized.groupBy("source", "__mx_class", "__mx_sub").agg(F.count("*").alias("__mx_n"))
@@ -86,7 +97,8 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_factor:
         "__mx_i", (F.col("__mx_before") + F.col("__mx_inner") + F.col("__mx_rank")).cast("decimal(18,0)")
     )
     t, s = F.floor("target").cast("decimal(19,0)"), F.col("source_size").cast("decimal(19,0)")
-    offset = F.floor(F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20) * F.col("source_size")).cast("decimal(19,0)")
+    share = md5_number(5, F.lit(str(seed)), F.concat(F.lit("s"), "source")) / float(1 << 20)
+    offset = F.floor(share * F.col("source_size")).cast("decimal(19,0)")
     at = at.withColumn("__mx_t", t).withColumn("__mx_s", s).withColumn("__mx_u", offset)
     crossed = F.expr("(__mx_i * __mx_t + __mx_u) div __mx_s - ((__mx_i - 1) * __mx_t + __mx_u) div __mx_s")
     return at.select(
@@ -98,20 +110,21 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_factor:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; ``copy`` numbers the repeats from 1.
 
-    Rows alike in doc_id, source and text meet as many plan rows, so copies are summed per such group and dealt evenly.
+    Of rows alike in doc_id, source and text one comes out (the first by its other columns), with the copies of all.
     """
-    plan = (
-        mix_plan(docs, **options)
-        .filter(F.col("copies") > 0)
-        .groupBy(F.col("__mx_fp").alias("__mx_key"))
-        .agg(F.sum("copies").cast("int").alias("__mx_copies"))
-    )
-    first = docs.withColumn("__mx_key", F.xxhash64("doc_id", "source", "text"))
-    alike = Window.partitionBy("__mx_key").orderBy("doc_id")
     names = [c for c in docs.columns if c != "copy"]
-    return (
-        first.join(plan, "__mx_key")
-        .withColumn("__mx_nth", F.row_number().over(alike))
-        .filter(F.col("__mx_nth") == 1)
-        .select(*names, F.explode(F.sequence(F.lit(1), F.col("__mx_copies"))).alias("copy"))
+    keys = ["__mx_k_id", "__mx_k_source", "__mx_k_fp"]
+    taken = materialise(
+        mix_plan(docs, **options)
+        .select(F.col("doc_id").alias(keys[0]), F.col("source").alias(keys[1]), F.col("__mx_fp").alias(keys[2]), "copies")
+        .groupBy(*keys)
+        .agg(F.sum("copies").cast("int").alias("__mx_copies"), F.count("*").alias("__mx_rows"))
+        .filter("__mx_copies > 0"),
+        "mixing-taken",
     )
+    same = F.col("doc_id").eqNullSafe(F.col(keys[0])) & F.col("source").eqNullSafe(F.col(keys[1])) & (fingerprint() == F.col(keys[2]))
+    found = docs.join(taken, same)
+    if taken.filter("__mx_rows > 1").take(1):  # only alike rows need to be told apart
+        alike = Window.partitionBy(*keys).orderBy(*names)
+        found = found.withColumn("__mx_nth", F.row_number().over(alike)).filter(F.col("__mx_nth") == 1)
+    return found.select(*names, F.explode(F.sequence(F.lit(1), F.col("__mx_copies"))).alias("copy"))

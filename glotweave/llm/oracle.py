@@ -73,39 +73,65 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed
 FROM w LEFT JOIN s ON s.doc_id = w.doc_id
 """
 
-_TOKENS = (
-    "list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}\\x20\\x09-\\x0D]+', '', 'g'), "
-    "'[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
-)
+def _tokens(text: str) -> str:
+    return (
+        f"list_filter(regexp_split_to_array(regexp_replace({text}, '[^\\p{{L}}\\p{{N}}\\x20\\x09-\\x0D]+', '', 'g'), "
+        "'[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+    )
 
-OP7 = f"""
-WITH d AS (SELECT doc_id AS id, {_TOKENS} AS ws FROM documents), b AS (SELECT item_id AS id, {_TOKENS} AS ws FROM benchmark),
-ds AS (
-  SELECT id, i, 'a ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3] || ' ' || ws[i+5] || ' ' || ws[i+7] || ' ' || ws[i+8] AS s
-  FROM (SELECT id, ws, unnest(range(0, len(ws) - 7)) AS i FROM d)
-  UNION ALL
-  SELECT id, i, 'b ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+4] || ' ' || ws[i+7] || ' ' || ws[i+8] || ' ' || ws[i+9] AS s
-  FROM (SELECT id, ws, unnest(range(0, len(ws) - 8)) AS i FROM d)
-), bs AS (
+
+_LOWER = "lower(coalesce(text, ''))"
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]"
+_SPLIT = f"regexp_replace({_LOWER}, '({_UNSPACED})', ' \\1 ', 'g')"
+
+
+def _seeded(x: str) -> str:
+    """Verified pairs by spaced seeds of the token lists in d{x} and b{x}."""
+
+    def seeds(side: str) -> str:
+        return f"""
   SELECT id, i, 'a ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3] || ' ' || ws[i+5] || ' ' || ws[i+7] || ' ' || ws[i+8] AS s
-  FROM (SELECT id, ws, unnest(range(0, len(ws) - 7)) AS i FROM b)
+  FROM (SELECT id, ws, unnest(range(0, len(ws) - 7)) AS i FROM {side}{x})
   UNION ALL
   SELECT id, i, 'b ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+4] || ' ' || ws[i+7] || ' ' || ws[i+8] || ' ' || ws[i+9] AS s
-  FROM (SELECT id, ws, unnest(range(0, len(ws) - 8)) AS i FROM b)
-), h AS (
-  SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (s)
-), a AS (
+  FROM (SELECT id, ws, unnest(range(0, len(ws) - 8)) AS i FROM {side}{x})"""
+
+    return f"""
+h{x} AS (
+  SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.i - bs.i AS shift FROM ({seeds("d")}) ds JOIN ({seeds("b")}) bs USING (s)
+), a{x} AS (
   SELECT doc_id, item_id, shift, least(13, len(b.ws)) AS win, j, (b.ws[j + 1] = d.ws[j + shift + 1])::INT AS same
   FROM (
     SELECT h.*, unnest(range(greatest(0, -shift), least(len(b.ws), len(d.ws) - shift))) AS j
-    FROM h JOIN d ON d.id = h.doc_id JOIN b ON b.id = h.item_id
-  ) h JOIN d ON d.id = h.doc_id JOIN b ON b.id = h.item_id
-), w AS (
+    FROM h{x} h JOIN d{x} d ON d.id = h.doc_id JOIN b{x} b ON b.id = h.item_id
+  ) h JOIN d{x} d ON d.id = h.doc_id JOIN b{x} b ON b.id = h.item_id
+), w{x} AS (
   SELECT doc_id, item_id, win, sum(same) OVER p AS n_agree, count(*) OVER p AS n
-  FROM a WINDOW p AS (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)
+  FROM a{x} WINDOW p AS (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)
+), f{x} AS (
+  SELECT doc_id, item_id, n_agree, win FROM w{x} WHERE n >= win AND n_agree >= win - CASE WHEN win >= 10 THEN floor(win * 2 / 13) ELSE 0 END
+)"""
+
+
+#: Items in scripts without spaces and short ones are sought in tokens that are split further, the short ones whole.
+OP7 = f"""
+WITH d AS (SELECT doc_id AS id, {_tokens(_LOWER)} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+b AS (SELECT item_id AS id, {_tokens(_LOWER)} AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+b_odd AS (
+  SELECT item_id AS id, {_tokens(_SPLIT)} AS ws FROM benchmark
+  WHERE item_id IS NOT NULL AND text IS NOT NULL AND (len({_tokens(_LOWER)}) <= 7 OR regexp_matches(text, '{_UNSPACED}'))
+), d_odd AS (
+  SELECT doc_id AS id, {_tokens(_SPLIT)} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND (SELECT count(*) FROM b_odd) > 0
+), {_seeded("")}, {_seeded("_odd")}, whole AS (
+  SELECT DISTINCT p.id AS doc_id, s.id AS item_id, p.n
+  FROM (
+    SELECT id, n, ws[i : i + n - 1] AS part
+    FROM (SELECT id, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM d_odd, (SELECT DISTINCT len(ws) AS n FROM b_odd WHERE len(ws) BETWEEN 1 AND 7))
+  ) p JOIN b_odd s ON s.ws = p.part
 )
-SELECT doc_id, item_id, max(n_agree)::BIGINT AS n_agree, max(win)::BIGINT AS "window"
-FROM w WHERE n >= win AND n_agree >= win - CASE WHEN win >= 10 THEN floor(win * 2 / 13) ELSE 0 END GROUP BY doc_id, item_id
+SELECT doc_id, item_id, max({{'w': win, 'n': n_agree}})['n']::BIGINT AS n_agree, max(win)::BIGINT AS "window"
+FROM (SELECT doc_id, item_id, win, n_agree FROM f UNION ALL SELECT doc_id, item_id, win, n_agree FROM f_odd UNION ALL SELECT doc_id, item_id, n, n FROM whole)
+GROUP BY doc_id, item_id
 """
 
 #: Without tool calls, which the generated conversations have none of; ``chat_tool_calls`` has them.
@@ -146,4 +172,33 @@ SELECT conv_id, 1, 0, 0, 0, count(*), '{"conv_id":' || conv_id || ',"messages":[
 FROM t WHERE turn = 0 AND role = 'user' GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op3_line_dedup": OP3, "op4_substring_dedup": OP4, "op7_decontamination": OP7, "op8_quality_rules": OP8, "op9_chat_format": OP9, "chat_tool_calls": CHAT_TOOL_CALLS}
+#: Order and offsets are MD5 values of ids, sources and texts.
+OP5 = f"""
+WITH n AS (
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(1) || coalesce('s' || source, '') || chr(1) || coalesce('t' || text, '')), 1, 15))::BIGINT AS fp
+  FROM documents
+), c AS (
+  SELECT *, CASE WHEN size < 1024 THEN size ELSE 1024 + (length(bin(size)) - 11) * 64 + ((size - (1::BIGINT << (length(bin(size)) - 1))) * 64 >> (length(bin(size)) - 1)) END AS class
+  FROM n
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM n GROUP BY source
+), k AS (
+  SELECT *, source_size * 3 AS cap, (source_size * 3)::DOUBLE / weight AS ratio, sum(source_size) OVER () AS total FROM s
+), l AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+            / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM k
+), t AS (
+  SELECT source, source_size, least(cap::DOUBLE, max(level) OVER () * weight) AS target,
+         floor(('0x' || substr(md5('17' || chr(1) || coalesce('s' || source, '')), 1, 5))::BIGINT / 1048576.0::DOUBLE * source_size)::HUGEINT AS u
+  FROM l
+), i AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, fp % 256, size, fp, doc_id)::HUGEINT AS i FROM c
+)
+SELECT doc_id, size, source_size, target,
+       (CASE WHEN size > 0 THEN ((i * floor(target)::HUGEINT + u) // source_size - ((i - 1) * floor(target)::HUGEINT + u) // source_size) * size ELSE 0 END)::BIGINT AS taken
+FROM i JOIN t ON i.source IS NOT DISTINCT FROM t.source
+"""
+
+ORACLE: dict[str, str] = {"op5_source_mixing": OP5, "op3_line_dedup": OP3, "op4_substring_dedup": OP4, "op7_decontamination": OP7, "op8_quality_rules": OP8, "op9_chat_format": OP9, "chat_tool_calls": CHAT_TOOL_CALLS}

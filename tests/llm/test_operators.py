@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -15,6 +16,7 @@ from glotweave.llm import (
     chat_format, decontaminate, language_id, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup,
 )
 from glotweave.llm.components import connected_components
+from glotweave.llm.oracle import OP5, OP7
 from glotweave.llm.probminhash import signatures
 from glotweave.llm.wordhash import Words
 
@@ -307,6 +309,11 @@ def test_mixing(spark, docs, rows):
     for s, rs in by.items():
         assert rs[0]["source_size"] == sizes[s] and rs[0]["target"] == pytest.approx(want[s])
         assert abs(sum(r["copies"] * r["size"] for r in rs) - want[s]) <= 3 * max(r["size"] for r in rs)
+    duck = duckdb.connect()
+    duck.register("documents", pa.table({"doc_id": [r[0] for r in rows], "source": [r[3] for r in rows], "text": [r[1] for r in rows]}))
+    assert sorted(duck.sql(f"select doc_id, size, source_size, target, taken from ({OP5})").fetchall()) == sorted(
+        (r["doc_id"], r["size"], r["source_size"], r["target"], r["copies"] * r["size"]) for r in plan
+    )
     copies = collections.Counter(r["doc_id"] for r in mixing.mix(docs).collect())
     assert copies == collections.Counter({r["doc_id"]: r["copies"] for r in plan if r["copies"]})
     odd = mixing.mix_plan(more(spark, docs))
@@ -472,6 +479,13 @@ def test_short_and_unspaced_items(spark):
     for limit in (10**6, 0):
         got = decontaminate.contaminated(df, bench, broadcast_rows=limit, short_items=True).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    duck = duckdb.connect()
+    for name, rows in (("documents", texts), ("benchmark", items | {10: None})):
+        key = "doc_id" if name == "documents" else "item_id"
+        duck.register(name, pa.table({key: pa.array(list(rows), pa.int64()), "text": pa.array(list(rows.values()), pa.string())}))
+    assert sorted(duck.sql(f"select doc_id, item_id, n_agree, \"window\" from ({OP7})").fetchall()) == sorted(
+        (r["doc_id"], r["item_id"], r["n_agree"], r["window"]) for r in got
+    )
     kept = decontaminate.remove_contaminated(df, bench, short_items=True)
     assert {r["doc_id"] for r in kept.collect()} == {2, 4, 6, 9, 11, 12}
 
