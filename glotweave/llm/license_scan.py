@@ -2,23 +2,25 @@
 
 Method.  A candidate block is a run of lines with license wording (cue words, gaps of one line allowed).  It is compressed
 by zstandard alone and once per template (both in lower case), with the template as raw-content dictionary; templates are ranked by how much
-smaller the block gets.  Winners are confirmed by exact wording differences: the words of block and template are aligned
-by their longest common subsequence, and the template is confirmed if nearly all of its words are there and no marker word
-(a word that tells templates apart: names, versions, clauses) is missing or added inside the matched stretch.  The
-best-ranked template that is confirmed names the license.
+smaller the block gets.  Winners are confirmed by exact wording differences: the words of block and template are aligned,
+and the template is confirmed if nearly all of its words are there and no marker word (a word that tells licenses apart:
+names, versions, clauses) is missing or added inside the matched stretch.  The best-ranked template that is confirmed names
+the license.
 
-A notice inside longer lines saves too little of its block to be ranked.  So notices are also sought in the words of the
-whole text, without regard to lines: around every place of a template's rarest marker word (which a confirmed notice must
-hold) the best local alignment through that word is confirmed by the same differences, and its reduction is that of the
-stretch.  Where stretches overlap, the one with most words counts.  A block gives one row per license confirmed in it.
+A notice is often wrapped over lines without a cue, or stands inside a longer line, where it saves too little of its line to
+be ranked.  So stretches of words are candidates as well, without regard to lines: around every place of a template's rarest
+word (of its markers, if it has some; else of as many words as cannot all be missing) the best local alignment is confirmed
+by the same differences.  Where stretches overlap, the one whose template saves most bytes of it counts.  A block
+grows to the lines of the stretches that it meets, and gives one row per license confirmed in it.
 
 Scale: one narrow pass without a shuffle; Spark keeps only documents with a cue, in the JVM, before texts go to Python.
-Templates are a fixed list, compressors are built once per task.
+Templates are a fixed list, compressors are built once per task.  Alignments are tried only where the words of the template
+are there at all, so a text costs time in proportion to its length and the notices in it.
 
 Defined cases: null and empty texts have no blocks.  A block that no template explains is reported with license null and
-confirmed false.  Lines of a block are widened to those of its notice.  Ties in rank go to the template listed first.  Rows are scanned one by one, so null or repeated doc_ids
-are reported as they stand; extra columns are ignored.  Blocks longer than ``max_block_chars`` are cut into consecutive
-blocks, none of which is left out; a notice across a cut is in the first of them.
+confirmed false, with its best reduction.  Ties in rank go to the template listed first.  Rows are scanned one by one, so null
+or repeated doc_ids are reported as they stand; extra columns are ignored.  Blocks longer than ``MAX_BLOCK_CHARS`` are ranked
+in windows that overlap by more than a template, and are one block still.
 """
 
 from __future__ import annotations
@@ -36,28 +38,88 @@ from pyspark.sql import functions as F
 from glotweave.llm.batches import pieces
 
 # Common wordings of license notices.
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software"
+)
+_MIT_TERMS = (
+    ", and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission "
+    "notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, "
+    "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+    "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+    "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_TWO = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary "
+    "form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
+    "provided with the distribution. "
+)
+_BSD_THIRD = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS "
+    "OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_APACHE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy "
+    "of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the "
+    "License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+)
+_GNU = "is free software{0} you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation{2} either version {3} of the License, or (at your option) any later version."
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", _APACHE + " See the License for the specific language governing permissions and limitations under the License."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
+    ("MIT", _MIT_GRANT + "."),
+    ("MIT", _MIT_GRANT + _MIT_TERMS),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("GPL-3.0", "This program " + _GNU.format(":", "General Public License", ",", "3")),
+    ("GPL-2.0", "This program " + _GNU.format(";", "General Public License", ";", "2")),
+    ("AGPL-3.0", "This program " + _GNU.format(":", "Affero General Public License", ",", "3")),
+    ("LGPL-3.0", "This library " + _GNU.format(":", "Lesser General Public License", ",", "3")),
+    ("LGPL-2.1", "This library " + _GNU.format(";", "Lesser General Public License", ";", "2.1")),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-3-Clause", _BSD_TWO + _BSD_THIRD + _BSD_DISCLAIMER),
+    ("BSD-2-Clause", _BSD_TWO + _BSD_DISCLAIMER),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
 )
+# Words that tell licenses apart, missing from a notice or added inside it.
+MARKERS = frozenset(
+    "apache mit gnu gpl lgpl agpl affero lesser library bsd mozilla mpl isc boost bsl eclipse epl zlib unlicense creative commons cc cc0 by sa nc nd attribution "
+    "sharealike noncommercial noderivatives universal clause endorse promote advertising 1 2 3 4 1.0 1.1 2.0 2.1 2.5 3.0 4.0".split()
+)
+#: An identifier line for every license named above; "-only" and "-or-later" after it name no other license.
+SPDX = tuple((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(name for name, _ in TEMPLATES))
+_OTHER_ID = re.compile(r"-(?!only\b|or-later\b)\w")
 CUES = r"(?i)licen[sc]|copyright|permission\s+is\s+hereby|public\s+domain|warrant(y|ies)|creative\s+commons|spdx|redistribution"
 _CUE = re.compile(CUES)
 _WORD = re.compile(r"\w+(?:\.\w+)*")
@@ -79,10 +141,9 @@ def line_starts(lines: list[str]) -> list[int]:
     return out
 
 
-def blocks(text: str, max_chars: int = MAX_BLOCK_CHARS) -> Iterator[tuple[int, int, str]]:
-    """(first line, last line, text) of every run of cue lines."""
-    lines = text.split("\n")
-    starts = line_starts(lines)
+def blocks(text: str) -> Iterator[tuple[int, int]]:
+    """(first line, last line) of every run of cue lines."""
+    starts = line_starts(text.split("\n"))
     marked = sorted({i for m in _CUE.finditer(text) for i in range(bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1))})
     runs: list[list[int]] = []
     for i in marked:
@@ -90,10 +151,14 @@ def blocks(text: str, max_chars: int = MAX_BLOCK_CHARS) -> Iterator[tuple[int, i
             runs[-1][1] = i
         else:
             runs.append([i, i])
-    for a, b in runs:
-        whole = "\n".join(lines[a : b + 1])
-        for start in range(0, len(whole), max_chars):
-            yield a, b, whole[start : start + max_chars]
+    yield from map(tuple, runs)
+
+
+def windows(block: str, overlap: int, max_chars: int | None = None) -> Iterator[str]:
+    """The block, or pieces of it of which any ``overlap`` consecutive characters are in one."""
+    size = MAX_BLOCK_CHARS if max_chars is None else max_chars
+    for start in range(0, max(1, len(block) - overlap), size - overlap):
+        yield block[start : start + size]
 
 
 def alignment(block: list[str], template: list[str]) -> tuple[list[str], list[str]]:
@@ -167,14 +232,15 @@ def alignment_at(block: list[str], at: int, template: list[str]) -> list[tuple[i
 
 
 class Scanner:
-    """Templates with their compressors and marker words."""
+    """Templates with their compressors."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
+    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES + SPDX):
         self.names = [t[0] for t in templates]
         self.words = [words(t[1]) for t in templates]
-        held = Counter(w for name in dict.fromkeys(self.names) for w in {x for n, ws in zip(self.names, self.words) if n == name for x in ws})
-        kinds = len(set(self.names))
-        self.markers = {w for w, n in held.items() if n <= max(1, kinds // 3)} - {"this", "work", "the", "is", "under", "to", "released", "a"}
+        self.counts = [Counter(ws) for ws in self.words]
+        self.known = {w for ws in self.words for w in ws}
+        self.longest = 2 * max((len(t[1]) for t in templates), default=0)
+        self.identifier = [t[1].startswith("SPDX") for t in templates]
         self.plain = zstandard.ZstdCompressor(level=9, write_content_size=False)
         self.primed = [
             zstandard.ZstdCompressor(
@@ -191,86 +257,99 @@ class Scanner:
         gains = [(1 - len(c.compress(raw)) / alone, k) for k, c in enumerate(self.primed)]
         return sorted(gains, key=lambda g: (-g[0], g[1]))
 
+    def may_hold(self, held: Counter, k: int) -> bool:
+        """Whether so many of the template's words are there that it could be confirmed."""
+        there = sum(min(n, held.get(w, 0)) for w, n in self.counts[k].items())
+        return there >= MIN_PRESENT * len(self.words[k])
+
     def confirm(self, block: list[str], k: int) -> tuple[bool, int, int]:
         return self._judge(*alignment(block, self.words[k]), k)
 
     def _judge(self, missing: list[str], extra: list[str], k: int) -> tuple[bool, int, int]:
         present = 1 - len(missing) / max(1, len(self.words[k]))
-        told = self.markers.intersection(missing) or self.markers.intersection(extra)
+        told = MARKERS.intersection(missing) or MARKERS.intersection(extra)
         return present >= MIN_PRESENT and not told, len(missing), len(extra)
 
     def notices(self, text: str) -> list[tuple[int, int, str, float, int, int]]:
         """(start, end, license, reduction, missing, extra) of confirmed stretches anywhere in the text, none overlapping."""
         spans = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(text)]
         own = [w for _, _, w in spans]
-        known = {w for ws in self.words for w in ws}
         places: dict[str, list[int]] = {}
         for i, w in enumerate(own):
-            if w in known:
+            if w in self.known:
                 places.setdefault(w, []).append(i)
+        held = Counter({w: len(at) for w, at in places.items()})
         found = []
         for k, template in enumerate(self.words):
             rarest = sorted(set(template), key=lambda w: (len(places.get(w, ())), w))
-            markers = [w for w in rarest if w in self.markers]
-            anchors = markers[:1] or rarest[: int(len(template) * (1 - MIN_PRESENT)) + 1]
-            if any(w not in places for w in markers):
+            markers = [w for w in rarest if w in MARKERS]
+            if any(w not in places for w in markers) or not self.may_hold(held, k):
                 continue
-            done = -1
+            anchors = markers[:1] or rarest[: int(len(template) * (1 - MIN_PRESENT)) + 1]
+            reach = len(template) + max(4, len(template) // 2)
+            done, tried = -1, set()
             for at in sorted(i for w in anchors for i in places.get(w, ())):
-                if at <= done:
+                if at <= done or at in tried:
+                    continue
+                if not self.may_hold(Counter(w for w in own[max(0, at - reach) : at + reach + 1] if w in self.counts[k]), k):
                     continue
                 pairs = alignment_at(own, at, template)
                 a, b = pairs[0][0], pairs[-1][0]
-                taken, held = {i for i, _ in pairs}, {j for _, j in pairs}
+                taken, matched = {i for i, _ in pairs}, {j for _, j in pairs}
+                tried |= taken
                 ok, missing, extra = self._judge(
-                    [w for j, w in enumerate(template) if j not in held], [own[i] for i in range(a, b) if i not in taken], k
+                    [w for j, w in enumerate(template) if j not in matched], [own[i] for i in range(a, b) if i not in taken], k
                 )
-                if ok:
+                if ok and not (self.identifier[k] and _OTHER_ID.match(text, spans[b][1])):
                     done = b
-                    found.append((len(pairs), extra, k, a, b, missing))
+                    raw = text[spans[a][0] : spans[b][1]].lower().encode()
+                    found.append((len(self.plain.compress(raw)), len(self.primed[k].compress(raw)), extra, k, a, b, missing))
         out, used = [], set()
-        for _, extra, k, a, b, missing in sorted(found, key=lambda f: (-f[0], f[1], f[2], f[3])):
+        for alone, primed, extra, k, a, b, missing in sorted(found, key=lambda f: (f[1] - f[0], f[2], f[3], f[4])):
             if used.isdisjoint(range(a, b + 1)):
                 used.update(range(a, b + 1))
-                raw = text[spans[a][0] : spans[b][1]].lower().encode()
-                gain = 1 - len(self.primed[k].compress(raw)) / len(self.plain.compress(raw))
-                out.append((spans[a][0], spans[b][1], self.names[k], gain, missing, extra))
+                out.append((spans[a][0], spans[b][1], self.names[k], 1 - primed / alone, missing, extra))
         return sorted(out)
 
     def report(self, text: str) -> Iterator[tuple[int, int, str | None, float, int | None, int | None]]:
         """First line, last line, license, reduction, missing and extra words: the rows of one text."""
-        starts = line_starts(text.split("\n"))
-        left = self.notices(text)
-        run, base = None, 0
-        for a, b, block in blocks(text):
-            if (a, b) != run:
-                run, base = (a, b), starts[a]
-            end = base + len(block)
-            here = [n for n in left if n[0] < end and n[1] > base]
-            left = [n for n in left if n not in here]
-            base = end
-            name, gain, missing, extra = self.scan(block)
-            told = {name}
-            if name is not None or not here:
-                yield a, b, name, gain, missing, extra
-            for start, stop, license, gain, missing, extra in here:
-                if license not in told:
-                    told.add(license)
-                    yield min(a, bisect_right(starts, start) - 1), max(b, bisect_right(starts, stop - 1) - 1), license, gain, missing, extra
-        for start, stop, license, gain, missing, extra in left:
-            yield bisect_right(starts, start) - 1, bisect_right(starts, stop - 1) - 1, license, gain, missing, extra
+        lines = text.split("\n")
+        starts = line_starts(lines)
+        told = [(bisect_right(starts, n[0]) - 1, bisect_right(starts, n[1] - 1) - 1, n) for n in self.notices(text)]
+        grown: list[tuple[int, int, list]] = []
+        for a, b, notice in sorted([(a, b, None) for a, b in blocks(text)] + told, key=lambda x: (x[0], x[1])):
+            if grown and a <= grown[-1][1] + 2:
+                first, last, inside = grown.pop()
+                grown.append((first, max(last, b), inside + [notice] * (notice is not None)))
+            else:
+                grown.append((a, b, [notice] * (notice is not None)))
+        for a, b, inside in grown:
+            if not inside:
+                yield a, b, *self.scan("\n".join(lines[a : b + 1]))
+                continue
+            seen = set()
+            for _, _, name, gain, missing, extra in sorted(inside):
+                if name not in seen:
+                    seen.add(name)
+                    yield a, b, name, gain, missing, extra
 
     def scan(self, block: str) -> tuple[str | None, float, int | None, int | None]:
         """License, reduction, missing and extra words of the best confirmed template; else license None and the best reduction."""
-        ranked = self.rank(block)
-        own = words(block)
-        for gain, k in ranked:
-            if gain < MIN_REDUCTION:
-                break
-            ok, missing, extra = self.confirm(own, k)
-            if ok:
-                return self.names[k], gain, missing, extra
-        return None, ranked[0][0], None, None
+        best = 0.0
+        for window in windows(block, self.longest):
+            ranked = self.rank(window)
+            best = max(best, ranked[0][0])
+            own = words(window)
+            held = Counter(own)
+            for gain, k in ranked:
+                if gain < MIN_REDUCTION:
+                    break
+                if not self.may_hold(held, k):
+                    continue
+                ok, missing, extra = self.confirm(own, k)
+                if ok and not self.identifier[k]:
+                    return self.names[k], gain, missing, extra
+        return None, best, None, None
 
 
 def _scan(templates: tuple[tuple[str, str], ...]):
@@ -292,7 +371,7 @@ def _scan(templates: tuple[tuple[str, str], ...]):
 _NAMES = ["doc_id", "first_line", "last_line", "license", "reduction", "n_missing", "n_extra", "confirmed"]
 
 
-def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES + SPDX) -> DataFrame:
     """doc_id, first_line, last_line, license, reduction, n_missing, n_extra, confirmed: one row per candidate block and license."""
     cued = docs.select("doc_id", "text").filter(F.col("text").rlike(CUES))
     return cued.mapInArrow(
