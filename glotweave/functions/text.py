@@ -13,8 +13,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: White space as Python's str.split sees it.
+#: White space as Python's str.split sees it, as a class and as its characters.
 WS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+WS_CHARS = "".join(
+    chr(x) for a, b in ((9, 13), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+    for x in range(a, b + 1)
+)
 ZERO_WIDTH = "‌‍"
 #: Texts of these characters are in NFKC already: none changes alone, and none combines with another.
 _NORMAL = "^[\\x00-\\x7F\\u00A1\\u00AB\\u00BB\\u00BF-\\u00FF\\u0780-\\u07B1\\u2013\\u2014\\u2018\\u2019\\u201C\\u201D]*\\z"
@@ -50,15 +54,21 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def nfkc(c: Column, assume_normal: bool = False) -> Column:
-    """Zero-width joiners are removed, then NFKC.  Text of characters that are normal already (ASCII, Western European
-    letters, Thaana) never reaches the Python function; ``assume_normal`` leaves it out of the plan."""
+    """Zero-width joiners are removed, then NFKC.  ``assume_normal`` leaves the Python function out of the plan, for texts that
+    ``is_normal`` accepts."""
     bare = F.translate(c, ZERO_WIDTH, "")
-    return bare if assume_normal else F.when(bare.rlike(_NORMAL), bare).otherwise(_nfkc(F.when(~bare.rlike(_NORMAL), bare)))
+    return bare if assume_normal else _nfkc(bare)
+
+
+def is_normal(c: Column) -> Column:
+    """Whether all characters are normal already (ASCII, Western European letters, Thaana), but for zero-width joiners; null
+    texts are."""
+    return F.coalesce(F.translate(c, ZERO_WIDTH, "").rlike(_NORMAL), F.lit(True))
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(F.regexp_replace(c, f"^{WS}+", ""), f"{WS}+\\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def modern_thaana(c: Column) -> Column:

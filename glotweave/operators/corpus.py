@@ -14,10 +14,21 @@ MATCHERS = {"english": X.is_foreign_token, "thaana": X.is_latin_token}
 
 
 def clean_lines(lines: DataFrame, language: str, assume_normal: bool = False) -> DataFrame:
-    """``lines`` plus ``clean``; lines that clean to nothing have an empty one."""
+    """``lines`` plus ``clean``; lines that clean to nothing have an empty one.
+
+    Lines that NFKC may change are cleaned apart from the others, so that only they go through Python.  ``clean`` is made
+    by a generator: what is asked of it afterwards is not pushed below it, so it is made once.
+    """
     if language not in CLEANERS:
         raise ValueError(f"unknown language {language!r}; expected one of {sorted(CLEANERS)}")
-    return lines.withColumn("clean", CLEANERS[language](F.col("line"), assume_normal))
+
+    def cleaned(part: DataFrame, normal: bool) -> DataFrame:
+        return part.select("*", F.explode(F.array(CLEANERS[language](F.col("line"), normal))).alias("clean"))
+
+    if assume_normal:
+        return cleaned(lines, True)
+    normal = X.is_normal(F.col("line"))
+    return cleaned(lines.filter(normal), True).unionByName(cleaned(lines.filter(~normal), False))
 
 
 def keep_clean(cleaned: DataFrame) -> DataFrame:
