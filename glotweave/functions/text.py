@@ -31,9 +31,14 @@ THAANA_MODERN = "ގއހޒޒޒގތސށސ"
 LIGATURES = {"æ": "ae", "ö": "oe", "œ": "oe", "ﬁ": "fi", "ﬂ": "fl"}
 QUOTES_DASHES = ("’‘“”—–", "''\"\"  ")
 
-# Latin spelling of each Thaana letter from U+0780 and vowel sign from U+07A6, in code point order.
-ROMAN_LETTERS = "h sh n r b lh k a v m f dh th l g gn s d z t y p j ch ss h kh z z sh s d t z a gh q w"
-ROMAN_VOWELS = "a aa i ee u oo e ey o oa"
+# Latin spelling of each Thaana letter and vowel sign, in code point order; the last mark is silent.
+ROMAN = {
+    "ހ": "h", "ށ": "sh", "ނ": "n", "ރ": "r", "ބ": "b", "ޅ": "lh", "ކ": "k", "އ": "a", "ވ": "v", "މ": "m",
+    "ފ": "f", "ދ": "dh", "ތ": "th", "ލ": "l", "ގ": "g", "ޏ": "gn", "ސ": "s", "ޑ": "d", "ޒ": "z", "ޓ": "t",
+    "ޔ": "y", "ޕ": "p", "ޖ": "j", "ޗ": "ch", "ޘ": "ss", "ޙ": "h", "ޚ": "kh", "ޛ": "z", "ޜ": "z", "ޝ": "sh",
+    "ޞ": "s", "ޟ": "d", "ޠ": "t", "ޡ": "z", "ޢ": "a", "ޣ": "gh", "ޤ": "q", "ޥ": "w", "ަ": "a", "ާ": "aa",
+    "ި": "i", "ީ": "ee", "ު": "u", "ޫ": "oo", "ެ": "e", "ޭ": "ey", "ޮ": "o", "ޯ": "oa", "ް": "",
+}
 # Where the full scheme spells a letter differently.
 ROMAN_FULL = {"ޘ": "tt", "ޙ": "hh", "ޛ": "th", "ޞ": "ss", "ޟ": "dh"}
 
@@ -42,10 +47,7 @@ def romanisation(scheme: str = "default") -> dict[str, str]:
     """Letter -> Latin spelling; scheme ``default`` or ``full``."""
     if scheme not in ("default", "full"):
         raise ValueError(f"unknown romanisation scheme {scheme!r}; expected 'default' or 'full'")
-    table = {chr(0x780 + i): x for i, x in enumerate(ROMAN_LETTERS.split())}
-    table |= {chr(0x7A6 + i): x for i, x in enumerate(ROMAN_VOWELS.split())}
-    table["ް"] = ""
-    return table | (ROMAN_FULL if scheme == "full" else {})
+    return ROMAN | (ROMAN_FULL if scheme == "full" else {})
 
 
 @F.pandas_udf(T.StringType())

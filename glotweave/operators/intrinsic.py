@@ -8,7 +8,7 @@ from datetime import datetime
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glotweave.functions.vectors import as_double, cosine, dot, norm, unit
@@ -16,17 +16,17 @@ from glotweave.operators.algebra import average_rank
 from glotweave.operators.knn import knn_join
 
 
-def pair_analogies(pairs: DataFrame, category: str, a: str = "a", b: str = "b") -> DataFrame:
-    """(category, a, b, c, d): every ordered pair of different rows whose first words differ; n rows give up to n(n-1).
+def pair_analogies(pairs: DataFrame, category: str | Column, a: str = "a", b: str = "b") -> DataFrame:
+    """(category, a, b, c, d): every ordered pair of rows of one category whose first words differ; n rows give up to n(n-1).
 
-    Rows with an empty cell, or the placeholder dash, are left out.  Inflection tables have tens of rows.
+    Rows with an empty cell, or the placeholder dash, are left out.  ``category`` is a name or a column; inflection tables
+    have tens of rows in each.
     """
     full = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")).isin("", "—", "-")
-    rows = pairs.filter(~full(a) & ~full(b)).select(F.col(a).alias("a"), F.col(b).alias("b"))
-    rows = rows.withColumn("row", F.row_number().over(Window.orderBy("a", "b")))
-    other = rows.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("row").alias("other"))
-    both = rows.join(F.broadcast(other), (F.col("row") != F.col("other")) & (F.col("a") != F.col("c")))
-    return both.select(F.lit(category).alias("category"), "a", "b", "c", "d")
+    named = F.lit(category) if isinstance(category, str) else category
+    rows = pairs.filter(~full(a) & ~full(b)).select(named.alias("category"), F.col(a).alias("a"), F.col(b).alias("b"))
+    other = rows.select("category", F.col("a").alias("c"), F.col("b").alias("d"))
+    return rows.join(other, "category").filter("a <> c").select("category", "a", "b", "c", "d")
 
 
 def table_analogies(table: DataFrame, base: str, forms: dict[str, str]) -> DataFrame:

@@ -11,24 +11,24 @@ from glotweave.operators.knn import knn_join
 
 # Keywords of each semantic domain.
 DOMAINS = {
-    "technology": "internet computer software app phone digital wifi email server database algorithm pixel smartphone laptop tablet cloud bluetooth",
-    "finance": "bank loan credit debit budget inflation mortgage dividend equity tax currency invest",
-    "medicine": "hospital vaccine diagnosis therapy surgery antibiotic pandemic virus symptom clinic",
-    "politics": "democracy parliament constitution election senator coalition referendum minister diplomat sanction",
-    "sports": "football cricket basketball tennis marathon tournament championship athlete referee penalty",
-    "food": "restaurant pizza burger coffee chocolate pasta sushi buffet calorie protein",
-    "education": "university curriculum thesis semester scholarship bachelor master degree exam lecture",
-    "environment": "climate pollution sustainability ecosystem biodiversity carbon recycle coral tsunami",
+    "technology": ["internet", "computer", "software", "app", "phone", "digital", "wifi", "email", "server", "database", "algorithm", "pixel", "smartphone", "laptop", "tablet", "cloud", "bluetooth"],
+    "finance": ["bank", "loan", "credit", "debit", "budget", "inflation", "mortgage", "dividend", "equity", "tax", "currency", "invest"],
+    "medicine": ["hospital", "vaccine", "diagnosis", "therapy", "surgery", "antibiotic", "pandemic", "virus", "symptom", "clinic"],
+    "politics": ["democracy", "parliament", "constitution", "election", "senator", "coalition", "referendum", "minister", "diplomat", "sanction"],
+    "sports": ["football", "cricket", "basketball", "tennis", "marathon", "tournament", "championship", "athlete", "referee", "penalty"],
+    "food": ["restaurant", "pizza", "burger", "coffee", "chocolate", "pasta", "sushi", "buffet", "calorie", "protein"],
+    "education": ["university", "curriculum", "thesis", "semester", "scholarship", "bachelor", "master", "degree", "exam", "lecture"],
+    "environment": ["climate", "pollution", "sustainability", "ecosystem", "biodiversity", "carbon", "recycle", "coral", "tsunami"],
 }
 
 
-def domain_of(word: Column, domains: dict[str, str] | None = None) -> Column:
+def domain_of(word: Column, domains: dict[str, list[str]] | None = None) -> Column:
     """The domain of a word, else ``other``."""
-    table = F.create_map(*[F.lit(x) for name, keys in (domains or DOMAINS).items() for k in keys.split() for x in (k, name)])
+    table = F.create_map(*[F.lit(x) for name, keys in (domains or DOMAINS).items() for k in keys for x in (k, name)])
     return F.coalesce(F.element_at(table, F.lower(word)), F.lit("other"))
 
 
-def find_gaps(english: DataFrame, dhivehi: DataFrame, seed_words: DataFrame | None = None, threshold: float = 0.35, top_n: int = 10_000, domains: dict[str, str] | None = None) -> DataFrame:
+def find_gaps(english: DataFrame, dhivehi: DataFrame, seed_words: DataFrame | None = None, threshold: float = 0.35, top_n: int = 10_000, domains: dict[str, list[str]] | None = None) -> DataFrame:
     """(english_word, nearest_dhivehi, cosine_sim, is_gap, domain): English words, by frequency the first ``top_n`` and then
     without seed words, whose nearest word on the other side is below the threshold.  The score is rounded after the test."""
     first = english.filter(F.col("idx") < top_n)

@@ -42,8 +42,8 @@ _FOREIGN = f"""{_LINES}, w AS (SELECT doc_id, source, line_no, {_tokens('line')}
 t AS (SELECT doc_id, source, line_no, ws, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w)"""
 _BENCH = f"""bt AS (SELECT item_id, unnest({_tokens('text')}) AS raw, generate_subscripts({_tokens('text')}, 1)::INT - 1 AS pos FROM benchmark),
 b AS (SELECT item_id, pos, regexp_replace(lower(raw), '[^a-z]', '', 'g') AS word FROM bt WHERE regexp_replace(lower(raw), '[^a-z]', '', 'g') <> '')"""
-_VOCABS = f"""{_CLEAN}, {_BENCH}, bench AS (SELECT DISTINCT word FROM b),
-docs AS (SELECT DISTINCT unnest({_tokens('clean')}) AS word FROM c WHERE clean <> ''),
+_VOCABS = f"""{_CLEAN}, {_BENCH}, bench AS MATERIALIZED (SELECT DISTINCT word FROM b),
+docs AS MATERIALIZED (SELECT DISTINCT unnest({_tokens('clean')}) AS word FROM c WHERE clean <> ''),
 names AS (SELECT DISTINCT unnest({_tokens('lower(p_name)')}) AS word FROM part)"""
 _SPACE = """e AS (SELECT vec_id::INT AS idx, 'w' || vec_id AS word, embedding::DOUBLE[] AS vec, label FROM embeddings),
 s AS (SELECT (idx / 2)::INT AS idx, word, vec, label FROM (SELECT idx - idx % 2 AS idx, word, vec, label, idx % 2 AS r FROM e) WHERE r = 0),
@@ -85,12 +85,21 @@ def _thaana(c: str) -> str:
     return f"translate({c}, 'abcdefghijklmnopqrstuvwxyz', {_q(_TO_THAANA)})"
 
 
-_DOMAIN = "CASE lower(english_word) " + " ".join(f"WHEN {_q(k)} THEN {_q(d)}" for d, keys in DOMAINS.items() for k in keys.split()) + " ELSE 'other' END"
+def _classical(c: str) -> str:
+    return f"translate({c}, 'ABCDEFGHIJK', {_q(THAANA_CLASSICAL)})"
+
+
+def _domain(c: str) -> str:
+    return f"CASE lower({c}) " + " ".join(f"WHEN {_q(k)} THEN {_q(d)}" for d, keys in DOMAINS.items() for k in keys) + " ELSE 'other' END"
+
+
+_DOMAIN = _domain("english_word")
+_KEYWORDS = sorted(k for keys in DOMAINS.values() for k in keys)
 _GAPS = f"""n AS ({_knn('t', 's', 1)}),
 g AS (SELECT t.idx, t.label, t.word AS english_word, s.word AS nearest_dhivehi, score FROM n JOIN t ON t.idx = n.q JOIN s ON s.idx = n.c)"""
 _UNIT = "list_transform(vec, lambda x: x / (sqrt(list_inner_product(vec, vec)) + 1e-8))"
 _PAIR = "pr AS (SELECT s.idx AS pair_no, s.word AS src, t.word AS tgt, s.vec AS x, t.vec AS y FROM s JOIN t ON s.idx = t.idx)"
-_ITEMS = """r AS (SELECT CASE WHEN s.idx < 20 THEN 'first' ELSE 'second' END AS category, s.word AS a, t.word AS b FROM s JOIN t ON s.idx = t.idx WHERE s.idx < 40),
+_ITEMS = """r AS (SELECT (s.idx // 20)::VARCHAR AS category, s.word AS a, t.word AS b FROM s JOIN t ON s.idx = t.idx),
 items AS (SELECT p.category, p.a, p.b, q.a AS c, q.b AS d FROM r p JOIN r q ON p.category = q.category AND p.a <> q.a)"""
 _PREDICT = f"""{_ITEMS}, u AS (SELECT idx, word, vec, list_transform(vec, lambda x: x / (sqrt(list_inner_product(vec, vec)) + 1e-9)) AS u FROM e),
 qs AS (SELECT i.*, list_transform(list_zip(ua.u, ub.u, uc.u), lambda z: z[2] + z[3] - z[1]) AS vec
@@ -106,7 +115,8 @@ _BLOCKS = f"""{_LINES}, n AS (SELECT *, {_strip('line')} AS s FROM l)"""
 
 ORACLE: dict[str, str] = {
     "clean_english": f"WITH {_CLEAN} SELECT doc_id, line_no, clean FROM c WHERE clean <> ''",
-    "clean_thaana": f"WITH {_LINES}, c AS (SELECT {_clean_thaana('line')} AS clean FROM l) SELECT count(*) AS raw_lines, count(*) FILTER (clean <> '') AS clean_lines, count(*) FILTER (clean = '') AS dropped_lines FROM c",
+    "clean_thaana": f"WITH {_LINES}, c AS (SELECT doc_id, line_no, {_clean_thaana(_classical(_thaana('line')))} AS clean FROM l) SELECT * FROM c WHERE clean <> ''",
+    "clean_thaana_stats": f"WITH {_LINES}, c AS (SELECT {_clean_thaana('line')} AS clean FROM l) SELECT count(*) AS raw_lines, count(*) FILTER (clean <> '') AS clean_lines, count(*) FILTER (clean = '') AS dropped_lines FROM c",
     "clean_stats_by_source": f"WITH {_CLEAN} SELECT source, count(*) AS raw_lines, count(*) FILTER (clean <> '') AS clean_lines, count(*) FILTER (clean = '') AS dropped_lines FROM c GROUP BY ROLLUP (source)",
     "detect_script": f"""WITH {_LINES}, d AS (SELECT regexp_matches(line, '[a-zA-Z]') AS lat, regexp_matches(line, '[^\\x00-\\x7F]') AS wide, regexp_matches(line, '[\\x{{780}}-\\x{{7bf}}]') AS th FROM l)
       SELECT CASE WHEN lat AND NOT wide THEN 'latin' WHEN wide AND NOT lat THEN 'foreign' ELSE 'mixed' END AS english_view,
@@ -127,10 +137,10 @@ ORACLE: dict[str, str] = {
       SELECT block_id, len(ws)::BIGINT AS n_tokens, array_to_string(ws, ' ') AS line FROM g""",
     "vocab_min_count": f"""WITH {_CLEAN}, w AS (SELECT unnest({_tokens('clean')}) AS word FROM c WHERE clean <> ''), v AS (SELECT word, count(*) AS n FROM w GROUP BY word HAVING count(*) >= 3)
       SELECT (row_number() OVER (ORDER BY n DESC, word) - 1)::INT AS idx, word, n FROM v""",
-    "vocab_semi": f"WITH {_VOCABS} SELECT word AS src, reverse(word) AS tgt FROM bench WHERE word IN (FROM docs) AND reverse(word) IN (FROM docs)",
-    "vocab_anti": f"WITH {_VOCABS} SELECT count(*) AS n, min(word) AS first, max(word) AS last FROM docs WHERE word NOT IN (FROM bench) AND word NOT IN (FROM names)",
-    "vocab_missing": f"""WITH {_VOCABS} SELECT word AS src, reverse(word) AS tgt, CASE WHEN word NOT IN (FROM docs) AND reverse(word) NOT IN (FROM docs) THEN 'both'
-      WHEN word NOT IN (FROM docs) THEN 'source' ELSE 'target' END AS side FROM bench WHERE word NOT IN (FROM docs) OR reverse(word) NOT IN (FROM docs)""",
+    "vocab_semi": f"WITH {_VOCABS} SELECT b.word AS src, r.word AS tgt FROM bench b JOIN docs d ON d.word = b.word JOIN docs r ON r.word = reverse(b.word)",
+    "vocab_anti": f"WITH {_VOCABS} SELECT word FROM docs ANTI JOIN (FROM bench UNION ALL FROM names) x USING (word)",
+    "vocab_missing": f"""WITH {_VOCABS} SELECT b.word AS src, reverse(b.word) AS tgt, CASE WHEN d.word IS NULL AND r.word IS NULL THEN 'both'
+      WHEN d.word IS NULL THEN 'source' ELSE 'target' END AS side FROM bench b LEFT JOIN docs d ON d.word = b.word LEFT JOIN docs r ON r.word = reverse(b.word) WHERE d.word IS NULL OR r.word IS NULL""",
     "seed_split_sizes": f"WITH {_BENCH} SELECT least(count(*), greatest(10, floor(count(*) * 0.8)))::BIGINT AS n_train, (count(*) - least(count(*), greatest(10, floor(count(*) * 0.8))))::BIGINT AS n_test FROM b",
     "phonetic_pairs": f"""WITH {_BENCH}, p AS (SELECT *, lead(word) OVER (PARTITION BY item_id ORDER BY pos) AS next FROM b), f AS (SELECT *, {_forms('word')} AS x, {_forms('next')} AS y FROM p WHERE next IS NOT NULL)
       SELECT item_id, pos, word, next, {_round('1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y), 1)')} AS similarity FROM f""",
@@ -146,7 +156,7 @@ ORACLE: dict[str, str] = {
     "gap_scan": f"WITH {_SPACE}, {_GAPS} SELECT english_word, nearest_dhivehi, {_round('score', 4)} AS cosine_sim, score < 0.35 AS is_gap, {_DOMAIN} AS domain FROM g",
     "gap_by_domain": f"""WITH {_SPACE}, {_GAPS} SELECT label::VARCHAR AS domain, count(*) AS n_words, count(*) FILTER (score < 0.35) AS n_gaps,
       {_round('(count(*) FILTER (score < 0.35))::DOUBLE / count(*)')} AS gap_rate FROM g GROUP BY ROLLUP (label::VARCHAR)""",
-    "gap_scan_excluding": f"WITH {_SPACE}, {_GAPS} SELECT english_word, nearest_dhivehi, {_round('score', 4)} AS cosine_sim, score < 0.4 AS is_gap, {_DOMAIN} AS domain FROM g WHERE idx < 150 AND idx % 7 <> 0",
+    "gap_scan_excluding": f"WITH {_SPACE}, {_GAPS} SELECT english_word, nearest_dhivehi, {_round('score', 4)} AS cosine_sim, score < 0.4 AS is_gap, {_DOMAIN} AS domain FROM g WHERE idx < 10000 AND idx % 7 <> 0",
     "loan_scan": f"""WITH {_SPACE}, j AS (SELECT *, idx % 2 = 0 AS dv, translate(idx::VARCHAR, '0123456789', 'bdfklmnrst') AS digits FROM e),
       x AS (SELECT idx, vec, dv, CASE WHEN dv THEN translate(digits || 'a', 'bdfklmnrstau', 'ބދފކލމނރސތއު') ELSE digits || CASE WHEN label % 2 = 0 THEN 'a' ELSE 'u' END END AS w FROM j),
       d AS (SELECT *, {_roman('w', 'default')} AS romanised, idx % 50 = 0 AS entity FROM x WHERE dv),
@@ -168,13 +178,13 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'cosine_P@' || k, avg((coalesce(a, 999) <= k)::INT) FROM h, (VALUES (1), (5), (10), (50)) v(k) GROUP BY k
         UNION ALL SELECT 'csls_P@' || k, avg((coalesce(b, 999) <= k)::INT) FROM h, (VALUES (1), (5), (10), (50)) v(k) GROUP BY k)
       SELECT metric, {_round('value')} AS value FROM m""",
-    "rsa": f"""WITH {_SPACE}, {_PAIR}, d AS (SELECT 1 - list_cosine_similarity(a.x, b.x) AS dx, 1 - list_cosine_similarity(a.y, b.y) AS dy FROM pr a JOIN pr b ON a.pair_no < b.pair_no WHERE b.pair_no < 200),
+    "rsa": f"""WITH {_SPACE}, {_PAIR}, d AS (SELECT 1 - list_cosine_similarity(a.x, b.x) AS dx, 1 - list_cosine_similarity(a.y, b.y) AS dy FROM pr a JOIN pr b ON a.pair_no < b.pair_no),
       k AS (SELECT dx, dy, {_RANKS.format('dx')} AS rx, {_RANKS.format('dy')} AS ry FROM d)
-      SELECT (SELECT count(*) FROM pr WHERE pair_no < 200) AS rsa_n_pairs, {_round('corr(dx, dy)')} AS rsa_pearson, {_round('corr(rx, ry)')} AS rsa_spearman FROM k""",
+      SELECT (SELECT count(*) FROM pr) AS rsa_n_pairs, {_round('corr(dx, dy)')} AS rsa_pearson, {_round('corr(rx, ry)')} AS rsa_spearman FROM k""",
     "hubness_skew": f"""WITH {_SPACE}, n AS ({_knn('e', 'e', 10, 'q.idx <> c.idx')}), k AS (SELECT c, count(*) AS n FROM n GROUP BY c),
       h AS (SELECT coalesce(n, 0)::DOUBLE AS n FROM e LEFT JOIN k ON k.c = e.idx), m AS (SELECT avg(n) AS mu FROM h)
       SELECT {_round('avg((n - mu) ** 3) / avg((n - mu) ** 2) ** 1.5')} AS skew FROM h, m""",
-    "coherence": f"""WITH {_SPACE}, p AS (SELECT * FROM e WHERE idx % 20 = 0), n AS ({_knn('p', 'e', 10, 'q.idx <> c.idx')}),
+    "coherence": f"""WITH {_SPACE}, n AS ({_knn('e', 'e', 10, 'q.idx <> c.idx')}),
       v AS (SELECT n.q, e.vec FROM n JOIN e ON e.idx = n.c), x AS (SELECT q, unnest(vec) AS x, generate_subscripts(vec, 1) AS k FROM v),
       m AS (SELECT q, list(x ORDER BY k) AS m FROM (SELECT q, k, avg(x) AS x FROM x GROUP BY ALL) GROUP BY q)
       SELECT 'w' || v.q AS word, {_round('avg(list_inner_product(vec, m) / (sqrt(list_inner_product(vec, vec)) * (sqrt(list_inner_product(m, m)) + 1e-10)))', 4)} AS coherence
@@ -191,7 +201,15 @@ ORACLE: dict[str, str] = {
     "aligned_space": f"""WITH {_SPACE}, n AS (SELECT count(*)::INT AS n FROM s) SELECT 'dv' AS lang, idx, word, 'dv_' || word AS key, {_round('vec[1]')} AS first FROM s
       UNION ALL SELECT 'en', idx + n, word, 'en_' || word, {_round('vec[1]')} FROM t, n""",
     "vec_lines": f"WITH {_SPACE} SELECT -1::BIGINT AS idx, count(*) || ' ' || max(len(vec)) AS line FROM e UNION ALL SELECT idx::BIGINT, word || ' ' || array_to_string(list_transform(vec, lambda x: printf('%.6f', x)), ' ') FROM e",
-    "kmeans_purity": "SELECT count(*) AS n, round(1.0::DOUBLE / count(DISTINCT label), 6) AS random_baseline, true AS some_purity FROM embeddings",
+    "word_domains": f"""WITH {_SPACE}, k AS (SELECT idx, [{', '.join(_q(k) for k in [*_KEYWORDS, 'unknown'])}][idx % {len(_KEYWORDS) + 1} + 1] AS word, label FROM e),
+      w AS (SELECT idx, CASE WHEN label % 2 = 0 THEN upper(word) ELSE word END AS word FROM k) SELECT idx, word, {_domain('word')} AS domain FROM w""",
+    "procrustes_invariants": """WITH d AS (SELECT unnest(range(len(embedding)))::INT AS k FROM (FROM embeddings LIMIT 1)) SELECT 'orthogonal' AS mode, a.k AS i, b.k AS j, (a.k = b.k)::INT::DOUBLE AS value FROM d a, d b
+      UNION ALL SELECT 'linear', a.k, b.k, 0.0::DOUBLE FROM d a, d b""",
+    "whitened_covariance": "WITH d AS (SELECT unnest(range(len(embedding)))::INT AS k FROM (FROM embeddings LIMIT 1)) SELECT a.k AS i, b.k AS j, (a.k = b.k)::INT::DOUBLE AS cov FROM d a, d b",
+    "spectrum_sums": f"""WITH {_SPACE}, x AS (SELECT 'source' AS side, idx, unnest(vec) AS v, generate_subscripts(vec, 1) AS k FROM s WHERE idx < 10000
+        UNION ALL SELECT 'target', idx, unnest(vec), generate_subscripts(vec, 1) FROM t WHERE idx < 10000),
+      g AS (SELECT a.side, a.k AS i, b.k AS j, sum(a.v * b.v) AS g FROM x a JOIN x b ON a.side = b.side AND a.idx = b.idx GROUP BY ALL)
+      SELECT side, {_round('sum(g) FILTER (i = j)', 4)} AS squares, {_round('sum(g * g) / sum(g) FILTER (i = j)', 4)} AS fourths FROM g GROUP BY side""",
     "word2vec": f"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark), w AS (SELECT unnest({_tokens('line')}) AS word FROM l), v AS (SELECT word, count(*) AS n FROM w GROUP BY word HAVING count(*) >= 3)
       SELECT (row_number() OVER (ORDER BY n DESC, word) - 1)::INT AS idx, word, 16 AS dims FROM v""",
 }

@@ -59,6 +59,14 @@ def clean_english(spark, sf_dir):
 
 @query
 def clean_thaana(spark, sf_dir):
+    """Every line with its small letters in modern and its capitals in classical Thaana, cleaned."""
+    spelled = F.translate(thaana_of(F.col("line")), "ABCDEFGHIJK", X.THAANA_CLASSICAL)
+    cleaned = corpus.clean_lines(lines(spark, sf_dir).select("doc_id", "line_no", spelled.alias("line")), "thaana")
+    return corpus.keep_clean(cleaned).select("doc_id", "line_no", "clean")
+
+
+@query
+def clean_thaana_stats(spark, sf_dir):
     return corpus.line_stats(corpus.clean_lines(lines(spark, sf_dir), "thaana"))
 
 
@@ -141,7 +149,7 @@ def vocab_semi(spark, sf_dir):
 @query
 def vocab_anti(spark, sf_dir):
     bench, docs, names = _vocabularies(spark, sf_dir)
-    return corpus.not_in(docs, bench.withColumnRenamed("word", "value").union(names)).agg(F.count("*").alias("n"), F.min("word").alias("first"), F.max("word").alias("last"))
+    return corpus.not_in(docs, bench.withColumnRenamed("word", "value").union(names))
 
 
 @query
@@ -158,6 +166,23 @@ def seed_split_sizes(spark, sf_dir):
     return train.agg(F.count("*").alias("n_train")).crossJoin(test.agg(F.count("*").alias("n_test")))
 
 
+@query
+def seed_split(spark, sf_dir):
+    """Which part each pair of consecutive vectors is in."""
+    train, test = corpus.split_pairs(_identity_pairs(spark, sf_dir))
+    return train.select("pair_no", F.lit("train").alias("part")).union(test.select("pair_no", F.lit("test").alias("part")))
+
+
+@query
+def word_domains(spark, sf_dir):
+    """Every vector named after a domain word or after nothing known, and its domain."""
+    known = sorted(w for ws in lexicon.DOMAINS.values() for w in ws)
+    names = F.array(*[F.lit(w) for w in [*known, "unknown"]])
+    word = F.get(names, F.col("idx") % (len(known) + 1))
+    word = F.when(F.col("label") % 2 == 0, F.upper(word)).otherwise(word)
+    return whole(spark, sf_dir).select("idx", word.alias("word")).select("idx", "word", lexicon.domain_of(F.col("word")).alias("domain"))
+
+
 @query
 def phonetic_pairs(spark, sf_dir):
     """Similarity by sound of consecutive benchmark tokens."""
@@ -236,15 +261,7 @@ def gap_by_domain(spark, sf_dir):
 
 @query
 def gap_scan_excluding(spark, sf_dir):
-    """The first 150 target words, then without those divisible by seven."""
-    english = side(spark, sf_dir, 1)
-    seeds = english.filter(F.col("idx") % 7 == 0).select(F.col("word").alias("value"))
-    return lexicon.find_gaps(english, side(spark, sf_dir, 0), seeds, threshold=0.4, top_n=150)
-
-
-@query
-def gap_scan_excluding_all(spark, sf_dir):
-    """All target words up to the operator's own limit, without those divisible by seven."""
+    """Target words up to the operator's own limit, without a list of seed words (every seventh)."""
     english = side(spark, sf_dir, 1)
     seeds = english.filter(F.col("idx") % 7 == 0).select(F.col("word").alias("value"))
     return lexicon.find_gaps(english, side(spark, sf_dir, 0), seeds, threshold=0.4)
@@ -292,17 +309,7 @@ def heldout_p_at_k(spark, sf_dir):
 
 @query
 def rsa(spark, sf_dir):
-    return _rsa(spark, sf_dir, _identity_pairs(spark, sf_dir).filter("pair_no < 200"))
-
-
-@query
-def rsa_all(spark, sf_dir):
-    """Over all pairs."""
-    return _rsa(spark, sf_dir, _identity_pairs(spark, sf_dir))
-
-
-def _rsa(spark, sf_dir, pairs):
-    r = algebra.rsa(pairs, side(spark, sf_dir, 0), side(spark, sf_dir, 1))
+    r = algebra.rsa(_identity_pairs(spark, sf_dir), side(spark, sf_dir, 0), side(spark, sf_dir, 1))
     return r.select("rsa_n_pairs", F.round("rsa_pearson", 6).alias("rsa_pearson"), F.round("rsa_spearman", 6).alias("rsa_spearman"))
 
 
@@ -334,6 +341,36 @@ def procrustes(spark, sf_dir):
     return out
 
 
+@query
+def procrustes_invariants(spark, sf_dir):
+    """What makes the mappings right: W'W of the orthogonal one (the identity), X'(XW - Y) of the least-squares one (zero)."""
+    pairs, source, target = _identity_pairs(spark, sf_dir), side(spark, sf_dir, 0), side(spark, sf_dir, 1)
+    w = algebra.procrustes(pairs, source, target, "orthogonal")
+    both = algebra._paired(pairs, source, target)
+    gram, cross = algebra.outer_sums(both, "x", "x", normalise=True)[3], algebra.outer_sums(both, "x", "y", normalise=True)[3]
+    rest = gram @ algebra.procrustes(pairs, source, target, "linear") - cross
+    rows = [(mode, i, j, round(float(m[i, j]), 6) + 0.0) for mode, m in (("orthogonal", w.T @ w), ("linear", rest)) for i in range(len(m)) for j in range(len(m))]
+    return spark.createDataFrame(rows, "mode string, i int, j int, value double")
+
+
+@query
+def whitened_covariance(spark, sf_dir):
+    """The covariance after whitening: the identity."""
+    _, cov = algebra.covariance(algebra.preprocess(whole(spark, sf_dir), "center_whiten"))
+    rows = [(i, j, round(float(cov[i, j]), 2) + 0.0) for i in range(len(cov)) for j in range(len(cov))]
+    return spark.createDataFrame(rows, "i int, j int, cov double")
+
+
+@query
+def spectrum_sums(spark, sf_dir):
+    """Sums of the second and fourth powers of each side's singular values."""
+    rows = []
+    for name, rest in (("source", 0), ("target", 1)):
+        values = algebra.spectrum(side(spark, sf_dir, rest))
+        rows.append((name, round(float((values**2).sum()), 4), round(float((values**4).sum() / (values**2).sum()), 4)))
+    return spark.createDataFrame(rows, "side string, squares double, fourths double")
+
+
 @query
 def vecmap(spark, sf_dir):
     """Self-learning from all seed pairs: the seeds' mean cosine."""
@@ -346,14 +383,7 @@ def vecmap(spark, sf_dir):
 
 @query
 def coherence(spark, sf_dir):
-    s = whole(spark, sf_dir)
-    probes = s.filter("idx % 20 = 0").select(F.col("word").alias("value")).union(spark.createDataFrame([("unknown",)], "value string"))
-    return intrinsic.coherence(probes, s)
-
-
-@query
-def coherence_all(spark, sf_dir):
-    """All words as probes."""
+    """All words as probes, and an unknown one."""
     s = whole(spark, sf_dir)
     return intrinsic.coherence(s.select(F.col("word").alias("value")).union(spark.createDataFrame([("unknown",)], "value string")), s)
 
@@ -373,10 +403,9 @@ def outlier_accuracy(spark, sf_dir):
 
 
 def _analogies(spark, sf_dir):
-    """Twenty rows (source word k, target word k) per category."""
-    pairs = _identity_pairs(spark, sf_dir).filter("pair_no < 40").withColumn("category", F.when(F.col("pair_no") < 20, "first").otherwise("second"))
-    out = [intrinsic.pair_analogies(pairs.filter(F.col("category") == c), c, "src", "tgt") for c in ("first", "second")]
-    return out[0].unionByName(out[1])
+    """All pairs (source word k, target word k), in categories of twenty consecutive ones."""
+    pairs = _identity_pairs(spark, sf_dir).withColumn("category", F.floor(F.col("pair_no") / 20).cast("string"))
+    return intrinsic.pair_analogies(pairs, F.col("category"), "src", "tgt")
 
 
 @query
@@ -394,28 +423,6 @@ def analogy_accuracy(spark, sf_dir):
     return intrinsic.analogy_accuracy(_analogies(spark, sf_dir), whole(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
 
 
-def _all_analogies(spark, sf_dir):
-    """All pairs, in categories of twenty consecutive ones."""
-    a = _identity_pairs(spark, sf_dir).select(F.floor(F.col("pair_no") / 20).cast("string").alias("category"), F.col("src").alias("a"), F.col("tgt").alias("b"))
-    c = a.select("category", F.col("a").alias("c"), F.col("b").alias("d"))
-    return a.join(c, "category").filter("a <> c").select("category", "a", "b", "c", "d")
-
-
-@query
-def analogy_items_all(spark, sf_dir):
-    return _all_analogies(spark, sf_dir)
-
-
-@query
-def analogy_eval_all(spark, sf_dir):
-    return intrinsic.analogy_predictions(_all_analogies(spark, sf_dir), whole(spark, sf_dir))
-
-
-@query
-def analogy_accuracy_all(spark, sf_dir):
-    return intrinsic.analogy_accuracy(_all_analogies(spark, sf_dir), whole(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
-
-
 @query
 def word_similarity(spark, sf_dir):
     pairs = _identity_pairs(spark, sf_dir).select(F.col("src").alias("word1"), F.col("tgt").alias("word2"), ((F.col("pair_no") * 37) % 101).cast("double").alias("score"))
@@ -427,8 +434,8 @@ def word_similarity(spark, sf_dir):
 @query
 def kmeans_purity(spark, sf_dir):
     s = whole(spark, sf_dir)
-    found = intrinsic.categorise(s.select(F.col("label").cast("string").alias("label"), "word"), s, restarts=2)
-    return intrinsic.purity(found).select("n", F.round("random_baseline", 6).alias("random_baseline"), (F.col("purity") > 0).alias("some_purity"))
+    found = intrinsic.categorise(s.select(F.col("label").cast("string").alias("label"), "word"), s)
+    return intrinsic.purity(found).select("n", F.round("random_baseline", 6).alias("random_baseline"), F.round("purity", 6).alias("purity"))
 
 
 @query

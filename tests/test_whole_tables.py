@@ -1,4 +1,4 @@
-"""Vector queries that take all rows of a table larger than the subsets their SQL counterparts fix."""
+"""Vector queries take all rows of their tables."""
 
 import numpy as np
 import pytest
@@ -23,7 +23,7 @@ def test_all_pairs_count(spark, table):
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     at = np.triu_indices(N // 2, 1)
     want = np.corrcoef((1 - u[::2] @ u[::2].T)[at], (1 - u[1::2] @ u[1::2].T)[at])[0, 1]
-    r = QUERIES["rsa_all"](spark, path).first()
+    r = QUERIES["rsa"](spark, path).first()
     assert r["rsa_n_pairs"] == N // 2 and r["rsa_pearson"] == pytest.approx(want, abs=1e-6)
     got = {r["metric"]: r["value"] for r in QUERIES["isomorphism"](spark, path).collect()}
     assert got["rsa_n_pairs"] == N // 2 and got["rsa_pearson"] == pytest.approx(want, abs=1e-4)
@@ -31,12 +31,12 @@ def test_all_pairs_count(spark, table):
 
 def test_all_probes_and_items_count(spark, table):
     path, m = table
-    assert QUERIES["coherence_all"](spark, path).count() == N + 1
-    gaps = QUERIES["gap_scan_excluding_all"](spark, path)
+    assert QUERIES["coherence"](spark, path).count() == N + 1
+    gaps = QUERIES["gap_scan_excluding"](spark, path)
     assert gaps.count() == N // 2 - len(range(0, N // 2, 7))
     items = 11 * 20 * 19 + 5 * 4
-    assert QUERIES["analogy_items_all"](spark, path).distinct().count() == items
-    found = QUERIES["analogy_eval_all"](spark, path).collect()
+    assert QUERIES["analogy_items"](spark, path).distinct().count() == items
+    found = QUERIES["analogy_eval"](spark, path).collect()
     assert len(found) == items
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     for r in found[:: items // 50]:
@@ -44,7 +44,7 @@ def test_all_probes_and_items_count(spark, table):
         score = u @ (u[b] + u[c] - u[a])
         score[[a, b, c]] = -9
         assert r["predicted"] == f"w{score.argmax()}"
-    total = QUERIES["analogy_accuracy_all"](spark, path).filter("category is null").first()
+    total = QUERIES["analogy_accuracy"](spark, path).filter("category is null").first()
     assert total["n_items"] == total["n_evaluated"] == items
 
 
@@ -58,3 +58,16 @@ def test_vecmap_takes_all_pairs_and_rounds(spark, table, monkeypatch):
     monkeypatch.setattr(selflearn, "self_learning", spy)
     QUERIES["vecmap"](spark, table[0]).collect()
     assert seen == [(N // 2, "semi", {})]
+
+
+def test_split_and_purity(spark, table):
+    import random
+
+    path, _ = table
+    got = {r["pair_no"]: r["part"] for r in QUERIES["seed_split"](spark, path).collect()}
+    order = list(range(N // 2))
+    random.Random(42).shuffle(order)
+    cut = int(N // 2 * 0.8)
+    assert {k for k, part in got.items() if part == "train"} == set(order[:cut]) and len(got) == N // 2
+    r = QUERIES["kmeans_purity"](spark, path).first()
+    assert r["n"] == N and r["random_baseline"] == pytest.approx(1 / 3, abs=1e-6) and 1 / 3 <= r["purity"] < 0.6
