@@ -265,10 +265,11 @@ def near_classes(docs: DataFrame, num: int = 4, den: int = 5, sketch_floor: floa
         parts = scratch.adopt(connected_components(links))
 
         # what the hubs left apart
-        split = (
+        split = scratch.table(
             others.filter("n > 2").select("band", "place", "id")
             .join(parts.withColumnRenamed("node", "id"), "id", "left")
-            .select("band", "place", "id", F.coalesce("component", "id").alias("part"))
+            .select("band", "place", "id", F.coalesce("component", "id").alias("part")),
+            "near-split",
         )
         apart = scratch.table(_apart(split, scratch), "near-apart")
         held = scratch.table(
