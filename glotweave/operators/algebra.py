@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,17 +102,36 @@ def rsa(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """rsa_n_pairs, rsa_pearson, rsa_spearman: correlation of the two spaces' pairwise cosine distances over seed pairs
     (hundreds of rows; all pairs i < j of them)."""
     p = _paired(pairs, source, target).select("pair_no", unit(F.col("x")).alias("x"), unit(F.col("y")).alias("y"))
-    # the distance of unit vectors' cosines, as the unit vectors stand
+    # the distance of unit vectors' cosines, as the unit vectors stand; read several times, so kept while that lasts
     a, b = (p.select(F.col("pair_no").alias(f"{s}_no"), F.col("x").alias(f"{s}_x"), F.col("y").alias(f"{s}_y")) for s in "ab")
     d = a.join(b, F.col("a_no") < F.col("b_no")).select((1 - dot(F.col("a_x"), F.col("b_x"))).alias("dx"), (1 - dot(F.col("a_y"), F.col("b_y"))).alias("dy"))
-    ranked = d.select("dx", "dy", average_rank("dx").alias("rx"), average_rank("dy").alias("ry"))
-    n = p.agg(F.count("*").alias("rsa_n_pairs"))
-    return ranked.agg(F.corr("dx", "dy").alias("rsa_pearson"), F.corr("rx", "ry").alias("rsa_spearman")).crossJoin(n)
+    d = d.persist(StorageLevel.DISK_ONLY)
+    try:
+        row = average_ranks(d, dx="rx", dy="ry").agg(F.corr("dx", "dy").alias("p"), F.corr("rx", "ry").alias("s")).first()
+    finally:
+        d.unpersist()
+    n = p.count()
+    return pairs.sparkSession.createDataFrame([(row["p"], row["s"], n)], "rsa_pearson double, rsa_spearman double, rsa_n_pairs long")
 
 
-def average_rank(column: str):
-    """Rank with ties sharing the mean of their places."""
-    return F.rank().over(Window.orderBy(column)) + (F.count("*").over(Window.partitionBy(column)) - 1) / 2
+def average_ranks(df: DataFrame, cells: int = 4096, **columns: str) -> DataFrame:
+    """``df`` with ranks from 1 of its columns, ``columns`` saying under which names; ties share the mean of their places.
+
+    Values are counted, then ranked within cells of equal width, cells by the counts of those before them: no task sees more
+    than a cell.  Null values have no rank.
+    """
+    bounds = df.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)]).first()
+    for c, name in columns.items():
+        low, high = bounds[f"min_{c}"], bounds[f"max_{c}"]
+        cell = F.floor((F.col("__ar_v") - low) / (high - low) * cells) if low is not None and high > low else F.lit(0)
+        counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("__ar_v")).agg(F.count("*").alias("__ar_n")).withColumn("__ar_cell", cell)
+        before = Window.orderBy("__ar_cell").rowsBetween(Window.unboundedPreceding, -1)
+        bases = counts.groupBy("__ar_cell").agg(F.sum("__ar_n").alias("m")).select("__ar_cell", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("__ar_base"))
+        ahead = Window.partitionBy("__ar_cell").orderBy("__ar_v").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("__ar_ahead", F.coalesce(F.sum("__ar_n").over(ahead), F.lit(0))).join(bases, "__ar_cell")
+        ranks = placed.select("__ar_v", (F.col("__ar_base") + F.col("__ar_ahead") + (F.col("__ar_n") + 1) / 2).alias(name))
+        df = df.join(ranks, F.col(c) == F.col("__ar_v"), "left").drop("__ar_v")
+    return df
 
 
 def spectrum(df: DataFrame, n: int = 10_000) -> np.ndarray:

@@ -106,10 +106,19 @@ def block_tokens(numbered: DataFrame, n: int, *keys: str) -> DataFrame:
 def vocabulary(tokens: DataFrame, min_count: int = 3) -> DataFrame:
     """(idx, word, n) of a column ``word``: words seen min_count times or more, by falling frequency, ties by word.
 
-    The rank is global, so its window holds one row per kept word; that is the size of a vocabulary, not of a corpus.
+    Words are ranked within cells of equal frequency and equal first three characters, cells by the counts of those before
+    them: the one global window holds a row per cell.
     """
-    counts = tokens.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
-    return counts.withColumn("idx", F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).select("idx", "word", "n")
+    counts = tokens.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count).withColumn("head", F.substring("word", 1, 3))
+    before = Window.orderBy(F.desc("n"), "head").rowsBetween(Window.unboundedPreceding, -1)
+    cells = counts.groupBy("n", "head").agg(F.count("*").alias("size")).select("n", "head", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    within = counts.withColumn("at", F.row_number().over(Window.partitionBy("n", "head").orderBy("word")) - 1)
+    return within.join(cells, ["n", "head"]).select((F.col("base") + F.col("at")).cast("int").alias("idx"), "word", "n")
+
+
+def total_tokens(blocks: DataFrame) -> DataFrame:
+    """One row: how many blocks and tokens there are after merging."""
+    return blocks.agg(F.count("*").alias("n_blocks"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n_tokens"))
 
 
 def pairs_in_vocabulary(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:

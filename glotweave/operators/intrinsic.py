@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glotweave.functions.vectors import as_double, cosine, dot, norm, unit
-from glotweave.operators.algebra import average_rank
+from glotweave.operators.algebra import average_ranks
 from glotweave.operators.knn import knn_join
 
 
@@ -142,8 +142,7 @@ def word_similarity(benchmark: DataFrame, space: DataFrame) -> DataFrame:
     v = space.select("word", as_double(F.col("vec")).alias("vec"))
     pairs = benchmark.join(v.select(F.col("word").alias("word1"), F.col("vec").alias("v1")), "word1", "left").join(v.select(F.col("word").alias("word2"), F.col("vec").alias("v2")), "word2", "left")
     known = pairs.filter("v1 is not null and v2 is not null").select("score", cosine(F.col("v1"), F.col("v2")).alias("cos"))
-    ranked = known.select("score", "cos", average_rank("score").alias("rs"), average_rank("cos").alias("rc"))
-    r = ranked.agg(F.count("*").alias("n"), F.corr("score", "cos").alias("p"), F.corr("rs", "rc").alias("s")).first()
+    r = average_ranks(known, score="rs", cos="rc").agg(F.count("*").alias("n"), F.corr("score", "cos").alias("p"), F.corr("rs", "rc").alias("s")).first()
     oov = pairs.agg(F.avg(F.when(F.col("v1").isNull() | F.col("v2").isNull(), 100.0).otherwise(0.0))).first()[0]
     row = (r["n"], r["p"], two_sided_p(r["p"], r["n"]), r["s"], two_sided_p(r["s"], r["n"]), oov)
     return space.sparkSession.createDataFrame([row], "n long, pearson_r double, pearson_p double, spearman_r double, spearman_p double, oov_ratio double")

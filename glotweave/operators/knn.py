@@ -1,9 +1,9 @@
 """Nearest neighbours over vector tables (idx, word, vec), in two physical forms that agree.
 
-``knn_join`` multiplies blocks: the index is packed into blocks of bounded size, every block meets every batch of queries
-once (a nested loop over blocks, not over rows) and keeps its own k best; the k best of those are kept per query.  When the
-whole index is small by a checked size it is sent to the executors as one block instead.  ``knn_join_sql`` is the plain
-declarative form, for small inputs and as a check.
+``knn_join`` multiplies blocks: index and queries are packed once into blocks of bounded size, every block meets every block
+of queries once (a nested loop over blocks, not over rows) and keeps its own k best; the k best of those are kept per query.
+When the whole index is small by a checked size it is sent to the executors as one block instead, and what a batch of
+queries finds is ranked there.  ``knn_join_sql`` is the plain declarative form, for small inputs and as a check.
 
 Scores are cosines of double-precision unit vectors (v / (|v| + 1e-9)); ties go to the smaller index position.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glotweave.functions.vectors import as_double, dot, unit
+from glotweave.functions.vectors import as_double, dot, norm, unit
 
 EPS = 1e-9
 BLOCK_ROWS = 4096
@@ -52,7 +52,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return rows[keep], cols[keep]
 
 
-def _score(q_ids, q, c_ids, c, k, exclude_self, bias=None):
+def _score(q_ids, q, c_ids, c, k, exclude_self, bias=None, ranked=False):
     for start in range(0, len(q_ids), 500):
         part = slice(start, start + 500)
         scores = q[part] @ c.T
@@ -61,7 +61,11 @@ def _score(q_ids, q, c_ids, c, k, exclude_self, bias=None):
         if exclude_self:
             scores[q_ids[part][:, None] == c_ids[None, :]] = -np.inf
         rows, cols = _best(scores, c_ids, min(k, len(c_ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids[part][rows]), pa.array(c_ids[cols]), pa.array(scores[rows, cols])], ["q", "c", "score"])
+        columns = [pa.array(q_ids[part][rows]), pa.array(c_ids[cols]), pa.array(scores[rows, cols])]
+        if ranked:
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+            columns.append(pa.array(rank, pa.int32()))
+        yield pa.RecordBatch.from_arrays(columns, ["q", "c", "score", "rank"][: len(columns)])
 
 
 def _rank(df: DataFrame, k: int) -> DataFrame:
@@ -90,14 +94,17 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool =
             c_ids, c, b = held.value
             for batch in batches:
                 if batch.num_rows:
-                    yield from _score(np.asarray(batch.column("idx")), unit_rows(matrix(batch.column("vec"))), c_ids, c, k, exclude_self, b)
+                    yield from _score(np.asarray(batch.column("idx")), unit_rows(matrix(batch.column("vec"))), c_ids, c, k, exclude_self, b, True)
 
-        return _rank(queries.mapInArrow(near, _OUT), k)
+        return queries.mapInArrow(near, _OUT + ", rank int")
 
-    n_blocks = -(-size["n"] // BLOCK_ROWS)
-    q_blocks = max(1, queries.sparkSession.sparkContext.defaultParallelism)
-    blocks = index.groupBy(F.pmod(F.xxhash64("idx"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("idx", "vec", "penalty")).alias("rows"))
-    tiles = queries.withColumn("q_block", F.pmod(F.xxhash64("idx"), F.lit(q_blocks))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    def packed(df: DataFrame, n: int, block: str, rows: str, *fields: str) -> DataFrame:
+        """One row per block of about ``BLOCK_ROWS`` rows."""
+        many = max(1, -(-n // BLOCK_ROWS))
+        return df.groupBy(F.pmod(F.xxhash64("idx"), F.lit(many)).alias(block)).agg(F.collect_list(F.struct(*fields)).alias(rows))
+
+    blocks = packed(index, size["n"], "block", "rows", "idx", "vec", "penalty")
+    batches_of_queries = packed(queries, queries.count(), "q_block", "qs", "idx", "vec")
     biased = penalty is not None
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +115,9 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool =
                 bias = np.asarray(c_rows.field("penalty")) if biased else None
                 yield from _score(q_ids, unit_rows(matrix(q_rows.field("vec"))), c_ids, unit_rows(matrix(c_rows.field("vec"))), k, exclude_self, bias)
 
-    packed = tiles.groupBy("q_block", "block").agg(F.collect_list(F.struct("idx", "vec")).alias("qs"))
-    return _rank(packed.join(blocks, "block").select("qs", "rows").mapInArrow(tile, _OUT), k)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-size["n"] // BLOCK_ROWS)) - 1).cast("long")))
+    met = batches_of_queries.withColumn("block", every).join(blocks, "block").select("qs", "rows")
+    return _rank(met.mapInArrow(tile, _OUT), k)
 
 
 def knn_join_sql(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
@@ -126,6 +134,17 @@ def neighbours(space: DataFrame, word: str, n: int = 10) -> DataFrame:
     return found.join(space.select(F.col("idx").cast("long").alias("c"), "word"), "c").select("word", "score", "rank")
 
 
+def explore(space: DataFrame, words: DataFrame, n: int = 10) -> DataFrame:
+    """(word, known, norm, neighbours array<struct<rank, word, score>>) of each word in ``words``: whether it is in the vocabulary,
+    the length of its vector and the n words nearest to it; for unknown words the last two are null."""
+    asked = words.select("word").distinct()
+    found = space.join(asked, "word", "left_semi").select(F.col("idx").cast("long").alias("idx"), "word", "vec")
+    near = knn_join(found, space, n, exclude_self=True).join(space.select(F.col("idx").cast("long").alias("c"), F.col("word").alias("near")), "c")
+    lists = near.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("near").alias("word"), "score"))).alias("neighbours"))
+    known = found.select("word", norm(as_double(F.col("vec"))).alias("norm"), F.col("idx").alias("q")).join(lists, "q", "left").drop("q")
+    return asked.join(known, "word", "left").select("word", F.col("norm").isNotNull().alias("known"), "norm", "neighbours")
+
+
 def csls_penalty(target: DataFrame, k: int = 10) -> DataFrame:
     """(idx, r_t): mean cosine of each target to its k nearest other targets, where at most its own zero takes part: a
     negative cosine never counts while the zero is larger."""

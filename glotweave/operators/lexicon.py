@@ -44,9 +44,10 @@ def find_gaps(english: DataFrame, dhivehi: DataFrame, seed_words: DataFrame | No
 
 
 def gap_summary(gaps: DataFrame) -> DataFrame:
-    """(domain, n_words, n_gaps, gap_rate) per domain and, with a null domain, in total."""
+    """(domain, n_words, n_gaps, gap_rate) per domain, most gaps first, and, with a null domain and last, in total."""
     n = F.count_if("is_gap")
-    return gaps.rollup("domain").agg(F.count("*").alias("n_words"), n.alias("n_gaps"), (n / F.count("*")).alias("gap_rate"))
+    rows = gaps.rollup("domain").agg(F.count("*").alias("n_words"), n.alias("n_gaps"), (n / F.count("*")).alias("gap_rate"))
+    return rows.orderBy(F.col("domain").isNull(), F.desc("n_gaps"), "domain")
 
 
 def classify_loans(space: DataFrame, entities: DataFrame | None = None, phonetic_threshold: float = 0.65, embed_threshold: float = 0.55, top_k: int = 20, max_words: int = 0, scheme: str = "default") -> DataFrame:
@@ -81,6 +82,7 @@ def classify_loans(space: DataFrame, entities: DataFrame | None = None, phonetic
 
 
 def category_histogram(loans: DataFrame) -> DataFrame:
+    """(category, n, percent), by name of the category."""
     counts = loans.groupBy("category").agg(F.count("*").alias("n"))
     total = loans.agg(F.count("*").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("category", "n", (100 * F.col("n") / F.col("total")).alias("percent"))
+    return counts.crossJoin(F.broadcast(total)).select("category", "n", (100 * F.col("n") / F.col("total")).alias("percent")).orderBy("category")

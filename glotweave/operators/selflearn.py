@@ -20,6 +20,7 @@ from glotweave.functions.vectors import as_double
 from glotweave.operators.algebra import _paired, covariance, map_vectors, outer_sums
 from glotweave.operators.knn import matrix, unit_rows
 
+_BLOCK_ROWS = 1000
 MODES = ("supervised", "semi", "unsupervised")
 
 
@@ -49,14 +50,21 @@ def _mapping_of(gx: np.ndarray, cross: np.ndarray, gz: np.ndarray, reweight: flo
 
 
 def _csls_nearest(x: np.ndarray, z: np.ndarray, keep: float, rng, k: int = 10) -> tuple[np.ndarray, float]:
-    sim = x @ z.T
-    k = min(k, sim.shape[0], sim.shape[1])
-    rz = np.sort(sim, axis=0)[-k:].mean(axis=0)
-    best = sim.max(axis=1).mean()
-    adjusted = 2 * sim - rz[None, :]
-    if keep < 1:
-        adjusted = np.where(rng.random(sim.shape) < keep, adjusted, -np.inf)
-    return adjusted.argmax(axis=1), float(best)
+    """For each x the z with the largest 2 * cosine - mean of z's k largest cosines, and the mean of the largest cosines.
+
+    Rows are taken in blocks, so that similarities of ``_BLOCK_ROWS`` words are in memory at once.
+    """
+    k = min(k, len(x), len(z))
+    rz = np.concatenate([np.partition(z[a : a + _BLOCK_ROWS] @ x.T, len(x) - k, axis=1)[:, -k:].mean(axis=1) for a in range(0, len(z), _BLOCK_ROWS)])
+    nearest, best = [], 0.0
+    for a in range(0, len(x), _BLOCK_ROWS):
+        sim = x[a : a + _BLOCK_ROWS] @ z.T
+        best += float(sim.max(axis=1).sum())
+        adjusted = 2 * sim - rz[None, :]
+        if keep < 1:
+            adjusted[rng.random(sim.shape) >= keep] = -np.inf
+        nearest.append(adjusted.argmax(axis=1))
+    return np.concatenate(nearest), best / len(x)
 
 
 def _first_dictionary(x: np.ndarray, z: np.ndarray, cutoff: int) -> tuple[np.ndarray, np.ndarray]:

@@ -440,12 +440,28 @@ def kmeans_purity(spark, sf_dir):
 
 @query
 def word2vec(spark, sf_dir):
-    """Two epochs of CBOW over the benchmark: the vocabulary and its size."""
+    """CBOW over the cleaned documents: the vocabulary, and whether training gave every word a vector of its own."""
     from glotweave.operators.train import Settings, train
 
-    blocks = corpus.merge_blocks_within(corpus.lines_of(table(spark, sf_dir, "benchmark"), F.col("text"), "item_id"), 5, "item_id", "line_no")
-    model = train(blocks, Settings(dims=16, epochs=2, partitions=1, negative=3))
-    return model.table(spark).select("idx", "word", F.size("vec").alias("dims"))
+    cleaned = corpus.keep_clean(corpus.clean_lines(lines(spark, sf_dir), "english")).select("doc_id", "line_no", F.col("clean").alias("line"))
+    model = train(corpus.merge_blocks_within(cleaned, 5, "doc_id", "line_no"), Settings(epochs=3))
+    table = model.table(spark)
+    return table.select("idx", "word", F.size("vec").alias("dims"), (norm(F.col("vec")) > 0.05).alias("trained"))
+
+
+@query
+def explore(spark, sf_dir):
+    """Every word and an unknown one: known or not, length, nearest word and the tenth."""
+    s = whole(spark, sf_dir)
+    asked = s.select("word").union(spark.createDataFrame([("unknown",)], "word string"))
+    near = F.col("neighbours")
+    return knn.explore(s, asked).select("word", "known", F.round("norm", 6).alias("norm"), near[0]["word"].alias("nearest"), F.element_at(near, -1)["word"].alias("tenth"))
+
+
+@query
+def merged_tokens(spark, sf_dir):
+    """Blocks and tokens after merging five lines of the documents as one stream."""
+    return corpus.total_tokens(corpus.merge_blocks(lines(spark, sf_dir), 5, "doc_id", "line_no", F.floor(F.col("doc_id") / 1000)))
 
 
 @query

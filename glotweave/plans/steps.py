@@ -66,7 +66,11 @@ def _embed(e: str) -> Step:
         settings = Settings(dims=get("vector_size"), window=get("window"), min_count=get("min_count"), epochs=get("epochs"), skip_gram=bool(get("sg")), partitions=get("workers"), **grams)
         lines = readers.read_lines(spark, _many(get("embedding_input")))
         blocks = corpus.merge_blocks(lines, get("merge_sentences"), "file_no", "line_no").select("tokens")
-        table = train(blocks, settings, lambda n, rate: log.info("epoch %d at rate %.5f", n, rate)).table(spark)
+        total = corpus.total_tokens(blocks).first()
+        log.info("%d blocks of %d tokens", total["n_blocks"], total["n_tokens"])
+        model = train(blocks, settings, lambda n, rate: log.info("epoch %d at rate %.5f", n, rate))
+        model.save(spark, cfg.trained_output_eng if e else cfg.model_output_dhiv)
+        table = model.table(spark)
         sinks.write_vectors(table, cfg.eng_model_output if e else cfg.embedding_output_dhiv)
         if e:
             sinks.write_vec(table, cfg.eng_vec_output)
@@ -81,6 +85,10 @@ def _test_embed_dhiv(spark: SparkSession, cfg: Config) -> DataFrame | None:
     for category, path in cfg.analogy_tables.items():
         one = intrinsic.pair_analogies(spark.read.schema("a string, b string").csv(path), category)
         items = one if items is None else items.unionByName(one)
+    if cfg.inflection_table is not None:
+        table = spark.read.option("header", True).csv(cfg.inflection_table)
+        one = intrinsic.table_analogies(table, cfg.inflection_base, cfg.inflection_forms)
+        items = one if items is None else items.unionByName(one)
     out = intrinsic.analogy_accuracy(items, space).select(F.lit("analogy").alias("task"), "category", "accuracy") if items is not None else None
     if cfg.outlier_sets:
         found = intrinsic.outliers(spark.read.schema("set_id long, words array<string>, gold string").json(cfg.outlier_sets), space)
@@ -104,9 +112,16 @@ def _evaluate(spark: SparkSession, cfg: Config, path: str, kind: str | None, out
         readers.read_analogies(spark, cfg.analogy_file), readers.read_word_list(spark, cfg.eval_coherence_file), cfg.eval_topn,
     )
     sinks.append_table(row, output)
+    sinks.write_csv(intrinsic.section_accuracy(readers.read_analogies(spark, cfg.analogy_file), space), f"{output}_sections")
     return row
 
 
+def _probes(spark: SparkSession, cfg: Config) -> None:
+    if cfg.eval_coherence_file is None:
+        raise ValueError("eval_coherence_file is needed")
+    sinks.write_probe_words(spark, cfg.eval_coherence_file, tuple(cfg.probe_words) or sinks.PROBE_WORDS)
+
+
 def _test_embed_eng(spark: SparkSession, cfg: Config) -> DataFrame:
     if cfg.test_mode_eng != "file":
         raise ValueError(f"unknown test mode {cfg.test_mode_eng!r}; expected 'file' (use operators.knn.neighbours to explore)")
@@ -126,11 +141,14 @@ def _align(spark: SparkSession, cfg: Config) -> DataFrame:
     if cfg.seed_dictionary is None:
         raise ValueError("seed_dictionary is needed")
     source, target = (algebra.preprocess(readers.read_vectors(spark, p), cfg.embedding_preprocessing) for p in (cfg.source_embedding, cfg.target_embedding))
-    pairs = readers.seed_pairs(readers.read_dictionary(spark, cfg.seed_dictionary), cfg.use_transliteration)
+    pairs = readers.seed_pairs(readers.read_dictionary(spark, cfg.seed_dictionary), cfg.use_transliteration, cfg.dedup_dictionary, cfg.normalise_dictionary)
     known = corpus.pairs_in_vocabulary(pairs, source, target)
     for side, n in corpus.pairs_missing(pairs, source, target).groupBy("side").count().collect():
         log.info("%d seed pairs miss their %s word", n, side)
     train_pairs, test_pairs = corpus.split_pairs(known, cfg.alignment_train_ratio, cfg.alignment_seed)
+    prefix = cfg.alignment_output_prefix.removesuffix(".npy")
+    for part, name in ((train_pairs, "train"), (test_pairs, "test")):
+        sinks.write_pairs(part, f"{prefix}_{name}_pairs")
     metrics = None
     if cfg.measure_isomorphism:
         metrics = algebra.isomorphism(known, source, target).select("metric", "value")
@@ -140,13 +158,18 @@ def _align(spark: SparkSession, cfg: Config) -> DataFrame:
     else:
         mode = cfg.alignment_method.removeprefix("vecmap_")
         mapped, mapped_target = self_learning(source, target, None if mode == "unsupervised" else train_pairs, mode)
-    prefix = cfg.alignment_output_prefix.removesuffix(".npy")
     for space, name in ((mapped, "source"), (mapped_target, "target")):
         sinks.write_vectors(space, f"{prefix}_{cfg.alignment_method}_{name}")
     mapped, mapped_target = (spark.read.parquet(f"{prefix}_{cfg.alignment_method}_{name}") for name in ("source", "target"))
     held = algebra.held_out(test_pairs, mapped, mapped_target)
     metrics = held if metrics is None else metrics.unionByName(held)
+    trained = algebra.mean_pair_cosine(train_pairs, mapped, mapped_target).select(F.lit("mean_cosine_train").alias("metric"), F.col("mean_cosine").alias("value"))
+    metrics = metrics.unionByName(trained)
     sinks.write_csv(metrics, f"{prefix}_{cfg.alignment_method}_eval")
+    sinks.write_report(metrics, f"{prefix}_{cfg.alignment_method}_eval.txt")
+    if cfg.retrieval_examples:
+        examples = algebra.retrieval_examples(test_pairs, mapped, mapped_target, cfg.retrieval_examples)
+        examples.write.mode("overwrite").json(f"{prefix}_{cfg.alignment_method}_examples")
     sinks.write_vectors(sinks.aligned_space(mapped, mapped_target), cfg.aligned_space_output)
     sinks.seed_words(train_pairs, test_pairs).coalesce(1).write.mode("overwrite").text(cfg.aligned_space_output.rsplit(".", 1)[0] + "_seed_words")
     return metrics
@@ -161,8 +184,10 @@ def _space(spark: SparkSession, cfg: Config, lang: str) -> DataFrame:
 def _detect_loans(spark: SparkSession, cfg: Config) -> DataFrame:
     readers.require(spark, cfg.aligned_space_output)
     loans = lexicon.classify_loans(
-        spark.read.parquet(cfg.aligned_space_output), readers.read_entity_lists(spark, cfg.ne_lists_dir), cfg.phonetic_threshold, cfg.embed_threshold, cfg.loan_top_k
+        spark.read.parquet(cfg.aligned_space_output), readers.read_entity_lists(spark, cfg.ne_lists_dir), cfg.phonetic_threshold, cfg.embed_threshold, cfg.loan_top_k, cfg.max_words
     )
+    for r in lexicon.category_histogram(loans).collect():
+        log.info("%s: %d (%.1f %%)", r["category"], r["n"], r["percent"])
     out = loans.orderBy("idx").drop("idx")
     sinks.write_csv(out, cfg.loan_output)
     return out
@@ -173,12 +198,14 @@ def _find_gaps(spark: SparkSession, cfg: Config) -> DataFrame:
     seeds = readers.read_seed_words(spark, cfg.aligned_space_output)
     out = lexicon.find_gaps(_space(spark, cfg, "en"), _space(spark, cfg, "dv"), seeds, cfg.gap_threshold, cfg.top_n_english)
     sinks.write_csv(out, cfg.gap_output)
+    for r in lexicon.gap_summary(out).collect():
+        log.info("%s: %d of %d", r["domain"] or "all", r["n_gaps"], r["n_words"])
     return out
 
 
 STEPS: dict[str, dict[str, Step]] = {
     "d": {"preprocess": _preprocess("thaana", "raw_dhiv", "clean_dhiv"), "transliterate": _transliterate, "embed": _embed(""), "test_embed": _test_embed_dhiv},
-    "e": {"preprocess": _preprocess("english", "raw_eng", "clean_eng"), "embed": _embed("_eng"), "test_embed": _test_embed_eng, "test_pretrained": _test_pretrained_eng},
+    "e": {"preprocess": _preprocess("english", "raw_eng", "clean_eng"), "embed": _embed("_eng"), "probes": _probes, "test_embed": _test_embed_eng, "test_pretrained": _test_pretrained_eng},
     "": {"align": _align, "detect_loans": _detect_loans, "find_gaps": _find_gaps},
 }
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glotweave.functions.text import WS, strip
+from glotweave.functions.text import WS, modern_thaana, strip
 
 DICTIONARY = T.StructType([T.StructField(c, T.StringType()) for c in ("english", "transliteration", "dhivehi")])
 _EXTENSIONS = {".parquet": "parquet", ".vec": "vec", ".bin": "binary"}
@@ -67,10 +67,15 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def seed_pairs(dictionary: DataFrame, use_transliteration: bool = False) -> DataFrame:
-    """(pair_no, src, tgt) of a dictionary."""
-    src = "transliteration" if use_transliteration else "dhivehi"
-    return dictionary.select("pair_no", F.col(src).alias("src"), F.col("english").alias("tgt"))
+def seed_pairs(dictionary: DataFrame, use_transliteration: bool = False, dedup: bool = False, normalise: bool = False) -> DataFrame:
+    """(pair_no, src, tgt) of a dictionary.
+
+    ``normalise`` spells classical Thaana letters as the corpus does; ``dedup`` keeps the first of equal pairs, so that none is
+    in both parts of a split.
+    """
+    src = F.col("transliteration" if use_transliteration else "dhivehi")
+    pairs = dictionary.select("pair_no", (modern_thaana(src) if normalise else src).alias("src"), F.col("english").alias("tgt"))
+    return pairs.groupBy("src", "tgt").agg(F.min("pair_no").alias("pair_no")).select("pair_no", "src", "tgt") if dedup else pairs
 
 
 def read_word_list(spark: SparkSession, path: str) -> DataFrame:
@@ -132,23 +137,27 @@ def read_word2vec_binary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vectors(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """(idx, word, vec) by declared kind (parquet, vec, binary) or else by extension."""
+    """(idx, word, vec) by declared kind (parquet, vec, binary; word2vec and fasttext for saved models) or else by extension."""
     require(spark, path)
     kind = kind or next((k for ext, k in _EXTENSIONS.items() if path.rstrip("/").endswith(ext)), None)
+    if kind in ("word2vec", "fasttext"):
+        return spark.read.parquet(f"{path}/words")
+    if kind is None and _exists(spark, f"{path}/words"):
+        return spark.read.parquet(f"{path}/words")
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "vec":
         return read_vec(spark, path)
     if kind == "binary":
         return read_word2vec_binary(spark, path)
-    raise ValueError(f"cannot read {path!r}: give kind 'parquet', 'vec' or 'binary', or use one of {sorted(_EXTENSIONS)} (pickled models are not read)")
+    raise ValueError(f"cannot read {path!r}: give kind 'parquet', 'vec', 'binary', 'word2vec' or 'fasttext', or use one of {sorted(_EXTENSIONS)} (pickled models are not read)")
 
 
 def cached_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """A ``.vec`` file through a Parquet copy beside it, made on first use and sorted by idx."""
+    """A ``.vec`` file through a Parquet copy beside it, made on first use and sorted by idx; an unfinished copy is made anew."""
     side = path.removesuffix(".vec") + ".parquet"
-    if not _exists(spark, side):
-        read_vec(spark, path).sort("idx").write.parquet(side)
+    if not _exists(spark, f"{side}/_SUCCESS"):
+        read_vec(spark, path).sort("idx").write.mode("overwrite").parquet(side)
     return spark.read.parquet(side)
 
 
@@ -167,6 +176,7 @@ def read_analogies(spark: SparkSession, path: str) -> DataFrame:
     ends = ranges.select("name", F.col("line_no").alias("start"), F.lead("line_no", 1, 1 << 60).over(Window.orderBy("line_no")).alias("stop"))
     ws = F.filter(F.split("line", f"{WS}+"), lambda t: t != "")
     rows = lines.filter(~F.col("line").startswith(":")).select("line_no", ws.alias("w")).filter(F.size("w") == 4)
-    return rows.join(F.broadcast(ends), (F.col("line_no") > F.col("start")) & (F.col("line_no") < F.col("stop"))).select(
+    # sections are few beside the questions; the join is by ranges of line numbers
+    return rows.join(ends, (F.col("line_no") > F.col("start")) & (F.col("line_no") < F.col("stop"))).select(
         F.col("name").alias("section"), *[F.col("w")[i].alias(c) for i, c in enumerate("abcd")]
     )

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The words that the coherence test probes, unless others are given.
+PROBE_WORDS = (
+    "family", "money", "government", "science", "technology", "food", "animal", "sport", "music", "religion", "education", "health", "politics",
+    "nature", "business", "war", "peace", "love", "death", "time", "water", "fire", "earth", "air", "light",
+)
+
 
 def write_lines(df: DataFrame, path: str, *order: str) -> None:
     """Column ``line`` as text, sorted by ``order``; part files are in that order."""
@@ -12,11 +18,28 @@ def write_lines(df: DataFrame, path: str, *order: str) -> None:
 
 
 def write_text_file(df: DataFrame, path: str, *order: str) -> None:
-    """Column ``line`` as one file without a final newline, streamed partition by partition through the driver."""
-    rows = df.orderBy(*order).select("line").toLocalIterator()
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        for i, row in enumerate(rows):
-            f.write(("\n" if i else "") + row["line"])
+    """Column ``line`` as one file without a final newline, in any store that Spark reaches; parent folders are made.  Streamed
+    partition by partition through the driver."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        held, size, first = [], 0, True
+        for row in df.orderBy(*order).select("line").toLocalIterator():
+            data = (b"" if first else b"\n") + row["line"].encode()
+            held.append(data)
+            size, first = size + len(data), False
+            if size > 1 << 20:
+                out.write(bytearray(b"".join(held)))
+                held, size = [], 0
+        out.write(bytearray(b"".join(held)))
+    finally:
+        out.close()
+
+
+def write_probe_words(spark: SparkSession, path: str, words: tuple[str, ...] = PROBE_WORDS) -> None:
+    """The words for the coherence test as one file, a word a line."""
+    write_text_file(spark.createDataFrame(list(enumerate(words)), "line_no int, line string"), path, "line_no")
 
 
 def vec_lines(vectors: DataFrame) -> DataFrame:
@@ -49,6 +72,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_report(metrics: DataFrame, path: str) -> None:
+    """(metric, value) rows as one file of ``metric: value`` lines, sorted by metric."""
+    line = F.concat_ws(": ", F.col("metric"), F.coalesce(F.col("value").cast("string"), F.lit("none")))
+    write_text_file(metrics.select("metric", line.alias("line")), path, "metric")
+
+
 def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -68,6 +68,78 @@ def test_trained_neighbours_make_sense(spark, skip_gram):
     assert (a.vector("reddish") is not None) == skip_gram
 
 
+@pytest.mark.parametrize("skip_gram", [False, True])
+def test_batches_take_the_gradient_of_negative_sampling(skip_gram):
+    """One batch against one example at a time, in double precision and without updates in between."""
+    from glotweave.operators import train as T
+
+    rng = np.random.default_rng(5)
+    s = Settings(dims=4, window=2, skip_gram=skip_gram, negative=3)
+    parts = [np.array([i, 10 + i, 10 + (i + 3) % 10]) for i in range(10)]
+    flat, ahead = np.concatenate(parts), np.arange(0, 31, 3)
+    inputs, outputs = (rng.normal(0, 0.5, (n, 4)).astype(np.float32) for n in (20, 10))
+    ids, block, noise = rng.integers(0, 10, 30), np.repeat([0, 1, 2], 10), np.arange(10)
+    got_in, got_out = inputs.copy(), outputs.copy()
+    T._pass(ids, block, got_in, got_out, flat, ahead, noise, s, 0.1, np.random.default_rng(1), 100)
+    draw = np.random.default_rng(1)
+    reach = draw.integers(1, 3, 30)
+    examples = []
+    for t in range(30):
+        around = [k for k in range(t - reach[t], t + reach[t] + 1) if k != t and 0 <= k < 30 and block[k] == block[t]]
+        examples += [([ids[k]], ids[t]) for k in around] if skip_gram else [([ids[k] for k in around], ids[t])]
+    drawn = draw.integers(0, 10, (len(examples), 3))
+    want_in, want_out = inputs.astype(float), outputs.astype(float)
+    for (context, target), negative in zip(examples, drawn):
+        rows = np.concatenate([parts[w] for w in context])
+        h = inputs[rows].astype(float).mean(axis=0)
+        step = np.zeros(4)
+        for w, label in [(target, 1), *[(w, int(w == target)) for w in negative]]:
+            g = (label - 1 / (1 + np.exp(-outputs[w].astype(float) @ h))) * 0.1
+            step += g * outputs[w]
+            want_out[w] += g * h
+        for r in rows:
+            want_in[r] += step / (1 if skip_gram else len(rows))
+    assert np.allclose(got_in, want_in, atol=1e-4) and np.allclose(got_out, want_out, atol=1e-4)
+
+
+def test_saved_models_know_unknown_words(spark, tmp_path):
+    from glotweave.operators.train import fetch_vectors, load_settings
+
+    blocks = spark.createDataFrame([(x.split(),) for x in _corpus()], "tokens array<string>")
+    asked = spark.createDataFrame([("red",), ("reddish",), ("zzz",), ("red",), (None,)], "word string")
+    for grams in (3, 0):
+        model = train(blocks, Settings(dims=8, window=3, epochs=2, partitions=2, min_n=grams and 2, max_n=grams))
+        path = str(tmp_path / f"m{grams}")
+        model.save(spark, path)
+        assert load_settings(spark, path) == model.settings
+        got = {r["word"]: r for r in fetch_vectors(asked, spark, path).collect()}
+        assert set(got) == {"red", "reddish", "zzz"} and [got[w]["known"] for w in ("red", "reddish", "zzz")] == [True, False, False]
+        for w, r in got.items():
+            want = model.vector(w)
+            assert (r["vec"] is None) == (want is None) and (want is None or np.allclose(r["vec"], want, atol=1e-6))
+        assert readers.read_vectors(spark, path).count() == readers.read_vectors(spark, path, "word2vec").count() == len(model.words)
+
+
+def test_seed_pair_options(spark):
+    d = spark.createDataFrame([(0, "one", "x", "\u07a4a"), (1, "one", "x", "\u07a4a"), (2, "two", "y", "b")], "pair_no long, english string, transliteration string, dhivehi string")
+    assert readers.seed_pairs(d).count() == 3
+    got = readers.seed_pairs(d, dedup=True, normalise=True).orderBy("pair_no").collect()
+    assert [tuple(r) for r in got] == [(0, "\u078ea", "one"), (2, "b", "two")]
+
+
+def test_half_written_cache_is_made_anew(spark, tmp_path):
+    v = spark.createDataFrame([(0, "a", [0.5])], "idx int, word string, vec array<double>")
+    sinks.write_vec(v, str(tmp_path / "x.vec"))
+    (tmp_path / "x.parquet").mkdir()
+    (tmp_path / "x.parquet" / "part-0.parquet").write_text("half")
+    assert readers.cached_vectors(spark, str(tmp_path / "x.vec")).count() == 1
+
+
+def test_probe_words(spark, tmp_path):
+    sinks.write_probe_words(spark, str(tmp_path / "deep" / "probes.txt"))
+    assert [r["value"] for r in readers.read_word_list(spark, str(tmp_path / "deep" / "probes.txt")).orderBy("line_no").collect()] == list(sinks.PROBE_WORDS)
+
+
 def test_resolve_reports_all_mistakes():
     assert resolve("e.all,align")[0] == ("e", "preprocess")
     with pytest.raises(ValueError, match="x.y.*embed.*foo"):
@@ -85,9 +157,11 @@ def test_pipeline_end_to_end(spark, tmp_path):
     (tmp_path / "d.csv").write_text("\n".join(f"{w},{w},{w.translate(table)}" for w in words), encoding="utf-8")
     (tmp_path / "sim.tsv").write_text("# pairs\nred\tgreen\t9\nred\tcat\t1\ncat\tdog\t8\nred\tnope\t3\n")
     (tmp_path / "ana.txt").write_text(": s\nred green cat dog\n")
-    (tmp_path / "probes.txt").write_text("red\nnope\n")
+    (tmp_path / "forms.csv").write_text("one,many\n" + "\n".join(f"{a},{b}".translate(table) for a, b in (("red", "green"), ("cat", "dog"))))
     cfg = {
-        "steps": "d.preprocess,e.preprocess,d.embed,e.embed,align,detect_loans,find_gaps,e.test_embed",
+        "steps": "d.preprocess,e.preprocess,d.embed,e.embed,align,detect_loans,find_gaps,e.probes,e.test_embed,d.test_embed",
+        "model_output_dhiv": p("dvm"), "trained_output_eng": p("enm"), "probe_words": ["red", "nope"], "dhiv_test_embedding": p("dvm"),
+        "inflection_table": p("forms.csv"), "inflection_base": "one", "inflection_forms": {"plural": "many"}, "max_words": 4,
         "raw_dhiv": p("dv.txt"), "clean_dhiv": p("dvc"), "embedding_input": p("dvc"), "embedding_output_dhiv": p("dv.parquet"),
         "raw_eng": [p("en.txt")], "clean_eng": p("enc"), "embedding_input_eng": p("enc"), "eng_model_output": p("en.parquet"), "eng_vec_output": p("en.vec"),
         "vector_size": 6, "vector_size_eng": 6, "epochs": 2, "epochs_eng": 2, "workers": 1, "workers_eng": 1, "embedding_type_eng": "word2vec",
@@ -100,9 +174,16 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert spark.read.option("header", True).csv(p("loans")).columns == ["word", "romanised", "category", "best_english_match", "phonetic_score", "embed_score"]
     assert spark.read.option("header", True).csv(p("gaps")).columns == ["english_word", "nearest_dhivehi", "cosine_sim", "is_gap", "domain"]
     # all six words are seeds, so nothing is left to scan
-    assert out["find_gaps"].count() == 0 and out["detect_loans"].count() == 6
+    assert out["find_gaps"].count() == 0 and out["detect_loans"].count() == 4
     row = spark.read.parquet(p("eval")).first()
     assert row["vocab_size"] == 6 and row["coherence_skipped"] == 1 and row["oov_ratio"] == 25.0
+    assert open(p("probes.txt")).read() == "red\nnope"
+    sections = spark.read.option("header", True).csv(p("eval_sections")).collect()
+    assert [(r["section"], r["n_evaluated"]) for r in sections] == [("s", "1")]
+    report = dict(line.split(": ") for line in open(p("al_procrustes_eval.txt"), encoding="utf-8").read().split("\n"))
+    assert -1 <= float(report["mean_cosine_train"]) <= 1 and report["rsa_n_pairs" if "rsa_n_pairs" in report else "eigval_k"]
+    assert spark.read.option("sep", "\t").csv(p("al_train_pairs")).count() == 6
+    assert [(r["task"], r["category"]) for r in out["d.test_embed"].orderBy("category").collect()] == [("analogy", None), ("analogy", "plural")]
 
 
 def test_streaming_clean(spark, tmp_path):
@@ -112,3 +193,14 @@ def test_streaming_clean(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["line"] for r in spark.sql("select line from cleaned").collect()] == ["hello   world"]
+
+
+def test_streaming_counts(spark, tmp_path):
+    from glotweave.streaming.cleaning import stream_foreign_counts
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("héllo Héllo you\nñ\n", encoding="utf-8")
+    q = stream_foreign_counts(stream_lines(spark, str(tmp_path / "in")), "english").writeStream.format("memory").queryName("counted").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(tuple(r) for r in spark.sql("select token, n from counted").collect()) == [("héllo", 2), ("ñ", 1)]

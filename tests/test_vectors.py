@@ -154,3 +154,44 @@ def test_loans(spark):
     assert got["ފިލްމު"] == ("loanword", "film") and got["ބަސް"][0] == "native_dhivehi" and got["މާލެ"] == ("named_entity", "")
     hist = {r["category"]: r["percent"] for r in lexicon.category_histogram(lexicon.classify_loans(s, entities)).collect()}
     assert sum(hist.values()) == pytest.approx(100)
+
+
+def test_average_ranks(spark):
+    from glotweave.operators.algebra import average_ranks
+
+    rng = np.random.default_rng(6)
+    v = [float(x) for x in rng.choice([-3.0, 0.0, 0.5, 1e9, 2.25, 2.5], 200)] + [None]
+    df = spark.createDataFrame([(i, x, 7.0) for i, x in enumerate(v)], "i int, x double, same double")
+    for cells in (1, 3, 4096):
+        got = {r["i"]: r for r in average_ranks(df, cells, x="rx", same="rs").collect()}
+        for i, x in enumerate(v):
+            want = None if x is None else sum(y < x for y in v[:-1]) + (sum(y == x for y in v[:-1]) + 1) / 2
+            assert got[i]["rx"] == want and got[i]["rs"] == 101.0
+
+
+def test_unsupervised_mapping_finds_a_rotation(spark):
+    """Two rotated copies of one space, in another order, meet without a dictionary."""
+    from glotweave.operators.selflearn import self_learning
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 6))
+    m = centres[rng.integers(0, 12, 150)] + 0.4 * rng.normal(size=(150, 6)) * rng.uniform(0.2, 2, 6)
+    turn, _ = np.linalg.qr(rng.normal(size=(6, 6)))
+    order = rng.permutation(150)
+    x = spark.createDataFrame([(i, f"s{i}", [float(y) for y in m[i]]) for i in range(150)], "idx int, word string, vec array<double>")
+    z = spark.createDataFrame([(k, f"t{i}", [float(y) for y in (m @ turn)[i]]) for k, i in enumerate(order)], "idx int, word string, vec array<double>")
+    a, b = self_learning(x, z, None, "unsupervised", seed=1)
+    va = {r["word"]: np.array(r["vec"]) for r in a.collect()}
+    vb = {r["word"]: np.array(r["vec"]) for r in b.collect()}
+    cos = [va[f"s{i}"] @ vb[f"t{i}"] / np.linalg.norm(va[f"s{i}"]) / np.linalg.norm(vb[f"t{i}"]) for i in range(150)]
+    assert np.mean(cos) > 0.95
+
+
+def test_neighbours_in_small_blocks(spark, monkeypatch):
+    from glotweave.operators import knn
+
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(2)
+    s = spark.createDataFrame([(i, f"w{i}", [float(y) for y in rng.integers(-2, 3, 5)]) for i in range(120)], "idx int, word string, vec array<double>")
+    tell = lambda df: sorted((r["q"], r["rank"], r["c"]) for r in df.collect())
+    assert tell(knn.knn_join(s, s, 4, exclude_self=True, broadcast_bytes=0)) == tell(knn.knn_join(s, s, 4, exclude_self=True))
