@@ -22,7 +22,7 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-OP8 = f"""
+_LEDGER = f"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
@@ -47,11 +47,22 @@ WITH w AS (
     + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END)::BIGINT AS failed
   FROM m
 )
+"""
+
+OP8 = f"""{_LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed,
        failed = 0 AS kept, failed
 FROM f
 """
 
+QUALITY_ABLATIONS = f"""{_LEDGER}, rules AS (
+  SELECT * FROM (VALUES ('too_few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('short_words', 16), ('long_words', 32)) v(rule, bit)
+)
+SELECT rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed = bit) AS n_only,
+       count(*) FILTER (failed = bit OR failed = 0) AS n_kept_without
+FROM f, rules GROUP BY rule
+"""
+
 OP4 = f"""
 WITH w AS (
   SELECT doc_id, {_WORDS} AS ws FROM documents
@@ -201,4 +212,4 @@ SELECT doc_id, size, source_size, target,
 FROM i JOIN t ON i.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLE: dict[str, str] = {"op5_source_mixing": OP5, "op3_line_dedup": OP3, "op4_substring_dedup": OP4, "op7_decontamination": OP7, "op8_quality_rules": OP8, "op9_chat_format": OP9, "chat_tool_calls": CHAT_TOOL_CALLS}
+ORACLE: dict[str, str] = {"op5_source_mixing": OP5, "op3_line_dedup": OP3, "op4_substring_dedup": OP4, "op7_decontamination": OP7, "op8_quality_rules": OP8, "quality_ablations": QUALITY_ABLATIONS, "op9_chat_format": OP9, "chat_tool_calls": CHAT_TOOL_CALLS}

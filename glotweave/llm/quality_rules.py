@@ -4,9 +4,9 @@ Method: every rule is evaluated once per document; the ledger keeps the measurem
 policy is a versioned mask over those bits, so verdicts under any policy, and ablations (what each rule alone removes),
 come from bitwise work on the ledger without reading texts again.  DataFrame functions only.
 
-Scale: one narrow pass, no shuffle.  Repeated 5-word windows are found inside a document: window hashes are sorted as a
-primitive array, and only documents that have an equal neighbour pay for the positions.  Time is n log n in the words of
-a document.  Ablations group by the mask (at most 2**rules groups, summed on the map side).
+Scale: one narrow pass, no shuffle.  Repeated 5-word windows are found inside a document: only documents whose window hashes
+are not all distinct sort them, together with their positions.  Time is n log n in the words of a document.  Ablations
+group by the mask (at most 2**rules groups, summed on the map side).
 
 Defined cases: a null or empty text has no words, fails ``too_few_words`` and nothing else; extra columns are ignored by
 the ledger; rows are judged one by one, so repeated or null doc_ids are kept as they are; no rows give no rows.

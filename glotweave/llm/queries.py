@@ -72,6 +72,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy of ``op8_quality_rules`` removes, alone and with others."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")), quality_rules.POLICIES["strict"])
+
+
 #: Schemas of the tools that conversations may call.
 TOOLS = {
     "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"], "additionalProperties": False},
@@ -126,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
+    "quality_ablations": quality_ablations,
     "op9_chat_format": op9_chat_format,
     "chat_tool_calls": chat_tool_calls,
     "op10_near_dedup": op10_near_dedup,
