@@ -440,13 +440,13 @@ def kmeans_purity(spark, sf_dir):
 
 @query
 def word2vec(spark, sf_dir):
-    """CBOW over the cleaned documents: the vocabulary, and whether training gave every word a vector of its own."""
+    """CBOW over the cleaned documents: the vocabulary, and whether every word has a vector of finite numbers, not all zero."""
     from glotweave.operators.train import Settings, train
 
     cleaned = corpus.keep_clean(corpus.clean_lines(lines(spark, sf_dir), "english")).select("doc_id", "line_no", F.col("clean").alias("line"))
     model = train(corpus.merge_blocks_within(cleaned, 5, "doc_id", "line_no"), Settings(epochs=3))
     table = model.table(spark)
-    return table.select("idx", "word", F.size("vec").alias("dims"), (norm(F.col("vec")) > 0.05).alias("trained"))
+    return table.select("idx", "word", F.size("vec").alias("dims"), F.coalesce((norm(F.col("vec")) > 0) & F.forall("vec", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6)), F.lit(False)).alias("trained"))
 
 
 @query
