@@ -323,6 +323,44 @@ def test_substring_dedup(spark, docs, rows):
     assert substring_dedup.dedup_substrings(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("letters", [0x110000 - 0x800, 0])
+@pytest.mark.parametrize("window", [5, 13])
+def test_automata_find_every_window_of_smaller_holders(monkeypatch, letters, window):
+    monkeypatch.setattr(substring_dedup.Phrases, "_LETTERS", letters)
+    monkeypatch.setattr(substring_dedup, "_HITS", 7)
+    rng = np.random.default_rng(window)
+    for trial in range(30):
+        vocab = [2, 4, 100][trial % 3]
+        passages = [rng.integers(0, vocab, rng.integers(window, 40)) for _ in range(6)]
+        holder = rng.integers(0, 10, 6)
+        doc = np.concatenate([x for p in passages for x in (rng.integers(0, vocab, 5), p[rng.integers(0, 4) : len(p) - rng.integers(0, 4)])])
+        phrases = substring_dedup.Phrases(np.concatenate(passages), np.concatenate([[0], np.cumsum([len(p) for p in passages])]), holder, window, vocab)
+        known = {tuple(p[i : i + window]) for p, h in zip(passages, holder) if h < 5 for i in range(len(p) - window + 1)}
+        want = np.zeros(len(doc), dtype=bool)
+        for i in range(len(doc) - window + 1):
+            if tuple(doc[i : i + window]) in known:
+                want[i : i + window] = True
+        assert (np.cumsum(phrases.mark(doc, 5)[:-1]) > 0).tolist() == want.tolist()
+    assert not substring_dedup.Phrases(np.empty(0, np.int64), np.array([0]), np.empty(0, np.int64), window, 5).mark(doc, 5).any()
+
+
+def test_removed_positions_come_from_the_automaton(monkeypatch):
+    """Without its automaton a shard removes nothing, whatever passages its documents receive."""
+    rng = random.Random(1)
+    phrase = sentence(rng, 30, 10**6)
+    texts = [sentence(rng, 20, 10**6) + " " + phrase, sentence(rng, 5, 10**6) + " " + " ".join(phrase.split()[5:25])]
+    kind = pa.list_(pa.struct([("low", pa.int64()), ("passage", pa.string())]))
+    batch = pa.record_batch(
+        {"doc_id": [8, 9], "text": texts, "__sd_passages": pa.array([[{"low": 3, "passage": phrase}], [{"low": 3, "passage": phrase}]], kind), "__sd_copy": [False, False]}
+    )
+    locate = substring_dedup._locate(["doc_id", "text"], 13, 1 << 20)
+    (out,) = locate(iter([batch]))
+    assert out.column("n_removed").to_pylist() == [30, 20] and out.column("text").to_pylist() == [" ".join(texts[0].split()[:20]), " ".join(texts[1].split()[:5])]
+    monkeypatch.setattr(substring_dedup.Phrases, "mark", lambda self, number, doc_id: np.zeros(len(number) + 1, dtype=np.int64))
+    (out,) = locate(iter([batch]))
+    assert out.column("n_removed").to_pylist() == [0, 0] and out.column("text").to_pylist() == texts
+
+
 # 5 mixing
 
 
