@@ -100,9 +100,10 @@ def test_components(spark):
 
     for u, v in edges:
         parent[max(find(u), find(v))] = min(find(u), find(v))
-    got = dict(connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
-    assert got == {x: find(x) for u, v in edges if u != v for x in (u, v)}
-    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    for local in (0, 10**6):
+        got = dict(connected_components(spark.createDataFrame(edges, "u long, v long"), local_edges=local).collect())
+        assert got == {x: find(x) for u, v in edges if u != v for x in (u, v)}
+        assert connected_components(spark.createDataFrame([], "u long, v long"), local_edges=local).count() == 0
 
 
 # 1 quality classifier
