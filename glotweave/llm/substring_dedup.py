@@ -5,7 +5,7 @@ Method, in two moves.
 *Confirm recurring passages.*  A window is ``window`` consecutive words.  Every window names one seed, the smallest hash
 among its ``seed_words``-word grams (a minimiser: equal windows name equal seeds, and only about a quarter of all
 positions are seeds).  Seeds of one document only rule their windows out, so windows themselves are hashed and counted
-only where a seed recurs; what has a smaller and a larger document among its holders is confirmed.  Its holder is the
+only where a seed recurs; what two texts hold is confirmed.  Its holder is the
 smallest of them, and the holder's confirmed windows, as stretches of text in blocks of ``BLOCK`` windows, are the passages.
 
 *Locate every occurrence.*  A document visits the blocks of which it shares a window; the visit says which block, not
@@ -267,7 +267,7 @@ def _find_passages(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
         )
         seeds = scratch.table(texts.mapInArrow(_seeds_of(window, seed_words), "doc_id long, seed long"), "phrase-seeds")
         recurring = scratch.table(
-            seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("seed"), "phrase-recurring"
+            seeds.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "phrase-recurring"
         )
         by_doc = scratch.table(seeds.join(recurring, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")), "phrase-seeds-of")
         scratch.drop(holders, seeds, recurring)
@@ -280,8 +280,8 @@ def _find_passages(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
         scratch.drop(by_doc)
         confirmed = scratch.table(
             windows.groupBy("w")
-            .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min_by("at", "doc_id").alias("at"))
-            .filter("low < high")
+            .agg(F.min("doc_id").alias("low"), F.min_by("at", "doc_id").alias("at"), F.count("*").alias("n"))
+            .filter("n > 1")
             .select("w", "low", F.floor(F.col("at") / BLOCK).cast("int").alias("block")),
             "phrase-confirmed",
         )
