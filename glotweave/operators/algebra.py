@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glotweave.functions.vectors import as_double, dot, unit
-from glotweave.operators.knn import csls_join, csls_penalty, hubness_skew, knn_join, matrix, unit_rows
+from glotweave.operators.knn import BROADCAST_BYTES, csls_join, csls_penalty, hubness_skew, knn_join, matrix, unit_rows
 
 METHODS = ("none", "norm_only", "center", "center_whiten", "center_whiten_renorm")
 
@@ -98,20 +98,42 @@ def _paired(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame
     )
 
 
-def rsa(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+def _pair_distances(p: DataFrame) -> DataFrame:
+    """(dx, dy) of all pairs i < j of rows (pair_no, x, y): batches of rows times the whole table, which is sent to executors."""
+    table = p.orderBy("pair_no").toArrow()
+    held = p.sparkSession.sparkContext.broadcast((np.asarray(table["pair_no"].combine_chunks()), matrix(table["x"]), matrix(table["y"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no, xs, ys = held.value
+        for batch in batches:
+            ids, x, y = np.asarray(batch.column("pair_no")), matrix(batch.column("x")), matrix(batch.column("y"))
+            for a in range(0, len(ids), 256):
+                part = slice(a, a + 256)
+                later = ids[part][:, None] < no[None, :]
+                yield pa.RecordBatch.from_arrays([pa.array((1 - x[part] @ xs.T)[later]), pa.array((1 - y[part] @ ys.T)[later])], ["dx", "dy"])
+
+    return p.mapInArrow(run, "dx double, dy double")
+
+
+def _pair_distances_joined(p: DataFrame) -> DataFrame:
+    """The same by a join, for tables too large to send."""
+    a, b = (p.select(F.col("pair_no").alias(f"{s}_no"), F.col("x").alias(f"{s}_x"), F.col("y").alias(f"{s}_y")) for s in "ab")
+    return a.join(b, F.col("a_no") < F.col("b_no")).select((1 - dot(F.col("a_x"), F.col("b_x"))).alias("dx"), (1 - dot(F.col("a_y"), F.col("b_y"))).alias("dy"))
+
+
+def rsa(pairs: DataFrame, source: DataFrame, target: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """rsa_n_pairs, rsa_pearson, rsa_spearman: correlation of the two spaces' pairwise cosine distances over seed pairs
     (hundreds of rows; all pairs i < j of them)."""
     p = _paired(pairs, source, target).select("pair_no", unit(F.col("x")).alias("x"), unit(F.col("y")).alias("y"))
     # the distance of unit vectors' cosines, as the unit vectors stand; read several times, so kept while that lasts
-    a, b = (p.select(F.col("pair_no").alias(f"{s}_no"), F.col("x").alias(f"{s}_x"), F.col("y").alias(f"{s}_y")) for s in "ab")
-    d = a.join(b, F.col("a_no") < F.col("b_no")).select((1 - dot(F.col("a_x"), F.col("b_x"))).alias("dx"), (1 - dot(F.col("a_y"), F.col("b_y"))).alias("dy"))
+    size = p.agg(F.count("*").alias("n"), F.max(F.size("x") + F.size("y")).alias("d")).first()
+    d = _pair_distances(p) if size["n"] * (size["d"] or 0) * 8 <= broadcast_bytes else _pair_distances_joined(p)
     d = d.persist(StorageLevel.DISK_ONLY)
     try:
         row = average_ranks(d, dx="rx", dy="ry").agg(F.corr("dx", "dy").alias("p"), F.corr("rx", "ry").alias("s")).first()
     finally:
         d.unpersist()
-    n = p.count()
-    return pairs.sparkSession.createDataFrame([(row["p"], row["s"], n)], "rsa_pearson double, rsa_spearman double, rsa_n_pairs long")
+    return pairs.sparkSession.createDataFrame([(row["p"], row["s"], size["n"])], "rsa_pearson double, rsa_spearman double, rsa_n_pairs long")
 
 
 def average_ranks(df: DataFrame, cells: int = 4096, **columns: str) -> DataFrame:

@@ -25,6 +25,11 @@ def test_all_pairs_count(spark, table):
     want = np.corrcoef((1 - u[::2] @ u[::2].T)[at], (1 - u[1::2] @ u[1::2].T)[at])[0, 1]
     r = QUERIES["rsa"](spark, path).first()
     assert r["rsa_n_pairs"] == N // 2 and r["rsa_pearson"] == pytest.approx(want, abs=1e-6)
+    from glotweave.operators import algebra
+    from glotweave.plans.queries import _identity_pairs, side
+
+    joined = algebra.rsa(_identity_pairs(spark, path), side(spark, path, 0), side(spark, path, 1), broadcast_bytes=0).first()
+    assert joined["rsa_pearson"] == pytest.approx(want, abs=1e-9) and joined["rsa_spearman"] == pytest.approx(r["rsa_spearman"], abs=1e-6)
     got = {r["metric"]: r["value"] for r in QUERIES["isomorphism"](spark, path).collect()}
     assert got["rsa_n_pairs"] == N // 2 and got["rsa_pearson"] == pytest.approx(want, abs=1e-4)
 
