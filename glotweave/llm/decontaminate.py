@@ -167,7 +167,8 @@ def _search(docs: DataFrame, items: DataFrame, broadcast_rows: int, split) -> Da
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a passage of any item."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__dc_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__dc_id"), "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+    """``docs`` without the documents that hold a passage of any item.  Their ids are broadcast up to ``broadcast_rows``."""
+    found = contaminated(docs, benchmark, broadcast_rows, **options).select(F.col("doc_id").alias("__dc_id")).distinct()
+    bad = materialise(found, "leak-ids")
+    return docs.join(_small(bad, bad.count(), broadcast_rows), F.col("doc_id") == F.col("__dc_id"), "left_anti")
