@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glotweave.llm import (
     chat_format,
     decontaminate,
+    fingerprints,
     language_id,
     license_scan,
     line_dedup,
@@ -122,6 +123,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "rep_id", "class_id")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_license_scan": op2_license_scan,
@@ -135,4 +140,5 @@ QUERIES: dict[str, Query] = {
     "op9_chat_format": op9_chat_format,
     "chat_tool_calls": chat_tool_calls,
     "op10_near_dedup": op10_near_dedup,
+    "op11_fingerprints": op11_fingerprints,
 }
