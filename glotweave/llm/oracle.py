@@ -212,4 +212,53 @@ SELECT doc_id, size, source_size, target,
 FROM i JOIN t ON i.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLE: dict[str, str] = {"op5_source_mixing": OP5, "op3_line_dedup": OP3, "op4_substring_dedup": OP4, "op7_decontamination": OP7, "op8_quality_rules": OP8, "quality_ablations": QUALITY_ABLATIONS, "op9_chat_format": OP9, "chat_tool_calls": CHAT_TOOL_CALLS}
+OP13 = """
+WITH g AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, row_number() OVER () AS row
+  FROM documents
+), t AS (
+  SELECT lang, source, row, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM g
+), known AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 10
+), lang AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n) AS total FROM known GROUP BY ALL
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t JOIN known USING (lang, term) GROUP BY ALL
+), own AS (
+  SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL
+), grp AS (
+  SELECT DISTINCT lang, source FROM g
+), p AS (
+  SELECT grp.lang, grp.source, known.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(own.total, 0) + 2 * lang.v) AS p,
+         1 + (1000000000::HUGEINT * (known.n + 2)) // (lang.total + 2 * lang.v) AS q
+  FROM grp JOIN known USING (lang) JOIN lang USING (lang)
+  LEFT JOIN own ON own.lang = grp.lang AND own.source = grp.source
+  LEFT JOIN c ON c.lang = grp.lang AND c.source = grp.source AND c.term = known.term
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM k WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLE: dict[str, str] = {
+    "op5_source_mixing": OP5,
+    "op3_line_dedup": OP3,
+    "op4_substring_dedup": OP4,
+    "op7_decontamination": OP7,
+    "op8_quality_rules": OP8,
+    "quality_ablations": QUALITY_ABLATIONS,
+    "op9_chat_format": OP9,
+    "chat_tool_calls": CHAT_TOOL_CALLS,
+    "op13_source_divergence": OP13,
+}

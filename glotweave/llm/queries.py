@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glotweave.llm import (
     chat_format,
     decontaminate,
+    divergence,
     fingerprints,
     language_id,
     license_scan,
@@ -127,6 +128,10 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_license_scan": op2_license_scan,
@@ -141,4 +146,5 @@ QUERIES: dict[str, Query] = {
     "chat_tool_calls": chat_tool_calls,
     "op10_near_dedup": op10_near_dedup,
     "op11_fingerprints": op11_fingerprints,
+    "op13_source_divergence": op13_source_divergence,
 }
