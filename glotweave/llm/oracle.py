@@ -251,6 +251,44 @@ WITH g AS (
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM k WHERE part = 'pair' OR rank <= 10
 """
 
+OP12 = """
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), p AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM t
+), total AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p
+), g AS (
+  SELECT lang, w, i, unnest(range(1, least(4, len(w) - i + 1) + 1)) AS size FROM starts
+), f AS (
+  SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, size, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 30
+), c AS (
+  SELECT lang, phrase, size, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1
+), k AS (
+  SELECT *, unnest(range(1, size)) AS k FROM c
+), s AS (
+  SELECT k.lang, k.phrase, k.a, k, x.n AS l, y.n AS r, (2000000::HUGEINT * k.a) // (x.n + y.n) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1 : k], ' ')
+  JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k + 1 :], ' ')
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), sub AS (
+  SELECT lang, w, a, size, n, unnest(range(1, size - n + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS n FROM c)
+), longer AS (
+  SELECT lang, array_to_string(w[i : i + n - 1], ' ') AS phrase, max(a) AS most FROM sub GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM b LEFT JOIN longer USING (lang, phrase) WHERE coalesce(100 * most < 80 * a, true)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank::INT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op5_source_mixing": OP5,
     "op3_line_dedup": OP3,
@@ -260,5 +298,6 @@ ORACLE: dict[str, str] = {
     "quality_ablations": QUALITY_ABLATIONS,
     "op9_chat_format": OP9,
     "chat_tool_calls": CHAT_TOOL_CALLS,
+    "op12_collocations": OP12,
     "op13_source_divergence": OP13,
 }

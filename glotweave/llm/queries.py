@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glotweave.llm import (
     chat_format,
+    collocations,
     decontaminate,
     divergence,
     fingerprints,
@@ -128,6 +129,10 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -146,5 +151,6 @@ QUERIES: dict[str, Query] = {
     "chat_tool_calls": chat_tool_calls,
     "op10_near_dedup": op10_near_dedup,
     "op11_fingerprints": op11_fingerprints,
+    "op12_collocations": op12_collocations,
     "op13_source_divergence": op13_source_divergence,
 }
