@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,36 +121,53 @@ def total_tokens(blocks: DataFrame) -> DataFrame:
     return blocks.agg(F.count("*").alias("n_blocks"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n_tokens"))
 
 
+def _known_sides(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """(src, tgt, in_src, in_tgt) of the distinct pairs with a known word: the wanted words of both sides meet the vocabularies once.
+
+    A vocabulary that is both sides is read once.
+    """
+    sides = F.array(F.struct(F.lit("source").alias("side"), F.col("src").alias("word")), F.struct(F.lit("target").alias("side"), F.col("tgt").alias("word")))
+    wanted = pairs.select("src", "tgt").distinct().select("src", "tgt", F.inline(sides))
+    both = F.explode(F.array(F.lit("source"), F.lit("target"))).alias("side")
+    words = source.select("word", both) if source is target else source.select("word", F.lit("source").alias("side")).union(target.select("word", F.lit("target").alias("side")))
+    found = wanted.join(words, ["side", "word"], "left_semi")
+    return found.groupBy("src", "tgt").agg(*[F.max(F.col("side") == side).alias(name) for side, name in (("source", "in_src"), ("target", "in_tgt"))])
+
+
+def _with_sides(pairs: DataFrame, sides: DataFrame, how: str) -> DataFrame:
+    s = sides.select(F.col("src").alias("__s"), F.col("tgt").alias("__t"), "in_src", "in_tgt")
+    return pairs.join(s, F.col("src").eqNullSafe(F.col("__s")) & F.col("tgt").eqNullSafe(F.col("__t")), how)
+
+
 def pairs_in_vocabulary(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """Pairs (src, tgt) with both words known; duplicates and pair_no stay."""
-    return pairs.join(source.select(F.col("word").alias("src")), "src", "left_semi").join(
-        target.select(F.col("word").alias("tgt")), "tgt", "left_semi"
-    )
+    return _with_sides(pairs, _known_sides(pairs, source, target).filter("in_src and in_tgt"), "left_semi")
 
 
 def pairs_missing(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """Pairs with an unknown word, with side = source, target or both."""
-    s, t = (d.select(F.col("word").alias(c), F.lit(True).alias(f"in_{c}")).distinct() for d, c in ((source, "src"), (target, "tgt")))
-    marked = pairs.join(s, "src", "left").join(t, "tgt", "left")
-    side = F.when(F.col("in_src").isNull() & F.col("in_tgt").isNull(), "both").when(F.col("in_src").isNull(), "source").when(F.col("in_tgt").isNull(), "target")
-    return marked.withColumn("side", side).filter(F.col("side").isNotNull()).drop("in_src", "in_tgt")
+    marked = _with_sides(pairs, _known_sides(pairs, source, target), "left")
+    s, t = (F.coalesce(F.col(c), F.lit(False)) for c in ("in_src", "in_tgt"))
+    side = F.when(~s & ~t, "both").when(~s, "source").when(~t, "target")
+    return marked.select(*[f"`{c}`" for c in pairs.columns], side.alias("side")).filter(F.col("side").isNotNull())
 
 
-def split_pairs(pairs: DataFrame, ratio: float = 0.8, seed: int = 42, max_pairs: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """(train, test) of a seeded shuffle in pair_no order; train gets at least 10 rows, so test may be empty.
+def split_pairs(pairs: DataFrame, ratio: float = 0.8, seed: int = 42, cell_pairs: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(train, test) by the order of the MD5 values of "seed|pair_no|src|tgt"; train gets at least 10 rows, so test may be empty.
 
-    A seed dictionary is small and is shuffled by Python's generator; one beyond ``max_pairs`` is ordered by hash instead.
+    Both have the place in that order as ``shuffled``.  Places are counted within cells of equal first digits of the value, of
+    about ``cell_pairs`` pairs each, and cells by the counts of those before them.  The same pairs always fall the same way.
     """
     n = pairs.count()
     cut = max(10, int(n * ratio))
-    if n > max_pairs:
-        order = Window.orderBy(F.xxhash64("src", "tgt", "pair_no", F.lit(seed)), "pair_no")
-        ranked = pairs.withColumn("shuffled", F.row_number().over(order) - 1)
-    else:
-        numbers = [r["pair_no"] for r in pairs.select("pair_no").orderBy("pair_no").collect()]
-        random.Random(seed).shuffle(numbers)
-        places = pairs.sparkSession.createDataFrame(list(zip(numbers, range(n))), "pair_no long, shuffled int")
-        ranked = pairs.join(F.broadcast(places), "pair_no")
+    digits = max(0, math.ceil(math.log(max(n, 1) / cell_pairs, 16)))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("pair_no").cast("string"), "src", "tgt"))
+    keyed = pairs.withColumn("__key", key).withColumn("__cell", F.substring("__key", 1, digits))
+    before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    bases = keyed.groupBy("__cell").agg(F.count("*").alias("__n")).select("__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    place = F.row_number().over(Window.partitionBy("__cell").orderBy("__key")) - 1
+    ranked = keyed.withColumn("__at", place).join(bases, "__cell").withColumn("shuffled", F.col("__base") + F.col("__at"))
+    ranked = ranked.drop("__key", "__cell", "__base", "__at")
     return ranked.filter(F.col("shuffled") < cut), ranked.filter(F.col("shuffled") >= cut)
 
 

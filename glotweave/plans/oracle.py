@@ -45,6 +45,11 @@ b AS (SELECT item_id, pos, regexp_replace(lower(raw), '[^a-z]', '', 'g') AS word
 _VOCABS = f"""{_CLEAN}, {_BENCH}, bench AS MATERIALIZED (SELECT DISTINCT word FROM b),
 docs AS MATERIALIZED (SELECT DISTINCT unnest({_tokens('clean')}) AS word FROM c WHERE clean <> ''),
 names AS (SELECT DISTINCT unnest({_tokens('lower(p_name)')}) AS word FROM part)"""
+_KNOWN = f"""{_CLEAN}, {_BENCH}, p AS MATERIALIZED (SELECT DISTINCT word AS src, reverse(word) AS tgt FROM b),
+wanted AS MATERIALIZED (SELECT src, tgt, unnest([true, false]) AS source, unnest([src, tgt]) AS word FROM p),
+d AS (SELECT unnest({_tokens('clean')}) AS word FROM c WHERE clean <> ''),
+known AS MATERIALIZED (SELECT DISTINCT word FROM d WHERE word IN (SELECT word FROM wanted)),
+s AS (SELECT src, tgt, bool_or(source) AS in_src, bool_or(NOT source) AS in_tgt FROM wanted WHERE word IN (FROM known) GROUP BY ALL)"""
 _SPACE = """e AS (SELECT vec_id::INT AS idx, 'w' || vec_id AS word, embedding::DOUBLE[] AS vec, label FROM embeddings),
 s AS (SELECT (idx / 2)::INT AS idx, word, vec, label FROM (SELECT idx - idx % 2 AS idx, word, vec, label, idx % 2 AS r FROM e) WHERE r = 0),
 t AS (SELECT (idx / 2)::INT AS idx, word, vec, label FROM (SELECT idx - idx % 2 AS idx, word, vec, label, idx % 2 AS r FROM e) WHERE r = 1)"""
@@ -137,10 +142,13 @@ ORACLE: dict[str, str] = {
       SELECT block_id, len(ws)::BIGINT AS n_tokens, array_to_string(ws, ' ') AS line FROM g""",
     "vocab_min_count": f"""WITH {_CLEAN}, w AS (SELECT unnest({_tokens('clean')}) AS word FROM c WHERE clean <> ''), v AS (SELECT word, count(*) AS n FROM w GROUP BY word HAVING count(*) >= 3)
       SELECT (row_number() OVER (ORDER BY n DESC, word) - 1)::INT AS idx, word, n FROM v""",
-    "vocab_semi": f"WITH {_VOCABS} SELECT b.word AS src, r.word AS tgt FROM bench b JOIN docs d ON d.word = b.word JOIN docs r ON r.word = reverse(b.word)",
+    "vocab_semi": f"WITH {_KNOWN} SELECT src, tgt FROM p JOIN s USING (src, tgt) WHERE in_src AND in_tgt",
     "vocab_anti": f"WITH {_VOCABS} SELECT word FROM docs ANTI JOIN (FROM bench UNION ALL FROM names) x USING (word)",
-    "vocab_missing": f"""WITH {_VOCABS} SELECT b.word AS src, reverse(b.word) AS tgt, CASE WHEN d.word IS NULL AND r.word IS NULL THEN 'both'
-      WHEN d.word IS NULL THEN 'source' ELSE 'target' END AS side FROM bench b LEFT JOIN docs d ON d.word = b.word LEFT JOIN docs r ON r.word = reverse(b.word) WHERE d.word IS NULL OR r.word IS NULL""",
+    "vocab_missing": f"""WITH {_KNOWN} SELECT src, tgt, CASE WHEN NOT coalesce(in_src, false) AND NOT coalesce(in_tgt, false) THEN 'both'
+      WHEN NOT coalesce(in_src, false) THEN 'source' ELSE 'target' END AS side FROM p LEFT JOIN s USING (src, tgt) WHERE NOT coalesce(in_src AND in_tgt, false)""",
+    "seed_split": f"""WITH {_SPACE}, p AS (SELECT idx AS pair_no, word AS src, 'w' || (idx * 2 + 1) AS tgt FROM s),
+      r AS (SELECT pair_no, row_number() OVER (ORDER BY md5(concat_ws('|', '42', pair_no, src, tgt))) - 1 AS place, count(*) OVER () AS n FROM p)
+      SELECT pair_no, CASE WHEN place < greatest(10, floor(n * 0.8)) THEN 'train' ELSE 'test' END AS part FROM r""",
     "seed_split_sizes": f"WITH {_BENCH} SELECT least(count(*), greatest(10, floor(count(*) * 0.8)))::BIGINT AS n_train, (count(*) - least(count(*), greatest(10, floor(count(*) * 0.8))))::BIGINT AS n_test FROM b",
     "phonetic_pairs": f"""WITH {_BENCH}, p AS (SELECT *, lead(word) OVER (PARTITION BY item_id ORDER BY pos) AS next FROM b), f AS (SELECT *, {_forms('word')} AS x, {_forms('next')} AS y FROM p WHERE next IS NOT NULL)
       SELECT item_id, pos, word, next, {_round('1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y), 1)')} AS similarity FROM f""",

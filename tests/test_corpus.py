@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,5 +44,15 @@ def test_split_sizes(spark, n, train):
     a, b = corpus.split_pairs(pairs)
     assert (a.count(), b.count()) == (train, n - train)
     assert not set(r[0] for r in a.select("pair_no").collect()) & set(r[0] for r in b.select("pair_no").collect())
-    c, d = corpus.split_pairs(pairs, max_pairs=1)
-    assert (c.count(), d.count()) == (train, n - train)
+    order = sorted(range(n), key=lambda i: hashlib.md5(f"42|{i}|{i}|x".encode()).hexdigest())
+    for cells in (1, 3, 10_000):
+        c, d = corpus.split_pairs(pairs, cell_pairs=cells)
+        assert {r["pair_no"]: r["shuffled"] for r in c.union(d).collect()} == {i: k for k, i in enumerate(order)}
+        assert sorted(r["shuffled"] for r in c.collect()) == list(range(train))
+
+
+def test_pairs_of_two_vocabularies(spark):
+    source, target = (spark.createDataFrame([(w,) for w in ws], "word string") for ws in ("abc", "xy"))
+    pairs = spark.createDataFrame([(0, "a", "x"), (0, "a", "x"), (1, "x", "a"), (2, "b", "q"), (3, "q", "y"), (4, None, "y"), (5, None, None)], "pair_no int, src string, tgt string")
+    assert [r["pair_no"] for r in corpus.pairs_in_vocabulary(pairs, source, target).collect()] == [0, 0]
+    assert {r["pair_no"]: r["side"] for r in corpus.pairs_missing(pairs, source, target).collect()} == {1: "both", 2: "target", 3: "source", 4: "source", 5: "both"}
