@@ -5,29 +5,42 @@ both sides on the dictionary, maps them orthogonally by an SVD, weights by singu
 self-learning the dictionary is induced anew from CSLS neighbours in both directions over the most frequent words, with
 entries dropped at random less and less, until the mean similarity stops rising.
 
-Neighbour search inside a round is over ``cutoff`` words per side (a bound of the method), on the driver's BLAS.  Seed pairs
-are joined with the whole spaces, and only the sums of their products reach the driver; the final mapping is applied to
-whole spaces by executors.
+Induction runs on executors.  The ``cutoff`` most frequent words of each side are packed into blocks of ``block_rows`` rows in a
+scratch table; a round is one job over all pairs of blocks: every pair gives the largest cosines of its rows and of its
+columns, which are merged into the CSLS penalties; every pair then gives the best candidate of its rows and of its columns
+under those penalties, which are merged into the dictionary; the dictionary's words meet their vectors by joins on the index, and
+only sums of d x d products and the mean similarity come back.  The driver holds no vector and no word.  A similarity is dropped if a
+hash of (seed, round, direction, row, column) says so, so the result does not depend on blocks, order or retries.
+
+Where both sides fit into one block, one task has all there is, and runs the rounds in a row instead of coming back after
+each: the same functions on the same numbers, without a job a round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glotweave.functions.vectors import as_double
-from glotweave.operators.algebra import _paired, covariance, map_vectors, outer_sums
+from glotweave.operators.algebra import _lists, _paired, covariance, map_vectors, outer_sums
 from glotweave.operators.knn import matrix, unit_rows
+from glotweave.scratch import Scratch, materialise
 
-_BLOCK_ROWS = 1000
+#: Rows of a block, and rows whose similarities to a block are in memory at once.
+BLOCK_ROWS, _STRIPE = 4096, 512
 MODES = ("supervised", "semi", "unsupervised")
+#: Neighbours of the CSLS penalty; words whose profiles are compared to begin without a dictionary.
+NEIGHBOURS, PROFILES = 10, 4000
 
 
-def _normalised(space: DataFrame) -> DataFrame:
-    out = map_vectors(space, unit_rows)
+def _normalised(space: DataFrame, scratch: Scratch) -> DataFrame:
+    out = scratch.table(map_vectors(space, unit_rows), "selflearn-unit")
     mean, _ = covariance(out)
-    return map_vectors(out, lambda m: unit_rows(m - mean))
+    return scratch.table(map_vectors(out, lambda m: unit_rows(m - mean)), "selflearn-space")
 
 
 def _power(m: np.ndarray, p: float) -> np.ndarray:
@@ -35,13 +48,8 @@ def _power(m: np.ndarray, p: float) -> np.ndarray:
     return vectors @ np.diag(np.maximum(values, 1e-9) ** p) @ vectors.T
 
 
-def mapping_step(x: np.ndarray, z: np.ndarray, reweight: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """(Wx, Wz) from aligned rows."""
-    return _mapping_of(x.T @ x, x.T @ z, z.T @ z, reweight)
-
-
-def _mapping_of(gx: np.ndarray, cross: np.ndarray, gz: np.ndarray, reweight: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """``mapping_step`` from the products X'X, X'Z and Z'Z."""
+def mapping_step(gx: np.ndarray, cross: np.ndarray, gz: np.ndarray, reweight: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """(Wx, Wz) from the products X'X, X'Z and Z'Z of a dictionary's vectors."""
     wx, wz = _power(gx, -0.5), _power(gz, -0.5)
     u, s, vt = np.linalg.svd(wx.T @ cross @ wz)
     a, b = wx @ u, wz @ vt.T
@@ -49,45 +57,193 @@ def _mapping_of(gx: np.ndarray, cross: np.ndarray, gz: np.ndarray, reweight: flo
     return a @ u.T @ _power(gx, 0.5) @ u, b @ vt @ _power(gz, 0.5) @ vt.T
 
 
-def _csls_nearest(x: np.ndarray, z: np.ndarray, keep: float, rng, k: int = 10) -> tuple[np.ndarray, float]:
-    """For each x the z with the largest 2 * cosine - mean of z's k largest cosines, and the mean of the largest cosines.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mixer of whole numbers."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
-    Rows are taken in blocks, so that similarities of ``_BLOCK_ROWS`` words are in memory at once.
-    """
-    k = min(k, len(x), len(z))
-    rz = np.concatenate([np.partition(z[a : a + _BLOCK_ROWS] @ x.T, len(x) - k, axis=1)[:, -k:].mean(axis=1) for a in range(0, len(z), _BLOCK_ROWS)])
-    nearest, best = [], 0.0
-    for a in range(0, len(x), _BLOCK_ROWS):
-        sim = x[a : a + _BLOCK_ROWS] @ z.T
-        best += float(sim.max(axis=1).sum())
-        adjusted = 2 * sim - rz[None, :]
-        if keep < 1:
-            adjusted[rng.random(sim.shape) >= keep] = -np.inf
-        nearest.append(adjusted.argmax(axis=1))
-    return np.concatenate(nearest), best / len(x)
 
+def kept_entries(rows: np.ndarray, columns: np.ndarray, keep: float, turn: tuple[int, int, int]) -> np.ndarray:
+    """Which of rows x columns a round keeps: each with probability ``keep``, by a hash of its place and of the turn (seed, round, direction)."""
+    if keep >= 1:
+        return np.ones((len(rows), len(columns)), bool)
+    salt = np.zeros(1, np.uint64)
+    for part in turn:
+        salt = _mixed(salt + np.uint64(part) + np.uint64(0x9E3779B97F4A7C15))
+    r = _mixed(rows.astype(np.uint64) + salt)
+    c = _mixed(columns.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt)
+    return _mixed(r[:, None] ^ (c[None, :] + np.uint64(1))) < np.uint64(int(keep * 2.0**63) << 1)
 
-def _first_dictionary(x: np.ndarray, z: np.ndarray, cutoff: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words whose sorted similarity profiles within their own space are alike."""
-    n = min(len(x), len(z), cutoff)
-    profiles = []
-    for m in (x[:n], z[:n]):
-        u, s, vt = np.linalg.svd(m, full_matrices=False)
-        profile = np.sort((u * s) @ u.T, axis=1)
-        profile = unit_rows(profile)
-        profiles.append(unit_rows(profile - profile.mean(axis=0)))
-    target, _ = _csls_nearest(profiles[0], profiles[1], 1.0, None)
-    return np.arange(n), target
 
+def _largest(sim: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of each row."""
+    return np.partition(sim, sim.shape[1] - k, axis=1)[:, -k:] if sim.shape[1] > k else sim
 
-def _frequent(space: DataFrame, cutoff: int) -> np.ndarray:
-    return matrix(space.filter(F.col("idx") < cutoff).orderBy("idx").select(as_double(F.col("vec")).alias("vec")).toArrow()["vec"])
 
+def tile_largest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest cosines of every row of ``a`` within ``b``, and of every row of ``b`` within ``a`` (fewer where there are fewer)."""
+    rows, columns = [], np.empty((len(b), 0))
+    for at in range(0, len(a), _STRIPE):
+        sim = a[at : at + _STRIPE] @ b.T
+        rows.append(_largest(sim, k))
+        columns = _largest(np.hstack([columns, sim.T]), k)
+    return np.concatenate(rows), columns
 
-def _seed_products(pairs: DataFrame, xs: DataFrame, zs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """X'X, X'Z and Z'Z of all seed pairs whose words are in the spaces, however rare."""
-    both = _paired(pairs.select("src", "tgt", F.lit(0).alias("pair_no")), xs, zs).select("x", F.concat("x", "y").alias("xy"))
-    first = both.select(F.size("x").alias("d")).first()
+
+def penalties(largest: list[np.ndarray], k: int) -> np.ndarray:
+    """Mean of the k largest cosines, from the largest ones in each block."""
+    return _largest(np.hstack(largest), k).mean(axis=1)
+
+
+class Best:
+    """The best candidate of some words so far: its score and index, and the largest cosine.  Ties go to the smaller index;
+    a word whose candidates are all dropped has none (-1)."""
+
+    def __init__(self, n: int):
+        self.score, self.at, self.cosine = np.full(n, -np.inf), np.full(n, -1, np.int64), np.full(n, -np.inf)
+
+    def see(self, score: np.ndarray, at: np.ndarray, cosine: np.ndarray, rows: slice = slice(None)) -> None:
+        better = (score > self.score[rows]) | ((score == self.score[rows]) & (score > -np.inf) & (at < self.at[rows]))
+        self.score[rows], self.at[rows] = np.where(better, score, self.score[rows]), np.where(better, at, self.at[rows])
+        self.cosine[rows] = np.maximum(self.cosine[rows], cosine)
+
+
+def tile_best(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, ra: np.ndarray, rb: np.ndarray, keep: float, seed: int, number: int) -> tuple[Best, Best]:
+    """Best candidates in ``b`` of the rows of ``a`` by 2 * cosine - rb, and in ``a`` of the rows of ``b`` by 2 * cosine - ra."""
+    forward, backward = Best(len(a)), Best(len(b))
+
+    def look(best: Best, sim: np.ndarray, penalty: np.ndarray, own: np.ndarray, others: np.ndarray, direction: int, rows: slice) -> None:
+        score = 2 * sim - penalty[None, :]
+        score[~kept_entries(own, others, keep, (seed, number, direction))] = -np.inf
+        top = score.argmax(axis=1)
+        best.see(score[np.arange(len(sim)), top], others[top], sim.max(axis=1), rows)
+
+    for at in range(0, len(a), _STRIPE):
+        part = slice(at, min(at + _STRIPE, len(a)))
+        sim = a[part] @ b.T
+        look(forward, sim, rb, a_ids[part], b_ids, 0, part)
+        look(backward, sim.T, ra[part], b_ids, a_ids[part], 1, slice(None))
+    return forward, backward
+
+
+class Schedule:
+    """Which share of similarities the next round keeps, and when to stop: the share doubles whenever the mean similarity has not
+    risen for ten rounds, and the end comes when that happens with all of them."""
+
+    def __init__(self):
+        self.keep, self.best, self.stale, self.over = 0.1, -np.inf, 0, False
+
+    def seen(self, mean: float) -> None:
+        if mean > self.best + 1e-6:
+            self.best, self.stale = mean, 0
+        else:
+            self.stale += 1
+        if self.stale >= 10:
+            self.over = self.keep >= 1
+            self.keep, self.stale = min(1.0, 2 * self.keep), 0
+
+
+def _rounds_in_place(x: np.ndarray, z: np.ndarray, x_ids: np.ndarray, z_ids: np.ndarray, wx, wz, seed: int, max_rounds: int):
+    """All rounds on words of one block a side."""
+    plan, x_at, z_at = Schedule(), {int(i): k for k, i in enumerate(x_ids)}, {int(i): k for k, i in enumerate(z_ids)}
+    for number in range(max_rounds):
+        a, b = unit_rows(x @ wx), unit_rows(z @ wz)
+        rows, columns = tile_largest(a, b, NEIGHBOURS)
+        forward, backward = tile_best(a, b, x_ids, z_ids, penalties([rows], NEIGHBOURS), penalties([columns], NEIGHBOURS), plan.keep, seed, number)
+        i = np.concatenate([np.arange(len(x)), [x_at.get(int(v), -1) for v in backward.at]]).astype(int)
+        j = np.concatenate([[z_at.get(int(v), -1) for v in forward.at], np.arange(len(z))]).astype(int)
+        known = (i >= 0) & (j >= 0)
+        u, v = x[i[known]], z[j[known]]
+        wx, wz = mapping_step(u.T @ u, u.T @ v, v.T @ v)
+        plan.seen((forward.cosine.mean() + backward.cosine.mean()) / 2)
+        if plan.over:
+            break
+    return wx, wz
+
+
+def _packed(space: DataFrame, n: int, block_rows: int, side: str) -> DataFrame:
+    """(block, ids, vecs): consecutive words of the ``n`` most frequent ones, a block a row."""
+    rows = space.filter(F.col("idx") < n).select(F.floor(F.col("idx") / block_rows).cast("int").alias(f"{side}_block"), F.struct(F.col("idx").cast("long").alias("idx"), as_double(F.col("vec")).alias("vec")).alias("r"))
+    return rows.groupBy(f"{side}_block").agg(F.sort_array(F.collect_list("r")).alias(f"{side}_rows"))
+
+
+def _block(value: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(value.field("idx")), matrix(value.field("vec"))
+
+
+def _largest_of_tiles(wx: np.ndarray, wz: np.ndarray):
+    """(side, block, largest): the largest cosines of all words of a block within one block of the other side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x, z = (_block(batch.column(c)[r].values)[1] for c in ("x_rows", "z_rows"))
+                found = tile_largest(unit_rows(x @ wx), unit_rows(z @ wz), NEIGHBOURS)
+                blocks = [batch.column(c)[r].as_py() for c in ("x_block", "z_block")]
+                for side, block, most in zip("xz", blocks, found):
+                    yield pa.RecordBatch.from_arrays([pa.array([side]), pa.array([block], pa.int32()), pa.array([_lists(most)], pa.list_(pa.list_(pa.float64())))], ["side", "block", "largest"])
+
+    return run
+
+
+def _merge_penalties(table: pa.Table) -> pa.Table:
+    """(side, block, r): penalties of the words of a block."""
+    found = [matrix(table.column("largest")[i].values) for i in range(table.num_rows)]
+    r = penalties(found, NEIGHBOURS)
+    return pa.table({"side": table.column("side")[:1], "block": table.column("block")[:1], "r": pa.array([r], pa.list_(pa.float64()))})
+
+
+def _best_of_tiles(wx: np.ndarray, wz: np.ndarray, keep: float, seed: int, number: int):
+    """(side, block, best): candidates of all words of a block within one block of the other side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                (xi, x), (zi, z) = (_block(batch.column(c)[r].values) for c in ("x_rows", "z_rows"))
+                ra, rb = (np.asarray(batch.column(c)[r].values) for c in ("x_r", "z_r"))
+                found = tile_best(unit_rows(x @ wx), unit_rows(z @ wz), xi, zi, ra, rb, keep, seed, number)
+                for side, block, own, best in zip("xz", ("x_block", "z_block"), (xi, zi), found):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([side]), pa.array([batch.column(block)[r].as_py()], pa.int32()), *[pa.array([v], pa.list_(t)) for v, t in ((own, pa.int64()), (best.score, pa.float64()), (best.at, pa.int64()), (best.cosine, pa.float64()))]],
+                        ["side", "block", "ids", "score", "at", "cosine"],
+                    )
+
+    return run
+
+
+def _merge_best(table: pa.Table) -> pa.Table:
+    """(x, z, cosine): the dictionary entries of the words of a block."""
+    ids = np.asarray(table.column("ids")[0].values)
+    best = Best(len(ids))
+    for i in range(table.num_rows):
+        best.see(*[np.asarray(table.column(c)[i].values) for c in ("score", "at", "cosine")])
+    mine, theirs = ("x", "z") if table.column("side")[0].as_py() == "x" else ("z", "x")
+    columns = {mine: pa.array(ids), theirs: pa.array(best.at), "side": pa.array([mine] * len(ids)), "cosine": pa.array(best.cosine)}
+    return pa.table({c: columns[c] for c in ("x", "z", "side", "cosine")})
+
+
+def induced(xs: DataFrame, zs: DataFrame, wx: np.ndarray, wz: np.ndarray, keep: float, seed: int, number: int) -> DataFrame:
+    """(x, z, side, cosine): the dictionary that one round induces from packed blocks; side says which word looked for the other."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(zs.count() - 1)))
+    tiles = xs.withColumn("z_block", every).join(zs, "z_block")
+    merged = tiles.mapInArrow(_largest_of_tiles(wx, wz), "side string, block int, largest array<array<double>>")
+    merged = merged.groupBy("side", "block").applyInArrow(_merge_penalties, "side string, block int, r array<double>")
+    ready = [merged.filter(F.col("side") == s).select(F.col("block").alias(f"{s}_block"), F.col("r").alias(f"{s}_r")) for s in "xz"]
+    met = xs.join(ready[0], "x_block").withColumn("z_block", every).join(zs.join(ready[1], "z_block"), "z_block")
+    best = met.mapInArrow(_best_of_tiles(wx, wz, keep, seed, number), "side string, block int, ids array<long>, score array<double>, at array<long>, cosine array<double>")
+    return best.groupBy("side", "block").applyInArrow(_merge_best, "x long, z long, side string, cosine double")
+
+
+def _products(entries: DataFrame, xs: DataFrame, zs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """X'X, X'Z and Z'Z of the entries' (x, z) vectors."""
+    x = xs.select(F.col("idx").cast("long").alias("x"), as_double(F.col("vec")).alias("xv"))
+    z = zs.select(F.col("idx").cast("long").alias("z"), as_double(F.col("vec")).alias("zv"))
+    return _gram(entries.join(x, "x").join(z, "z").select("xv", F.concat("xv", "zv").alias("xy")))
+
+
+def _gram(both: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first = both.select(F.size(both.columns[0]).alias("d")).first()
     if first is None:
         raise ValueError("no seed pair is in both vocabularies")
     d = first["d"]
@@ -95,37 +251,81 @@ def _seed_products(pairs: DataFrame, xs: DataFrame, zs: DataFrame) -> tuple[np.n
     return gram[:d, :d], gram[:d, d:], gram[d:, d:]
 
 
-def self_learning(source: DataFrame, target: DataFrame, pairs: DataFrame | None, mode: str = "semi", cutoff: int = 20_000, seed: int = 0, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Both spaces mapped into a common one."""
+def _seed_products(pairs: DataFrame, xs: DataFrame, zs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """X'X, X'Z and Z'Z of all seed pairs whose words are in the spaces, however rare."""
+    return _gram(_paired(pairs.select("src", "tgt", F.lit(0).alias("pair_no")), xs, zs).select("x", F.concat("x", "y").alias("xy")))
+
+
+def _profiles(m: np.ndarray) -> np.ndarray:
+    """Every word's similarities to all words of its own space, sorted: alike for words of like meaning in either space."""
+    root = m @ _power(m.T @ m, -0.5) @ m.T  # the square root of m m'
+    profile = unit_rows(np.sort(root, axis=1))
+    return unit_rows(profile - profile.mean(axis=0))
+
+
+def _first_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, z): for each of the most frequent words the one with the most similar profile."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            (xi, x), (zi, z) = (_block(batch.column(c)[r].values) for c in ("x_rows", "z_rows"))
+            n = min(len(x), len(z))
+            a, b = _profiles(x[:n]), _profiles(z[:n])
+            columns = penalties([tile_largest(a, b, NEIGHBOURS)[1]], NEIGHBOURS)
+            found, _ = tile_best(a, b, xi[:n], zi[:n], np.zeros(n), columns, 1.0, 0, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(xi[:n]), pa.array(found.at)], ["x", "z"])
+
+
+def _one_row(xs: DataFrame, zs: DataFrame) -> DataFrame:
+    """Both sides' only blocks beside each other."""
+    return xs.join(zs, F.col("x_block") == F.col("z_block"))
+
+
+def self_learning(
+    source: DataFrame, target: DataFrame, pairs: DataFrame | None, mode: str = "semi", cutoff: int = 20_000, seed: int = 0, max_rounds: int = 200, block_rows: int = BLOCK_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Both spaces mapped into a common one, as scratch tables that ``scratch.scratch_path`` names."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; expected one of {MODES}")
-    xs, zs = _normalised(source), _normalised(target)
-    if mode == "unsupervised":
-        x, z = _frequent(xs, cutoff), _frequent(zs, cutoff)
-        i, j = _first_dictionary(x, z, min(cutoff, 4000))
-        wx, wz = mapping_step(x[i], z[j])
-    else:
-        if pairs is None:
-            raise ValueError("seed pairs are needed unless mode is 'unsupervised'")
-        wx, wz = _mapping_of(*_seed_products(pairs, xs, zs))
-        if mode == "semi":
-            x, z = _frequent(xs, cutoff), _frequent(zs, cutoff)
-    rng = np.random.default_rng(seed)
-    if mode != "supervised":
-        keep, best, stale = 0.1, -np.inf, 0
-        for _ in range(max_rounds):
-            a, b = unit_rows(x @ wx), unit_rows(z @ wz)
-            forward, f = _csls_nearest(a, b, keep, rng)
-            backward, g = _csls_nearest(b, a, keep, rng)
-            i = np.concatenate([np.arange(len(a)), backward])
-            j = np.concatenate([forward, np.arange(len(b))])
-            wx, wz = mapping_step(x[i], z[j])
-            if (f + g) / 2 > best + 1e-6:
-                best, stale = (f + g) / 2, 0
-            else:
-                stale += 1
-            if stale >= 10:
-                if keep >= 1:
-                    break
-                keep, stale = min(1.0, 2 * keep), 0
-    return map_vectors(xs, lambda m: m @ wx), map_vectors(zs, lambda m: m @ wz)
+    if mode != "unsupervised" and pairs is None:
+        raise ValueError("seed pairs are needed unless mode is 'unsupervised'")
+    with Scratch(source.sparkSession) as scratch:
+        xs, zs = _normalised(source, scratch), _normalised(target, scratch)
+        if mode == "unsupervised":
+            few = min(cutoff, PROFILES)
+            first = _one_row(_packed(xs, few, few, "x"), _packed(zs, few, few, "z")).mapInArrow(_first_entries, "x long, z long")
+            wx, wz = mapping_step(*_products(scratch.table(first, "selflearn-first"), xs, zs))
+        else:
+            wx, wz = mapping_step(*_seed_products(pairs, xs, zs))
+        if mode != "supervised":
+            wx, wz = _learned(xs, zs, wx, wz, cutoff, seed, max_rounds, block_rows, scratch)
+        return tuple(materialise(map_vectors(s, lambda m, w=w: m @ w), "selflearn-mapped") for s, w in ((xs, wx), (zs, wz)))
+
+
+def _learned(xs: DataFrame, zs: DataFrame, wx, wz, cutoff: int, seed: int, max_rounds: int, block_rows: int, scratch: Scratch):
+    size = [s.filter(F.col("idx") < cutoff).agg(F.count("*").alias("n")).first()["n"] for s in (xs, zs)]
+    if max(size) <= block_rows:
+        blocks = [_packed(s, cutoff, cutoff, c) for s, c in ((xs, "x"), (zs, "z"))]
+        return _learned_in_place(_one_row(*blocks), wx, wz, seed, max_rounds)
+    blocks = [scratch.table(_packed(s, cutoff, block_rows, c), "selflearn-blocks") for s, c in ((xs, "x"), (zs, "z"))]
+    plan = Schedule()
+    for number in range(max_rounds):
+        entries = scratch.table(induced(*blocks, wx, wz, plan.keep, seed, number), "selflearn-entries")
+        means = entries.groupBy("side").agg(F.avg("cosine").alias("m")).agg(F.avg("m").alias("m")).first()["m"]
+        wx, wz = mapping_step(*_products(entries.filter("x >= 0 and z >= 0").select("x", "z"), xs, zs))
+        scratch.drop(entries)
+        plan.seen(means)
+        if plan.over:
+            break
+    return wx, wz
+
+
+def _learned_in_place(row: DataFrame, wx, wz, seed: int, max_rounds: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                (xi, x), (zi, z) = (_block(batch.column(c)[r].values) for c in ("x_rows", "z_rows"))
+                found = _rounds_in_place(x, z, xi, zi, wx, wz, seed, max_rounds)
+                yield pa.RecordBatch.from_arrays([pa.array([w.ravel().tolist()], pa.list_(pa.float64())) for w in found], ["wx", "wz"])
+
+    found = row.mapInArrow(run, "wx array<double>, wz array<double>").first()
+    return (wx, wz) if found is None else tuple(np.array(found[c]).reshape(w.shape) for c, w in (("wx", wx), ("wz", wz)))
