@@ -50,7 +50,7 @@ from glotweave.llm.wordhash import Words, gram_hashes, mix
 
 LEAST, FIRST, LONGEST = 30, 2000, 4
 FILTER_BITS = 28
-SHARD_BYTES = 8 * PIECE_BYTES
+SHARD_BYTES = 2 * PIECE_BYTES
 #: Cells that a task holds before it passes their numbers on.
 HELD = 2_000_000
 _CUTS = b".,;:!?\n\x0b\x0c\r"
