@@ -218,6 +218,7 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'target', idx, unnest(vec), generate_subscripts(vec, 1) FROM t WHERE idx < 10000),
       g AS (SELECT a.side, a.k AS i, b.k AS j, sum(a.v * b.v) AS g FROM x a JOIN x b ON a.side = b.side AND a.idx = b.idx GROUP BY ALL)
       SELECT side, {_round('sum(g) FILTER (i = j)', 4)} AS squares, {_round('sum(g * g) / sum(g) FILTER (i = j)', 4)} AS fourths FROM g GROUP BY side""",
+    "word2vec_epochs": "SELECT epoch::INT AS epoch, true AS lower FROM range(1, 4) t(epoch)",
     "word2vec": f"""WITH {_CLEAN}, w AS (SELECT unnest({_tokens('clean')}) AS word FROM c WHERE clean <> ''), v AS (SELECT word, count(*) AS n FROM w GROUP BY word HAVING count(*) >= 3)
       SELECT (row_number() OVER (ORDER BY n DESC, word) - 1)::INT AS idx, word, 150 AS dims, true AS trained FROM v""",
     "explore": f"""WITH {_SPACE}, n AS ({_knn('e', 'e', 10, 'q.idx <> c.idx')}), f AS (SELECT n.q, min_by(e.word, n.rank) AS nearest, max_by(e.word, n.rank) AS tenth FROM n JOIN e ON e.idx = n.c GROUP BY n.q)

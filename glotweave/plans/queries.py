@@ -438,17 +438,29 @@ def kmeans_purity(spark, sf_dir):
     return intrinsic.purity(found).select("n", F.round("random_baseline", 6).alias("random_baseline"), F.round("purity", 6).alias("purity"))
 
 
-@query
-def word2vec(spark, sf_dir):
-    """CBOW over the cleaned documents: the vocabulary, and whether every word has a vector of finite numbers, not all zero."""
+def _document_model(spark, sf_dir, **settings):
     from glotweave.operators.train import Settings, train
 
     cleaned = corpus.keep_clean(corpus.clean_lines(lines(spark, sf_dir), "english")).select("doc_id", "line_no", F.col("clean").alias("line"))
-    model = train(corpus.merge_blocks_within(cleaned, 5, "doc_id", "line_no"), Settings(epochs=3))
-    table = model.table(spark)
+    return train(corpus.merge_blocks_within(cleaned, 5, "doc_id", "line_no"), Settings(epochs=3, **settings))
+
+
+@query
+def word2vec(spark, sf_dir):
+    """CBOW over the cleaned documents, three epochs: the vocabulary, and whether every word has a vector of finite numbers, not all zero."""
+    table = _document_model(spark, sf_dir).words
     return table.select("idx", "word", F.size("vec").alias("dims"), F.coalesce((norm(F.col("vec")) > 0) & F.forall("vec", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6)), F.lit(False)).alias("trained"))
 
 
+@query
+def word2vec_epochs(spark, sf_dir):
+    """Skip-gram over the cleaned documents: whether each epoch's loss is below that of the epoch before it, the first's below that
+    of an untrained table."""
+    model = _document_model(spark, sf_dir, skip_gram=True, dims=32)
+    before = [(1 + model.settings.negative) * float(np.log(2)), *model.losses]
+    return spark.createDataFrame([(i + 1, bool(y < x)) for i, (x, y) in enumerate(zip(before, model.losses))], "epoch int, lower boolean")
+
+
 @query
 def explore(spark, sf_dir):
     """Every word and an unknown one: known or not, length, nearest word and the tenth."""

@@ -65,10 +65,10 @@ def _embed(e: str) -> Step:
         grams = {} if kind == "word2vec" else {"min_n": 3, "max_n": 6} if e else {"min_n": cfg.min_n, "max_n": cfg.max_n, "buckets": cfg.bucket}
         settings = Settings(dims=get("vector_size"), window=get("window"), min_count=get("min_count"), epochs=get("epochs"), skip_gram=bool(get("sg")), partitions=get("workers"), **grams)
         lines = readers.read_lines(spark, _many(get("embedding_input")))
-        blocks = corpus.merge_blocks(lines, get("merge_sentences"), "file_no", "line_no").select("tokens")
+        blocks = corpus.merge_blocks(lines, get("merge_sentences"), "file_no", "line_no")
         total = corpus.total_tokens(blocks).first()
         log.info("%d blocks of %d tokens", total["n_blocks"], total["n_tokens"])
-        model = train(blocks, settings, lambda n, rate: log.info("epoch %d at rate %.5f", n, rate))
+        model = train(blocks, settings, lambda n, loss: log.info("epoch %d, loss %.5f", n, loss))
         model.save(spark, cfg.trained_output_eng if e else cfg.model_output_dhiv)
         table = model.table(spark)
         sinks.write_vectors(table, cfg.eng_model_output if e else cfg.embedding_output_dhiv)
