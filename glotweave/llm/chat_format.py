@@ -24,7 +24,8 @@ and text count once; other rows of one turn are ordered by role, then text.  A n
 text as null.  A part of which only dropped results are left has no messages.  A call that repeats an id has no result of its
 own.  Calls in a circle, and those that wait for them, come last in the part of their turn.  Results without a call, and second results of one call (the earliest stays), are dropped and counted in
 ``n_orphans``.  A call without a result, with invalid arguments, of an unknown tool, that repeats an id, or that refers in a
-circle or to nothing stays and carries ``errors``.  A text that is not JSON by the standard (``NaN``, numbers beyond double
+circle or to nothing stays and carries ``errors``.  Whole numbers of more
+than ``MAX_DIGITS`` characters are written as they came.  A text that is not JSON by the standard (``NaN``, numbers beyond double
 precision's range) or is nested deeper than ``MAX_DEPTH`` is a plain message; arguments that are such text stay text.  Of a key that
 an object repeats, the last value counts.  Extra columns are ignored; no rows give no rows.
 """
@@ -35,7 +36,9 @@ import heapq
 import json
 import math
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,12 +49,23 @@ from glotweave.llm.storage import materialise
 PART_TURNS = 512
 #: Levels of JSON; deeper text is a plain message.
 MAX_DEPTH = 256
+#: Whole numbers of more characters are kept as they are written.
+MAX_DIGITS = 4000
 _HALF_PAIR = re.compile("[\ud800-\udfff]")
+
+
+@dataclass(frozen=True)
+class Literal:
+    """A long whole number, as it is written."""
+
+    text: str
+
+
 _TYPES = {
     "string": lambda v: isinstance(v, str),
     "boolean": lambda v: isinstance(v, bool),
-    "integer": lambda v: isinstance(v, int) and not isinstance(v, bool),
-    "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
+    "integer": lambda v: isinstance(v, (int, Literal)) and not isinstance(v, bool),
+    "number": lambda v: isinstance(v, (int, float, Literal)) and not isinstance(v, bool),
     "array": lambda v: isinstance(v, list),
     "object": lambda v: isinstance(v, dict),
     "null": lambda v: v is None,
@@ -59,7 +73,16 @@ _TYPES = {
 
 
 def canonical(value) -> str:
-    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    literals: dict[str, str] = {}
+
+    def stand_in(number: Literal) -> str:
+        name = uuid.uuid4().hex
+        literals[name] = number.text
+        return name
+
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=stand_in)
+    for name, number in literals.items():
+        text = text.replace(f'"{name}"', number)
     return _HALF_PAIR.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
 
 
@@ -93,6 +116,10 @@ def references(value) -> set[str]:
     return set().union(*map(references, value)) if isinstance(value, list) and value else set()
 
 
+def _whole(text: str) -> int | Literal:
+    return int(text) if len(text) <= MAX_DIGITS else Literal(text)
+
+
 def _finite(text: str) -> float:
     value = float(text)
     if not math.isfinite(value):
@@ -104,6 +131,10 @@ def _no_constant(text: str):
     raise ValueError(f"{text} is not JSON")
 
 
+def _loads(text: str):
+    return json.loads(text, parse_int=_whole, parse_float=_finite, parse_constant=_no_constant)
+
+
 def _depth(value) -> int:
     level, here = 0, [value]
     while here:
@@ -116,7 +147,7 @@ def _object(text: str | None) -> dict | None:
     if not text or text.lstrip()[:1] != "{":
         return None
     try:
-        found = json.loads(text, parse_float=_finite, parse_constant=_no_constant)
+        found = _loads(text)
     except (ValueError, RecursionError):
         return None
     return found if isinstance(found, dict) and _depth(found) <= MAX_DEPTH else None
@@ -222,9 +253,9 @@ def assemble(events: list[dict], schemas: dict[str, dict]) -> tuple[list[dict],
     nodes, first_of = [], {}
     for e in events:
         if e["kind"] != "c":
-            nodes.append({"role": e["role"], "content": e["body"] if e["kind"] == "p" else json.loads(e["body"])})
+            nodes.append({"role": e["role"], "content": e["body"] if e["kind"] == "p" else _loads(e["body"])})
             continue
-        name, args = json.loads(e["body"])
+        name, args = _loads(e["body"])
         errors = []
         args = _arguments(args)
         if name in schemas:
@@ -241,7 +272,7 @@ def assemble(events: list[dict], schemas: dict[str, dict]) -> tuple[list[dict],
                 errors.append("no result")
         if e["nothing"]:
             errors.append("reference to nothing")
-        call = {"role": e["role"], "tool_call": {"id": json.loads(e["call_id"]), "name": name, "arguments": args}}
+        call = {"role": e["role"], "tool_call": {"id": _loads(e["call_id"]), "name": name, "arguments": args}}
         needs = sorted(map(canonical, references(args)))
         nodes.append({"call": call, "result": result, "errors": errors, "needs": needs, "circular": e["circular"]})
     waits: list[set[int]] = []
@@ -276,7 +307,7 @@ def assemble(events: list[dict], schemas: dict[str, dict]) -> tuple[list[dict],
             node["call"]["errors"] = node["errors"]
         messages.append(node["call"])
         if node["result"] is not None:
-            messages.append({"role": "tool", "tool_call_id": node["call"]["tool_call"]["id"], "content": json.loads(node["result"])})
+            messages.append({"role": "tool", "tool_call_id": node["call"]["tool_call"]["id"], "content": _loads(node["result"])})
     return messages, n_calls, n_bad
 
 

@@ -171,9 +171,9 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     if len(model.langs) == 1:
         one = np.ones(len(margins))
         return np.zeros(len(margins), dtype=np.int64), one, one * 0
-    loss = np.logaddexp(0, -margins[:, None, :] * model.codes[None, :, :])
-    cost = (loss * model.trust).sum(axis=2)
-    share = np.exp(cost.min(axis=1, keepdims=True) - cost)
+    # the logistic losses of z and -z differ by z, so sums of losses differ as these sums of margins do: no rows x languages x bits
+    gain = (margins * model.trust) @ model.codes.T / 2
+    share = np.exp(gain - gain.max(axis=1, keepdims=True))
     share /= share.sum(axis=1, keepdims=True)
     order = np.argsort(-share, axis=1, kind="stable")
     rows = np.arange(len(share))

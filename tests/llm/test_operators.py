@@ -806,3 +806,34 @@ def test_a_stray_in_a_large_bucket_costs_rows_in_proportion(spark):
     met = {(x["id"], y["id"]) for left, right in tiles.values() for x in left for y in right if x["part"] != y["part"]}
     assert met == {(x, y) for x in range(1200, 1800) for y in range(1800) if x != y}
     assert max(len(a) + len(b) for a, b in tiles.values()) < 3 * near_dedup.TILE
+
+
+def test_long_numbers_are_linked_and_kept(spark):
+    long = "-" + "7" * 5000
+    call = json.dumps({"tool_calls": [{"id": "c", "name": "f", "arguments": {"n": 1}}]}).replace('"n": 1', f'"n": {long}')
+    rows = [(1, 0, "assistant", call), (1, 1, "tool", f'{{"tool_call_id": "c", "content": [{long}, 1e5]}}')]
+    tools = {"f": {"type": "object", "properties": {"n": {"type": "integer"}}}}
+    out = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools).first()
+    assert (out["n_calls"], out["n_bad_calls"], out["n_orphans"]) == (1, 0, 0)
+    assert f'"content":[{long},100000.0]' in out["chat"] and f'"arguments":{{"n":{long}}}' in out["chat"]
+
+
+def test_decoding_is_bounded_and_agrees_with_the_losses():
+    """Two thousand languages; winners and shares as by the sum of every bit's loss."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    codes = language_id.codewords(2000)
+    bits = codes.shape[1]
+    model = language_id.Model(tuple(f"l{i:04}" for i in range(2000)), codes, np.zeros((1, bits), np.float32), np.zeros(bits), rng.uniform(0.05, 1, bits))
+    margins = rng.normal(size=(language_id.ROWS, bits)) * 3
+    tracemalloc.start()
+    best, top, second = language_id.decode(model, margins)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    for i in range(3):
+        cost = (np.logaddexp(0, -margins[i] * codes) * model.trust).sum(axis=1)
+        share = np.exp(cost.min() - cost)
+        share = np.sort(share / share.sum())[::-1]
+        assert cost.argmin() == best[i] and np.allclose([top[i], second[i]], share[:2])
