@@ -1,9 +1,11 @@
 """Nearest neighbours over vector tables (idx, word, vec), in two physical forms that agree.
 
-``knn_join`` multiplies blocks: index and queries are packed once into blocks of bounded size, every block meets every block
-of queries once (a nested loop over blocks, not over rows) and keeps its own k best; the k best of those are kept per query.
-When the whole index is small by a checked size it is sent to the executors as one block instead, and what a batch of
-queries finds is ranked there.  ``knn_join_sql`` is the plain declarative form, for small inputs and as a check.
+``knn_join`` multiplies blocks.  When the whole index is small by a checked size it is sent to the executors as one block, and
+what a batch of queries finds is ranked there.  A larger one is searched through pivots (``knn_join_pruned``): every vector is
+dealt to the nearest of some pivots, and a cell knows the angles of its members.  A query first meets the cell of its own pivot, whose
+k-th best score is a floor; by the triangle inequality of angles no member of a cell is more similar than the
+cosine of what the query's angle to the pivot differs from the members', so only cells that can beat the floor are visited.  All
+results are exact.  ``knn_join_sql`` is the plain declarative form, for small inputs and as a check.
 
 Scores are cosines of double-precision unit vectors (v / (|v| + 1e-9)); ties go to the smaller index position.
 """
@@ -16,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glotweave.functions.vectors import as_double, dot, norm, unit
+from glotweave.scratch import Scratch, materialise
 
 EPS = 1e-9
 BLOCK_ROWS = 4096
@@ -97,27 +101,100 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool =
                     yield from _score(np.asarray(batch.column("idx")), unit_rows(matrix(batch.column("vec"))), c_ids, c, k, exclude_self, b, True)
 
         return queries.mapInArrow(near, _OUT + ", rank int")
+    return knn_join_pruned(queries, index, k, exclude_self, penalty is not None)
 
-    def packed(df: DataFrame, n: int, block: str, rows: str, *fields: str) -> DataFrame:
-        """One row per block of about ``BLOCK_ROWS`` rows."""
-        many = max(1, -(-n // BLOCK_ROWS))
-        return df.groupBy(F.pmod(F.xxhash64("idx"), F.lit(many)).alias(block)).agg(F.collect_list(F.struct(*fields)).alias(rows))
 
-    blocks = packed(index, size["n"], "block", "rows", "idx", "vec", "penalty")
-    batches_of_queries = packed(queries, queries.count(), "q_block", "qs", "idx", "vec")
-    biased = penalty is not None
+def _sharp_units(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1, for angles; rows of zeros stay, at a right angle to everything."""
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
-    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ pivots.T, -1, 1))
+
+
+def _dealt(pivots: np.ndarray):
+    """Rows with the cell of their nearest pivot and the angle to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                q_rows, c_rows = batch.column("qs")[i].values, batch.column("rows")[i].values
-                q_ids, c_ids = np.asarray(q_rows.field("idx")), np.asarray(c_rows.field("idx"))
-                bias = np.asarray(c_rows.field("penalty")) if biased else None
-                yield from _score(q_ids, unit_rows(matrix(q_rows.field("vec"))), c_ids, unit_rows(matrix(c_rows.field("vec"))), k, exclude_self, bias)
-
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-size["n"] // BLOCK_ROWS)) - 1).cast("long")))
-    met = batches_of_queries.withColumn("block", every).join(blocks, "block").select("qs", "rows")
-    return _rank(met.mapInArrow(tile, _OUT), k)
+            if batch.num_rows:
+                angle = _angles(_sharp_units(matrix(batch.column("vec"))), pivots)
+                cell = angle.argmin(axis=1)
+                columns = [*batch.columns, pa.array(cell, pa.int32()), pa.array(angle[np.arange(len(cell)), cell])]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "cell", "angle"])
+
+    return run
+
+
+def most_similar(angles: np.ndarray, nearest: np.ndarray, farthest: np.ndarray) -> np.ndarray:
+    """Upper bounds of the cosines of vectors at ``angles`` from pivots with members at angles from ``nearest`` to ``farthest``.
+
+    Never below 0, which also holds for vectors shorter than 1; a little is added for what rounding may do to angles.
+    """
+    apart = np.maximum(np.maximum(angles - farthest, nearest - angles) - 1e-6, 0)
+    return np.maximum(np.cos(np.minimum(apart, np.pi)), 0) + 1e-9
+
+
+def _packed_cells(df: DataFrame, block_rows: int, name: str, *fields: str) -> DataFrame:
+    """(cell, block, <name>): the rows of a cell in blocks of about ``block_rows``."""
+    many = df.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("many"))
+    dealt = df.join(many, "cell").withColumn("block", F.pmod(F.xxhash64("idx"), F.col("many")))
+    return dealt.groupBy("cell", "block").agg(F.collect_list(F.struct(*fields)).alias(name))
+
+
+def knn_join_pruned(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool = False, biased: bool = False, pivots: int | None = None, report: dict | None = None) -> DataFrame:
+    """``knn_join`` of queries (idx, vec) in an index (idx, vec, penalty) of any size.
+
+    There are as many pivots as blocks of ``BLOCK_ROWS`` rows, 16 to 2,048 of them, unless ``pivots`` says otherwise; they are index rows taken
+    by hash.  ``report`` receives ``compared``, the pairs of vectors that were multiplied, and ``pairs``, all there are.
+    """
+    spark = queries.sparkSession
+    n = index.count()
+    wanted = pivots or min(2048, max(16, -(-n // BLOCK_ROWS)))
+    taken = index.orderBy(F.xxhash64("idx"), "idx").limit(wanted).select("vec").toArrow()  # 2,048 vectors at most
+    units = _sharp_units(matrix(taken["vec"]))
+    held = spark.sparkContext.broadcast(units)
+    with Scratch(spark) as scratch:
+        dealt = [scratch.table(df.mapInArrow(_dealt(units), T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])), "knn-cells") for df in (index, queries)]
+        cells = scratch.table(_packed_cells(dealt[0], BLOCK_ROWS, "rows", "idx", "vec", "penalty"), "knn-index")
+        asked = scratch.table(_packed_cells(dealt[1], BLOCK_ROWS, "qs", "idx", "vec"), "knn-queries")
+        stats = np.zeros((len(units), 4))  # members, nearest, farthest angle, least penalty
+        for r in dealt[0].groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("a"), F.max("angle").alias("b"), F.min("penalty").alias("p")).collect():
+            stats[r["cell"]] = r["n"], r["a"], r["b"], r["p"]
+
+        def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    q, c = batch.column("qs")[i].values, batch.column("rows")[i].values
+                    q_ids, c_ids = np.asarray(q.field("idx")), np.asarray(c.field("idx"))
+                    bias = np.asarray(c.field("penalty")) if biased else None
+                    yield from _score(q_ids, unit_rows(matrix(q.field("vec"))), c_ids, unit_rows(matrix(c.field("vec"))), k, exclude_self, bias)
+
+        own = scratch.table(_rank(asked.join(cells, "cell").select("qs", "rows").mapInArrow(tile, _OUT), k), "knn-own")
+        floors = own.filter(F.col("rank") == k).select(F.col("q").alias("idx"), F.col("score").alias("floor"))
+        ready = dealt[1].join(floors, "idx", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        ready = _packed_cells(ready, BLOCK_ROWS, "qs", "idx", "vec", "floor")
+
+        def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    home, q = batch.column("cell")[i].as_py(), batch.column("qs")[i].values
+                    bound = most_similar(_angles(_sharp_units(matrix(q.field("vec"))), held.value), stats[:, 1], stats[:, 2])
+                    bound = 2 * bound - stats[:, 3] if biased else bound
+                    needed = (bound >= np.asarray(q.field("floor"))[:, None]) & (stats[:, 0] > 0)
+                    needed[:, home] = False
+                    rows = pa.StructArray.from_arrays([q.field("idx"), q.field("vec")], ["idx", "vec"])
+                    for cell in np.flatnonzero(needed.any(axis=0)).tolist():
+                        some = rows.take(pa.array(np.flatnonzero(needed[:, cell])))
+                        yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some)], ["cell", "qs"])
+
+        sent = scratch.table(ready.mapInArrow(visits, "cell int, qs array<struct<idx:bigint,vec:array<double>>>"), "knn-visits")
+        if report is not None:
+            met = sent.select("cell", F.size("qs").alias("n")).union(asked.select("cell", F.size("qs"))).groupBy("cell").agg(F.sum("n").alias("n")).collect()
+            report |= {"compared": int(sum(r["n"] * stats[r["cell"], 0] for r in met)), "pairs": n * queries.count()}
+        others = sent.join(cells.select("cell", "rows"), "cell").select("qs", "rows").mapInArrow(tile, _OUT)
+        return materialise(_rank(own.drop("rank").union(others), k), "knn")
 
 
 def knn_join_sql(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:

@@ -177,6 +177,7 @@ ORACLE: dict[str, str] = {
              coalesce(english, '') AS best_english_match, {_round('coalesce(phon, 0)', 4)} AS phonetic_score, {_round('coalesce(score, 0)', 4)} AS embed_score
       FROM d LEFT JOIN b ON b.q = d.idx""",
     "knn_top10": f"WITH {_SPACE}, n AS ({_knn('e', 'e', 10, 'q.idx <> c.idx')}) SELECT q, c, rank::INT AS rank, {_round('score')} AS score FROM n",
+    "knn_pruned_top10": f"WITH {_SPACE}, n AS ({_knn('e', 'e', 10, 'q.idx <> c.idx')}) SELECT q, c, rank::INT AS rank, {_round('score')} AS score FROM n",
     "csls_rt": f"WITH {_SPACE}, {_RT} SELECT idx, {_round('r_t')} AS r_t FROM rt",
     "csls_topk": f"WITH {_SPACE}, {_RT}, k AS ({_knn('s', 't', 5, 'true', f'2 * {_COS} - rt.r_t', 'JOIN rt ON rt.idx = c.idx')}) SELECT q, c, rank::INT AS rank, {_round('score')} AS score FROM k",
     "heldout_p_at_k": f"""WITH {_SPACE}, {_RT}, {_PAIR},

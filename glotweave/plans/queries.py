@@ -285,6 +285,13 @@ def knn_top10(spark, sf_dir):
     return knn.knn_join(s, s, 10, exclude_self=True).select("q", "c", "rank", F.round("score", 6).alias("score"))
 
 
+@query
+def knn_pruned_top10(spark, sf_dir):
+    """The same through pivots and bounds, as for an index too large to be sent."""
+    s = whole(spark, sf_dir)
+    return knn.knn_join(s, s, 10, exclude_self=True, broadcast_bytes=0).select("q", "c", "rank", F.round("score", 6).alias("score"))
+
+
 @query
 def csls_rt(spark, sf_dir):
     return knn.csls_penalty(side(spark, sf_dir, 1)).select("idx", F.round("r_t", 6).alias("r_t"))

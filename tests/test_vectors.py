@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glotweave.operators import algebra, intrinsic, knn, lexicon
 from glotweave.operators.selflearn import self_learning
@@ -195,3 +196,41 @@ def test_neighbours_in_small_blocks(spark, monkeypatch):
     s = spark.createDataFrame([(i, f"w{i}", [float(y) for y in rng.integers(-2, 3, 5)]) for i in range(120)], "idx int, word string, vec array<double>")
     tell = lambda df: sorted((r["q"], r["rank"], r["c"]) for r in df.collect())
     assert tell(knn.knn_join(s, s, 4, exclude_self=True, broadcast_bytes=0)) == tell(knn.knn_join(s, s, 4, exclude_self=True))
+
+
+@pytest.mark.parametrize("penalised", [False, True])
+def test_pruned_neighbours_are_exact(spark, penalised):
+    """Blobs, opposite, equal and zero vectors, vectors near nothing: the same rows as by every pair, from a part of the pairs."""
+    from glotweave.operators import knn
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 4
+    m = np.concatenate([centres[rng.integers(0, 12, 900)] + 0.15 * rng.normal(size=(900, 16)), np.zeros((3, 16)), 1e-10 * rng.normal(size=(4, 16)), np.repeat(centres[:2], 8, axis=0), -centres])
+    s = spark.createDataFrame([(i, [float(y) for y in v], float(rng.uniform(0, 0.5)) if penalised else 0.0) for i, v in enumerate(m)], "idx long, vec array<double>, penalty double").repartition(5)
+    report: dict = {}
+    got = knn.knn_join_pruned(s.select("idx", "vec"), s, 6, True, penalised, 24, report)
+    want = knn.knn_join(s, s, 6, True, F.col("penalty") if penalised else None)
+    tell = lambda rows: sorted((r["q"], r["rank"], round(r["score"], 9)) for r in rows)  # noqa: E731  equal vectors may differ in the last bit, so their order does
+    found = got.collect()
+    assert tell(found) == tell(want.collect()) and len({(r["q"], r["c"]) for r in found}) == len(found) and all(r["q"] != r["c"] for r in found)
+    assert report["pairs"] == len(m) ** 2 and report["compared"] < (0.6 if penalised else 0.35) * report["pairs"]
+
+
+def test_bounds_of_cells_hold():
+    from glotweave.operators import knn
+
+    rng = np.random.default_rng(5)
+    m, q, p = (knn._sharp_units(rng.normal(size=(n, 3))) for n in (400, 200, 1))
+    near = knn._angles(m, p)[:, 0]
+    inside = (near > 0.5) & (near < 0.8)
+    bound = knn.most_similar(knn._angles(q, p)[:, 0], near[inside].min(), near[inside].max())
+    true = (q @ m[inside].T).max(axis=1)
+    assert (bound >= true).all() and np.mean(bound < 0.5) > 0.2
+
+
+def test_few_candidates_and_many_cells(spark):
+    from glotweave.operators import knn
+
+    s = spark.createDataFrame([(i, [float(i % 3), 1.0], 0.0) for i in range(7)], "idx long, vec array<double>, penalty double")
+    got = knn.knn_join_pruned(s.select("idx", "vec"), s, 10, True, pivots=5)
+    assert sorted((r["q"], r["rank"], r["c"]) for r in got.collect()) == sorted((r["q"], r["rank"], r["c"]) for r in knn.knn_join(s, s, 10, True).collect())
