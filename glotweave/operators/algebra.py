@@ -10,12 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glotweave.functions.vectors import as_double, dot, unit
 from glotweave.operators.knn import BROADCAST_BYTES, csls_join, csls_penalty, hubness_skew, knn_join, matrix, unit_rows
+from glotweave.scratch import Scratch
 
 METHODS = ("none", "norm_only", "center", "center_whiten", "center_whiten_renorm")
 
@@ -98,42 +99,122 @@ def _paired(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame
     )
 
 
-def _pair_distances(p: DataFrame) -> DataFrame:
-    """(dx, dy) of all pairs i < j of rows (pair_no, x, y): batches of rows times the whole table, which is sent to executors."""
-    table = p.orderBy("pair_no").toArrow()
-    held = p.sparkSession.sparkContext.broadcast((np.asarray(table["pair_no"].combine_chunks()), matrix(table["x"]), matrix(table["y"])))
+def _upper(ids: np.ndarray, x: np.ndarray, y: np.ndarray, others: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distances (dx, dy) of the pairs of rows with smaller number left, some rows at a time."""
+    for a in range(0, len(ids), 256):
+        part = slice(a, a + 256)
+        later = ids[part][:, None] < others[None, :]
+        if later.any():
+            yield (1 - x[part] @ xs.T)[later], (1 - y[part] @ ys.T)[later]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        no, xs, ys = held.value
-        for batch in batches:
-            ids, x, y = np.asarray(batch.column("pair_no")), matrix(batch.column("x")), matrix(batch.column("y"))
-            for a in range(0, len(ids), 256):
-                part = slice(a, a + 256)
-                later = ids[part][:, None] < no[None, :]
-                yield pa.RecordBatch.from_arrays([pa.array((1 - x[part] @ xs.T)[later]), pa.array((1 - y[part] @ ys.T)[later])], ["dx", "dy"])
-
-    return p.mapInArrow(run, "dx double, dy double")
-
-
-def _pair_distances_joined(p: DataFrame) -> DataFrame:
-    """The same by a join, for tables too large to send."""
-    a, b = (p.select(F.col("pair_no").alias(f"{s}_no"), F.col("x").alias(f"{s}_x"), F.col("y").alias(f"{s}_y")) for s in "ab")
-    return a.join(b, F.col("a_no") < F.col("b_no")).select((1 - dot(F.col("a_x"), F.col("b_x"))).alias("dx"), (1 - dot(F.col("a_y"), F.col("b_y"))).alias("dy"))
-
-
-def rsa(pairs: DataFrame, source: DataFrame, target: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """rsa_n_pairs, rsa_pearson, rsa_spearman: correlation of the two spaces' pairwise cosine distances over seed pairs
-    (hundreds of rows; all pairs i < j of them)."""
-    p = _paired(pairs, source, target).select("pair_no", unit(F.col("x")).alias("x"), unit(F.col("y")).alias("y"))
-    # the distance of unit vectors' cosines, as the unit vectors stand; read several times, so kept while that lasts
-    size = p.agg(F.count("*").alias("n"), F.max(F.size("x") + F.size("y")).alias("d")).first()
-    d = _pair_distances(p) if size["n"] * (size["d"] or 0) * 8 <= broadcast_bytes else _pair_distances_joined(p)
-    d = d.persist(StorageLevel.DISK_ONLY)
-    try:
-        row = average_ranks(d, dx="rx", dy="ry").agg(F.corr("dx", "dy").alias("p"), F.corr("rx", "ry").alias("s")).first()
-    finally:
-        d.unpersist()
-    return pairs.sparkSession.createDataFrame([(row["p"], row["s"], size["n"])], "rsa_pearson double, rsa_spearman double, rsa_n_pairs long")
+
+def _pair_blocks(p: DataFrame, n: int, dims: int, broadcast_bytes: int, block_rows: int, scratch: Scratch):
+    """A table, and a function from its batches to the distances of all pairs of rows (pair_no, x, y), each once.
+
+    A table below ``broadcast_bytes`` is sent to executors and meets its own rows; a larger one meets itself block by block.
+    """
+    rows = lambda v: (np.asarray(v.field("pair_no")), matrix(v.field("x")), matrix(v.field("y")))
+    if n * dims * 8 <= broadcast_bytes:
+        table = p.orderBy("pair_no").toArrow().combine_chunks()
+        held = p.sparkSession.sparkContext.broadcast((np.asarray(table["pair_no"].combine_chunks()), matrix(table["x"]), matrix(table["y"])))
+
+        def against_all(batch: pa.RecordBatch):
+            ids, x, y = (np.asarray(batch.column("pair_no")), matrix(batch.column("x")), matrix(batch.column("y")))
+            yield from _upper(ids, x, y, *held.value)
+
+        return p.repartition(max(1, min(n // 64, p.sparkSession.sparkContext.defaultParallelism)), "pair_no"), against_all
+    many = max(1, -(-n // block_rows))
+    blocks = p.groupBy(F.pmod(F.xxhash64("pair_no"), F.lit(many)).cast("int").alias("i")).agg(F.collect_list(F.struct("pair_no", "x", "y")).alias("a"))
+    blocks = scratch.table(blocks, "rsa-blocks")
+    tiles = blocks.withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(many - 1)))).join(blocks.select(F.col("i").alias("j"), F.col("a").alias("b")), "j")
+
+    def tile(batch: pa.RecordBatch):
+        for r in range(batch.num_rows):
+            a, b = rows(batch.column("a")[r].values), rows(batch.column("b")[r].values)
+            yield from _upper(*a, *b)
+            if batch.column("i")[r].as_py() != batch.column("j")[r].as_py():
+                yield from _upper(*b, *a)
+
+    return tiles, tile
+
+
+#: Cells of the distances 0 to 2; distances in one cell count as tied.  The grid begins off any round number, so that equal distances that differ in
+#: their last bits share a cell.
+RANK_CELLS = 1 << 22
+_GRID_START = -0.000_001_234_567
+
+
+def _cell(d: np.ndarray) -> np.ndarray:
+    return np.clip(((d - _GRID_START) * (RANK_CELLS / 2.00001)).astype(np.int64), 0, RANK_CELLS - 1)
+
+
+def _cell_ranks(counts: np.ndarray) -> np.ndarray:
+    """Mean rank of the values of each cell, less the mean of all ranks."""
+    ahead = np.cumsum(counts) - counts
+    return ahead + (counts + 1) / 2 - (counts.sum() + 1) / 2
+
+
+def rsa(pairs: DataFrame, source: DataFrame, target: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = 2048) -> DataFrame:
+    """rsa_n_pairs, rsa_pearson, rsa_spearman: correlation of the two spaces' pairwise cosine distances over all pairs i < j of seed
+    pairs (their number is that of the dictionary squared, so no row is made of them).
+
+    One pass over blocks of pairs adds up moments and counts distances by cells of 5e-7; the counts are the ranks, distances of one
+    cell being ties; a second pass over the same blocks adds up the products of ranks.  What tasks return, and what they are sent,
+    is at most a number for each of ``RANK_CELLS`` cells.
+    """
+    spark = pairs.sparkSession
+    with Scratch(spark) as scratch:
+        p = scratch.table(_paired(pairs, source, target).select("pair_no", unit(F.col("x")).alias("x"), unit(F.col("y")).alias("y")), "rsa-pairs")
+        size = p.agg(F.count("*").alias("n"), F.max(F.size("x") + F.size("y")).alias("d")).first()
+        table, distances = _pair_blocks(p, size["n"], size["d"] or 0, broadcast_bytes, block_rows, scratch)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def out(which: str, at: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([which] * len(at)), pa.array(at, pa.int64()), pa.array(values, pa.float64())], ["which", "at", "v"])
+
+            def counts(held: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+                for which, cells in held.items():
+                    if cells:
+                        yield out(which, *np.unique(np.concatenate(cells), return_counts=True))
+
+            moments, held, n = np.zeros(6), {"x": [], "y": []}, 0
+            for batch in batches:
+                for d in distances(batch):
+                    x, y = d[0] - 1, d[1] - 1  # about their middle, for the digits
+                    moments += len(x), x.sum(), y.sum(), x @ x, y @ y, x @ y
+                    for cells, v in zip(held.values(), d):
+                        cells.append(_cell(v).astype(np.int32))
+                    n += len(x)
+                    if n > 2 * RANK_CELLS:
+                        yield from counts(held)
+                        held, n = {"x": [], "y": []}, 0
+            yield from counts(held)
+            yield out("m", np.arange(6), moments)
+
+        counted = table.mapInArrow(count, "which string, at long, v double").groupBy("which", "at").agg(F.sum("v").alias("v"))
+        found = scratch.table(counted, "rsa-cells").toArrow()
+        sums = {}
+        for which, cells in (("m", 6), ("x", RANK_CELLS), ("y", RANK_CELLS)):
+            some = found.filter(pc.equal(found["which"], which))
+            sums[which] = np.zeros(cells)
+            sums[which][np.asarray(some["at"])] = np.asarray(some["v"])
+        ranks = {w: _cell_ranks(sums[w]) for w in "xy"}
+        sent = spark.sparkContext.broadcast((ranks["x"], ranks["y"]))
+
+        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rx, ry = sent.value
+            total = sum(float(rx[_cell(dx)] @ ry[_cell(dy)]) for batch in batches for dx, dy in distances(batch))
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.float64())], ["v"])
+
+        product = table.mapInArrow(multiply, "v double").agg(F.sum("v").alias("v")).first()["v"]
+    m, x, y, xx, yy, xy = sums["m"]
+    pearson = _ratio(m * xy - x * y, (m * xx - x * x) * (m * yy - y * y))
+    spearman = _ratio(product, float((sums["x"] @ ranks["x"] ** 2) * (sums["y"] @ ranks["y"] ** 2)))
+    return spark.createDataFrame([(pearson, spearman, size["n"])], "rsa_pearson double, rsa_spearman double, rsa_n_pairs long")
+
+
+def _ratio(product: float | None, squares: float) -> float | None:
+    return float(product / np.sqrt(squares)) if product is not None and squares > 0 else None
 
 
 def average_ranks(df: DataFrame, cells: int = 4096, **columns: str) -> DataFrame:

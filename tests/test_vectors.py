@@ -234,3 +234,31 @@ def test_few_candidates_and_many_cells(spark):
     s = spark.createDataFrame([(i, [float(i % 3), 1.0], 0.0) for i in range(7)], "idx long, vec array<double>, penalty double")
     got = knn.knn_join_pruned(s.select("idx", "vec"), s, 10, True, pivots=5)
     assert sorted((r["q"], r["rank"], r["c"]) for r in got.collect()) == sorted((r["q"], r["rank"], r["c"]) for r in knn.knn_join(s, s, 10, True).collect())
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 30])
+def test_rank_correlation_over_all_pairs(spark, broadcast_bytes):
+    """Against ranks of the sorted distances, with ties by the dozen; in one piece and by blocks."""
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(-2, 3, (90, 4)) + 0.5, rng.normal(size=(90, 3))
+    b[:40] = a[:40, :3] + 0.1 * b[:40]
+    pairs = spark.createDataFrame([(i, f"a{i}", f"b{i}") for i in range(90)], "pair_no int, src string, tgt string")
+    got = algebra.rsa(pairs, space(spark, a, "a"), space(spark, b, "b"), broadcast_bytes, block_rows=32).first()
+    i, j = np.triu_indices(90, 1)
+    u, v = knn.unit_rows(a), knn.unit_rows(b)
+    d = [1 - (m[i] * m[j]).sum(axis=1) for m in (u, v)]
+
+    def ranks(x):
+        x = np.round(x, 7)
+        s = np.sort(x)
+        return (np.searchsorted(s, x, "left") + np.searchsorted(s, x, "right") + 1) / 2
+
+    assert got["rsa_n_pairs"] == 90 and got["rsa_pearson"] == pytest.approx(np.corrcoef(*d)[0, 1], abs=1e-9)
+    assert got["rsa_spearman"] == pytest.approx(np.corrcoef(*map(ranks, d))[0, 1], abs=1e-6)
+
+
+def test_rank_correlation_of_nothing(spark):
+    pairs = spark.createDataFrame([(0, "a0", "b0")], "pair_no int, src string, tgt string")
+    for p in (pairs, pairs.limit(0)):
+        got = algebra.rsa(p, space(spark, np.ones((2, 2)), "a"), space(spark, np.ones((2, 2)), "b")).first()
+        assert got["rsa_pearson"] is None and got["rsa_spearman"] is None and got["rsa_n_pairs"] == p.count()
