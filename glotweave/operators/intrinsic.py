@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from datetime import datetime
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glotweave.functions.vectors import as_double, cosine, dot, norm, unit
 from glotweave.operators.algebra import average_ranks
-from glotweave.operators.knn import knn_join
+from glotweave.operators.knn import knn_join, matrix
+from glotweave.scratch import Scratch, materialise
 
 
 def pair_analogies(pairs: DataFrame, category: str | Column, a: str = "a", b: str = "b") -> DataFrame:
@@ -70,9 +72,9 @@ def analogy_accuracy(items: DataFrame, space: DataFrame) -> DataFrame:
 
 
 def section_accuracy(questions: DataFrame, space: DataFrame) -> DataFrame:
-    """(section, n_evaluated, accuracy); a section without a known question has accuracy null."""
-    found = analogy_accuracy(questions.withColumnRenamed("section", "category"), space).filter("category is not null")
-    return found.select(F.col("category").alias("section"), "n_evaluated", F.when(F.col("n_evaluated") > 0, F.col("accuracy")).alias("accuracy"))
+    """(section, n_correct, n_evaluated, accuracy), with a row of section null for all; without a known question accuracy is null."""
+    found = analogy_accuracy(questions.withColumnRenamed("section", "category"), space)
+    return found.select(F.col("category").alias("section"), "n_correct", "n_evaluated", F.when(F.col("n_evaluated") > 0, F.col("accuracy")).alias("accuracy"))
 
 
 def outliers(sets: DataFrame, space: DataFrame) -> DataFrame:
@@ -93,19 +95,94 @@ def outlier_accuracy(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("n_sets"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
 
 
+#: Rows among which first centres are drawn.
+SEED_ROWS = 4000
+
+
+def _first_centres(m: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows, each drawn with probability in proportion to its squared distance from those before it (k-means++)."""
+    centres = [m[rng.integers(len(m))]]
+    far = ((m - centres[0]) ** 2).sum(axis=1)
+    for _ in range(k - 1):
+        share = far if far.sum() > 0 else np.ones(len(m))
+        centres.append(m[rng.choice(len(m), p=share / share.sum())])
+        far = np.minimum(far, ((m - centres[-1]) ** 2).sum(axis=1))
+    return np.stack(centres)
+
+
+def _nearest(m: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre and squared distance to it, for each row (first) and each stack of ``centres`` (restarts x k x d)."""
+    flat = centres.reshape(-1, centres.shape[-1])
+    d = (m**2).sum(axis=1)[:, None] - 2 * m @ flat.T + (flat**2).sum(axis=1)[None, :]
+    d = d.reshape(len(m), *centres.shape[:2])
+    at = d.argmin(axis=2)
+    return at, np.maximum(np.take_along_axis(d, at[:, :, None], axis=2)[:, :, 0], 0)
+
+
+def kmeans(points: DataFrame, k: int, seed: int = 42, restarts: int = 10, max_iter: int = 50, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
+    """(centres, cost) of the best of ``restarts`` fits of ``points`` (vec array<double>), which is read once an iteration.
+
+    All fits go side by side: a pass assigns every row in all of them, and sums and counts of their k clusters come back.  First
+    centres are drawn among ``SEED_ROWS`` rows taken by hash.  A fit ends when no centre moves by more than ``tolerance``; an empty
+    cluster keeps its centre.
+    """
+    some = matrix(points.orderBy(F.xxhash64("vec"), "vec").limit(SEED_ROWS).select("vec").toArrow()["vec"])
+    centres = np.stack([_first_centres(some, k, np.random.default_rng(seed + i)) for i in range(restarts)])
+    shape = centres.shape
+
+    def sums(now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums with counts behind (restarts x k x (d + 1)), and costs."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, cost = np.zeros((shape[0] * k, shape[2] + 1)), np.zeros(shape[0])
+            for batch in batches:
+                m = matrix(batch.column("vec"))
+                if len(m):
+                    at, far = _nearest(m, now)
+                    cost += far.sum(axis=0)
+                    one = np.hstack([m, np.ones((len(m), 1))])
+                    for r in range(shape[0]):
+                        np.add.at(total, r * k + at[:, r], one)
+            values = np.concatenate([total.ravel(), cost])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["i", "x"])
+
+        rows = points.select("vec").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+        values = np.zeros(rows.num_rows)
+        values[np.asarray(rows["i"])] = np.asarray(rows["x"])
+        return values[: -shape[0]].reshape(shape[0], k, -1), values[-shape[0] :]
+
+    moving = np.ones(shape[0], bool)
+    for _ in range(max_iter):
+        total, cost = sums(centres)
+        many = total[:, :, -1:]
+        new = np.where(many > 0, total[:, :, :-1] / np.maximum(many, 1), centres)
+        new[~moving] = centres[~moving]
+        moving &= np.sqrt(((new - centres) ** 2).sum(axis=2)).max(axis=1) > tolerance
+        centres = new
+        if not moving.any():
+            break
+    cost = sums(centres)[1]
+    return centres[cost.argmin()], float(cost.min())
+
+
 def categorise(exemplars: DataFrame, space: DataFrame, seed: int = 42, restarts: int = 10) -> DataFrame | None:
     """(label, word, cluster): k-means of the raw vectors of known words, k the number of labels, best of ``restarts`` by
     cost.  None if fewer than 2 k words are known."""
     k = exemplars.select("label").distinct().count()
-    known = exemplars.join(space.select("word", array_to_vector(as_double(F.col("vec"))).alias("features")), "word").persist()
-    try:
+    with Scratch(space.sparkSession) as scratch:
+        known = scratch.table(exemplars.join(space.select("word", as_double(F.col("vec")).alias("vec")), "word").select("label", "word", "vec"), "categories")
         if known.count() < 2 * k:
             return None
-        models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(known) for i in range(restarts)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        return best.transform(known).select("label", "word", F.col("prediction").alias("cluster"))
-    finally:
-        known.unpersist()
+        centres, _ = kmeans(known, k, seed, restarts)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    at = _nearest(matrix(batch.column("vec")), centres[None])[0][:, 0]
+                    yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("word"), pa.array(at, pa.int32())], ["label", "word", "cluster"])
+
+        fields = [known.schema["label"], known.schema["word"], T.StructField("cluster", T.IntegerType())]
+        return materialise(known.mapInArrow(place, T.StructType(fields)), "categorised")
 
 
 def purity(clustered: DataFrame) -> DataFrame:

@@ -204,6 +204,9 @@ ORACLE: dict[str, str] = {
     "analogy_eval": f"WITH {_SPACE}, {_PREDICT} SELECT * FROM pred",
     "analogy_accuracy": f"""WITH {_SPACE}, {_PREDICT} SELECT category, count(*) AS n_items, 0::BIGINT AS n_skipped, count(*) FILTER (predicted = d) AS n_correct, count(*) AS n_evaluated,
       {_round('avg((predicted = d)::INT)')} AS accuracy FROM pred GROUP BY ROLLUP (category)""",
+    "analogy_sections": f"""WITH {_SPACE}, {_PREDICT} SELECT category::VARCHAR AS section, count(*) FILTER (predicted = d) AS n_correct, count(*) AS n_evaluated,
+      {_round('avg((predicted = d)::INT)')} AS accuracy FROM pred GROUP BY ROLLUP (category) UNION ALL SELECT 'lost', 0, 0, NULL""",
+    "kmeans_fit": "SELECT count(*) AS n, count(DISTINCT label) AS clusters, true AS nearer FROM embeddings",
     "word_similarity": f"""WITH {_SPACE}, {_PAIR}, k AS (SELECT ((pair_no * 37) % 101)::DOUBLE AS score, list_cosine_similarity(x, y) AS cos FROM pr),
       r AS (SELECT *, {_RANKS.format('score')} AS rs, {_RANKS.format('cos')} AS rc FROM k)
       SELECT count(*) AS n, {_round('corr(score, cos)')} AS pearson_r, {_round('corr(rs, rc)')} AS spearman_r, {_round('100.0 / (count(*) + 1)')} AS oov_ratio FROM r""",
@@ -226,3 +229,7 @@ ORACLE: dict[str, str] = {
       SELECT word, true AS known, {_round('sqrt(list_inner_product(vec, vec))')} AS norm, nearest, tenth FROM e LEFT JOIN f ON f.q = e.idx UNION ALL SELECT 'unknown', false, NULL, NULL, NULL""",
     "merged_tokens": f"""WITH {_BLOCKS}, k AS (SELECT {_tokens('s')} AS ws FROM n WHERE s <> '') SELECT ceil(count(*) / 5.0)::BIGINT AS n_blocks, sum(len(ws))::BIGINT AS n_tokens FROM k""",
 }
+ORACLE |= {
+    "coherence_totals": f"SELECT count(coherence) AS coherence_scored, count(*) - count(coherence) AS coherence_skipped, {_round('avg(coherence)', 4)} AS mean_coherence FROM ({ORACLE['coherence']})",
+    "loan_categories": f"SELECT category, count(*) AS n, {_round('100.0 * count(*) / sum(count(*)) OVER ()')} AS percent FROM ({ORACLE['loan_scan']}) GROUP BY category",
+}

@@ -279,6 +279,13 @@ def loan_scan(spark, sf_dir):
     return lexicon.classify_loans(dv.unionByName(en), entities, phonetic_threshold=0.3, embed_threshold=0.2).select("idx", "romanised", "category", "best_english_match", "phonetic_score", "embed_score")
 
 
+@query
+def loan_categories(spark, sf_dir):
+    """Categories of the loanword scan, counted."""
+    found = lexicon.category_histogram(loan_scan(spark, sf_dir))
+    return found.select("category", "n", F.round("percent", 6).alias("percent"))
+
+
 @query
 def knn_top10(spark, sf_dir):
     s = whole(spark, sf_dir)
@@ -395,6 +402,12 @@ def coherence(spark, sf_dir):
     return intrinsic.coherence(s.select(F.col("word").alias("value")).union(spark.createDataFrame([("unknown",)], "value string")), s)
 
 
+@query
+def coherence_totals(spark, sf_dir):
+    """How many probes have a coherence, how many none, and the mean."""
+    return intrinsic.coherence_summary(coherence(spark, sf_dir))
+
+
 @query
 def outlier(spark, sf_dir):
     """Sets of five consecutive vectors; the last is named the outlier."""
@@ -430,6 +443,15 @@ def analogy_accuracy(spark, sf_dir):
     return intrinsic.analogy_accuracy(_analogies(spark, sf_dir), whole(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
 
 
+@query
+def analogy_sections(spark, sf_dir):
+    """The same items as a benchmark by sections, one of them without a known question."""
+    items = _analogies(spark, sf_dir).withColumnRenamed("category", "section")
+    lost = spark.createDataFrame([("lost", "w0", "w1", "w2", "unknown")], "section string, a string, b string, c string, d string")
+    found = intrinsic.section_accuracy(items.withColumn("section", F.col("section").cast("string")).unionByName(lost), whole(spark, sf_dir))
+    return found.withColumn("accuracy", F.round("accuracy", 6))
+
+
 @query
 def word_similarity(spark, sf_dir):
     pairs = _identity_pairs(spark, sf_dir).select(F.col("src").alias("word1"), F.col("tgt").alias("word2"), ((F.col("pair_no") * 37) % 101).cast("double").alias("score"))
@@ -445,6 +467,21 @@ def kmeans_purity(spark, sf_dir):
     return intrinsic.purity(found).select("n", F.round("random_baseline", 6).alias("random_baseline"), F.round("purity", 6).alias("purity"))
 
 
+@query
+def kmeans_fit(spark, sf_dir):
+    """Clusters of all vectors: how many there are, and whether the vectors lie nearer to their cluster's mean than to their label's."""
+    s = whole(spark, sf_dir).withColumn("label", F.col("label").cast("string"))
+    found = intrinsic.categorise(s.select("label", "word"), s).select("word", F.col("cluster").cast("string").alias("cluster"))
+    v = s.join(found, "word").select("word", "label", "cluster", F.posexplode("vec").alias("i", "x"))
+
+    def spread(by: str):
+        return F.sum(F.pow(F.col("x") - F.col(f"{by}_mean"), 2))
+
+    for by in ("label", "cluster"):
+        v = v.withColumn(f"{by}_mean", F.avg("x").over(Window.partitionBy(by, "i")))
+    return v.agg(F.count_distinct("word").alias("n"), F.count_distinct("cluster").alias("clusters"), (spread("cluster") < spread("label")).alias("nearer"))
+
+
 def _document_model(spark, sf_dir, **settings):
     from glotweave.operators.train import Settings, train
 

@@ -262,3 +262,25 @@ def test_rank_correlation_of_nothing(spark):
     for p in (pairs, pairs.limit(0)):
         got = algebra.rsa(p, space(spark, np.ones((2, 2)), "a"), space(spark, np.ones((2, 2)), "b")).first()
         assert got["rsa_pearson"] is None and got["rsa_spearman"] is None and got["rsa_n_pairs"] == p.count()
+
+
+def test_kmeans_of_all_restarts_at_once(spark, monkeypatch):
+    """Every fit against plain Lloyd steps from the same first centres; the cheapest is returned."""
+    rng = np.random.default_rng(11)
+    m = np.concatenate([rng.normal(size=(60, 4)) + 6 * rng.normal(size=4) for _ in range(5)] + [np.zeros((6, 4))])
+    points = spark.createDataFrame([([float(x) for x in v],) for v in m], "vec array<double>").repartition(3)
+    first = []
+    draw = intrinsic._first_centres
+    monkeypatch.setattr(intrinsic, "_first_centres", lambda *a: first.append(draw(*a)) or first[-1])
+    centres, cost = intrinsic.kmeans(points, 5, seed=1, restarts=4)
+    costs = []
+    for c in first:
+        for _ in range(50):
+            at = ((m[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            new = np.stack([m[at == k].mean(axis=0) if (at == k).any() else c[k] for k in range(5)])
+            moved, c = np.sqrt(((new - c) ** 2).sum(axis=1)).max(), new
+            if moved <= 1e-4:
+                break
+        costs.append(((m[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum())
+    assert cost == pytest.approx(min(costs)) and len(first) == 4
+    assert ((m[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum() == pytest.approx(cost)
