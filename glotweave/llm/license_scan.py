@@ -1,17 +1,16 @@
 """License scans by conditional compression.
 
-Method.  A candidate block is a run of lines with license wording (cue words, gaps of one line allowed).  It is compressed
-by zstandard alone and once per template (both in lower case), with the template as raw-content dictionary; templates are ranked by how much
-smaller the block gets.  Winners are confirmed by exact wording differences: the words of block and template are aligned,
-and the template is confirmed if nearly all of its words are there and no marker word (a word that tells licenses apart:
-names, versions, clauses) is missing or added inside the matched stretch.  The best-ranked template that is confirmed names
-the license.
-
-A notice is often wrapped over lines without a cue, or stands inside a longer line, where it saves too little of its line to
-be ranked.  So stretches of words are candidates as well, without regard to lines: around every place of a template's rarest
-word (of its markers, if it has some; else of as many words as cannot all be missing) the best local alignment is confirmed
-by the same differences.  Where stretches overlap, the one whose template saves most bytes of it counts.  A block
-grows to the lines of the stretches that it meets, and gives one row per license confirmed in it.
+Method.  Candidate blocks are compressed by zstandard alone and with templates as raw-content dictionaries, templates are ranked by the
+bytes that they save, and those that save enough are confirmed by exact wording differences, in the order of their rank: the
+words of block and template are aligned, and the template is confirmed if nearly all of its words are there and no marker word (a word that
+tells licenses apart: names, versions, clauses) is missing or added inside the matched stretch.
+
+There are two kinds of candidates.  Windows of words, without regard to lines, lie around the rare words of templates, as wide as a template
+may reach; their words, joined by single spaces, are compressed, and what a template saves is compared with what it takes itself
+(``MIN_SAVED``).  Counts of words leave out windows and templates that could not be confirmed anyway; they name none.  Where
+confirmed stretches overlap, the one whose template saves most bytes of it counts.  A run of lines with license
+wording (cue words, gaps of one line allowed) is a block; it grows to the lines of the stretches that it meets, and gives one row
+per license confirmed in it.  A block without any is ranked and confirmed as a whole.
 
 Scale: one narrow pass without a shuffle; Spark keeps only documents with a cue, in the JVM, before texts go to Python.
 Templates are a fixed list, compressors are built once per task.  Alignments are tried only where the words of the template
@@ -26,7 +25,7 @@ in windows that overlap by more than a template, and are one block still.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -126,6 +125,9 @@ _WORD = re.compile(r"\w+(?:\.\w+)*")
 MAX_BLOCK_CHARS = 8_000
 MIN_REDUCTION = 0.15
 MIN_PRESENT = 0.9
+#: A template that saves less than this share of what it takes itself is not looked for in a window.
+MIN_SAVED = 0.1
+_FRAME = len(zstandard.ZstdCompressor(level=9, write_content_size=False).compress(b""))
 MATCH = 8  # a matched word is worth this many added ones in a local alignment
 
 
@@ -241,14 +243,15 @@ class Scanner:
         self.known = {w for ws in self.words for w in ws}
         self.longest = 2 * max((len(t[1]) for t in templates), default=0)
         self.identifier = [t[1].startswith("SPDX") for t in templates]
+        self.size = [len(zstandard.ZstdCompressor(level=9, write_content_size=False).compress(" ".join(ws).encode())) - _FRAME for ws in self.words]
         self.plain = zstandard.ZstdCompressor(level=9, write_content_size=False)
-        self.primed = [
-            zstandard.ZstdCompressor(
-                level=9, write_content_size=False,
-                dict_data=zstandard.ZstdCompressionDict(t[1].lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-            )
-            for t in templates
-        ]
+        self.primed, self.primed_words = (
+            [
+                zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+                for text in texts
+            ]
+            for texts in ([t[1].lower() for t in templates], [" ".join(ws) for ws in self.words])
+        )
 
     def rank(self, block: str) -> list[tuple[float, int]]:
         """(share of the compressed size saved, template) in falling order."""
@@ -270,6 +273,39 @@ class Scanner:
         told = MARKERS.intersection(missing) or MARKERS.intersection(extra)
         return present >= MIN_PRESENT and not told, len(missing), len(extra)
 
+    def _rare(self, k: int, places: dict[str, list[int]]) -> list[str]:
+        """Words of a template one of which must be there: its rarest marker, or as many of its rarest words as cannot all be missing."""
+        rarest = sorted(set(self.words[k]), key=lambda w: (len(places.get(w, ())), w))
+        return [w for w in rarest if w in MARKERS][:1] or rarest[: int(len(self.words[k]) * (1 - MIN_PRESENT)) + 1]
+
+    def anchors(self, k: int, places: dict[str, list[int]], first: int, last: int) -> list[int]:
+        """Places of those words in a window."""
+        return sorted(i for w in self._rare(k, places) for i in places.get(w, ())[bisect_left(places.get(w, ()), first) : bisect_left(places.get(w, ()), last)])
+
+    def candidates(self, own: list[str], places: dict[str, list[int]]) -> list[tuple[int, int]]:
+        """Windows (first word, last word + 1) that may hold a notice: around the rare words of each template, as wide as the template
+        may reach.  Counts of words leave out windows in which it could not be confirmed."""
+        held = Counter({w: len(at) for w, at in places.items()})
+        out = set()
+        for k, template in enumerate(self.words):
+            if any(w in MARKERS and w not in places for w in template) or not self.may_hold(held, k):
+                continue
+            reach = len(template) + max(4, len(template) // 2)
+            for at in self.anchors(k, places, 0, len(own)):
+                first, last = max(0, at - reach), min(len(own), at + reach + 1)
+                if self.may_hold(Counter(w for w in own[first:last] if w in self.counts[k]), k):
+                    out.add((first, last))
+        return sorted(out)
+
+    def rank_window(self, own: list[str]) -> list[tuple[int, float]]:
+        """(template, bytes that it saves of the window as a share of what the template itself takes), falling.  Templates of
+        which too few words are there are left out."""
+        held = Counter(own)
+        raw = " ".join(own).encode()
+        alone = len(self.plain.compress(raw))
+        ranked = [(k, (alone - len(c.compress(raw))) / max(1, self.size[k])) for k, c in enumerate(self.primed_words) if self.may_hold(held, k)]
+        return sorted(ranked, key=lambda r: (-r[1], r[0]))
+
     def notices(self, text: str) -> list[tuple[int, int, str, float, int, int]]:
         """(start, end, license, reduction, missing, extra) of confirmed stretches anywhere in the text, none overlapping."""
         spans = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(text)]
@@ -279,31 +315,26 @@ class Scanner:
             if w in self.known:
                 places.setdefault(w, []).append(i)
         held = Counter({w: len(at) for w, at in places.items()})
-        found = []
-        for k, template in enumerate(self.words):
-            rarest = sorted(set(template), key=lambda w: (len(places.get(w, ())), w))
-            markers = [w for w in rarest if w in MARKERS]
-            if any(w not in places for w in markers) or not self.may_hold(held, k):
-                continue
-            anchors = markers[:1] or rarest[: int(len(template) * (1 - MIN_PRESENT)) + 1]
-            reach = len(template) + max(4, len(template) // 2)
-            done, tried = -1, set()
-            for at in sorted(i for w in anchors for i in places.get(w, ())):
-                if at <= done or at in tried:
-                    continue
-                if not self.may_hold(Counter(w for w in own[max(0, at - reach) : at + reach + 1] if w in self.counts[k]), k):
-                    continue
-                pairs = alignment_at(own, at, template)
-                a, b = pairs[0][0], pairs[-1][0]
-                taken, matched = {i for i, _ in pairs}, {j for _, j in pairs}
-                tried |= taken
-                ok, missing, extra = self._judge(
-                    [w for j, w in enumerate(template) if j not in matched], [own[i] for i in range(a, b) if i not in taken], k
-                )
-                if ok and not (self.identifier[k] and _OTHER_ID.match(text, spans[b][1])):
-                    done = b
-                    raw = text[spans[a][0] : spans[b][1]].lower().encode()
-                    found.append((len(self.plain.compress(raw)), len(self.primed[k].compress(raw)), extra, k, a, b, missing))
+        found, seen = [], set()
+        for first, last in self.candidates(own, places):
+            for k, share in self.rank_window(own[first:last]):
+                if share < MIN_SAVED:
+                    break
+                template = self.words[k]
+                for at in self.anchors(k, places, first, last):
+                    pairs = alignment_at(own, at, template)
+                    a, b = pairs[0][0], pairs[-1][0]
+                    if (k, a, b) in seen:
+                        continue
+                    seen.add((k, a, b))
+                    taken, matched = {i for i, _ in pairs}, {j for _, j in pairs}
+                    ok, missing, extra = self._judge(
+                        [w for j, w in enumerate(template) if j not in matched], [own[i] for i in range(a, b) if i not in taken], k
+                    )
+                    if ok and not (self.identifier[k] and _OTHER_ID.match(text, spans[b][1])):
+                        raw = text[spans[a][0] : spans[b][1]].lower().encode()
+                        found.append((len(self.plain.compress(raw)), len(self.primed[k].compress(raw)), extra, k, a, b, missing))
+                        break
         out, used = [], set()
         for alone, primed, extra, k, a, b, missing in sorted(found, key=lambda f: (f[1] - f[0], f[2], f[3], f[4])):
             if used.isdisjoint(range(a, b + 1)):
