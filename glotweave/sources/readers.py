@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -111,29 +113,154 @@ def read_vec(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _decode_binary(batches):
+#: Longest word of a binary vector file, in bytes.
+_WORD_BYTES = 1024
+_CHUNK = "chunk long, length long, head binary, tail binary, starts array<int>, stops array<long>, records array<long>"
+
+
+def _chunks(batches) -> Iterator[tuple[int, bytes]]:
+    """The bytes of each split of a file that is read as lines (chunk, line)."""
+    now, lines = None, []
+    for batch in batches:
+        for chunk, line in zip(batch.column("chunk").to_pylist(), batch.column("line").to_pylist()):
+            if chunk != now and lines:
+                yield now, b"\n".join(lines) + b"\n"
+                lines = []
+            now = chunk
+            lines.append(line)
+    if lines:
+        yield now, b"\n".join(lines) + b"\n"
+
+
+def _record(data: bytes, at: int, dims: int) -> tuple[int, int, int] | None:
+    """(word's begin, word's end, record's end) of the record at ``at``; None if no word is there, (begin, -1, -1) if it is cut off."""
+    while data[at : at + 1] == b"\n":
+        at += 1
+    end = data.find(b" ", at, at + _WORD_BYTES)
+    if end < 0:
+        return (at, -1, -1) if len(data) - at < _WORD_BYTES else None
+    try:
+        data[at:end].decode()
+    except UnicodeDecodeError:
+        return None
+    return None if end == at else (at, end, end + 1 + 4 * dims)
+
+
+def _paths_through(dims: int, header: int):
+    """For every place in the first bytes of a chunk at which records could begin: where the path of records leaves the chunk, and
+    how many there are."""
+    reach = 4 * dims + _WORD_BYTES + 2
+
+    def run(batches):
+        for chunk, data in _chunks(batches):
+            known: dict[int, tuple[int, int] | None] = {}  # place -> where its path leaves the chunk, records on it
+            places = [header] if chunk == 0 else range(min(reach, len(data)))
+            for start in places:
+                at, trail = start, []
+                while at < len(data) and at not in known:
+                    found = _record(data, at, dims)
+                    if found is None or found[1] < 0:
+                        known[at] = None if found is None else (at, 0)
+                        break
+                    trail.append(at)
+                    at = found[2]
+                end = known.get(at, (at, 0))
+                for n, place in enumerate(reversed(trail), 1):
+                    known[place] = end and (end[0], end[1] + n)
+            through = {s: known[s] for s in places if known.get(s)}
+            starts, stops, records = list(through), [v[0] for v in through.values()], [v[1] for v in through.values()]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            values = (chunk, len(data), data[: 2 * reach], data[-reach:], starts, stops, records)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [c.split()[0] for c in _CHUNK.split(", ")])
+
+    return run
+
+
+def _chain(rows: list, header: int, dims: int) -> dict[int, tuple[int, int, int, bytes]] | None:
+    """chunk -> (first record's place, records that begin in it, number of the first, bytes that follow the chunk), from the beginning of the
+    file on; None if the paths of two chunks do not meet."""
+    rows = sorted(rows, key=lambda r: r["chunk"])
+    out, place, number = {}, header, 0
+    for i, r in enumerate(rows):
+        after = b"".join(x["head"] for x in rows[i + 1 : i + 1 + max(2, 1 + 8192 // max(1, r["length"]))])
+        if place >= r["length"]:  # a record that begins earlier fills the chunk
+            out[r["chunk"]] = (r["length"], 0, number, b"")
+            place -= r["length"]
+            continue
+        paths = {s: (stop, n) for s, stop, n in zip(r["starts"], r["stops"], r["records"])}
+        if place not in paths:
+            return None
+        stop, n = paths[place]
+        if stop < r["length"]:  # a word that is cut off by the chunk's end
+            cut = bytes(r["tail"])[stop - r["length"] :] + after
+            found = _record(cut, 0, dims)
+            if cut.strip(b"\n"):
+                if found is None or found[1] < 0:
+                    return None
+                stop, n = stop + found[2], n + 1
+            else:
+                stop = r["length"]
+        out[r["chunk"]] = (place, n, number, after)
+        place, number = stop - r["length"], number + n
+    return out
+
+
+def _decoded(dims: int, plan: dict[int, tuple[int, int, int, bytes]]):
+    def run(batches):
+        for chunk, data in _chunks(batches):
+            at, n, number, after = plan[chunk]
+            data += after
+            for first in range(0, n, 1000):
+                words, flat = [], np.empty((min(1000, n - first), dims), np.float64)
+                for i in range(len(flat)):
+                    begin, end, stop = _record(data, at, dims)
+                    words.append(data[begin:end].decode())
+                    flat[i] = np.frombuffer(data, dtype="<f4", count=dims, offset=end + 1)
+                    at = stop
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, dims, dtype=np.int32)), pa.array(flat.ravel()))
+                idx = np.arange(number + first, number + first + len(flat), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(words), lists], ["idx", "word", "vec"])
+
+    return run
+
+
+def _decode_whole(batches):
+    """A file whose words are not all UTF-8, from its beginning to its end; such bytes are left out."""
     for batch in batches:
         for content in batch.column("content").to_pylist():
             head, _, rest = content.partition(b"\n")
             n, d = map(int, head.split())
-            at, words, flat = 0, [], np.empty((n, d), dtype=np.float32)
-            for i in range(n):
-                end = rest.index(b" ", at)
-                words.append(rest[at:end].lstrip(b"\n").decode("utf-8", "ignore"))
-                flat[i] = np.frombuffer(rest, dtype="<f4", count=d, offset=end + 1)
-                at = end + 1 + 4 * d
-            for start in range(0, n, 1000):
-                part = flat[start : start + 1000].astype(np.float64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, d, dtype=np.int32)), pa.array(part.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(start, start + len(part), dtype=np.int32)), pa.array(words[start : start + len(part)]), lists], ["idx", "word", "vec"]
-                )
+            at = 0
+            for first in range(0, n, 1000):
+                words, flat = [], np.empty((min(1000, n - first), d), np.float64)
+                for i in range(len(flat)):
+                    end = rest.index(b" ", at)
+                    words.append(rest[at:end].lstrip(b"\n").decode("utf-8", "ignore"))
+                    flat[i] = np.frombuffer(rest, dtype="<f4", count=d, offset=end + 1)
+                    at = end + 1 + 4 * d
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, d, dtype=np.int32)), pa.array(flat.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(flat), dtype=np.int32)), pa.array(words), lists], ["idx", "word", "vec"])
 
 
 def read_word2vec_binary(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, word, vec) of a word2vec binary file, decoded by an executor."""
+    """(idx, word, vec) of a word2vec binary file, decoded by executors, a split of the file each.
+
+    Records have no marks, so one pass finds, for every place at the beginning of a split at which a record could begin, where its path of
+    records leaves the split; chained from the file's header on, these say where records do begin.  The driver holds some
+    kilobytes of each split.  A file with words that are not UTF-8 is decoded as a whole by one task.
+    """
     require(spark, path)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_decode_binary, "idx int, word string, vec array<double>")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_block_start").alias("chunk"), F.col("value").cast("binary").alias("line"))
+    first = lines.filter("chunk = 0").select("line").first()
+    if first is None:
+        raise ValueError(f"{path} is empty")
+    n, dims = map(int, bytes(first["line"]).split())
+    header = len(first["line"]) + 1
+    found = lines.mapInArrow(_paths_through(dims, header), _CHUNK).collect()  # a row for each split
+    plan = _chain(found, header, dims)
+    if plan is None or sum(p[1] for p in plan.values()) != n:
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_decode_whole, "idx int, word string, vec array<double>")
+    return lines.mapInArrow(_decoded(dims, plan), "idx int, word string, vec array<double>")
 
 
 def read_vectors(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:

@@ -257,3 +257,32 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.sql("select token, n from counted").collect()) == [("héllo", 2), ("ñ", 1)]
+
+
+@pytest.mark.parametrize("newline, dims, split", [(True, 7, 300), (False, 7, 97), (True, 300, 5000), (False, 1, 40), (True, 3, 1 << 20)])
+def test_binary_vectors_in_splits(spark, tmp_path, newline, dims, split):
+    """A file of many splits against its records in order: line ends and spaces inside vectors, long and short words, with and without line ends behind them."""
+    rng = np.random.default_rng(dims)
+    words = [rng.choice(["a", "Ünï", "漢字", "word", "x" * 200]) + str(i) for i in range(200)]
+    m = rng.normal(size=(200, dims)).astype("<f4")
+    m[::3] = np.frombuffer(b"\n \n\x20" * dims, "<f4")
+    m[-1] = np.frombuffer(b"abc\n" * dims, "<f4")
+    path = tmp_path / "v.bin"
+    path.write_bytes(f"200 {dims}\n".encode() + b"".join(w.encode() + b" " + v.tobytes() + b"\n" * newline for w, v in zip(words, m)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        out = readers.read_word2vec_binary(spark, str(path))
+        assert split > 10**5 or out.rdd.getNumPartitions() > 3
+        got = sorted(out.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["idx"], r["word"]) for r in got] == list(enumerate(words))
+    assert np.array_equal(np.array([r["vec"] for r in got], dtype="<f4").view("<i4"), m.view("<i4"))
+
+
+def test_binary_vectors_with_odd_words(spark, tmp_path):
+    m = np.arange(6, dtype="<f4").reshape(2, 3)
+    path = tmp_path / "v.bin"
+    path.write_bytes(b"2 3\n" + b"a\xff " + m[0].tobytes() + b"\n" + b"b " + m[1].tobytes() + b"\n")
+    assert [tuple(r) for r in readers.read_word2vec_binary(spark, str(path)).orderBy("idx").collect()] == [(0, "a", [0.0, 1.0, 2.0]), (1, "b", [3.0, 4.0, 5.0])]
