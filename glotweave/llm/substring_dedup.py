@@ -22,7 +22,9 @@ shares, so what a document receives follows what it loses.  An automaton holds t
 size does not depend on the corpus.  Texts are shuffled by document id three times: for documents with recurring seeds,
 for holders, and for the last pass.  Scratch tables are deleted when the next one is written.
 
-A text that a smaller document holds whole loses all its windows by that alone; it is not searched.
+Of documents with one and the same text the two smallest are searched for windows: the first may be their holder, and what the second visits is
+what all others do.  Passages go to texts by a wide hash of the text, so equal texts receive the same passages, of which a
+shard keeps one.
 
 Words are compared by 64-bit hashes, windows meet by 64-bit hashes; a collision of two windows can only leave a passage
 standing, as its words are compared again.
@@ -227,8 +229,10 @@ def _locate(names: list[str], window: int, shard_bytes: int):
         found = Words(part.column("text"))
         counts, first = found.counts(), found.first
         ids = part.column("doc_id").to_pylist()
-        copy = np.asarray(part.column("__sd_copy"))
         visited = part.column("__sd_passages").flatten()
+        # copies of one text have the same passages, which are wanted once
+        _, once = np.unique(np.stack([np.asarray(visited.field("low")), np.asarray(visited.field("passage").dictionary_encode().indices, dtype=np.int64)]), axis=1, return_index=True)
+        visited = visited.take(pa.array(np.sort(once)))
         passages = Words(visited.field("passage"))
         _, number = np.unique(np.concatenate([found.hash, passages.hash]), return_inverse=True)
         own, theirs = number[: len(found.hash)], number[len(found.hash) :]
@@ -238,10 +242,7 @@ def _locate(names: list[str], window: int, shard_bytes: int):
             a, b = int(first[i]), int(first[i + 1])
             if b - a < window or doc_id is None:
                 continue
-            if copy[i]:
-                covered[a] += 1
-                covered[b] -= 1
-            elif part.column("__sd_passages")[i].is_valid:
+            if part.column("__sd_passages")[i].is_valid:
                 covered[a : b + 1] += phrases.mark(own[a:b], doc_id)
         gone = np.cumsum(covered[:-1]) > 0
         kept = [found.text_of(i, ~gone[first[i] : first[i + 1]]) for i in range(len(ids))]
@@ -253,28 +254,27 @@ def _locate(names: list[str], window: int, shard_bytes: int):
 
 
 def _find_passages(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
-    """doc_id, __sd_passages (holder and text of the passages that it may hold), __sd_copies (keys of its texts that a smaller
-    document holds whole)."""
+    """key, __sd_passages: holder and text of the passages that texts of that key may hold."""
     texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     keyed = texts.select("doc_id", wide_hash(F.col("text")).alias("key"))
     with Scratch(docs.sparkSession) as scratch:
         holders = scratch.table(
             keyed.groupBy("key").agg(F.min("doc_id").alias("unit"), F.max("doc_id").alias("last")).filter("unit < last").select("key", "unit"), "phrase-units"
         )
-        copies = scratch.table(
-            keyed.join(holders, "key").filter(F.col("unit") < F.col("doc_id")).groupBy("doc_id").agg(F.collect_set("key").alias("__sd_copies")),
-            "phrase-copies",
-        )
+        copies = scratch.table(keyed.join(holders, "key").filter(F.col("unit") < F.col("doc_id")), "phrase-copies")
+        seconds = scratch.table(copies.groupBy("key").agg(F.min("doc_id").alias("second")), "phrase-seconds")
+        more = copies.join(seconds, "key").filter(F.col("second") < F.col("doc_id"))
+        more = scratch.table(more.groupBy("doc_id").agg(F.collect_set("key").alias("__sd_copies")), "phrase-more")
         seeds = scratch.table(texts.mapInArrow(_seeds_of(window, seed_words), "doc_id long, seed long"), "phrase-seeds")
         recurring = scratch.table(
             seeds.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "phrase-recurring"
         )
         by_doc = scratch.table(seeds.join(recurring, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")), "phrase-seeds-of")
-        scratch.drop(holders, seeds, recurring)
+        scratch.drop(holders, copies, seeds, recurring)
         # narrow tables meet first, so that texts are shuffled by doc_id alone
         whole = F.array_contains(F.col("__sd_copies"), wide_hash(F.col("text")))
         seeded = (
-            texts.join(by_doc.join(copies, "doc_id", "left"), "doc_id").filter(~F.coalesce(whole, F.lit(False))).select("doc_id", "text", "seeds")
+            texts.join(by_doc.join(more, "doc_id", "left"), "doc_id").filter(~F.coalesce(whole, F.lit(False))).select("doc_id", "text", "seeds")
         )
         windows = scratch.table(seeded.mapInArrow(_windows_of(window, seed_words), "doc_id long, w long, at int"), "phrase-windows")
         scratch.drop(by_doc)
@@ -294,18 +294,18 @@ def _find_passages(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
             texts.join(held, "doc_id").mapInArrow(_passages_of(window), "low long, block int, passage string"), "phrase-passages"
         )
         scratch.drop(confirmed)
-        received = (
-            visits.join(passages, ["low", "block"]).groupBy("doc_id").agg(F.collect_list(F.struct("low", "passage")).alias("__sd_passages"))
-        )
-        return materialise(received.join(copies, "doc_id", "full"), "phrase-known")
+        # the visits of a text are those of its documents but for the smallest of several, whose visits the second one's contain
+        of = keyed.join(seconds, "key", "left").filter(F.col("second").isNull() | (F.col("doc_id") == F.col("second"))).select("doc_id", "key")
+        asked = visits.join(of, "doc_id").select("key", "low", "block").distinct()
+        received = asked.join(passages, ["low", "block"]).groupBy("key").agg(F.collect_list(F.struct("low", "passage")).alias("__sd_passages"))
+        return materialise(received, "phrase-known")
 
 
 def dedup_substrings(docs: DataFrame, window: int = 13, seed_words: int = 7, shard_bytes: int = PIECE_BYTES) -> DataFrame:
     """``docs`` with its text cut to the kept words, joined by one space, plus n_words and n_removed."""
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    known = _find_passages(docs, window, seed_words).withColumnRenamed("doc_id", "__sd_doc")
-    whole = F.coalesce(F.array_contains(F.col("__sd_copies"), wide_hash(F.col("text"))), F.lit(False))
-    ready = docs.select(*names).join(known, F.col("doc_id") == F.col("__sd_doc"), "left").select(*names, "__sd_passages", whole.alias("__sd_copy"))
+    known = _find_passages(docs, window, seed_words).withColumnRenamed("key", "__sd_key")
+    ready = docs.select(*names).join(known, wide_hash(F.col("text")) == F.col("__sd_key"), "left").select(*names, "__sd_passages")
     fields = [docs.schema[c] for c in names]
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return ready.mapInArrow(_locate(names, window, shard_bytes), schema)

@@ -854,3 +854,13 @@ def test_licenses_come_from_compressed_sizes(monkeypatch):
 
     scanner.plain, scanner.primed, scanner.primed_words = Constant(), [Constant()] * len(scanner.names), [Constant()] * len(scanner.names)
     assert [r[2] for r in scanner.report(text)] == [None]
+
+
+def test_all_removed_positions_come_from_the_automaton():
+    """Texts that are copies of a smaller document lose nothing without passages, and all of it with them."""
+    words_ = " ".join(f"w{i}" for i in range(40))
+    passage = pa.array([None, [{"low": 1, "passage": words_}], [{"low": 1, "passage": words_}]], pa.list_(pa.struct([("low", pa.int64()), ("passage", pa.string())])))
+    for given, removed in ((passage, [0, 40, 40]), (pa.array([None] * 3, passage.type), [0, 0, 0])):
+        part = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([words_] * 3), given], ["doc_id", "text", "__sd_passages"])
+        (out,) = substring_dedup._locate(["doc_id", "text"], 13, 1 << 20)(iter([part]))
+        assert out.column("n_removed").to_pylist() == removed and out.column("n_words").to_pylist() == [40] * 3
