@@ -71,9 +71,10 @@ def analogy_accuracy(items: DataFrame, space: DataFrame) -> DataFrame:
     )
 
 
-def section_accuracy(questions: DataFrame, space: DataFrame) -> DataFrame:
-    """(section, n_correct, n_evaluated, accuracy), with a row of section null for all; without a known question accuracy is null."""
+def section_accuracy(questions: DataFrame, space: DataFrame, total: bool = False) -> DataFrame:
+    """(section, n_correct, n_evaluated, accuracy); ``total`` adds a row of section null for all.  Without a known question accuracy is null."""
     found = analogy_accuracy(questions.withColumnRenamed("section", "category"), space)
+    found = found if total else found.filter("category is not null")
     return found.select(F.col("category").alias("section"), "n_correct", "n_evaluated", F.when(F.col("n_evaluated") > 0, F.col("accuracy")).alias("accuracy"))
 
 

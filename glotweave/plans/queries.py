@@ -448,7 +448,7 @@ def analogy_sections(spark, sf_dir):
     """The same items as a benchmark by sections, one of them without a known question."""
     items = _analogies(spark, sf_dir).withColumnRenamed("category", "section")
     lost = spark.createDataFrame([("lost", "w0", "w1", "w2", "unknown")], "section string, a string, b string, c string, d string")
-    found = intrinsic.section_accuracy(items.withColumn("section", F.col("section").cast("string")).unionByName(lost), whole(spark, sf_dir))
+    found = intrinsic.section_accuracy(items.withColumn("section", F.col("section").cast("string")).unionByName(lost), whole(spark, sf_dir), total=True)
     return found.withColumn("accuracy", F.round("accuracy", 6))
 
 
