@@ -36,6 +36,33 @@ def test_ties_go_to_the_smaller_index(spark):
     assert [g[2] for g in got] == [1, 2]
 
 
+def test_memory_of_a_search_does_not_grow_with_the_index(m):
+    """Peak of what one batch of queries holds, for an index four times as large; equal vectors, which all reach the floor, included."""
+    import tracemalloc
+
+    def peak(index):
+        tracemalloc.start()
+        got = list(knn._score(np.arange(500), q, np.arange(len(index)), index, 10, True))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got[0].num_rows == 5000
+        return most
+
+    q = knn.unit_rows(np.random.default_rng(1).normal(size=(500, 8)))
+    small = knn.unit_rows(np.random.default_rng(2).normal(size=(20_000, 8)))
+    assert peak(np.tile(small, (4, 1))) < 1.5 * peak(small)
+
+
+def test_scores_do_not_depend_on_what_is_beside(spark, m):
+    """Copies at any place of an index score alike, so that the smaller index comes first."""
+    one = knn.unit_rows(np.random.default_rng(3).normal(size=(1, 64)))
+    index = knn.unit_rows(np.random.default_rng(4).normal(size=(9000, 64)))
+    at = [1, 7, 4095, 4096, 5003, 8999]
+    index[at] = index[7]
+    got = next(knn._score(np.array([-1]), index[7:8] + 0.1 * one, np.arange(9000), index, 6, False))
+    assert got.column("c").to_pylist() == at and len(set(got.column("score").to_pylist())) == 1
+
+
 def test_csls_penalty_counts_self_as_zero(spark):
     s = space(spark, np.array([[1.0, 0], [0.6, 0.8], [-1, 0]]))
     got = {r["idx"]: r["r_t"] for r in knn.csls_penalty(s, 2).collect()}
