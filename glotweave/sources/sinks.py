@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glotweave.functions.vectors import as_double
+
 # The words that the coherence test probes, unless others are given.
 PROBE_WORDS = (
     "family", "money", "government", "science", "technology", "food", "animal", "sport", "music", "religion", "education", "health", "politics",
@@ -42,12 +47,18 @@ def write_probe_words(spark: SparkSession, path: str, words: tuple[str, ...] = P
     write_text_file(spark.createDataFrame(list(enumerate(words)), "line_no int, line string"), path, "line_no")
 
 
+def _six_decimals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(idx, word, numbers): each number as C prints it, its exact value rounded half to even.  Java's formats round the shortest decimal that
+    names a double half up, which differs where a value lies midway (0.0000005, 0.5 ** 7)."""
+    for batch in batches:
+        texts = [None if v is None else " ".join(["%.6f" % x for x in v if x is not None]) for v in batch.column("vec").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("idx"), batch.column("word"), pa.array(texts, pa.string())], ["idx", "word", "numbers"])
+
+
 def vec_lines(vectors: DataFrame) -> DataFrame:
     """(idx, line): a header ``n d`` at idx -1, then the word and its numbers with six decimals."""
-    body = vectors.select(
-        F.col("idx").cast("long").alias("idx"),
-        F.concat_ws(" ", F.col("word"), F.array_join(F.transform("vec", lambda x: F.format_string("%.6f", x)), " ")).alias("line"),
-    )
+    rows = vectors.select(F.col("idx").cast("long").alias("idx"), F.col("word").cast("string").alias("word"), as_double(F.col("vec")).alias("vec"))
+    body = rows.mapInArrow(_six_decimals, "idx long, word string, numbers string").select("idx", F.concat_ws(" ", "word", "numbers").alias("line"))
     head = vectors.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d")).select(
         F.lit(-1).cast("long").alias("idx"), F.concat_ws(" ", F.col("n"), F.col("d")).alias("line")
     )

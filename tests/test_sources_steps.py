@@ -188,6 +188,14 @@ def test_half_written_cache_is_made_anew(spark, tmp_path):
     assert readers.cached_vectors(spark, str(tmp_path / "x.vec")).count() == 1
 
 
+def test_vector_lines_round_half_to_even(spark):
+    """Values midway between two of six decimals, as C and SQL print them."""
+    values = [0.5**7, 3 * 0.5**7, -(0.5**7), 0.0000005, 1.0000005, 2.5e-7, -0.0, 1e22, float("nan")]
+    v = spark.createDataFrame([(0, "a", values)], "idx int, word string, vec array<double>")
+    assert sinks.vec_lines(v).filter("idx = 0").first()["line"] == "a " + " ".join("%.6f" % x for x in values)
+    assert sinks.vec_lines(v).filter("idx = 0").first()["line"].startswith("a 0.007812 0.023438 -0.007812 ")
+
+
 def test_probe_words(spark, tmp_path):
     sinks.write_probe_words(spark, str(tmp_path / "deep" / "probes.txt"))
     assert [r["value"] for r in readers.read_word_list(spark, str(tmp_path / "deep" / "probes.txt")).orderBy("line_no").collect()] == list(sinks.PROBE_WORDS)
