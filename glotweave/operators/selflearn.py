@@ -18,6 +18,7 @@ each: the same functions on the same numbers, without a job a round.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -223,14 +224,24 @@ def _merge_best(table: pa.Table) -> pa.Table:
     return pa.table({c: columns[c] for c in ("x", "z", "side", "cosine")})
 
 
+def _tiles(xs: DataFrame, zs: DataFrame) -> DataFrame:
+    """Every packed block of one side beside every one of the other.  They meet by a shuffle: a broadcast would take all words through the driver."""
+    many = zs.count()
+    return xs.withColumn("z_block", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).join(zs.hint("shuffle_merge"), "z_block")
+
+
 def induced(xs: DataFrame, zs: DataFrame, wx: np.ndarray, wz: np.ndarray, keep: float, seed: int, number: int) -> DataFrame:
     """(x, z, side, cosine): the dictionary that one round induces from packed blocks; side says which word looked for the other."""
-    every = F.explode(F.sequence(F.lit(0), F.lit(zs.count() - 1)))
-    tiles = xs.withColumn("z_block", every).join(zs, "z_block")
+    return _induced(_tiles(xs, zs), wx, wz, keep, seed, number)
+
+
+def _induced(tiles: DataFrame, wx: np.ndarray, wz: np.ndarray, keep: float, seed: int, number: int) -> DataFrame:
+    """The same from pairs of blocks; beside them only penalties, a number a word, are moved."""
     merged = tiles.mapInArrow(_largest_of_tiles(wx, wz), "side string, block int, largest array<array<double>>")
     merged = merged.groupBy("side", "block").applyInArrow(_merge_penalties, "side string, block int, r array<double>")
-    ready = [merged.filter(F.col("side") == s).select(F.col("block").alias(f"{s}_block"), F.col("r").alias(f"{s}_r")) for s in "xz"]
-    met = xs.join(ready[0], "x_block").withColumn("z_block", every).join(zs.join(ready[1], "z_block"), "z_block")
+    met = tiles
+    for s in "xz":
+        met = met.join(F.broadcast(merged.filter(F.col("side") == s).select(F.col("block").alias(f"{s}_block"), F.col("r").alias(f"{s}_r"))), f"{s}_block")
     best = met.mapInArrow(_best_of_tiles(wx, wz, keep, seed, number), "side string, block int, ids array<long>, score array<double>, at array<long>, cosine array<double>")
     return best.groupBy("side", "block").applyInArrow(_merge_best, "x long, z long, side string, cosine double")
 
@@ -239,7 +250,7 @@ def _products(entries: DataFrame, xs: DataFrame, zs: DataFrame) -> tuple[np.ndar
     """X'X, X'Z and Z'Z of the entries' (x, z) vectors."""
     x = xs.select(F.col("idx").cast("long").alias("x"), as_double(F.col("vec")).alias("xv"))
     z = zs.select(F.col("idx").cast("long").alias("z"), as_double(F.col("vec")).alias("zv"))
-    return _gram(entries.join(x, "x").join(z, "z").select("xv", F.concat("xv", "zv").alias("xy")))
+    return _gram(entries.join(x.hint("shuffle_merge"), "x").join(z.hint("shuffle_merge"), "z").select("xv", F.concat("xv", "zv").alias("xy")))
 
 
 def _gram(both: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,9 +318,13 @@ def _learned(xs: DataFrame, zs: DataFrame, wx, wz, cutoff: int, seed: int, max_r
         blocks = [_packed(s, cutoff, cutoff, c) for s, c in ((xs, "x"), (zs, "z"))]
         return _learned_in_place(_one_row(*blocks), wx, wz, seed, max_rounds)
     blocks = [scratch.table(_packed(s, cutoff, block_rows, c), "selflearn-blocks") for s, c in ((xs, "x"), (zs, "z"))]
+    # both are read in every round: the pairs of blocks, and the words that entries can name
+    tiles = _tiles(*blocks)
+    tiles = scratch.table(tiles.repartition(math.prod(b.count() for b in blocks)), "selflearn-tiles")
+    xs, zs = (scratch.table(s.filter(F.col("idx") < cutoff).select("idx", "vec"), "selflearn-words") for s in (xs, zs))
     plan = Schedule()
     for number in range(max_rounds):
-        entries = scratch.table(induced(*blocks, wx, wz, plan.keep, seed, number), "selflearn-entries")
+        entries = scratch.table(_induced(tiles, wx, wz, plan.keep, seed, number), "selflearn-entries")
         means = entries.groupBy("side").agg(F.avg("cosine").alias("m")).agg(F.avg("m").alias("m")).first()["m"]
         wx, wz = mapping_step(*_products(entries.filter("x >= 0 and z >= 0").select("x", "z"), xs, zs))
         scratch.drop(entries)

@@ -52,6 +52,24 @@ def test_one_round_by_blocks(spark, two, keep, block_rows):
     assert len(got) == len(want) == 165
 
 
+def test_blocks_do_not_pass_the_driver(spark, two, tmp_path, monkeypatch):
+    """No join of a round broadcasts vectors: those of blocks are by shuffle or from the table of pairs, those of words by shuffle."""
+    plans, table = {}, selflearn.Scratch.table
+
+    def spy(self, df, label):
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+        return table(self, df, label)
+
+    gram = selflearn._gram
+    monkeypatch.setattr(selflearn.Scratch, "table", spy)
+    monkeypatch.setattr(selflearn, "_gram", lambda both: plans.setdefault("products", both._jdf.queryExecution().executedPlan().toString()) and gram(both))
+    pairs = spark.createDataFrame([(i, f"s{i}", f"t{i}") for i in range(30)], "pair_no int, src string, tgt string")
+    selflearn.self_learning(space(spark, two[0], "s"), space(spark, two[1], "t"), pairs, "semi", max_rounds=1, block_rows=40)
+    assert "BroadcastHashJoin" not in plans["selflearn-tiles"] and "SortMergeJoin" in plans["selflearn-tiles"]
+    rows = [line for line in plans["selflearn-entries"].splitlines() if "BroadcastExchange" in line]
+    assert len(rows) == 2 and plans["selflearn-entries"].count("selflearn-tiles") >= 2
+
+
 def test_share_of_kept_entries():
     rows, columns = np.arange(400), np.arange(300)
     got = selflearn.kept_entries(rows, columns, 0.3, (0, 1, 0))
