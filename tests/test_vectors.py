@@ -36,6 +36,18 @@ def test_ties_go_to_the_smaller_index(spark):
     assert [g[2] for g in got] == [1, 2]
 
 
+@pytest.mark.parametrize("same", [0, 90])
+def test_pruned_search_by_groups_of_cells(spark, same, monkeypatch):
+    """Many groups of cells, and a cell of equal vectors that fills several."""
+    m = np.random.default_rng(6).normal(size=(240, 5))
+    m[:same] = m[0]
+    s = space(spark, m)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(knn, "GROUP_BLOCKS", 5)
+    got = collect(knn.knn_join(s, s, 5, exclude_self=True, broadcast_bytes=0))
+    assert got == collect(knn.knn_join_sql(s, s, 5, exclude_self=True))
+
+
 def test_memory_of_a_search_does_not_grow_with_the_index(m):
     """Peak of what one batch of queries holds, for an index four times as large; equal vectors, which all reach the floor, included."""
     import tracemalloc
@@ -81,6 +93,21 @@ def test_preprocessing(spark, m):
         algebra.preprocess(s, "all")
 
 
+def test_preprocessing_is_one_python_step(spark, m):
+    """A task needs as many Python workers as there are Python steps in a row: one, however many steps the method has."""
+    s = space(spark, m)
+    for method in ("center", "center_whiten", "center_whiten_renorm"):
+        assert algebra.preprocess(s, method)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_distances_come_in_tiles():
+    """However many rows are on the other side, 256 x 4,096 distances at most are in memory at once, and all come."""
+    ids, rng = np.arange(9000), np.random.default_rng(0)
+    x, y = rng.normal(size=(9000, 2)), rng.normal(size=(9000, 3))
+    got = list(algebra._upper(ids[:300], x[:300], y[:300], ids, x, y))
+    assert max(len(d) for d, _ in got) <= 256 * 4096 and sum(len(d) for d, _ in got) == sum(8999 - i for i in range(300))
+
+
 def _pairs(spark, n):
     return spark.createDataFrame([(i, f"a{i}", f"b{i}") for i in range(n)], "pair_no int, src string, tgt string")
 
