@@ -155,6 +155,54 @@ def test_batches_take_the_gradient_of_negative_sampling(skip_gram, monkeypatch):
     assert np.allclose(got_in, want_in, atol=1e-4) and np.allclose(got_out, want_out, atol=1e-4)
 
 
+@pytest.mark.parametrize("skip_gram, grams", [(False, False), (False, True), (True, False), (True, True)])
+def test_shared_negatives_take_the_same_gradient(skip_gram, grams, monkeypatch):
+    """Groups of tokens with common negative words, against one pair at a time."""
+    from glotweave.operators import train as T
+
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(T, "ROW_STEPS", 10**6)
+    s, g = Settings(dims=4, window=2, skip_gram=skip_gram, negative=3), T.GROUP_TOKENS
+    parts = [np.array([i, 10 + i, 10 + (i + 3) % 10]) if grams else np.array([i]) for i in range(10)]
+    flat, ahead = np.concatenate(parts), np.arange(11) * len(parts[0])
+    inputs, outputs = (rng.normal(0, 0.5, (n, 4)).astype(np.float32) for n in (20 if grams else 10, 10))
+    ids, block, noise = rng.integers(0, 10, 30), np.repeat([0, 1, 2], 10), np.arange(10)
+    got_in, got_out = inputs.copy(), outputs.copy()
+    loss, examples = T._pass(ids, block, got_in, got_out, flat, ahead, noise, s, 0.1, np.random.default_rng(1), T.BATCH_TOKENS)
+    draw = np.random.default_rng(1)
+    reach, drawn = draw.integers(1, 3, (2, g)).ravel(), draw.integers(0, 10, (2, 2 * g if skip_gram else g))
+    want_in, want_out, want, n = inputs.astype(float), outputs.astype(float), 0.0, 0
+    for t in range(30):
+        around = [k for k in range(t - reach[t], t + reach[t] + 1) if k != t and 0 <= k < 30 and block[k] == block[t]]
+        for context in [[ids[k]] for k in around] if skip_gram else [[ids[k] for k in around]]:
+            rows, n, step, noises = np.concatenate([parts[w] for w in context]), n + 1, np.zeros(4), drawn[t // g]
+            h = inputs[rows].astype(float).mean(axis=0)
+            for w, label, weight in [(ids[t], 1, 1), *[(w, int(w == ids[t]), 3 / len(noises)) for w in noises]]:
+                x = outputs[w].astype(float) @ h
+                e = weight * (label - 1 / (1 + np.exp(-x))) * 0.1
+                step, want = step + e * outputs[w], want + weight * np.logaddexp(0, -x if label else x)
+                want_out[w] += e * h
+            for r in rows:
+                want_in[r] += step / (1 if skip_gram else len(rows))
+    assert examples == n and loss == pytest.approx(want, rel=1e-5)
+    assert np.allclose(got_in, want_in, atol=1e-4) and np.allclose(got_out, want_out, atol=1e-4)
+
+
+def test_rounds_exchange_rows_of_some_tasks_at_once(spark, monkeypatch):
+    """Five tasks in rounds of two: each round begins where the last one ended, words of other rounds stay, and the model is as good."""
+    from glotweave.operators import train as T
+
+    monkeypatch.setattr(T, "ROUND_TASKS", 2)
+    seen, made = [], T._trained_task
+    monkeypatch.setattr(T, "_trained_task", lambda *a: seen.append((a[1], *a[4:])) or made(*a))
+    blocks = spark.createDataFrame([(i, [str(w) for w in x]) for i, x in enumerate([*_grid(), *[["alone"] * 4] * 1])], "no int, tokens array<string>")
+    s = Settings(dims=12, window=4, min_count=3, epochs=6, skip_gram=True, partitions=5, sample=0, rate=0.1)
+    model = train(blocks, s)
+    assert seen == [(e, r / 3, 1 / 3) for e in range(6) for r in range(3)]
+    assert _analogies(spark, model.words) > 0.7 and all(x > y for x, y in zip(model.losses[:4], model.losses[1:5]))
+    assert model.words.count() == len({w for x in _grid() for w in x}) + 1 and model.words.filter("size(vec) = 12").count() == model.words.count()
+
+
 def test_saved_models_know_unknown_words(spark, tmp_path):
     from glotweave.operators.train import fetch_vectors, load_settings
 
