@@ -1,8 +1,10 @@
 import hashlib
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from glotweave.functions import text as X
 from glotweave.operators import corpus
 
 
@@ -56,3 +58,31 @@ def test_pairs_of_two_vocabularies(spark):
     pairs = spark.createDataFrame([(0, "a", "x"), (0, "a", "x"), (1, "x", "a"), (2, "b", "q"), (3, "q", "y"), (4, None, "y"), (5, None, None)], "pair_no int, src string, tgt string")
     assert [r["pair_no"] for r in corpus.pairs_in_vocabulary(pairs, source, target).collect()] == [0, 0]
     assert {r["pair_no"]: r["side"] for r in corpus.pairs_missing(pairs, source, target).collect()} == {1: "both", 2: "target", 3: "source", 4: "source", 5: "both"}
+
+
+def test_cleaning_reads_lines_once_and_takes_all_kinds(spark, tmp_path):
+    """Before, lines were read, split and tested once for normal ones and once more for the others."""
+    odd = ["plain 1, a\x00b\x7fc", "ﬁsh x² ½", "été — “q”", "ޤަލަމް‌ ޘާ x", "ﷲ アＡ", "ı ẛ̣", "", " 　 ", None, "日本 ގ   z", "K‍ey ﬁ"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, line string")
+    df.write.parquet(str(tmp_path / "lines"))
+    read = spark.read.parquet(str(tmp_path / "lines"))
+    for language in ("english", "thaana"):
+        cleaned = corpus.clean_lines(read, language)
+        plan = cleaned._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1
+        assert cleaned.columns == ["i", "line", "clean"]
+        got = {r["i"]: r["clean"] for r in cleaned.collect()}
+        letters = "".join(map(chr, range(0x780, 0x7C0))) if language == "thaana" else "abcdefghijklmnopqrstuvwxyz"
+        for i, line in enumerate(odd):
+            if line is None:
+                assert got[i] is None
+                continue
+            text = unicodedata.normalize("NFKC", line.replace("‌", "").replace("‍", ""))
+            if language == "thaana":
+                text = text.translate(str.maketrans(X.THAANA_CLASSICAL, X.THAANA_MODERN))
+            else:
+                text = text.translate(str.maketrans(*X.QUOTES_DASHES))
+                for a, b in X.LIGATURES.items():
+                    text = text.replace(a, b)
+                text = text.lower()
+            assert got[i] == "".join(x for x in text if x in letters or x in X.WS_CHARS).strip(X.WS_CHARS), line
