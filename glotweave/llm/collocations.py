@@ -35,6 +35,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -56,7 +57,7 @@ HELD = 2_000_000
 _CUTS = b".,;:!?\n\x0b\x0c\r"
 #: Lower case; a tab is a space, whatever cuts a piece is a line end.
 PIECES = byte_table(lambda b: b + 32 if 0x41 <= b <= 0x5A else 0x20 if b == 9 else 0x0A if b in _CUTS else b)
-_SPACES = re.compile(" +")
+_SPACES = re.compile(" {2,}")
 
 
 class Shard:
@@ -157,60 +158,107 @@ def count_matches(phrases: list[str], texts: list[str]) -> list[int]:
     for i, p in enumerate(phrases):
         automaton.add_word(f" {p} ", i)
     automaton.make_automaton()
-    found: Counter = Counter()
+    found = np.zeros(len(phrases), np.int64)
     for text in texts:
-        found.update(i for _, i in automaton.iter(text))
-    return [found[i] for i in range(len(phrases))]
+        np.add.at(found, np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), 1)
+    return found.tolist()
 
 
-def count_phrases(part: pa.RecordBatch, cell_bits: int, frequent: Frequent, rounds: int = 1, turn: int = 0) -> Iterator[tuple[str, str, int]]:
-    """(lang, phrase, n) of the phrases of a shard whose cells are frequent and of this turn."""
-    langs = part.column("lang").to_pylist()
-    shard = Shard(part.column("text"), langs)
-    places: dict[tuple[str, str], tuple[int, np.ndarray]] = {}
+def _places(shard: Shard, cell_bits: int, frequent: Frequent, rounds: int, turn: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, places ordered by hash, where each hash begins) of the phrases to count.
+
+    Parts of a frequent phrase are frequent too; where all cells are in this turn, so must those of the parts be.
+    """
+    shorter = None
     for size in range(2, LONGEST + 1):
         grams, wanted = shard.grams(size)
         cells = _cells(grams, cell_bits)
-        wanted = wanted & frequent(cells)
         if rounds > 1:
-            wanted &= cells % np.uint64(rounds) == np.uint64(turn)
+            wanted = wanted & frequent(cells) & (cells % np.uint64(rounds) == np.uint64(turn))
+        elif shorter is None:
+            wanted = wanted & frequent(cells)
+        else:
+            wanted = wanted & shorter[: len(wanted)] & shorter[1 : len(wanted) + 1]
+            near = np.flatnonzero(wanted)
+            wanted[near] = frequent(cells[near])
+        shorter = wanted
         at = np.flatnonzero(wanted)
-        order = np.argsort(grams[at], kind="stable")
-        at = at[order]
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(grams[at]) != 0])) if len(at) else np.empty(0, np.int64)
-        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)]):
-            i = int(at[x])
-            places[langs[shard.doc[i]], shard.words.words(i, i + size).decode()] = (size, at[x:y])
+        at = at[np.argsort(grams[at], kind="stable")]
+        yield size, at, np.flatnonzero(np.concatenate([[True], np.diff(grams[at]) != 0])) if len(at) else np.empty(0, np.int64)
+
+
+def _stretches(words: Words, raw: bytes, at: np.ndarray, size: int) -> list[str]:
+    """The ``size`` words from each place on, joined by one space: a slice of the text where they stand so already."""
+    begin, end = words.begin[at], words.end[at + size - 1]
+    lengths = sum(words.end[at + i] - words.begin[at + i] for i in range(size))
+    out = [raw[x:y].decode() for x, y in zip(begin.tolist(), end.tolist())]
+    for i in np.flatnonzero(end - begin != lengths + size - 1).tolist():
+        out[i] = words.words(int(at[i]), int(at[i]) + size).decode()
+    return out
+
+
+def count_phrases(part: pa.RecordBatch, cell_bits: int, frequent: Frequent, rounds: int = 1, turn: int = 0) -> Iterator[tuple[str, str, int]]:
+    """(lang, phrase, n) of the phrases of a shard whose cells are frequent and of this turn."""
+    for lang, counts in shard_counts(part, cell_bits, frequent, rounds, turn):
+        for phrase, n in counts:
+            yield lang, phrase, n
+
+
+def shard_counts(part: pa.RecordBatch, cell_bits: int, frequent: Frequent, rounds: int = 1, turn: int = 0) -> Iterator[tuple[str, Iterator[tuple[str, int]]]]:
+    """The phrases of a shard and their numbers, language by language; a phrase whose hash another has may come twice."""
+    langs = part.column("lang").to_pylist()
+    shard = Shard(part.column("text"), langs)
+    raw = shard.words.data.tobytes()
+    names = sorted(set(langs))
+    number = np.array([names.index(x) for x in langs], np.int64)
+    own: dict[str, list[tuple[list[str], int, np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+    for size, at, first in _places(shard, cell_bits, frequent, rounds, turn):
+        many = np.diff(np.append(first, len(at)))
+        of = number[shard.doc[at[first]]]
+        for i, lang in enumerate(names):
+            some = of == i
+            own[lang].append((_stretches(shard.words, raw, at[first[some]], size), size, at, first[some], many[some]))
     texts: dict[str, list[str]] = defaultdict(list)
     for lang, text in zip(langs, translated(part.column("text"), PIECES).to_pylist()):
         texts[lang].append(guarded(text))
-    for lang, own in texts.items():
-        phrases = [p for x, p in places if x == lang]
-        for phrase, n in zip(phrases, count_matches(phrases, own)):
-            size, at = places[lang, phrase]
-            if n == len(at):
-                yield lang, phrase, n
-            else:  # another phrase has its hash
-                for p, m in Counter(shard.words.words(i, i + size) for i in at.tolist()).items():
-                    yield lang, p.decode(), m
+    for lang, sizes in own.items():
+        phrases = [p for some, *_ in sizes for p in some]
+        found = count_matches(phrases, texts[lang])
+        yield lang, zip(phrases, found) if found == [n for *_, many in sizes for n in many.tolist()] else _apart(shard.words, sizes, found)
+
+
+def _apart(words: Words, sizes: list, found: list[int]) -> Iterator[tuple[str, int]]:
+    """Where a phrase has not as many matches as its hash has places, another phrase has its hash: those places are counted by their words."""
+    numbers = iter(found)
+    for phrases, size, at, first, many in sizes:
+        for phrase, x, n in zip(phrases, first.tolist(), many.tolist()):
+            if next(numbers) == n:
+                yield phrase, n
+                continue
+            for p, m in Counter(words.words(i, i + size) for i in at[x : x + n].tolist()).items():
+                yield p.decode(), m
 
 
 def _count(known, cell_bits: int, filter_bits: int, rounds: int, turn: int, shard_bytes: int):
-    def out(held: Counter) -> pa.RecordBatch:
-        columns = [pa.array([k[i] for k in held], pa.string()) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(list(held.values()), pa.int64())], ["lang", "phrase", "n"])
+    def out(held: dict[str, dict[str, int]]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            columns = [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = Frequent(cell_bits, filter_bits, known.value)
-        held: Counter = Counter()
+        held: dict[str, dict[str, int]] = defaultdict(dict)
         for batch in batches:
             for part in pieces(batch, max_bytes=shard_bytes):
-                for lang, phrase, n in count_phrases(part, cell_bits, frequent, rounds, turn):
-                    held[lang, phrase] += n
-                if len(held) > HELD // 8:
-                    yield out(held)
-                    held = Counter()
-        yield out(held)
+                for lang, found in shard_counts(part, cell_bits, frequent, rounds, turn):
+                    counts = held[lang]
+                    before = counts.get
+                    for phrase, n in found:
+                        counts[phrase] = before(phrase, 0) + n
+                if sum(map(len, held.values())) > HELD // 8:
+                    yield from out(held)
+                    held.clear()
+        yield from out(held)
 
     return run
 

@@ -92,6 +92,21 @@ def test_phrases_that_share_a_hash(monkeypatch):
     assert got == want
 
 
+def test_phrases_of_rare_parts_are_not_compiled():
+    """A frequent cell does not suffice where a part's cell is rare; before, such phrases went to the automaton."""
+    part = pa.RecordBatch.from_pydict({"text": ["a  b c d", "x\ty z"], "lang": ["en", "fr"]})
+    shard = collocations.Shard(part.column("text"), ["en", "fr"])
+    bits, cells = 40, []
+    for size, at in ((2, [0, 1, 4]), (3, [0, 1, 4]), (4, [0])):
+        cells += collocations._cells(shard.grams(size)[0][at], bits).tolist()
+
+    class Known:
+        def __call__(self, asked):
+            return np.isin(asked, np.array(cells, np.uint64))
+
+    assert sorted(collocations.count_phrases(part, bits, Known())) == [("en", "a b", 1), ("en", "a b c", 1), ("en", "b c", 1), ("fr", "x y", 1)]
+
+
 def test_scores_beyond_64_bits(spark):
     a, l, r = 10**15, 3 * 10**15, 10**15
     row = spark.createDataFrame([(a, l, r)], "a long, l long, r long")
