@@ -115,3 +115,48 @@ def test_nothing_is_gathered(spark, two, monkeypatch):
     pairs = spark.createDataFrame([(k, f"s{k}", f"t{k}") for k in range(12)], "pair_no int, src string, tgt string")
     out = selflearn.self_learning(space(spark, x, "s"), space(spark, z, "t"), pairs, "semi", max_rounds=2, block_rows=32)
     assert max(sizes) <= 13 * 13 and out[0].agg(F.count("*").alias("n")).count() == 1
+
+
+@pytest.mark.parametrize("keep", [1.0, 0.3, 0.02])
+@pytest.mark.parametrize("bound", [None, 0.99, -0.5])
+def test_search_does_not_depend_on_its_bounds(two, keep, bound):
+    """Penalties and best candidates of two rounds, with bounds as guessed, too high or too low, against whole matrices."""
+    x, z = two
+    rng = np.random.default_rng(2)
+    search = selflearn.Search(np.arange(90), np.arange(75))
+    for number in (3, 4):
+        wx, wz = rng.normal(size=(6, 6)), rng.normal(size=(6, 6))
+        a, b = unit_rows(x @ wx), unit_rows(z @ wz)
+        if bound is not None:
+            search.near, search.good = np.full(90, bound, np.float32), np.full(90, bound, np.float32)
+        mean, most = search.penalties(a, b, keep)
+        want = np.sort(a @ b.T, axis=1)[:, -10:]
+        assert np.abs(mean - want.mean(axis=1)).max() < 1e-12 and np.abs(most - want[:, -1]).max() < 1e-12
+        penalty = np.sort(a @ b.T, axis=0)[-10:].mean(axis=0)
+        got = search.best(penalty, keep, (7, number, 0))
+        entries = plain_round(x, z, wx, wz, keep, 7, number)
+        assert got.tolist() == [j for _, j, side, _ in entries if side == "x"]
+
+
+def test_tied_candidates_go_to_the_smaller_index():
+    b = np.repeat(unit_rows(np.random.default_rng(3).normal(size=(20, 4))), 3, axis=0)
+    search = selflearn.Search(np.arange(20), np.arange(60))
+    search.penalties(b[::3].copy(), b, 1.0)
+    assert search.best(np.zeros(60), 1.0, (0, 0, 0)).tolist() == list(range(0, 60, 3))
+
+
+def test_rounds_of_several_tasks_are_one_stage(spark, two, monkeypatch):
+    """Tasks that share the words give what blocks give, and make no more jobs for more rounds."""
+    monkeypatch.setattr(selflearn, "PART_ROWS", 24)
+    a, b = space(spark, two[0], "s"), space(spark, two[1], "t")
+    pairs = spark.createDataFrame([(k, f"s{k}", f"t{k}") for k in range(12)], "pair_no int, src string, tgt string")
+    jobs = []
+    for rounds in (1, 5):
+        spark.sparkContext.setJobGroup(f"rounds-{rounds}", "")
+        many = selflearn.self_learning(a, b, pairs, "semi", max_rounds=rounds)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds-{rounds}")))
+    spark.sparkContext.setJobGroup("others", "")
+    assert jobs[0] == jobs[1]
+    blocks = selflearn.self_learning(a, b, pairs, "semi", max_rounds=5, block_rows=32)
+    for p, q in zip(many, blocks):
+        assert np.abs(vectors(p) - vectors(q)).max() < 1e-7
